@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, secrets, simhash
+from . import bpe, html_text, secrets, simhash, weak_quality
 from .common import read
 
 
@@ -37,6 +37,13 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text").withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, the base rule and the weak-supervision verdict of every document."""
+    found = weak_quality.assess(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return found.select("doc_id", *weak_quality.COUNTS, failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"), "quality")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document."""
     found = secrets.annotate(read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")).select("doc_id", "spans")
@@ -55,6 +62,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_simhash": op3_simhash,
+    "op4_quality": op4_quality,
     "op7_secrets": op7_secrets,
     "op10_html": op10_html,
 }
