@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,9 @@ from .common import lists, text_or_empty, utf8
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 SHORT = 128
-PIECES_HELD = 200_000
+HELD = 200_000
 NO_RANK = 1 << 60
-SPACE_BEFORE_SPACE = regex.compile(r"\s |[\x1c-\x1f] ")
+SPACE_BEFORE_SPACE = re.compile(r"\s ")
 
 
 def byte_symbols() -> dict[str, int]:
@@ -47,18 +48,24 @@ def byte_symbols() -> dict[str, int]:
 
 
 class Held(dict):
-    """Ids by piece of text. It starts anew at PIECES_HELD pieces; long pieces aren't held."""
+    """What has been made from each text, for HELD texts at least and twice that at most.
+
+    When it is full, the texts in use since it was last full stay. Long texts aren't held.
+    """
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
-
-    def __missing__(self, piece: str) -> bytes:
-        out = self.make(piece)
-        if len(piece) <= SHORT:
-            if len(self) >= PIECES_HELD:
+        self.make, self.old = make, {}
+
+    def __missing__(self, text: str):
+        out = self.old.get(text)
+        if out is None:
+            out = self.make(text)
+        if len(text) <= SHORT:
+            if len(self) >= HELD:
+                self.old = dict(self)
                 self.clear()
-            self[piece] = out
+            self[text] = out
         return out
 
 
@@ -77,11 +84,12 @@ class ByteBpe:
         self.byte_id = [0] * 256
         for c, b in symbols.items():
             self.byte_id[b] = vocab[c]
-        self.pair_rank: dict[tuple[int, int], int] = {}
+        #: rank_of[left][right] is the rank of merging two parts, merged[rank] the id it makes
+        self.rank_of: list[dict[int, int]] = [{} for _ in range(max(vocab.values()) + 1)]
         self.merged: list[int] = []
         for rank, pair in enumerate(merges):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.pair_rank.setdefault((vocab[left], vocab[right]), rank)
+            self.rank_of[vocab[left]].setdefault(vocab[right], rank)
             self.merged.append(vocab[left + right])
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         top = max([*self.token_bytes, *self.special.values()])
@@ -90,7 +98,7 @@ class ByteBpe:
             self.token_bytes[i] = text.encode()
         self.split_special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.words = regex.compile(PATTERN)
-        self.held, self.held_after_space = Held(self._piece), Held(lambda x: self._piece(" " + x))
+        self.held, self.held_after_space, self.held_words = Held(self._piece), Held(lambda x: self._piece(" " + x)), Held(self._word)
         size = max(self.token_bytes) + 1
         self.table = [self.token_bytes.get(i, b"") for i in range(size)]
         self.token_len = np.array([len(x) for x in self.table], np.int64)
@@ -100,26 +108,32 @@ class ByteBpe:
         return self._scan(word) if len(word) <= SHORT else self._heap(word)
 
     def _scan(self, word: bytes) -> list[int]:
-        pair, byte_id = self.pair_rank.get, self.byte_id
-        ids = [byte_id[b] for b in word]
-        bounds = list(range(len(word) + 1))
-        ranks = [pair(x, NO_RANK) for x in zip(ids, ids[1:])]
-        while ranks and (least := min(ranks)) != NO_RANK:
+        rank_of, merged = self.rank_of, self.merged
+        ids = [*map(self.byte_id.__getitem__, word)]
+        bounds = [*range(len(ids) + 1)]
+        ranks = [rank_of[left].get(right, NO_RANK) for left, right in zip(ids, ids[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == NO_RANK:
+                break
             at = ranks.index(least)
-            ids[at] = self.merged[least]
+            ids[at] = new = merged[least]
             del ids[at + 1], bounds[at + 1], ranks[at]
             if at:
-                ranks[at - 1] = pair((ids[at - 1], ids[at]), NO_RANK)
+                ranks[at - 1] = rank_of[ids[at - 1]].get(new, NO_RANK)
             if at < len(ranks):
-                ranks[at] = pair((ids[at], ids[at + 1]), NO_RANK)
-        assert len(ids) == len(bounds) - 1
+                ranks[at] = rank_of[new].get(ids[at + 1], NO_RANK)
         return ids
 
     def _heap(self, word: bytes) -> list[int]:
-        pair, ids = self.pair_rank.get, [self.byte_id[b] for b in word]
+        ids = [self.byte_id[b] for b in word]
         n = len(ids)
+
+        def pair(x: tuple[int, int]) -> int:
+            return self.rank_of[x[0]].get(x[1], NO_RANK)
+
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        queue = [(r, k) for k in range(n - 1) if (r := pair((ids[k], ids[k + 1]), NO_RANK)) != NO_RANK]
+        queue = [(r, k) for k in range(n - 1) if (r := pair((ids[k], ids[k + 1]))) != NO_RANK]
         heapq.heapify(queue)
         while queue:
             rank, k = heapq.heappop(queue)
@@ -131,15 +145,15 @@ class ByteBpe:
             if after[k] >= 0:
                 before[after[k]] = k
             for left, here in ((before[k], k), (k, after[k])):
-                if left >= 0 and here >= 0 and (r := pair((ids[left], ids[here]), NO_RANK)) != NO_RANK:
+                if left >= 0 and here >= 0 and (r := pair((ids[left], ids[here]))) != NO_RANK:
                     heapq.heappush(queue, (r, left))
         return [x for x in ids if x >= 0]
 
+    def _word(self, word: str) -> bytes:
+        return np.array(self.merge(word.encode()), np.int32).tobytes()
+
     def _piece(self, piece: str) -> bytes:
-        ids: list[int] = []
-        for word in self.words.findall(piece):
-            ids += self.merge(word.encode())
-        return np.array(ids, np.int32).tobytes()
+        return b"".join(map(self.held_words.__getitem__, self.words.findall(piece)))
 
     def _plain(self, text: str) -> bytes:
         """Int32 ids of a text without special tokens.
@@ -205,4 +219,5 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded", ex
         live = column.is_valid().to_pylist()
         return pa.array([bpe.decode(flat[offsets[k] : offsets[k + 1]]) if live[k] else None for k in range(len(column))], pa.string())
 
-    return df.withColumn(text, text_of(F.col(ids)))
+    # the condition stands between the functions: without it, ids made just before would be made twice, once to be decoded
+    return df.withColumn(text, text_of(F.when(F.size(ids) >= 0, F.col(ids))))
