@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, secrets, simhash, weak_quality
+from . import bpe, html_text, secrets, simhash, toxicity, weak_quality
 from .common import read
 
 
@@ -44,6 +44,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *weak_quality.COUNTS, failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"), "quality")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity and verdict of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.assess(docs, read(spark, sf_dir, "labels")).select("doc_id", F.round("severity", 6).alias("severity"), "toxic")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document."""
     found = secrets.annotate(read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")).select("doc_id", "spans")
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
+    "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
     "op10_html": op10_html,
 }
