@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, secrets, simhash, toxicity, weak_quality
+from . import bpe, decontam, html_text, secrets, simhash, toxicity, weak_quality
 from .common import read
 
 
@@ -31,6 +31,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items found in every document, as they stand or with other values."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontam.mark(docs, read(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", "contaminated", F.size("item_ids").cast("long").alias("n_items"), F.array_join(F.col("item_ids").cast("array<string>"), ",").alias("item_ids"))
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     found = html_text.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -71,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
+    "op9_decontamination": op9_decontamination,
     "op10_html": op10_html,
 }
 
