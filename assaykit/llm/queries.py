@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_text, secrets, simhash, toxicity, weak_quality
+from . import bpe, decontam, html_text, secrets, simhash, substring, toxicity, weak_quality
 from .common import read
 
 
@@ -31,6 +31,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without its repeated passages."""
+    found = substring.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items found in every document, as they stand or with other values."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
+    "op8_substring": op8_substring,
     "op9_decontamination": op9_decontamination,
     "op10_html": op10_html,
 }
