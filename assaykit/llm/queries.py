@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_text, secrets, simhash, substring, toxicity, weak_quality
+from . import bpe, chat, decontam, html_text, secrets, simhash, substring, toxicity, weak_quality
 from .common import read
 
 
@@ -57,6 +57,23 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *weak_quality.COUNTS, failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"), "quality")
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every formatted conversation, read back from its text and loss mask."""
+    said = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    made = chat.read_back(chat.format_conversations(said.unionByName(extra), public_tokenizers.path("byte_bpe_50k.json")))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return made.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity and verdict of every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -82,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
+    "op5_chat": op5_chat,
     "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
     "op8_substring": op8_substring,
