@@ -207,12 +207,12 @@ def _item_width(text: Column) -> Column:
 
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """docs with contaminated (boolean) and item_ids (sorted array of the items found)."""
-    found = leaks(docs, benchmark, text).groupBy("_k1", "_k2").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.lit(True).alias("contaminated"))
+    found = cut(leaks(docs, benchmark, text).groupBy("_k1", "_k2").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.lit(True).alias("contaminated")), "leaking-texts")
     keyed = docs.select("*", *_keys(text)).join(found, ["_k1", "_k2"], "left").drop("_k1", "_k2")
     return keyed.withColumn("contaminated", F.coalesce("contaminated", F.lit(False))).withColumn("item_ids", F.coalesce("item_ids", F.array().cast(found.schema["item_ids"].dataType)))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs without a leak."""
-    found = leaks(docs, benchmark, text).select("_k1", "_k2").distinct()
+    found = cut(leaks(docs, benchmark, text).select("_k1", "_k2").distinct(), "leaking-texts")  # of a known size for the join's planning
     return docs.select("*", *_keys(text)).join(found, ["_k1", "_k2"], "left_anti").select(*docs.columns)

@@ -115,6 +115,7 @@ def annotate(df: DataFrame, text: str = "text", owner: str = "source", repo: str
     marks = told.groupBy("_k1", "_k2").agg(
         F.array_sort(F.collect_list(F.struct("start", "kind_no", "end", "kind", "owners", "repositories", live.alias("live")))).alias("spans")
     )
+    marks = cut(marks, "secret-spans")  # of a known size for the join's planning
     keyed = df.select("*", *_keys(text))
     none = F.array().cast(marks.schema["spans"].dataType)
     return keyed.join(marks, ["_k1", "_k2"], "left").withColumn("spans", F.coalesce("spans", none)).drop("_k1", "_k2")

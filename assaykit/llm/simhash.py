@@ -168,9 +168,12 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
     Of several rows with that id the first in the order of the other columns stays; rows without an id stay, since they can't be told apart.
     """
-    kept = near_duplicates(df, doc_id, text).where(F.col(doc_id) == F.col("component_id")).select(doc_id).distinct()
-    named = df.where(F.col(doc_id).isNotNull()).join(kept, doc_id, "left_semi")
-    twice = named.groupBy(doc_id).count().where("count > 1").select(doc_id)
+    kept = cut(near_duplicates(df, doc_id, text).where(F.col(doc_id) == F.col("component_id")).groupBy(doc_id).count(), "simhash-kept")
+    named = df.where(F.col(doc_id).isNotNull()).join(kept.select(doc_id), doc_id, "left_semi").select(*df.columns)
+    unnamed = df.where(F.col(doc_id).isNull())
+    twice = kept.where("count > 1").select(doc_id)
+    if not twice.limit(1).count():
+        return named.unionByName(unnamed)
     rest = [c for c in df.columns if c != doc_id]
     again = named.join(twice, doc_id, "left_semi").groupBy(doc_id).agg(F.min(F.struct(*rest)).alias("_row")).select(doc_id, "_row.*").select(*df.columns)
-    return named.join(twice, doc_id, "left_anti").select(*df.columns).unionByName(again).unionByName(df.where(F.col(doc_id).isNull()))
+    return named.join(twice, doc_id, "left_anti").select(*df.columns).unionByName(again).unionByName(unnamed)
