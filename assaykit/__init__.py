@@ -1,0 +1 @@
+"""Evaluation analytics and dataset curation as Spark jobs."""
