@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import permutations, product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,9 +90,6 @@ def chamfer(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     One pair is one row; the distance table is built in blocks of points.
     """
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("double")
     def of(left: pd.Series, right: pd.Series) -> pd.Series:
         out = []

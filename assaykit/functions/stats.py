@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,8 +81,6 @@ def bootstrap(df: DataFrame, keys: list[str], value: str, order: str, iters: int
 
 def binomial_bootstrap(df: DataFrame, keys: list[str], success: Column, iters: int = 2000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """The same interval for 0/1 values from counts alone: a resample's sum is binomial. Any group is two numbers."""
-    import numpy as np
-
     counts = df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(success).alias("k"))
 
     @F.pandas_udf("struct<lo:double,hi:double>")

@@ -50,7 +50,7 @@ def clean_program(code: Column) -> Column:
 def triples(text: Column, pattern: str) -> Column:
     """array<array<double>> of all matches of a pattern with three number groups."""
     groups = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (1, 2, 3)]
-    return F.transform(F.arrays_zip(*[g.alias(n) for g, n in zip(groups, "abc")]), lambda z: F.array(*[z[n].cast("double") for n in ("0", "1", "2")]))
+    return F.transform(F.arrays_zip(*[g.alias(n) for g, n in zip(groups, "abc")]), lambda z: F.array(*[z[n].cast("double") for n in "abc"]))
 
 
 def stated_dims(text: Column) -> Column:

@@ -316,7 +316,7 @@ def pivot_board(spark, d):
 
 @query(f"""WITH {ANSWERS}, s AS (SELECT lane, count(*) AS n, avg(success::INT) AS p, avg(runs::INT) AS r, quantile_cont(e2e_s, 0.5) AS l, avg(output_tokens) AS o FROM live GROUP BY lane),
  c AS (SELECT *, 1.959963984540054 AS z FROM s), w AS (SELECT *, p + z * z / (2 * n) AS m, z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n)) AS h, 1 + z * z / n AS q FROM c)
-SELECT '| ' || lane || ' | **' || printf('%.1f%%', p * 100) || '** [' || printf('%.1f%%', (m - h) / q * 100) || ', ' || printf('%.1f%%', (m + h) / q * 100) || '] | ' || printf('%.1f%%', r * 100) || ' | ' || printf('%.1f', l) || ' | ' || printf('%.0f', o) || ' |' AS value FROM w""")
+SELECT '| ' || lane || ' | **' || printf('%.1f%%', round(p * 100, 1)) || '** [' || printf('%.1f%%', round((m - h) / q * 100, 1)) || ', ' || printf('%.1f%%', round((m + h) / q * 100, 1)) || '] | ' || printf('%.1f%%', round(r * 100, 1)) || ' | ' || printf('%.1f', round(l, 1)) || ' | ' || printf('%.0f', round(o, 0)) || ' |' AS value FROM w""")
 def markdown_report(spark, d):
     return writers.markdown(results.lane_summary(answers(spark, d), ["lane"]))
 
