@@ -10,7 +10,8 @@ Scale: map-only, one pass over each page, linear in its length; nothing is shuff
 
 Edge cases: null or empty html gives the empty text; unclosed and truncated markup is closed at
 its parent's or the page's end; a page without a content cluster gives what lines it has outside
-boilerplate; repeated rows and further columns pass through; no rows give no rows.
+boilerplate; repeated rows and further columns pass through, a column with the
+name of the result is replaced; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -46,6 +47,9 @@ HEADER_WORDS = {"header", "banner"}
 #: An open element that a start tag closes, as HTML lets its end tag be left out.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
+#: A tag that the end of the page cuts off.
+UNFINISHED = re.compile(r"<(?:[A-Za-z/][^<>]*|!--(?:(?!-->).)*)\Z", re.DOTALL)
+
 SIGMA = 1.0
 SHARE = 0.8  # of the content cluster that the article's element must hold
 
@@ -173,7 +177,7 @@ def threshold(values: np.ndarray) -> float:
 
 def main_text(html: str) -> str:
     parser = Lines()
-    parser.feed(html)
+    parser.feed(UNFINISHED.sub("", html))
     parser.close()
     parser.end_line()
     lines = parser.lines

@@ -12,7 +12,7 @@ verdicts are joined to texts by equality, which run-time skew splitting can divi
 
 Edge cases: null and empty texts have no spans; a null owner or repository counts as one of its
 own; repeated rows count their owner once; an empty table gives no rows; the input's columns
-pass through, and helper columns are named with a leading underscore.
+pass through, but for those with the name of a result or helper, which are replaced.
 """
 
 from __future__ import annotations
@@ -105,6 +105,7 @@ def annotate(df: DataFrame, text: str = "text", owner: str = "source", repo: str
     owner: the column whose distinct values count as owners. repo: a column that tells the
     repositories of one owner apart. Candidates of the further kinds that aren't live are left out.
     """
+    df = df.drop("spans", "_k1", "_k2")
     seen = df.select(*_keys(text), F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo"), _found(text_or_empty(text)).alias("found"))
     seen = cut(seen.where(F.size("found") > 0), "secret-candidates")
     counts = ownership(seen.select(F.explode("found.value").alias("value"), "owner", "repo"))

@@ -19,7 +19,8 @@ folded before the shuffle or split at run time. Whole texts are handled; occurre
 texts are folded by a 128-bit key of the text before they are gathered for each text.
 
 Edge cases: null and empty texts have no words; texts shorter than a window keep all; repeated
-rows repeat each other's windows; further columns pass through; an empty table gives no rows.
+rows repeat each other's windows; further columns pass through, but for those with the name of a
+result or helper, which are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -274,6 +275,8 @@ KEPT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_re
 def remove_repeats(df: DataFrame, text: str = "text") -> DataFrame:
     """df with n_words, n_removed and kept, the text's words outside repeated windows joined by a space."""
 
+    df = df.drop("n_words", "n_removed", "kept", "_k1", "_k2", "_spans", "_out")
+
     @F.arrow_udf(KEPT)
     def of(column: pa.Array, first: pa.Array, n: pa.Array) -> pa.Array:
         total, removed, kept = [], [], []
@@ -293,7 +296,7 @@ def remove_repeats(df: DataFrame, text: str = "text") -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], [f.name for f in KEPT])
 
     keys = [k.alias(f"_{n}") for k, n in zip(_keys(text), ("k1", "k2"))]
-    found = repeated(df, text).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "spans")
+    found = repeated(df, text).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans"))
     joined = df.select("*", *keys).join(found, ["_k1", "_k2"], "left")
-    out = joined.withColumn("_out", of(text_or_empty(text), F.col("spans.first"), F.col("spans.words")))
+    out = joined.withColumn("_out", of(text_or_empty(text), F.col("_spans.first"), F.col("_spans.words")))
     return out.select(*[F.col(c) for c in df.columns], "_out.*")

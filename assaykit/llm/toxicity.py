@@ -15,7 +15,8 @@ Scoring is map-only over whole texts; nothing else is shuffled.
 Edge cases: null and empty texts have no features and the severity of a text without any; rows
 without a label count and rows of unknown ids don't; without labels of both classes every
 severity is 0; repeated labels of an id count once, as toxic if any says so; ties in the choice
-of features are broken by the feature's text; further columns pass through.
+of features are broken by the feature's text; further columns pass through, but for those with the
+name of a result, which are replaced.
 """
 
 from __future__ import annotations
@@ -55,7 +56,8 @@ class Model:
     thresholds: np.ndarray
 
     def severity(self, score: np.ndarray) -> np.ndarray:
-        return (1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -500, 500)))).sum(1)
+        short_of = self.thresholds[None, :] - score[:, None]
+        return np.where(short_of > 500, 0.0, 1 / (1 + np.exp(np.clip(short_of, -500, 500)))).sum(1)
 
 
 class Hits(dict):

@@ -15,7 +15,8 @@ plan, meant for up to about a thousand; scores are joined to pages by host.
 Edge cases: a null url, or one without ://, has an empty host and path; a host that neither
 trust nor distrust reaches is allowed; links without a host, and links within a host, don't
 count; equally long rules are taken in the order of their text; repeated rows are repeated
-pages; further columns pass through; an empty table gives no rows.
+pages; further columns pass through, but for those with the name of a result or helper, which
+are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -96,6 +97,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", html: str = "html", threshold: float = THRESHOLD) -> DataFrame:
     """pages without html, with host, path, rule, verdict, trust and distrust."""
+    pages = pages.drop("host", "path", "rule", "verdict", "trust", "distrust", "_rule")
     plain = pages.drop(html).withColumn("host", host(F.col(url))).withColumn("path", path(F.col(url)))
     ruled = cut(plain.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)), "judged-urls")
     votes = ruled.where("_rule is not null").groupBy("host").agg(F.sum(F.when(F.col("_rule.verdict") == "allow", 1).otherwise(-1)).alias("v"))

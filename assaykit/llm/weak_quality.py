@@ -12,7 +12,8 @@ are joined back to the documents by a broadcast that this bound keeps small.
 
 Edge cases: null and empty texts have no words, get bad votes and fail the base rule; on an
 empty table there is nothing to estimate and no row; ties of the probability with the threshold
-keep the document; repeated rows are repeated documents; further columns pass through.
+keep the document; repeated rows are repeated documents; further
+columns pass through, but for those with the name of a result or helper, which are replaced.
 """
 
 from __future__ import annotations
@@ -94,6 +95,8 @@ def with_votes(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the five counts (long) and the vote pattern (int)."""
     schema = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS] + [T.StructField("pattern", T.IntegerType())])
 
+    df = df.drop(*COUNTS, "pattern", "_measured")
+
     @F.arrow_udf(schema)
     def of(column: pa.Array) -> pa.Array:
         rows = [measure(x) for x in utf8(column)]
@@ -133,7 +136,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np
 def assess(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """df without its text, with the five counts, quality (the posterior) and kept."""
     spark = df.sparkSession
-    marked = cut(with_votes(df, text).drop(text), "quality-votes")
+    marked = cut(with_votes(df.drop("quality", "kept"), text).drop(text), "quality-votes")
     # at most 3^10 rows, whatever the size of the corpus
     seen = marked.groupBy("pattern").count().toPandas()
     patterns = seen["pattern"].to_numpy(np.int64)
