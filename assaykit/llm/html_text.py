@@ -41,9 +41,10 @@ APART_WORDS = {
     "newsletter", "subscribe", "subscription", "signup", "login", "paywall", "sidebar", "sidebars", "aside", "rail", "menu", "menus", "menubar", "nav", "navbar",
     "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "footer", "masthead", "topbar", "toolbar", "social", "share", "sharing", "related",
     "recommended", "recommendations", "trending", "popular", "widget", "widgets", "comment", "comments", "commentlist", "disqus", "respond", "reply", "replies",
-    "discussion", "form", "search", "complementary", "contentinfo",
+    "discussion", "form", "search", "complementary", "contentinfo", "dialog", "alertdialog",
 }
-HEADER_WORDS = {"header", "banner"}
+HEADER_WORDS = {"header"}
+STORY_WORDS = {"article", "post", "entry", "story", "content", "main"}  # a header inside such an element is the article's own
 #: An open element that a start tag closes, as HTML lets its end tag be left out.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -59,18 +60,19 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, bool]] = []  # name, unseen, apart, container
-        self.unseen = self.apart = self.links = self.articles = 0
+        self.open: list[tuple[str, bool, bool, bool, bool]] = []  # name, unseen, apart, container, story
+        self.unseen = self.apart = self.links = self.articles = self.stories = self.apart_before = 0
         self.within: list[int] = []
         self.kinds: list[str] = []  # of the containers
-        self.lines: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, int, bool, tuple[int, ...], bool]] = []
         self.parts: list[str] = []
         self.tags = self.linked = 0
 
     def end_line(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, bool(self.apart), tuple(self.within)))
+            own = bool(self.articles) and self.apart == self.apart_before  # in an article, and not apart within it
+            self.lines.append((text, self.tags, self.linked, bool(self.apart), tuple(self.within), own))
             self.tags = self.linked = 0
         self.parts = []
 
@@ -109,27 +111,32 @@ class Lines(HTMLParser):
         unseen = name in UNSEEN or "hidden" in attrs or bool(re.search(r"display\s*:\s*none", attrs.get("style") or ""))
         names = " ".join(attrs.get(x) or "" for x in ("class", "id", "role")).lower().split() if attrs else []
         words = {w for x in names if not x.startswith(("no-", "has-", "with-", "without-")) for w in re.findall(r"[a-z]+", x)}
-        apart = name in APART or bool(words & APART_WORDS) or not self.articles and (name == "header" or bool(words & HEADER_WORDS))
+        apart = name in APART or bool(words & APART_WORDS) or not self.stories and not words & STORY_WORDS and (name == "header" or bool(words & HEADER_WORDS))
+        story = name in ARTICLE or bool(words & STORY_WORDS) and not apart
         if name in ("html", "body"):
-            unseen = apart = False
+            unseen = apart = story = False
         box = name in CONTAINER
-        self.open.append((name, unseen, apart, box))
+        if name in ARTICLE and not self.articles:
+            self.apart_before = self.apart
+        self.open.append((name, unseen, apart, box, story))
         self.unseen += unseen
         self.apart += apart
         self.links += name == "a"
         self.articles += name in ARTICLE
+        self.stories += story
         if box:
             self.within.append(len(self.kinds))
             self.kinds.append(name)
 
     def _pop(self):
-        name, unseen, apart, box = self.open.pop()
+        name, unseen, apart, box, story = self.open.pop()
         if name not in INLINE:
             self.end_line()
         self.unseen -= unseen
         self.apart -= apart
         self.links -= name == "a"
         self.articles -= name in ARTICLE
+        self.stories -= story
         if box:
             self.within.pop()
 
@@ -186,6 +193,8 @@ def main_text(html: str) -> str:
     ratio = np.array([max(len(x[0]) - x[2], 0) / max(x[1], 1) for x in lines])
     level = smooth(ratio)
     free = np.array([not x[3] for x in lines])
+    if not free.any():  # something around the article was left open
+        free = np.array([x[5] for x in lines])
     content = free & (level >= threshold(level))
     mass = np.array([len(x[0]) for x in lines], float)
     mass *= content if content.any() else free

@@ -484,6 +484,8 @@ def test_pages_keep_their_article(spark, data):
         ("<header><h1>Site</h1></header><main><article><header><h1>T &amp; t</h1></header><p>a<br>b</p><ul><li>1<li>2</ul><footer>me</footer><section class='comments'><article class=comment>hi</article></section></article></main>", "T & t\na b\n1\n2"),
         ("<div id=page class=no-sidebar><div class=content><p>A long paragraph of the story, with many words in it.</p><p>x</p></div><div class='sidebar'><p>Links and more links to other things</p></div></div>", "A long paragraph of the story, with many words in it.\nx"),
         ("<body><script>var a='<p>no</p>'</script><style>p{}</style><div class=cookie-notice>Accept all our cookies now please</div><div class=post><h2>Head</h2>Text of the post that goes on for a while.<form>Name <input></form></div></body>", "Head\nText of the post that goes on for a while."),
+        ("<div class=post><div class=post-header><h1>Title</h1></div><p>Words of the post that go on and on.</p></div><div class='site-header'>Menu</div>", "Title\nWords of the post that go on and on."),
+        ("<div class=ad>Buy this<article><h1>T</h1><p>Text in an article.</p><div class=share>Tell others</div></article>", "T\nText in an article."),
         ("<article><table><tr><td>a<td>b<tr><td>c</table></article><aside>x</aside>", "a b\nc"),
     ],
 )
