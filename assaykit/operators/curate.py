@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 
 def hash_order(item: Column, seed: int = 0) -> Column:
@@ -39,30 +40,46 @@ def overlap_counts(a: DataFrame, b: DataFrame, columns: dict[str, Column]) -> Da
     return out
 
 
-def source_holdout(df: DataFrame, source: str, fraction: float, seed: int = 0) -> DataFrame:
-    """df with held_out: whole sources, max(1, round(n*fraction)) of them, none if there is only one.
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once: in the shared checkpoint folder if there is one, else on the executors' disks."""
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        return df.checkpoint(eager=True)
+    return df.persist(StorageLevel.DISK_ONLY)
+
 
-    Sources are numbered in hash order over the table of distinct sources, not over rows; the rank
-    needs a total order, for which Spark range-partitions by hash and adds up partition sizes.
+def running_in_hash_order(df: DataFrame, item: Column, seed: int, value: Column, by: list[str] = ()) -> DataFrame:
+    """df with _before: the sum of value over the rows before, in hash order of item, within each `by`.
+
+    The first three hex digits of the hash make 4,096 even buckets. Sums run within a bucket, and
+    are offset by the sums of the buckets before it, a table of at most 4,096 rows for each `by`.
     """
-    sources = df.select(source).distinct().withColumn("_h", hash_order(F.col(source), seed))
+    marked = df.withColumn("_h", hash_order(item, seed)).withColumn("_b", F.substring("_h", 1, 3)).withColumn("_v", value)
+    inside = Window.partitionBy(*by, "_b").orderBy("_h", item).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = marked.groupBy(*by, "_b").agg(F.sum("_v").alias("_size"))
+    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).drop("_size")
+    local = marked.withColumn("_local", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
+    return local.join(F.broadcast(offsets), [*by, "_b"]).withColumn("_before", F.col("_local") + F.col("_offset")).drop("_h", "_b", "_v", "_local", "_offset")
+
+
+def source_holdout(df: DataFrame, source: str, fraction: float, seed: int = 0) -> DataFrame:
+    """df with held_out: whole sources, max(1, round(n*fraction)) of them in hash order, none if there is only one."""
+    sources = df.select(source).distinct()
     n = sources.agg(F.count("*").alias("_n"))
     quota = F.when(F.col("_n") <= 1, 0).otherwise(F.greatest(F.lit(1), F.bround(F.col("_n") * fraction).cast("long")))
-    chosen = first_by(sources, ["_h", source], n.select(quota.alias("_quota"))).select(source).withColumn("held_out", F.lit(True))
+    ranked = running_in_hash_order(sources, F.col(source), seed, F.lit(1)).join(F.broadcast(n))  # n is one row
+    chosen = ranked.where(F.col("_before") < quota).select(source).withColumn("held_out", F.lit(True))
     return df.join(chosen, source, "left").withColumn("held_out", F.coalesce("held_out", F.lit(False)))
 
 
-def first_by(df: DataFrame, order: list[str], quota: DataFrame) -> DataFrame:
-    """The first rows of df in order, as many as the one-row table quota says, by a distributed rank."""
-    ranked = with_rank(df, order)
-    return ranked.join(F.broadcast(quota)).where(F.col("_rank") <= F.col(quota.columns[0])).drop("_rank", quota.columns[0])
-
-
 def with_rank(df: DataFrame, order: list[str]) -> DataFrame:
-    """df with _rank from 1 in a total order: range partitions are sorted, and offset by the rows before them."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    """df with _rank from 1 in a total order: range partitions are sorted, and offset by the rows before them.
+
+    The partitioning is settled first, so that both readers see the same ranges.
+    """
+    parts = settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     local = parts.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = local.groupBy("_part").agg(F.count("*").alias("_size"))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_size"))
     # one row for each partition
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
     return local.join(F.broadcast(before), "_part").withColumn("_rank", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
@@ -70,9 +87,8 @@ def with_rank(df: DataFrame, order: list[str]) -> DataFrame:
 
 def group_prefix_fill(df: DataFrame, group: str, size: int, seed: int = 0) -> DataFrame:
     """Whole groups in hash order until at least size rows are taken."""
-    counts = df.groupBy(group).agg(F.count("*").alias("_c")).withColumn("_h", hash_order(F.col(group), seed))
-    before = Window.orderBy("_h", group).rowsBetween(Window.unboundedPreceding, -1)  # over groups, one row each
-    taken = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).where(F.col("_before") < size)
+    counts = df.groupBy(group).agg(F.count("*").alias("_c"))
+    taken = running_in_hash_order(counts, F.col(group), seed, F.col("_c")).where(F.col("_before") < size)
     return df.join(taken.select(group), group, "left_semi")
 
 
@@ -83,29 +99,33 @@ def first_of_each(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def stratified_sample(df: DataFrame, item: str, stratum: Column, n: int, seed: int = 0) -> DataFrame:
     """n rows with the file's share of the two strata (true and false), the first in hash order of each."""
-    marked = df.withColumn("_s", stratum).withColumn("_h", hash_order(F.col(item), seed))
+    marked = df.withColumn("_s", F.coalesce(stratum, F.lit(False)))
     total = marked.agg(F.count("*").alias("_n"), F.count_if("_s").alias("_m"))
-    ranked = marked.withColumn("_k", F.row_number().over(Window.partitionBy("_s").orderBy("_h", item))).join(F.broadcast(total))
+    ranked = running_in_hash_order(marked, F.col(item), seed, F.lit(1), ["_s"]).join(F.broadcast(total))  # total is one row
     yes = F.least(F.bround(F.lit(n) * F.col("_m") / F.col("_n")).cast("long"), F.col("_m"))
     quota = F.when(F.col("_n") <= n, F.col("_n")).when(F.col("_s"), yes).otherwise(F.lit(n) - yes)
-    return ranked.where(F.col("_k") <= quota).select(*df.columns)
+    return ranked.where(F.col("_before") < quota).select(*df.columns)
 
 
 def quota_sample(df: DataFrame, item: str, hard: Column, size: int, share: float, seed: int = 0) -> DataFrame:
     """floor(size*share) hard rows and easy ones up to size; a short stratum isn't filled from the other way round."""
-    marked = df.withColumn("_s", hard).withColumn("_h", hash_order(F.col(item), seed))
+    marked = df.withColumn("_s", F.coalesce(hard, F.lit(False)))
     total = marked.agg(F.count_if("_s").alias("_m"))
-    ranked = marked.withColumn("_k", F.row_number().over(Window.partitionBy("_s").orderBy("_h", item))).join(F.broadcast(total))
+    ranked = running_in_hash_order(marked, F.col(item), seed, F.lit(1), ["_s"]).join(F.broadcast(total))  # total is one row
     k_hard = F.least(F.col("_m"), F.lit(int(size * share)))
-    return ranked.where(F.when(F.col("_s"), F.col("_k") <= k_hard).otherwise(F.col("_k") <= F.lit(size) - k_hard)).select(*df.columns)
+    return ranked.where(F.col("_before") < F.when(F.col("_s"), k_hard).otherwise(F.lit(size) - k_hard)).select(*df.columns)
 
 
 def even_picks(df: DataFrame, tier: str, order: list[str], picks: int = 4) -> DataFrame:
-    """Rows at index floor(i*(n-1)/(picks-1)) of each sorted tier, first to last."""
-    w = Window.partitionBy(tier)
-    ranked = df.withColumn("_k", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+    """Rows at index floor(i*(n-1)/(picks-1)) of each sorted tier, first to last.
+
+    Ranks are taken over all tiers at once and offset by the tiers before, so a tier may span many tasks.
+    """
+    sizes = df.groupBy(tier).agg(F.count("*").alias("_n"))
+    sizes = sizes.withColumn("_first", F.coalesce(F.sum("_n").over(Window.orderBy(tier).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row for each tier
+    ranked = with_rank(df, [tier, *order]).join(F.broadcast(sizes), tier).withColumn("_k", F.col("_rank") - 1 - F.col("_first"))
     wanted = F.array(*[F.floor(F.lit(i) * (F.col("_n") - 1) / (picks - 1)) for i in range(picks)])
-    return ranked.where(F.array_contains(wanted, F.col("_k").cast("long"))).select(*df.columns)
+    return ranked.where(F.array_contains(wanted, F.col("_k"))).select(*df.columns)
 
 
 def modulo_shard(df: DataFrame, order: list[str], shards: int) -> DataFrame:
@@ -128,18 +148,14 @@ def greedy_two_key_dedup(df: DataFrame, order: str, a: str, b: str) -> DataFrame
     at least the first row of every connected group, and the result is that of the sequential scan.
     Each round is two partial aggregates and equality joins; a null key is a value like others.
     """
-    from pyspark.storagelevel import StorageLevel
-
-    spark = df.sparkSession
-    cut = lambda x: x.checkpoint(eager=True) if spark.sparkContext.getCheckpointDir() else x.persist(StorageLevel.DISK_ONLY)
-    open_rows = cut(df.select(F.col(order).alias("_o"), F.struct(F.col(a)).alias("_a"), F.struct(F.col(b)).alias("_b")))
+    open_rows = settled(df.select(F.col(order).alias("_o"), F.struct(F.col(a)).alias("_a"), F.struct(F.col(b)).alias("_b")))
     kept = None
     while not open_rows.isEmpty():
         first_a = open_rows.groupBy("_a").agg(F.min("_o").alias("_fa"))
         first_b = open_rows.groupBy("_b").agg(F.min("_o").alias("_fb"))
-        won = cut(open_rows.join(first_a, "_a").join(first_b, "_b").where("_o = _fa and _o = _fb").select("_o", "_a", "_b"))
+        won = settled(open_rows.join(first_a, "_a").join(first_b, "_b").where("_o = _fa and _o = _fb").select("_o", "_a", "_b"))
         kept = won if kept is None else kept.unionByName(won)
-        open_rows = cut(open_rows.join(won.select("_a"), "_a", "left_anti").join(won.select("_b"), "_b", "left_anti"))
+        open_rows = settled(open_rows.join(won.select("_a"), "_a", "left_anti").join(won.select("_b"), "_b", "left_anti"))
     if kept is None:
         return df
     return df.join(kept.select(F.col("_o").alias(order)), order, "left_semi")

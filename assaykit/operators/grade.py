@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .curate import settled
+
 # What a program may import, and the names it may not use.
 ALLOWED_IMPORTS = {"cadquery", "math", "numpy"}
 BANNED_NAMES = {
@@ -136,15 +138,13 @@ def repair_loop(df: DataFrame, answer: Callable[[DataFrame, int], DataFrame], re
     answer(rows, attempt) adds the column code; later attempts see the columns runs and error. Only
     unresolved rows go on, and each attempt is materialised once. Adds attempts.
     """
-    from pyspark.storagelevel import StorageLevel
-
     done, left = None, df
     for attempt in range(retries + 1):
         asked = answer(left, attempt).drop("runs", "error", "extents", "attempts")
         graded = grade(asked, code, kernel).withColumn("attempts", F.lit(attempt + 1))
-        graded = graded.checkpoint(eager=True) if df.sparkSession.sparkContext.getCheckpointDir() else graded.persist(StorageLevel.DISK_ONLY)
-        settled = graded if attempt == retries else graded.where("runs")
-        done = settled if done is None else done.unionByName(settled)
+        graded = settled(graded)
+        over = graded if attempt == retries else graded.where("runs")
+        done = over if done is None else done.unionByName(over)
         if attempt < retries:
             left = graded.where("not runs").drop(code)
     return done
