@@ -20,8 +20,8 @@ def relative_difference(a: Column, b: Column) -> Column:
 
 
 def size_agreement(a: Column, b: Column) -> Column:
-    """Mean over the axes of the smaller over the larger extent."""
-    parts = F.zip_with(a, b, lambda x, y: F.least(x, y) / F.greatest(x, y, F.lit(1e-9)))
+    """Mean over the axes of the smaller over the larger extent; 1 for an axis without any."""
+    parts = F.zip_with(a, b, lambda x, y: F.when(F.greatest(x, y) > 0, F.least(x, y) / F.greatest(x, y, F.lit(1e-300))).otherwise(1.0))
     return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / F.size(parts)
 
 

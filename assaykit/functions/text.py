@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -174,6 +178,38 @@ def messages_length(messages: Column) -> Column:
     return F.aggregate(F.transform(messages, lambda m: F.length(m["content"])), F.lit(0), lambda a, b: a + F.coalesce(b, F.lit(0)))
 
 
+def fits(messages: Column, images: Column, most_tokens: int, image_tokens: int = 256) -> Column:
+    """Whether messages and images stay within a number of tokens, four characters counted as one."""
+    return F.ceil(messages_length(messages) / 4) + F.size(images) * image_tokens <= most_tokens
+
+
+def with_typos(text: Column, item: Column, variant: int, seed: int = 13, rate: float = 0.06) -> Column:
+    """The text with neighbouring letters swapped in some words, and its blocks after the first in another order.
+
+    Every draw is keyed on seed, item and variant, so a run can be taken up again.
+    """
+
+    @F.pandas_udf("string")
+    def of(texts: pd.Series, items: pd.Series) -> pd.Series:
+        out = []
+        for said, key in zip(texts, items):
+            draw = random.Random(f"{seed}/{key}/{variant}")
+
+            def noisy(match: re.Match, draw: random.Random = draw) -> str:
+                word = match[0]
+                if len(word) < 4 or draw.random() >= rate:
+                    return word
+                at = draw.randint(1, len(word) - 3)
+                return word[:at] + word[at + 1] + word[at] + word[at + 2 :]
+
+            first, *blocks = re.sub(r"(?<!\S)[^\W\d_]+(?!\S)", noisy, said or "").split("\n\n")
+            draw.shuffle(blocks)
+            out.append("\n\n".join([first, *blocks]))
+        return pd.Series(out)
+
+    return of(text, item)
+
+
 def is_fatal(error: Column) -> Column:
     """An error of the account, after which every further call would fail."""
     return F.coalesce(F.regexp_like(error, F.lit("402|401|403|payment")), F.lit(False))

@@ -140,6 +140,13 @@ def meshes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", of("content").alias("m")).select("path", "m.*")
 
 
+def staged_result(spark: SparkSession, path: str, suffix: str, schema: str) -> DataFrame:
+    """The first file, by name, whose name ends with suffix, as JSON."""
+    files = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", "true").json(path).withColumn("_file", F.col("_metadata.file_path"))
+    named = files.where(F.col("_file").endswith(suffix))
+    return named.join(F.broadcast(named.agg(F.min("_file").alias("_file"))), "_file", "left_semi").drop("_file")
+
+
 def training_rows(spark: SparkSession, path: str, root: str) -> DataFrame:
     """images (paths under root), prompt and completion with typed content parts."""
     plain = "array<struct<role: string, content: string>>"

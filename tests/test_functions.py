@@ -109,6 +109,27 @@ def test_dims_and_masks(spark):
     assert one(spark, geometry.size_agreement(F.col("a"), F.col("b")), a=[1.0, 2.0, 4.0], b=[2.0, 2.0, 4.0]) == pytest.approx(2.5 / 3)
 
 
+def test_rasters(spark):
+    from assaykit.functions import rasters
+
+    blank, dot, other = [[False] * 5] * 5, [[False] * 5] * 2 + [[False, True, False, False, False]] + [[False] * 5] * 2, [[False] * 5] * 2 + [[False, False, False, True, False]] + [[False] * 5] * 2
+    df = spark.createDataFrame([(1, dot, other), (2, blank, blank), (3, dot, blank)], "id int, a array<array<boolean>>, b array<array<boolean>>")
+    got = {r.id: (r.i, r.near, r.far) for r in df.select("id", rasters.silhouette_iou(F.col("a"), F.col("b")).alias("i"), rasters.edge_f1(F.col("a"), F.col("b"), 2.0).alias("near"), rasters.edge_f1(F.col("a"), F.col("b"), 1.0).alias("far")).collect()}
+    assert got == {1: (0.0, 1.0, 0.0), 2: (1.0, 1.0, 1.0), 3: (0.0, 0.0, 0.0)}
+    scored = rasters.scored(df.withColumn("e", F.array(F.lit(1.0), F.lit(0.0))).withColumn("x", F.array(F.lit(2.0), F.lit(0.0))), "a", "a", "a", "b", "e", "x")
+    assert scored.where("id = 1").first()["render_score"] == pytest.approx(0.75)
+    assert rasters.signals(scored, ["id"]).count() == 15
+
+
+def test_typos_and_fits(spark):
+    words = " ".join(["perturbation"] * 200) + "\n\nb one\n\nc two"
+    df = spark.createDataFrame([(1, words), (2, None)], "id int, t string")
+    a, b = ([r.x for r in df.select(text.with_typos(F.col("t"), F.col("id"), 1).alias("x")).collect()] for _ in range(2))
+    assert a == b and a[0] != words and sorted(a[0]) == sorted(words) and a[1] == ""
+    m = spark.sql("select array(struct('user' as role, 'abcde' as content)) as m, array('x.png') as i")
+    assert m.select(text.fits(F.col("m"), F.col("i"), 258)).first()[0] is True and m.select(text.fits(F.col("m"), F.col("i"), 257)).first()[0] is False
+
+
 def test_rewards(spark):
     rows = spark.createDataFrame([("x", True, 1.0), ("x", True, 0.5), ("x", False, None), (None, None, None)], "c string, r boolean, i double")
     assert [r[0] for r in rows.select(geometry.reward(F.col("c"), F.col("r"), F.col("i"))).collect()] == [1.5, 0.5, -0.2, -0.5]

@@ -68,6 +68,13 @@ def test_events_and_rows(spark, tmp_path):
     assert r.images == ["/data/a.png", "/b.png"] and r.prompt[0].content[0].text == "hi"
 
 
+def test_staged_result(spark, tmp_path):
+    (tmp_path / "job").mkdir()
+    for name, n in (("b_eval.json", 2), ("a_eval.json", 1), ("a_log.json", 3)):
+        (tmp_path / "job" / name).write_text(json.dumps({"n": n}))
+    assert [r.n for r in readers.staged_result(spark, str(tmp_path), "_eval.json", "n int").collect()] == [1]
+
+
 def test_upsert_swaps_tables(spark, tmp_path):
     path = str(tmp_path / "t")
     writers.upsert(spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), "id", path)
