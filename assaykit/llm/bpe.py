@@ -10,7 +10,8 @@ from piece to ids, so a frequent word is merged once for each task and not once
 Nothing is shuffled, and the only state is that table.
 
 Edge cases: a null or empty text has no ids and decodes to the empty text; tables without rows
-give no rows; repeated rows and further columns pass through. The special token in a text is
+give no rows; repeated rows and further columns pass through; a column with the name of a result
+is replaced. The special token in a text is
 one id, as in the public library's default.
 """
 
@@ -48,21 +49,21 @@ def byte_symbols() -> dict[str, int]:
 
 
 class Held(dict):
-    """What has been made from each text, for HELD texts at least and twice that at most.
+    """What has been made from each text, for `most` texts at least and twice that at most.
 
     When it is full, the texts in use since it was last full stay. Long texts aren't held.
     """
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, text: str):
         out = self.old.get(text)
         if out is None:
             out = self.make(text)
         if len(text) <= SHORT:
-            if len(self) >= HELD:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[text] = out
@@ -72,10 +73,11 @@ class Held(dict):
 class ByteBpe:
     """A vocabulary in memory: about 50,000 entries, loaded once for each Python worker.
 
-    extra: control strings that become single ids after the vocabulary's own.
+    extra: control strings that become single ids after the vocabulary's own. held: size of the
+    tables from texts to ids.
     """
 
-    def __init__(self, path: str, extra: tuple[str, ...] = ()):
+    def __init__(self, path: str, extra: tuple[str, ...] = (), held: int = HELD):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         symbols = byte_symbols()
@@ -98,7 +100,7 @@ class ByteBpe:
             self.token_bytes[i] = text.encode()
         self.split_special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.words = regex.compile(PATTERN)
-        self.held, self.held_after_space, self.held_words = Held(self._piece), Held(lambda x: self._piece(" " + x)), Held(self._word)
+        self.held, self.held_after_space, self.held_words = Held(self._piece, held), Held(lambda x: self._piece(" " + x), held), Held(self._word, held)
         size = max(self.token_bytes) + 1
         self.table = [self.token_bytes.get(i, b"") for i in range(size)]
         self.token_len = np.array([len(x) for x in self.table], np.int64)
@@ -194,8 +196,8 @@ def pieces(text: str) -> list[str]:
 
 
 @functools.lru_cache(maxsize=4)
-def load(path: str, extra: tuple[str, ...] = ()) -> ByteBpe:
-    return ByteBpe(path, extra)
+def load(path: str, extra: tuple[str, ...] = (), held: int = HELD) -> ByteBpe:
+    return ByteBpe(path, extra, held)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", extra: tuple[str, ...] = ()) -> DataFrame:

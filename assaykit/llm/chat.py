@@ -35,6 +35,8 @@ START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 CONTROLS = (START, SEP, END)
 TRAINED = "assistant"
 
+HELD = 30_000  # a smaller table of encoded pieces: a worker of the read-back runs beside each
+
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(re.escape(START) + "(.*?)" + re.escape(SEP) + "(.*?)" + re.escape(END) + "\n", re.DOTALL)
 
@@ -97,7 +99,7 @@ def format_conversations(df: DataFrame, path: str, conv_id: str = "conv_id", tur
 
     @F.arrow_udf(OUT)
     def of(column: pa.Array) -> pa.Array:
-        bpe = load(path, CONTROLS)
+        bpe = load(path, CONTROLS, HELD)
         formatted, ids, ends, masks = [], [], [], []
         for turns in column.to_pylist():
             said, spans = render([(x["role"], x["text"]) for x in turns])
