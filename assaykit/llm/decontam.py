@@ -14,16 +14,14 @@ back by a 128-bit key of the text, which run-time skew splitting can divide.
 
 Edge cases: null and empty texts are clean; items shorter than a window are one window of their
 own length; items without a word are ignored; an item's id may be null; an empty benchmark
-leaves all texts clean; repeated rows and further columns pass through.
+leaves all texts clean; repeated rows and further columns pass through, but for columns with the
+name of a result or helper, which are replaced.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,82 +33,140 @@ LITERALS = 4  # a window has at least so many words that are no placeholders
 SHARE = 0.4  # of an item's windows that a leaking text holds
 CONSISTENT = 0.75  # of an item's slot values that keep to one value of the text
 FILTER_ROWS = 2_000_000
-WORDS_HELD = 300_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 # Unit names and number words of the benchmark's languages.
-UNITS = set("mm cm m km in ft yd mi mg g kg t oz lb ml l gal s sec min h hr day days week weeks month months year years hz khz mhz ghz kb mb gb tb w kw mw v kv a ma j kj cal kcal pa kpa bar k c f % € $ £ usd eur gbp dollar dollars euro euros cent cents meter meters metre metres kilometer kilometers kilometre kilometres mile miles foot feet inch inches gram grams kilogram kilograms pound pounds liter liters litre litres hour hours minute minutes second seconds degree degrees percent".split())
+UNITS = set("mm cm m km in ft yd mi mg g kg t oz lb ml l gal s sec min h hr day days week weeks month months year years hz khz mhz ghz kb mb gb tb w kw mw v kv a ma j kj cal kcal pa kpa bar k c f usd eur gbp dollar dollars euro euros cent cents meter meters metre metres kilometer kilometers kilometre kilometres mile miles foot feet inch inches gram grams kilogram kilograms pound pounds liter liters litre litres hour hours minute minutes second seconds degree degrees percent".split())
 NUMBER_WORDS = set("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
-NUMBER = re.compile(r"[$€£+-]?\d[\d.,:/]*(?:e[+-]?\d+)?", re.ASCII | re.IGNORECASE)
-NUMBER_UNIT = re.compile(r"([$€£+-]?\d[\d.,:/]*)([a-zµ°%€$£]+)", re.IGNORECASE)
+ENDS = b".!?:"
 EDGES = ".,;:!?\"'()[]{}<>*#&|_-/\\`~“”‘’«»…"
-ENDS = (".", "!", "?", ":", ".)", '."', ".'")
-
-END, NAME, NUM, UNIT = 1, 2, 4, 8
-FLAGS = np.uint64(15)
-PLACE = {NAME: np.uint64(3), NUM: np.uint64(5), UNIT: np.uint64(9)}
-
-
-class Tokens(dict):
-    """64 bits for each word as it stands: the hash of its bare form, with four flags in the lowest bits."""
-
-    def __missing__(self, word: bytes) -> int:
-        raw = word.decode("utf-8", "replace")
-        bare = raw.strip(EDGES)
-        low = bare.lower()
-        flags = END * raw.endswith(ENDS)
-        if NUMBER.fullmatch(bare) or low in NUMBER_WORDS:
-            flags |= NUM
-        elif NUMBER_UNIT.fullmatch(bare) and low.lstrip("+-$€£0123456789.,:/") in UNITS:
-            flags |= NUM
-        elif low in UNITS or raw in UNITS:
-            flags |= UNIT
-        elif bare[:1].isupper() and bare[1:].islower():
-            flags |= NAME
-        out = xxhash.xxh64_intdigest(low.encode()) & ~15 | flags if low or flags & NUM else 0
-        if len(self) >= WORDS_HELD:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = out
-        return out
-
-
-_TOKENS = Tokens()
-
-
-def canonical(text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Token hashes with placeholders, which of them are slots, and the words, without those that are punctuation only."""
-    words = text.split()
-    seen = np.fromiter(map(_TOKENS.__getitem__, words), np.uint64, len(words))
-    if len(seen) and not seen.all():
-        live = np.flatnonzero(seen)
-        words, seen = [words[k] for k in live.tolist()], seen[live]
-    flags = (seen & FLAGS).astype(np.int64)
-    token = seen & ~FLAGS
-    if len(token):
-        before = np.r_[END, flags[:-1]]
-        number = flags & NUM > 0
-        unit = (flags & UNIT > 0) & (before & NUM > 0)
-        name = (flags & NAME > 0) & (before & END == 0)
-        token[number], token[unit], token[name] = PLACE[NUM], PLACE[UNIT], PLACE[NAME]
-        return token, number | unit | name, words
-    return token, np.empty(0, bool), words
-
-
-def windows(token: np.ndarray, slot: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window (int64) and whether it has words enough."""
-    n = len(token) - width + 1
+
+NAME, NUM, UNIT = np.uint64(3), np.uint64(5), np.uint64(9)
+CHUNK = 1 << 20  # bytes of text that are handled together
+
+
+def _among(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars)] = True
+    return out
+
+
+IS_SPACE, IS_END, IS_DIGIT = _among(b" \t\n\r\x0b\x0c"), _among(ENDS), _among(b"0123456789")
+IS_PUNCTUATION = _among(bytes(c for c in range(33, 127) if not chr(c).isalnum()))
+
+
+class Powers:
+    """Powers of STEP and of its inverse modulo 2^64, as far as they were asked for."""
+
+    def __init__(self):
+        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = 1 << n.bit_length()
+            self.up = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, STEP)])
+            self.down = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, np.uint64(pow(int(STEP), -1, 1 << 64)))])
+        return self.up, self.down
+
+
+_POWERS = Powers()
+
+
+class Tokens:
+    """The words of some texts after one another, by array operations over their bytes.
+
+    token: hash of the bare lower-case word, or a placeholder; slot: whether it is one; text: which
+    text it is of; at and end: where it stands in raw. Words of punctuation only are left out.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        whole = b"\n".join(texts) + b"\n"
+        low = whole.decode("utf-8", "replace").lower().encode()
+        self.raw = raw = np.frombuffer(whole, np.uint8)
+        low = np.frombuffer(low if len(low) == len(whole) else whole.lower(), np.uint8)
+        space = IS_SPACE[raw]
+        edge = np.flatnonzero(np.diff(np.r_[True, space].view(np.int8)))  # word starts and ends by turns
+        at, end = edge[::2], edge[1::2]
+        kept = ~(space | IS_PUNCTUATION[raw])
+        where = np.flatnonzero(kept)
+        before = np.r_[0, np.cumsum(kept)]
+        first, last = before[at], before[end]
+        live = last > first
+        at, end, first, last = at[live], end[live], first[live], last[live]
+        up, down = _POWERS(len(where) + 1)
+        sums = np.r_[np.uint64(0), np.cumsum((low[where].astype(np.uint64) + np.uint64(1)) * up[: len(where)])]
+        word = _mixed((sums[last] - sums[first]) * down[first])
+        changed = (raw != low)[where]
+        n_changed = np.r_[0, np.cumsum(changed)]
+        head = where[first]
+        upper_head = (raw[head] != low[head]) | ((raw[head] >= 0xC3) & (raw[np.minimum(head + 1, len(raw) - 1)] != low[np.minimum(head + 1, len(raw) - 1)]))
+        self.text = np.searchsorted(np.cumsum([len(x) + 1 for x in texts]), at, "right")
+        starts = np.r_[True, self.text[1:] != self.text[:-1]] if len(at) else np.empty(0, bool)
+        ends = IS_END[raw[end - 1]] | (IS_PUNCTUATION[raw[end - 1]] & IS_END[raw[np.maximum(end - 2, 0)]])
+        number = IS_DIGIT[raw[head]] | _known(word, _NUMBER_WORDS)
+        unit = _known(word, _UNITS) & np.r_[False, number[:-1]][: len(at)] & ~starts & ~number
+        name = upper_head & (n_changed[last] - n_changed[first] == 1) & ~(starts | np.r_[True, ends[:-1]][: len(at)]) & ~number & ~unit
+        word[number], word[unit], word[name] = NUM, UNIT, NAME
+        self.token, self.slot, self.at, self.end = word, number | unit | name, at, end
+
+    def values(self, first: int, width: int) -> list[str]:
+        """The texts of the slots in a window."""
+        spots = [k for k in range(first, first + width) if self.slot[k]]
+        return [self.raw[self.at[k] : self.end[k]].tobytes().decode("utf-8", "replace").strip(EDGES).lower() for k in spots]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _known(word: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Membership in a small set, looked for only where a table of 2^16 bits allows it."""
+    bits, hashes = table
+    out = bits[(word & np.uint64(0xFFFF)).astype(np.int64)]
+    near = np.flatnonzero(out)
+    out[near] = np.isin(word[near], hashes)
+    return out
+
+
+def _set(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    hashes = []
+    for w in words:
+        b = np.frombuffer(w.encode(), np.uint8).astype(np.uint64) + np.uint64(1)
+        hashes.append(_mixed((b * _POWERS(len(b))[0][: len(b)]).sum(keepdims=True))[0])
+    hashes = np.array(hashes, np.uint64)
+    bits = np.zeros(1 << 16, bool)
+    bits[(hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
+    return bits, hashes
+
+
+_NUMBER_WORDS, _UNITS = _set(sorted(NUMBER_WORDS)), _set(sorted(UNITS))
+
+
+def chunks(texts: list[bytes]):
+    """(index of the first text, texts) of groups of about CHUNK bytes."""
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (size == 0 or size + len(texts[to]) <= CHUNK):
+            size += len(texts[to]) + 1
+            to += 1
+        yield at, texts[at:to]
+        at = to
+
+
+def windows(found: Tokens, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each window (int64), and whether it lies in one text and has words enough."""
+    n = len(found.token) - width + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, bool)
     out = np.zeros(n, np.uint64)
     for k in range(width):
         out *= STEP
-        out += token[k : k + n]
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(32)
-    words = np.cumsum(np.r_[0, ~slot])
-    return out.view(np.int64), words[width:] - words[:n] >= min(LITERALS, width)
+        out += found.token[k : k + n]
+    words = np.cumsum(np.r_[0, ~found.slot])
+    enough = words[width:] - words[:n] >= min(LITERALS, width)
+    return _mixed(out).view(np.int64), enough & (found.text[:n] == found.text[width - 1 :])
 
 
 HIT = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("slots", T.ArrayType(T.StringType()))]))
@@ -121,19 +177,15 @@ def _column(rows: list[list[tuple[int, int, list[str]]]]) -> pa.Array:
     return pa.array([[{"h": h, "pos": p, "slots": s} for h, p, s in row] for row in rows], kind)
 
 
-def _slots(words: list[bytes], slot: np.ndarray, at: int, width: int) -> list[str]:
-    return [words[k].decode("utf-8", "replace").strip(EDGES).lower() for k in range(at, at + width) if slot[k]]
-
-
 def _item_windows(text: Column) -> Column:
     @F.arrow_udf(HIT)
     def of(column: pa.Array) -> pa.Array:
         rows = []
         for x in utf8(column):
-            token, slot, words = canonical(x)
-            width = min(WINDOW, len(token)) or 1
-            h, enough = windows(token, slot, width)
-            rows.append([(int(h[k]), k, _slots(words, slot, k, width)) for k in np.flatnonzero(enough).tolist()])
+            found = Tokens([x])
+            width = min(WINDOW, len(found.token)) or 1
+            h, enough = windows(found, width)
+            rows.append([(int(h[k]), k, found.values(k, width)) for k in np.flatnonzero(enough).tolist()])
         return _column(rows)
 
     return of(text)
@@ -150,19 +202,22 @@ def _text_windows(text: Column, wanted: np.ndarray | None, widths: list[int]) ->
 
     @F.arrow_udf(HIT)
     def of(column: pa.Array) -> pa.Array:
-        rows = []
-        for x in utf8(column):
-            token, slot, words = canonical(x)
-            found = []
+        texts = utf8(column)
+        rows: list[list] = [[] for _ in texts]
+        for first, part in chunks(texts):
+            found = Tokens(part)
+            begins = np.searchsorted(found.text, np.arange(len(part)))
             for width in widths:
-                h, enough = windows(token, slot, width)
+                h, near = windows(found, width)
                 if table is not None and len(h):
-                    near = np.flatnonzero(table[(h.view(np.uint64) & mask).astype(np.int64)] & enough)
-                    near = near[np.isin(h[near], wanted)] if len(near) else near
+                    near = near & table[(h.view(np.uint64) & mask).astype(np.int64)]
+                    spots = np.flatnonzero(near)
+                    spots = spots[np.isin(h[spots], wanted)] if len(spots) else spots
                 else:
-                    near = np.flatnonzero(enough)
-                found += [(int(h[k]), k, _slots(words, slot, k, width)) for k in near.tolist()]
-            rows.append(found)
+                    spots = np.flatnonzero(near)
+                for k in spots.tolist():
+                    t = int(found.text[k])
+                    rows[first + t].append((int(h[k]), k - int(begins[t]), found.values(k, width)))
         return _column(rows)
 
     return of(text)
@@ -200,19 +255,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", filter_rows
 def _item_width(text: Column) -> Column:
     @F.arrow_udf(T.IntegerType())
     def of(column: pa.Array) -> pa.Array:
-        return pa.array([len(canonical(x)[0]) for x in utf8(column)], pa.int32())
+        return pa.array([len(Tokens([x]).token) for x in utf8(column)], pa.int32())
 
     return of(text)
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """docs with contaminated (boolean) and item_ids (sorted array of the items found)."""
+    docs = docs.drop("contaminated", "item_ids", "_k1", "_k2")
     found = cut(leaks(docs, benchmark, text).groupBy("_k1", "_k2").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.lit(True).alias("contaminated")), "leaking-texts")
     keyed = docs.select("*", *_keys(text)).join(found, ["_k1", "_k2"], "left").drop("_k1", "_k2")
     return keyed.withColumn("contaminated", F.coalesce("contaminated", F.lit(False))).withColumn("item_ids", F.coalesce("item_ids", F.array().cast(found.schema["item_ids"].dataType)))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs without a leak."""
+    """The rows of docs without a leak; a column with the name of a helper is dropped."""
+    docs = docs.drop("_k1", "_k2")
     found = cut(leaks(docs, benchmark, text).select("_k1", "_k2").distinct(), "leaking-texts")  # of a known size for the join's planning
     return docs.select("*", *_keys(text)).join(found, ["_k1", "_k2"], "left_anti").select(*docs.columns)
