@@ -253,15 +253,15 @@ def repeated(df: DataFrame, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(pa.array(c[live], t) for c, t in zip(columns, OCC.types)), lists(kept, pa.int64())], schema=schema)
 
     read = keyed.mapInArrow(third, "anchor long, unit long, n int, k1 long, k2 long, first int, occ long, windows array<long>")
-    # equal texts show the same occurrence several times
-    read = read.groupBy("anchor", "unit", "occ", "k1", "k2", "first").agg(F.first("windows").alias("windows"))
+    # equal texts show the same occurrence several times; the grouping has the join's partitioning
+    read = read.groupBy("anchor", "unit", "occ").agg(*[F.first(c).alias(c) for c in ("k1", "k2", "first", "windows")])
     single = read.join(chosen, ["anchor", "unit", "occ"]).select("anchor", "c", "k1", "k2", "first", F.posexplode("windows").alias("at", "win"))
     single = cut(single, "repeat-windows")
     more = single.groupBy("anchor", "win").agg(F.sum("c").alias("total")).where("total > 1").select("anchor", "win")
     alone = single.where("c = 1").join(more, ["anchor", "win"]).select("k1", "k2", (F.col("first") + F.col("at")).alias("first"), F.lit(WINDOW).alias("words"))
     whole = occ.join(seen.where("c > 1").select("anchor", "unit"), ["anchor", "unit"]).select("k1", "k2", "first", (F.col("n") + WINDOW - 1).alias("words"))
-    spans = whole.unionByName(alone).distinct()
-    return spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("spans"))
+    # a set, since equal texts tell the same spans; each task sends a span of a text once
+    return whole.unionByName(alone).groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("first", "words"))).alias("spans"))
 
 
 def _keys(text: str) -> list[Column]:
