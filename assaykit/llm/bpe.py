@@ -17,7 +17,6 @@ one id, as in the public library's default.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 import re
@@ -29,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lists, text_or_empty, utf8
+from .common import held, lists, text_or_empty, utf8
 
 # Fixed value: the pre-tokenisation pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 SHORT = 128
-HELD = 200_000
+HELD = 120_000
 NO_RANK = 1 << 60
 SPACE_BEFORE_SPACE = re.compile(r"\s ")
 
@@ -73,11 +72,11 @@ class Held(dict):
 class ByteBpe:
     """A vocabulary in memory: about 50,000 entries, loaded once for each Python worker.
 
-    extra: control strings that become single ids after the vocabulary's own. held: size of the
+    extra: control strings that become single ids after the vocabulary's own. most: size of the
     tables from texts to ids.
     """
 
-    def __init__(self, path: str, extra: tuple[str, ...] = (), held: int = HELD):
+    def __init__(self, path: str, extra: tuple[str, ...] = (), most: int = HELD):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         symbols = byte_symbols()
@@ -100,7 +99,7 @@ class ByteBpe:
             self.token_bytes[i] = text.encode()
         self.split_special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.words = regex.compile(PATTERN)
-        self.held, self.held_after_space, self.held_words = Held(self._piece, held), Held(lambda x: self._piece(" " + x), held), Held(self._word, held)
+        self.held, self.held_after_space, self.held_words = Held(self._piece, most), Held(lambda x: self._piece(" " + x), most), Held(self._word, most)
         size = max(self.token_bytes) + 1
         self.table = [self.token_bytes.get(i, b"") for i in range(size)]
         self.token_len = np.array([len(x) for x in self.table], np.int64)
@@ -195,9 +194,9 @@ def pieces(text: str) -> list[str]:
     return out
 
 
-@functools.lru_cache(maxsize=4)
-def load(path: str, extra: tuple[str, ...] = (), held: int = HELD) -> ByteBpe:
-    return ByteBpe(path, extra, held)
+def load(path: str, extra: tuple[str, ...] = (), most: int = HELD) -> ByteBpe:
+    """The worker's vocabulary."""
+    return held(("bpe", path, extra, most), lambda: ByteBpe(path, extra, most))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", extra: tuple[str, ...] = ()) -> DataFrame:

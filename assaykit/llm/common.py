@@ -57,6 +57,20 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What a worker keeps from one batch to the next under key, made when it isn't there.
+
+    Workers serve one stage after another, so only the last key's is kept.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def text_or_empty(name: str):
     return F.coalesce(F.col(name), F.lit(""))
 

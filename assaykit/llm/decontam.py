@@ -42,7 +42,7 @@ ENDS = b".!?:"
 EDGES = ".,;:!?\"'()[]{}<>*#&|_-/\\`~“”‘’«»…"
 
 NAME, NUM, UNIT = np.uint64(3), np.uint64(5), np.uint64(9)
-CHUNK = 1 << 20  # bytes of text that are handled together
+CHUNK = 1 << 19  # bytes of text that are handled together
 
 
 def _among(chars: bytes) -> np.ndarray:

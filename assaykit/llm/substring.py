@@ -32,14 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, lists, text_or_empty, utf8
+from .common import cut, held, lists, text_or_empty, utf8
 
 WINDOW = 35
 GROUP = 8
 ROWS = 2
 CELLS_MOST = 1 << 27
 BLOCK = 1 << 16
-WORDS_HELD = 400_000
+WORDS_HELD = 250_000
 PLACES = np.uint64(26)  # bits for a position; longer texts are taken in parts
 PART = 1 << 25
 
@@ -56,9 +56,6 @@ class WordHashes(dict):
         return out
 
 
-_WORDS = WordHashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * B
     x = (x ^ (x >> np.uint64(27))) * C
@@ -87,7 +84,7 @@ def power(n: int) -> np.uint64:
 def units(text: bytes):
     """Yields (first window, windows in the unit, anchor, unit hash, window hashes) arrays of a text's units."""
     words = text.split()
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(held("words", WordHashes).__getitem__, words), np.uint64, len(words))
     for at in range(0, max(len(words) - WINDOW + 1, 0), PART):
         part = h[at : at + PART + WINDOW - 1]
         win, group = rolling(part, WINDOW), rolling(part, GROUP)
@@ -151,20 +148,20 @@ def sketch(keys_of, df: DataFrame, n_cells: int, least: int) -> Bits:
     """Count-min sketches of each partition's keys, merged; keys_of(batch) gives a batch's keys (uint64)."""
 
     def count(batches):
-        held, n = [], 0
+        keys_held, n = [], 0
 
         def send():
-            rows = list(_blocks(np.concatenate(held), n_cells))
+            rows = list(_blocks(np.concatenate(keys_held), n_cells))
             for at in range(0, len(rows), 1000):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 1000]), SKETCH.types)], schema=SKETCH)
 
         for batch in batches:
             keys = keys_of(batch)
-            held.append(keys)
+            keys_held.append(keys)
             n += len(keys)
             if n >= FLUSH:
                 yield from send()
-                held, n = [], 0
+                keys_held, n = [], 0
         if n:
             yield from send()
 

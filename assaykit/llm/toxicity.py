@@ -21,6 +21,7 @@ name of a result, which are replaced.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -30,16 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, text_or_empty, utf8
+from .common import cut, held, text_or_empty, utf8
 
 MAX_TRAIN = 20_000
 MAX_FEATURES = 4_000
 LEAST_SEEN = 3
 CHANCE = 0.05  # expected number of features chosen by chance alone
-BEGINNINGS = range(4, 11)
+BEGINNINGS = range(4, 9)
 GRADES = 3
 REJECT_FROM = 0.5
-WORDS_HELD = 300_000
+WORDS_HELD = 150_000
+COUNTED = 200_000
 PUNCTUATION = ".,;:!?\"'()[]{}<>*#$%&|-_/\\"
 
 
@@ -83,15 +85,23 @@ class Hits(dict):
 
 
 def _count(batches):
-    """(feature, toxic texts, other texts) of a partition, already summed."""
+    """(feature, toxic texts, other texts) of a partition, summed as far as COUNTED features reach."""
     toxic, other = Counter(), Counter()
+
+    def send():
+        names = sorted(toxic.keys() | other.keys())
+        for at in range(0, len(names), 10_000):
+            part = names[at : at + 10_000]
+            yield pa.RecordBatch.from_pydict({"feature": part, "n_toxic": pa.array([toxic[x] for x in part], pa.int64()), "n_other": pa.array([other[x] for x in part], pa.int64())})
+
     for batch in batches:
         for text, bad in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             (toxic if bad else other).update({x for word in set((text or "").split()) for x in features(word)})
-    names = sorted(toxic.keys() | other.keys())
-    for at in range(0, len(names), 10_000):
-        part = names[at : at + 10_000]
-        yield pa.RecordBatch.from_pydict({"feature": part, "n_toxic": pa.array([toxic[x] for x in part], pa.int64()), "n_other": pa.array([other[x] for x in part], pa.int64())})
+            if len(toxic) + len(other) >= COUNTED:
+                yield from send()
+                toxic.clear()
+                other.clear()
+    yield from send()
 
 
 def choose(sample: DataFrame, n_toxic: int, n_other: int, max_features: int) -> list[str]:
@@ -150,8 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_fe
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def hits(column: pa.Array) -> pa.Array:
-        held = Hits(index)
-        return pa.array([held.of(x or "") for x in column.to_pylist()], pa.list_(pa.int32()))
+        table = Hits(index)
+        return pa.array([table.of(x or "") for x in column.to_pylist()], pa.list_(pa.int32()))
 
     found = sample.select("doc_id", "toxic", hits("text").alias("hits")).collect()
     found.sort(key=lambda r: (r["doc_id"], r["hits"]))
@@ -165,26 +175,17 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_fe
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df with severity (double, from 0 to 3)."""
     index, weights, thresholds = model.index, model.weights, model.thresholds
+    key = ("toxicity", hashlib.md5("\n".join(index).encode()).hexdigest())
 
     @F.arrow_udf(T.DoubleType())
     def severity(column: pa.Array) -> pa.Array:
-        held = _hits_of(index)
-        scores = np.array([float(weights[x].sum()) if (x := held.of(t.decode("utf-8", "replace"))) else 0.0 for t in utf8(column)])
+        table = held(key, lambda: Hits(index))
+        scores = np.array([float(weights[x].sum()) if (x := table.of(t.decode("utf-8", "replace"))) else 0.0 for t in utf8(column)])
         return pa.array(Model(index, weights, thresholds).severity(scores))
 
     return df.withColumn("severity", severity(text_or_empty(text)))
 
 
-_HELD: list[Hits] = []
-
-
-def _hits_of(index: dict[str, int]) -> Hits:
-    """The worker's table of words, kept from one batch to the next as long as the model is the same."""
-    if not _HELD or _HELD[0].index != index:
-        _HELD[:] = [Hits(index)]
-    return _HELD[0]
-
-
 def assess(docs: DataFrame, labels: DataFrame, text: str = "text", reject_from: float = REJECT_FROM) -> DataFrame:
     """docs with severity and toxic, by a model fitted on the labelled ones among them."""
     return score(docs, train(docs, labels, text=text), text).withColumn("toxic", F.col("severity") >= reject_from)
