@@ -169,7 +169,8 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     Of several rows with that id the first in the order of the other columns stays; rows without an id stay, since they can't be told apart.
     """
     kept = cut(near_duplicates(df, doc_id, text).where(F.col(doc_id) == F.col("component_id")).groupBy(doc_id).count(), "simhash-kept")
-    named = df.where(F.col(doc_id).isNotNull()).join(kept.select(doc_id), doc_id, "left_semi").select(*df.columns)
+    # the kept ids grow with the corpus, so they are never broadcast: texts are dealt by id at every size
+    named = df.where(F.col(doc_id).isNotNull()).join(kept.select(doc_id).hint("shuffle_hash"), doc_id, "left_semi").select(*df.columns)
     unnamed = df.where(F.col(doc_id).isNull())
     twice = kept.where("count > 1").select(doc_id)
     if not twice.limit(1).count():
