@@ -163,12 +163,15 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return marked.join(by_fp, "fp").select(doc_id, "fp", "component_id")
 
 
-def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", groups: DataFrame | None = None) -> DataFrame:
     """The rows of df with one document for each component: the one with the smallest id.
 
+    groups has the ids with their component_id, if they aren't those of near_duplicates.
+
     Of several rows with that id the first in the order of the other columns stays; rows without an id stay, since they can't be told apart.
     """
-    kept = cut(near_duplicates(df, doc_id, text).where(F.col(doc_id) == F.col("component_id")).groupBy(doc_id).count(), "simhash-kept")
+    groups = near_duplicates(df, doc_id, text) if groups is None else groups
+    kept = cut(groups.where(F.col(doc_id) == F.col("component_id")).groupBy(doc_id).count(), "simhash-kept")
     # the kept ids grow with the corpus, so they are never broadcast: texts are dealt by id at every size
     named = df.where(F.col(doc_id).isNotNull()).join(kept.select(doc_id).hint("shuffle_hash"), doc_id, "left_semi").select(*df.columns)
     unnamed = df.where(F.col(doc_id).isNull())

@@ -5,7 +5,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from assaykit.llm import decontam, secrets, toxicity
+from assaykit.llm import decontam, near_text, secrets, toxicity
 
 from .test_ops import brute_fingerprint, components
 
@@ -55,3 +55,26 @@ def test_toxicity_model_is_the_same_again(spark, data):
     docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
     a, b = toxicity.train(docs, labels), toxicity.train(docs.repartition(3), labels.repartition(2))
     assert a.index == b.index and np.allclose(a.weights, b.weights) and np.allclose(a.thresholds, b.thresholds)
+
+
+def test_near_copies_by_brute_force_jaccard(spark, monkeypatch):
+    monkeypatch.setattr(near_text, "BLOCK", 8)  # families of several blocks
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+        for edits in (0, 0, 1, 2, 2, 3, 4, 6, 9):
+            own = list(base)
+            for at in rng.integers(0, 120, edits):
+                own[at] = f"e{rng.integers(0, 10**6)}"
+            rows.append(" ".join(own))
+    rows += ["", None, "one two", "One  two", "one two three"]
+    grams = [{tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} for w in ((t or "").lower().split() for t in rows)]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+                label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.without_near_duplicates(spark, docs, "").collect()}
+    assert got == set(label)
