@@ -2,7 +2,8 @@
 
 Numbers, units after numbers and names become typed placeholders, all else is lower-cased and
 freed of punctuation. Windows of eight such tokens are hashed and joined to the windows of the
-benchmark by equality. Along each alignment of a text with an item, a slot value of the item must
+benchmark by equality. A window with fewer than four other words is no template: it counts only
+if its values are equal too. Along each alignment of a text with an item, a slot value of the item must
 always stand for the same value of the text; so a question that only had its values exchanged is
 found, and a chance likeness of templates is not.
 
@@ -29,8 +30,8 @@ from pyspark.sql import types as T
 from .common import cut, text_or_empty, utf8
 
 WINDOW = 8
-LITERALS = 4  # a window has at least so many words that are no placeholders
-SHARE = 0.4  # of an item's windows that a leaking text holds
+LITERALS = 4  # a window that is a template has at least so many words that are no placeholders
+SHARE = 0.4  # of an item's windows, or of those that are templates, that a leaking text holds
 CONSISTENT = 0.75  # of an item's slot values that keep to one value of the text
 FILTER_ROWS = 2_000_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -41,7 +42,7 @@ NUMBER_WORDS = set("zero one two three four five six seven eight nine ten eleven
 ENDS = b".!?:"
 EDGES = ".,;:!?\"'()[]{}<>*#&|_-/\\`~“”‘’«»…"
 
-NAME, NUM, UNIT = np.uint64(3), np.uint64(5), np.uint64(9)
+NAME, NUM, UNIT, AS_IT_STANDS = np.uint64(3), np.uint64(5), np.uint64(9), np.uint64(17)
 CHUNK = 1 << 19  # bytes of text that are handled together
 
 
@@ -75,8 +76,8 @@ _POWERS = Powers()
 class Tokens:
     """The words of some texts after one another, by array operations over their bytes.
 
-    token: hash of the bare lower-case word, or a placeholder; slot: whether it is one; text: which
-    text it is of; at and end: where it stands in raw. Words of punctuation only are left out.
+    word: hash of the bare lower-case word; token: the same, or a placeholder; slot: whether it is
+    one; text: which text it is of; at and end: where it stands in raw. Words of punctuation only are left out.
     """
 
     def __init__(self, texts: list[bytes]):
@@ -106,6 +107,7 @@ class Tokens:
         number = IS_DIGIT[raw[head]] | _known(word, _NUMBER_WORDS)
         unit = _known(word, _UNITS) & np.r_[False, number[:-1]][: len(at)] & ~starts & ~number
         name = upper_head & (n_changed[last] - n_changed[first] == 1) & ~(starts | np.r_[True, ends[:-1]][: len(at)]) & ~number & ~unit
+        self.word = word.copy()
         word[number], word[unit], word[name] = NUM, UNIT, NAME
         self.token, self.slot, self.at, self.end = word, number | unit | name, at, end
 
@@ -155,26 +157,36 @@ def chunks(texts: list[bytes]):
         at = to
 
 
-def windows(found: Tokens, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window (int64), and whether it lies in one text and has words enough."""
+def windows(found: Tokens, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each window (int64), whether it lies in one text, and whether it has words enough for a template.
+
+    A window with fewer words is hashed with the values of its slots as they stand.
+    """
     n = len(found.token) - width + 1
     if n < 1:
-        return np.empty(0, np.int64), np.empty(0, bool)
+        return np.empty(0, np.int64), np.empty(0, bool), np.empty(0, bool)
     out = np.zeros(n, np.uint64)
     for k in range(width):
         out *= STEP
         out += found.token[k : k + n]
     words = np.cumsum(np.r_[0, ~found.slot])
     enough = words[width:] - words[:n] >= min(LITERALS, width)
-    return _mixed(out).view(np.int64), enough & (found.text[:n] == found.text[width - 1 :])
+    few = np.flatnonzero(~enough)
+    if len(few):
+        plain = np.full(len(few), AS_IT_STANDS)
+        for k in range(width):
+            plain *= STEP
+            plain += found.word[few + k]
+        out[few] = plain
+    return _mixed(out).view(np.int64), found.text[:n] == found.text[width - 1 :], enough
 
 
-HIT = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("slots", T.ArrayType(T.StringType()))]))
+HIT = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("slots", T.ArrayType(T.StringType())), T.StructField("template", T.BooleanType())]))
 
 
-def _column(rows: list[list[tuple[int, int, list[str]]]]) -> pa.Array:
-    kind = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.string()))]))
-    return pa.array([[{"h": h, "pos": p, "slots": s} for h, p, s in row] for row in rows], kind)
+def _column(rows: list[list[tuple[int, int, list[str], bool]]]) -> pa.Array:
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.string())), ("template", pa.bool_())]))
+    return pa.array([[{"h": h, "pos": p, "slots": s, "template": t} for h, p, s, t in row] for row in rows], kind)
 
 
 def _item_windows(text: Column) -> Column:
@@ -184,8 +196,8 @@ def _item_windows(text: Column) -> Column:
         for x in utf8(column):
             found = Tokens([x])
             width = min(WINDOW, len(found.token)) or 1
-            h, enough = windows(found, width)
-            rows.append([(int(h[k]), k, found.values(k, width)) for k in np.flatnonzero(enough).tolist()])
+            h, within, enough = windows(found, width)
+            rows.append([(int(h[k]), k, found.values(k, width), bool(enough[k])) for k in np.flatnonzero(within).tolist()])
         return _column(rows)
 
     return of(text)
@@ -208,7 +220,7 @@ def _text_windows(text: Column, wanted: np.ndarray | None, widths: list[int]) ->
             found = Tokens(part)
             begins = np.searchsorted(found.text, np.arange(len(part)))
             for width in widths:
-                h, near = windows(found, width)
+                h, near, enough = windows(found, width)
                 if table is not None and len(h):
                     near = near & table[(h.view(np.uint64) & mask).astype(np.int64)]
                     spots = np.flatnonzero(near)
@@ -217,7 +229,7 @@ def _text_windows(text: Column, wanted: np.ndarray | None, widths: list[int]) ->
                     spots = np.flatnonzero(near)
                 for k in spots.tolist():
                     t = int(found.text[k])
-                    rows[first + t].append((int(h[k]), k - int(begins[t]), found.values(k, width)))
+                    rows[first + t].append((int(h[k]), k - int(begins[t]), found.values(k, width), bool(enough[k])))
         return _column(rows)
 
     return of(text)
@@ -231,8 +243,9 @@ def _keys(text: str) -> list[Column]:
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", filter_rows: int = FILTER_ROWS) -> DataFrame:
     """Rows (_k1, _k2, item_id, share, consistent) for each text and benchmark item in it; the keys name the text."""
     items = benchmark.select("item_id", F.posexplode(_item_windows(text_or_empty("text"))).alias("_n", "w"))
-    items = cut(items.select("item_id", F.col("w.h").alias("h"), F.col("w.pos").alias("item_pos"), F.col("w.slots").alias("item_slots")), "benchmark-windows")
-    sizes = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"))
+    items = cut(items.select("item_id", F.col("w.h").alias("h"), F.col("w.pos").alias("item_pos"), F.col("w.slots").alias("item_slots"), F.col("w.template").alias("template")), "benchmark-windows")
+    at = F.when(F.col("template"), F.col("item_pos"))
+    sizes = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"), F.countDistinct(at).alias("item_templates"))
     few = items.select("h").distinct()
     wanted = None
     if few.limit(filter_rows + 1).count() <= filter_rows:
@@ -240,11 +253,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", filter_rows
     short = benchmark.select(_item_width(text_or_empty("text")).alias("w")).distinct().where(F.col("w") < WINDOW)
     widths = [WINDOW, *sorted(r["w"] for r in short.collect() if r["w"] > 0)]
     seen = docs.select(*_keys(text), _text_windows(text_or_empty(text), wanted, widths).alias("hits")).where(F.size("hits") > 0)
-    hits = seen.select("_k1", "_k2", F.explode("hits").alias("x")).select("_k1", "_k2", "x.*")
-    matched = cut(hits.join(items, "h").select("_k1", "_k2", "item_id", (F.col("pos") - F.col("item_pos")).alias("lag"), "item_pos", "item_slots", "slots").distinct(), "benchmark-hits")
-    share = matched.groupBy("_k1", "_k2", "item_id").agg(F.countDistinct("item_pos").alias("n"))
+    hits = seen.select("_k1", "_k2", F.explode("hits").alias("x")).select("_k1", "_k2", "x.h", "x.pos", "x.slots")
+    matched = cut(hits.join(items, "h").select("_k1", "_k2", "item_id", (F.col("pos") - F.col("item_pos")).alias("lag"), "item_pos", "item_slots", "slots", "template").distinct(), "benchmark-hits")
+    share = matched.groupBy("_k1", "_k2", "item_id").agg(F.countDistinct("item_pos").alias("n"), F.countDistinct(at).alias("n_templates"))
     same = lambda a, b: a["item_id"].eqNullSafe(b["item_id"])
-    share = share.join(sizes.alias("z"), same(share, sizes)).select("_k1", "_k2", share.item_id, (F.col("n") / F.col("item_windows")).alias("share"))
+    share = share.join(sizes.alias("z"), same(share, sizes)).select("_k1", "_k2", share.item_id, F.greatest(F.col("n") / F.col("item_windows"), F.try_divide("n_templates", "item_templates")).alias("share"))
     pairs = matched.select("_k1", "_k2", "item_id", "lag", F.explode(F.arrays_zip("item_slots", "slots")).alias("z")).distinct()
     kept = pairs.groupBy("_k1", "_k2", "item_id", "lag", "z.item_slots").agg(F.count("*").alias("values"))
     kept = kept.groupBy("_k1", "_k2", "item_id").agg(F.avg((F.col("values") == 1).cast("double")).alias("consistent"))

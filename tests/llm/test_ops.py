@@ -451,6 +451,14 @@ def test_changed_values_are_found_and_must_be_consistent(spark):
     assert sorted(r.doc_id for r in decontam.clean(df, items).collect()) == [2, 3, 4, 5]
 
 
+def test_numeric_and_short_items_are_found_as_they_stand(spark):
+    numeric = "Convert 5 km to 3 mi, 7 kg to 2 lb, 4 m to 9 ft"
+    items = spark.createDataFrame([(1, numeric), (2, "Divide 12 by four")], "item_id long, text string")
+    texts = [f"Some words first. {numeric}. Then more.", numeric.replace("5", "6").replace("7", "8").replace("4", "11"), "Now: divide 12 by four, please", "divide 13 by four"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.item_ids for r in decontam.mark(df, items).collect()} == {0: [1], 1: [], 2: [2], 3: []}
+
+
 def test_decontamination_awkward_rows(spark, awkward, empty):
     items = spark.createDataFrame([(1, "same words here again"), (2, "nowhere to be found at all")], "item_id long, text string")
     got = decontam.mark(awkward, items)
