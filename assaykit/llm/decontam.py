@@ -4,7 +4,8 @@ Numbers, units after numbers and names become typed placeholders, all else is lo
 freed of punctuation. Windows of eight such tokens are hashed and joined to the windows of the
 benchmark by equality. A window with fewer than four other words is no template: it counts only
 if its values are equal too. Along each alignment of a text with an item, a slot value of the item must
-always stand for the same value of the text; so a question that only had its values exchanged is
+mostly stand for the same value of the text. An item counts from a share of its windows, or from a
+long run of its tokens, as a passage of it or an edited copy has; so a question that only had its values exchanged is
 found, and a chance likeness of templates is not.
 
 Scale: one map pass over whole texts; a window leaves its task only if the benchmark has it too.
@@ -32,6 +33,7 @@ from .common import cut, text_or_empty, utf8
 WINDOW = 8
 LITERALS = 4  # a window that is a template has at least so many words that are no placeholders
 SHARE = 0.4  # of an item's windows, or of those that are templates, that a leaking text holds
+RUN = 13  # or so many of its tokens, next to each other but for gaps of one, along one alignment
 CONSISTENT = 0.75  # of an item's slot values that keep to one value of the text
 FILTER_ROWS = 2_000_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -181,12 +183,12 @@ def windows(found: Tokens, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray,
     return _mixed(out).view(np.int64), found.text[:n] == found.text[width - 1 :], enough
 
 
-HIT = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("slots", T.ArrayType(T.StringType())), T.StructField("template", T.BooleanType())]))
+HIT = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("slots", T.ArrayType(T.StringType())), T.StructField("template", T.BooleanType()), T.StructField("width", T.IntegerType())]))
 
 
-def _column(rows: list[list[tuple[int, int, list[str], bool]]]) -> pa.Array:
-    kind = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.string())), ("template", pa.bool_())]))
-    return pa.array([[{"h": h, "pos": p, "slots": s, "template": t} for h, p, s, t in row] for row in rows], kind)
+def _column(rows: list[list[tuple[int, int, list[str], bool, int]]]) -> pa.Array:
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.string())), ("template", pa.bool_()), ("width", pa.int32())]))
+    return pa.array([[{"h": h, "pos": p, "slots": s, "template": t, "width": w} for h, p, s, t, w in row] for row in rows], kind)
 
 
 def _item_windows(text: Column) -> Column:
@@ -197,7 +199,7 @@ def _item_windows(text: Column) -> Column:
             found = Tokens([x])
             width = min(WINDOW, len(found.token)) or 1
             h, within, enough = windows(found, width)
-            rows.append([(int(h[k]), k, found.values(k, width), bool(enough[k])) for k in np.flatnonzero(within).tolist()])
+            rows.append([(int(h[k]), k, found.values(k, width), bool(enough[k]), width) for k in np.flatnonzero(within).tolist()])
         return _column(rows)
 
     return of(text)
@@ -229,7 +231,7 @@ def _text_windows(text: Column, wanted: np.ndarray | None, widths: list[int]) ->
                     spots = np.flatnonzero(near)
                 for k in spots.tolist():
                     t = int(found.text[k])
-                    rows[first + t].append((int(h[k]), k - int(begins[t]), found.values(k, width), bool(enough[k])))
+                    rows[first + t].append((int(h[k]), k - int(begins[t]), found.values(k, width), bool(enough[k]), width))
         return _column(rows)
 
     return of(text)
@@ -240,10 +242,21 @@ def _keys(text: str) -> list[Column]:
     return [F.xxhash64(whole).alias("_k1"), F.xxhash64(F.lit("text"), whole).alias("_k2")]
 
 
+def _run(spots: Column) -> Column:
+    """Most tokens that the windows at the places spots cover, in a stretch without a gap of more than one token."""
+    state = lambda last, now, best: F.struct(last.alias("last"), now.alias("now"), best.alias("best"))
+
+    def step(s, p):
+        now = F.when(p - s["last"] <= WINDOW + 1, s["now"] + F.least(p - s["last"], F.lit(WINDOW))).otherwise(F.lit(WINDOW))
+        return state(p, now, F.greatest(s["best"], now))
+
+    return F.aggregate(F.array_sort(spots), state(F.lit(-9 * WINDOW), F.lit(0), F.lit(0)), step, lambda s: s["best"])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", filter_rows: int = FILTER_ROWS) -> DataFrame:
     """Rows (_k1, _k2, item_id, share, consistent) for each text and benchmark item in it; the keys name the text."""
     items = benchmark.select("item_id", F.posexplode(_item_windows(text_or_empty("text"))).alias("_n", "w"))
-    items = cut(items.select("item_id", F.col("w.h").alias("h"), F.col("w.pos").alias("item_pos"), F.col("w.slots").alias("item_slots"), F.col("w.template").alias("template")), "benchmark-windows")
+    items = cut(items.select("item_id", F.col("w.h").alias("h"), F.col("w.pos").alias("item_pos"), F.col("w.slots").alias("item_slots"), F.col("w.template").alias("template"), F.col("w.width").alias("width")), "benchmark-windows")
     at = F.when(F.col("template"), F.col("item_pos"))
     sizes = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"), F.countDistinct(at).alias("item_templates"))
     few = items.select("h").distinct()
@@ -254,15 +267,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", filter_rows
     widths = [WINDOW, *sorted(r["w"] for r in short.collect() if r["w"] > 0)]
     seen = docs.select(*_keys(text), _text_windows(text_or_empty(text), wanted, widths).alias("hits")).where(F.size("hits") > 0)
     hits = seen.select("_k1", "_k2", F.explode("hits").alias("x")).select("_k1", "_k2", "x.h", "x.pos", "x.slots")
-    matched = cut(hits.join(items, "h").select("_k1", "_k2", "item_id", (F.col("pos") - F.col("item_pos")).alias("lag"), "item_pos", "item_slots", "slots", "template").distinct(), "benchmark-hits")
+    matched = cut(hits.join(items, "h").select("_k1", "_k2", "item_id", (F.col("pos") - F.col("item_pos")).alias("lag"), "item_pos", "item_slots", "slots", "template", "width").distinct(), "benchmark-hits")
     share = matched.groupBy("_k1", "_k2", "item_id").agg(F.countDistinct("item_pos").alias("n"), F.countDistinct(at).alias("n_templates"))
+    runs = matched.where(F.col("width") == WINDOW).groupBy("_k1", "_k2", "item_id", "lag").agg(_run(F.collect_set("item_pos")).alias("run"))
+    runs = runs.groupBy(F.col("_k1").alias("_r1"), F.col("_k2").alias("_r2"), F.col("item_id").alias("_held")).agg(F.max("run").alias("run"))
     same = lambda a, b: a["item_id"].eqNullSafe(b["item_id"])
     share = share.join(sizes.alias("z"), same(share, sizes)).select("_k1", "_k2", share.item_id, F.greatest(F.col("n") / F.col("item_windows"), F.try_divide("n_templates", "item_templates")).alias("share"))
     pairs = matched.select("_k1", "_k2", "item_id", "lag", F.explode(F.arrays_zip("item_slots", "slots")).alias("z")).distinct()
     kept = pairs.groupBy("_k1", "_k2", "item_id", "lag", "z.item_slots").agg(F.count("*").alias("values"))
     kept = kept.groupBy("_k1", "_k2", "item_id").agg(F.avg((F.col("values") == 1).cast("double")).alias("consistent"))
     both = share.join(kept.select(F.col("_k1").alias("_j1"), F.col("_k2").alias("_j2"), F.col("item_id").alias("_item"), "consistent"), (F.col("_k1") == F.col("_j1")) & (F.col("_k2") == F.col("_j2")) & F.col("item_id").eqNullSafe(F.col("_item")), "left")
-    return both.select("_k1", "_k2", "item_id", "share", F.coalesce("consistent", F.lit(1.0)).alias("consistent")).where((F.col("share") >= SHARE) & (F.col("consistent") >= CONSISTENT))
+    both = both.join(runs, (F.col("_k1") == F.col("_r1")) & (F.col("_k2") == F.col("_r2")) & F.col("item_id").eqNullSafe(F.col("_held")), "left")
+    found = (F.col("share") >= SHARE) | (F.col("run") >= RUN)
+    return both.where(found).select("_k1", "_k2", "item_id", "share", F.coalesce("consistent", F.lit(1.0)).alias("consistent")).where(F.col("consistent") >= CONSISTENT)
 
 
 def _item_width(text: Column) -> Column:

@@ -459,6 +459,16 @@ def test_numeric_and_short_items_are_found_as_they_stand(spark):
     assert {r.doc_id: r.item_ids for r in decontam.mark(df, items).collect()} == {0: [1], 1: [], 2: [2], 3: []}
 
 
+def test_passages_and_edited_items_are_found(spark):
+    item = [f"word{x}" for x in "abcdefghijklmnopqrstuvwxyz"] + [f"more{x}" for x in "abcdefghijklmnopqrstuvwxyzabcdefg"]
+    twenty, thirty = [f"twenty{x}" for x in "abcdefghijklmnopqrst"], [f"thirty{x}" for x in "abcdefghijklmnopqrstuvwxyzklmn"]
+    items = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate((item, twenty, thirty))], "item_id long, text string")
+    edited = [x if k != 10 else "other" for k, x in enumerate(twenty)], [x if k not in (9, 20) else "other" for k, x in enumerate(thirty)]
+    texts = [["intro", *item[17:42], "end"], *edited, item[5:17]]
+    df = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.item_ids for r in decontam.mark(df, items).collect()} == {0: [0], 1: [1], 2: [2], 3: []}
+
+
 def test_decontamination_awkward_rows(spark, awkward, empty):
     items = spark.createDataFrame([(1, "same words here again"), (2, "nowhere to be found at all")], "item_id long, text string")
     got = decontam.mark(awkward, items)
