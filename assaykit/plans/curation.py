@@ -66,12 +66,18 @@ def leak_antijoin(spark, d):
 
 @query("SELECT doc_id, count(*) AS n_items FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY doc_id")
 def contamination_contains(spark, d):
-    """Texts that hold a benchmark text as it stands: an equality join on its first five words, then a check."""
-    five = lambda words, at: F.array_join(F.slice(words, at, 5), " ")
-    docs = table(spark, d, "documents").select("doc_id", "text", F.regexp_extract_all("text", F.lit("[^ \\n]+"), F.lit(0)).alias("w"))
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"), F.regexp_extract_all("text", F.lit("[^ \\n]+"), F.lit(0)).alias("v")).withColumn("key", five(F.col("v"), 1)).drop("v")
-    spots = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: five(F.col("w"), i)), lambda x: F.length(x) > 0)
-    keys = docs.select("doc_id", F.explode(F.array_distinct(spots)).alias("key")).join(items.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+    """Texts that hold a benchmark text as it stands: an equality join on a few words within it, then a check.
+
+    Words are cut at single spaces, so those between two spaces of an item are whole words of any text that
+    holds it. The key is the first four of them; items with fewer are few words long and are tried on each text.
+    """
+    docs = table(spark, d, "documents").select("doc_id", "text", F.split("text", " ", -1).alias("w"))
+    items = table(spark, d, "benchmark").where("text is not null").select("item_id", F.col("text").alias("item"), F.split("text", " ", -1).alias("v"))
+    long = items.where(F.size("v") >= 6).select("item_id", F.array_join(F.slice("v", 2, 4), " ").alias("key"))
+    spots = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice(F.col("w"), i, 4), " "))
+    by_key = docs.select("doc_id", F.explode(F.array_distinct(spots)).alias("key")).join(long, "key").select("doc_id", "item_id")
+    by_text = docs.select("doc_id", "text").join(items.where(F.size("v") < 6).select("item_id", "item"), F.contains("text", "item")).select("doc_id", "item_id")
+    keys = by_key.unionByName(by_text).distinct()
     checked = docs.select("doc_id", "text").join(keys, "doc_id").join(items.select("item_id", "item"), "item_id").where(F.contains("text", "item"))
     return checked.groupBy("doc_id").agg(F.count("*").alias("n_items"))
 

@@ -49,3 +49,12 @@ def test_stream_windows_are_batch_windows(spark, data):
     stream = {(r.event_type, r.start): (r.n, r.total) for r in plans.QUERIES["stream_tumbling"](spark, data).collect()}
     batch = {(r.event_type, r.start): (r.n, r.total) for r in plans.QUERIES["tumbling"](spark, data).collect()}
     assert stream and all(batch[(k, s.replace(tzinfo=None))] == v for (k, s), v in stream.items())
+
+
+def test_contains_at_any_edge(spark, tmp_path):
+    items = ["To be or not to be that is", "five words are just here", "two words", "one", "tab\tand\nlines of some more words", "a  b   c  d e f"]
+    texts = ['He said "To be or not to be that is", twice', "xfive words are just here.", "(two words)", "someone", "a tab\tand\nlines of some more wordsy", "a  b   c  d e f", "To be or not", "", None]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {k: n for k, t in enumerate(texts) if (n := sum(i in (t or "") for i in items))}
+    assert {r.doc_id: r.n_items for r in plans.QUERIES["contamination_contains"](spark, str(tmp_path)).collect()} == want
