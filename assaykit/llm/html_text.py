@@ -1,15 +1,20 @@
 """Main text of web pages from streaming parser events.
 
 The standard library's parser sends start, end and text events. They are folded into lines, one
-for each block. Each line has a text-to-tag ratio: its characters outside links over its tags.
-The ratios are smoothed with a Gaussian along the page and split by threshold clustering into
-content and boilerplate. The element that holds the content cluster is the article; its lines,
-without those inside menus, adverts, forms, comments and the like, are the text.
+for each block, and a tree of the block elements. Each line has a text-to-tag ratio: its
+characters outside links over its tags. The ratios are smoothed with a Gaussian along the page
+and split by threshold clustering into content and boilerplate. The content lines choose the
+regions of the page: the outermost article or main elements that hold content lines, if these
+hold at least half of the content, else the smallest element that holds all content lines. In
+such an element its own lines stay, and those of the blocks that hold content lines or lie between
+such; a heading right before it belongs to it. Blocks of links without a content line go. Names
+of elements and classes only take away parts of a region: menus, adverts, forms, comments and the like.
 
-Scale: map-only, one pass over each page, linear in its length; nothing is shuffled.
+Scale: map-only, one pass over each page; time and memory are linear in its length, since a line
+holds the number of its element and an element that of its parent. Nothing is shuffled.
 
 Edge cases: null or empty html gives the empty text; unclosed and truncated markup is closed at
-its parent's or the page's end; a page without a content cluster gives what lines it has outside
+its parent's or the page's end; a page without a content line gives what lines it has outside
 boilerplate; repeated rows and further columns pass through, a column with the
 name of the result is replaced; no rows give no rows.
 """
@@ -17,6 +22,7 @@ name of the result is replaced; no rows give no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -34,7 +40,9 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 UNSEEN = {"head", "script", "style", "template", "noscript", "iframe", "object", "svg", "canvas", "audio", "video", "title", "map"}
 APART = {"nav", "footer", "aside", "form", "button", "select", "textarea", "menu", "dialog", "fieldset"}
 ARTICLE = {"article", "main"}
-CONTAINER = {"body", "div", "section", "article", "main", "td", "center", "html"}
+LISTS = {"ul", "ol", "dl", "table", "div", "section", "center"}  # what may be a block of links
+HEADINGS = {"h1", "h2"}
+CONTAINER = {"", "html", "body", "div", "section", "article", "main", "center"}  # what may be a region, or a block of one
 APART_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertisements", "advertising", "adsbygoogle", "sponsor", "sponsored", "promo", "promotion", "banner",
     "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "notifications", "alert", "alerts", "popup", "modal", "overlay", "disclaimer",
@@ -49,30 +57,37 @@ STORY_WORDS = {"article", "post", "entry", "story", "content", "main"}  # a head
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 #: A tag that the end of the page cuts off.
-UNFINISHED = re.compile(r"<(?:[A-Za-z/][^<>]*|!--(?:(?!-->).)*)\Z", re.DOTALL)
+UNFINISHED = re.compile(r"<[A-Za-z/][^<>]*\Z")
 
 SIGMA = 1.0
-SHARE = 0.8  # of the content cluster that the article's element must hold
+FULL = 80.0  # characters for each tag that make a line content, however long the others are
+LINKED = 0.8  # share of characters in links that makes a block of lines a menu
+LINES = 3  # lines of a menu, at least
 
 
 class Lines(HTMLParser):
-    """Folds events into lines [text parts, tags, characters in links, apart?, container numbers]."""
+    """Folds events into lines and the tree of block elements.
+
+    Lines are (text, tags, characters in links, apart?, element, in an article and not apart within it?).
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, bool, bool]] = []  # name, unseen, apart, container, story
+        self.open: list[tuple[str, bool, bool, bool]] = []  # name, unseen, apart, story
+        self.n_open: Counter[str] = Counter()
+        self.runs: list[Counter[str]] = [Counter()]  # inline elements that are open, since each open block
         self.unseen = self.apart = self.links = self.articles = self.stories = self.apart_before = 0
-        self.within: list[int] = []
-        self.kinds: list[str] = []  # of the containers
-        self.lines: list[tuple[str, int, int, bool, tuple[int, ...], bool]] = []
+        self.names, self.parents, self.aparts = [""], [-1], [False]  # of the elements; the first is the page
+        self.within = [0]
+        self.lines: list[tuple[str, int, int, bool, int, bool]] = []
         self.parts: list[str] = []
         self.tags = self.linked = 0
 
     def end_line(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            own = bool(self.articles) and self.apart == self.apart_before  # in an article, and not apart within it
-            self.lines.append((text, self.tags, self.linked, bool(self.apart), tuple(self.within), own))
+            own = bool(self.articles) and self.apart == self.apart_before
+            self.lines.append((text, self.tags, self.linked, bool(self.apart), self.within[-1], own))
             self.tags = self.linked = 0
         self.parts = []
 
@@ -81,19 +96,14 @@ class Lines(HTMLParser):
             if name not in VOID:
                 self._push(name, {})
             return
-        if name == "body" or name == "html":
-            if any(x[0] == name for x in self.open):
-                return
+        if name in ("body", "html") and self.n_open[name]:
+            return
         closes = CLOSED_BY.get(name, {"p"} if name not in INLINE else set())
         while self.open and self.open[-1][0] in closes:
             self._pop()
-        if closes == {"p"}:  # inline elements left open inside a paragraph end with it
-            k = len(self.open)
-            while k and self.open[k - 1][0] in INLINE and self.open[k - 1][0] not in ("td", "th"):
-                k -= 1
-            if k and self.open[k - 1][0] == "p":
-                while len(self.open) >= k:
-                    self._pop()
+        if closes == {"p"} and self.names[self.within[-1]] == "p" and not self.runs[-1]["td"] and not self.runs[-1]["th"]:
+            while self.names[self.within[-1]] == "p":  # inline elements left open inside a paragraph end with it
+                self._pop()
         self.tags += 1
         if name in ("td", "th", "br", "img", "wbr", "input", "option"):
             self.parts.append("" if name == "wbr" else " ")
@@ -115,44 +125,48 @@ class Lines(HTMLParser):
         story = name in ARTICLE or bool(words & STORY_WORDS) and not apart
         if name in ("html", "body"):
             unseen = apart = story = False
-        box = name in CONTAINER
         if name in ARTICLE and not self.articles:
             self.apart_before = self.apart
-        self.open.append((name, unseen, apart, box, story))
+        self.open.append((name, unseen, apart, story))
+        self.n_open[name] += 1
         self.unseen += unseen
         self.apart += apart
         self.links += name == "a"
         self.articles += name in ARTICLE
         self.stories += story
-        if box:
-            self.within.append(len(self.kinds))
-            self.kinds.append(name)
+        if name in INLINE:
+            self.runs[-1][name] += 1
+        else:
+            self.parents.append(self.within[-1])
+            self.within.append(len(self.names))
+            self.names.append(name)
+            self.aparts.append(apart)
+            self.runs.append(Counter())
 
     def _pop(self):
-        name, unseen, apart, box, story = self.open.pop()
-        if name not in INLINE:
+        name, unseen, apart, story = self.open.pop()
+        self.n_open[name] -= 1
+        if name in INLINE:
+            self.runs[-1][name] -= 1
+        else:
             self.end_line()
+            self.within.pop()
+            self.runs.pop()
         self.unseen -= unseen
         self.apart -= apart
         self.links -= name == "a"
         self.articles -= name in ARTICLE
         self.stories -= story
-        if box:
-            self.within.pop()
 
     def handle_endtag(self, name):
         if not self.unseen:
             self.tags += 1
-        if not any(x[0] == name for x in reversed(self.open)):
+        if not self.n_open[name]:
             if name == "p" and not self.unseen:
                 self.end_line()
             return
-        if name in INLINE:  # a stray inline end tag doesn't close blocks
-            for k in range(len(self.open) - 1, -1, -1):
-                if self.open[k][0] == name:
-                    break
-                if self.open[k][0] not in INLINE:
-                    return
+        if name in INLINE and not self.runs[-1][name]:  # a stray inline end tag doesn't close blocks
+            return
         while self.open[-1][0] != name:
             self._pop()
         self._pop()
@@ -182,35 +196,81 @@ def threshold(values: np.ndarray) -> float:
     return at
 
 
+def unfinished(html: str) -> str:
+    """html without a comment or tag that its end cuts off."""
+    at = html.find("<!--", html.rfind("-->") + 1)
+    return UNFINISHED.sub("", html if at < 0 else html[:at])
+
+
+def regions(content: np.ndarray, mass: np.ndarray, element: np.ndarray, parser: Lines) -> np.ndarray:
+    """Which lines lie in the regions that the content lines choose."""
+    parents, names = parser.parents, parser.names
+    story = [-1] * len(names)  # the outermost article or main around each element
+    held = np.bincount(element, content, len(names)).tolist()  # content lines in each element
+    for k in range(1, len(names)):
+        up = story[parents[k]]
+        story[k] = up if up >= 0 else k if names[k] in ARTICLE else -1
+    for k in range(len(names) - 1, 0, -1):
+        held[parents[k]] += held[k]
+    around = np.array(story)[element]
+    if mass[content & (around >= 0)].sum() * 2 >= mass[content].sum():
+        return np.isin(around, around[content & (around >= 0)])
+    root = int(element[np.argmax(content)])
+    while held[root] < held[0] or names[root] not in CONTAINER:
+        root = parents[root]
+    block = [-1] * len(names)  # the container right below root that each element is or lies in, or root; -1 outside
+    block[root] = root
+    for k in range(root + 1, len(names)):
+        up = block[parents[k]]
+        block[k] = k if up == root and names[k] in CONTAINER else up
+    block = np.array(block)[element]
+    spots = np.flatnonzero(content)
+    out = (block == root) | np.isin(block, block[content])
+    out[spots[0] : spots[-1]] |= block[spots[0] : spots[-1]] >= 0
+    at = int(np.argmax(out))
+    while at and (out[at - 1] or names[element[at - 1]] in HEADINGS):
+        at -= 1
+        out[at] = True
+    return out
+
+
+def menus(content: np.ndarray, size: np.ndarray, linked: np.ndarray, element: np.ndarray, parser: Lines) -> np.ndarray:
+    """Which lines lie in a block of links: three lines or more, mostly links, none of them content."""
+    n = len(parser.names)
+    sums = [np.bincount(element, x, n).tolist() for x in (content, np.ones(len(size)), size, linked)]
+    for k in range(n - 1, 0, -1):
+        for x in sums:
+            x[parser.parents[k]] += x[k]
+    held, lines, chars, in_links = sums
+    menu = [False] * n
+    for k in range(1, n):
+        menu[k] = menu[parser.parents[k]] or parser.names[k] in LISTS and not held[k] and lines[k] >= LINES and in_links[k] >= LINKED * chars[k]
+    return np.array(menu)[element]
+
+
 def main_text(html: str) -> str:
     parser = Lines()
-    parser.feed(UNFINISHED.sub("", html))
+    parser.feed(unfinished(html))
     parser.close()
     parser.end_line()
     lines = parser.lines
     if not lines:
         return ""
-    ratio = np.array([max(len(x[0]) - x[2], 0) / max(x[1], 1) for x in lines])
-    level = smooth(ratio)
-    free = np.array([not x[3] for x in lines])
-    if not free.any():  # something around the article was left open
-        free = np.array([x[5] for x in lines])
-    content = free & (level >= threshold(level))
-    mass = np.array([len(x[0]) for x in lines], float)
-    mass *= content if content.any() else free
-    held: dict[int, float] = {}
-    for x, m in zip(lines, mass):
-        for k in x[4]:
-            held[k] = held.get(k, 0.0) + m
-    articles = {k for x, f in zip(lines, free) if f for k in x[4] if parser.kinds[k] in ARTICLE}
-    if any(parser.kinds[k] == "article" for k in articles):
-        roots = {k for k in articles if parser.kinds[k] == "article"}
-    elif articles:
-        roots = articles
-    else:
-        total = float(mass.sum())
-        roots = {max((k for k, m in held.items() if total and m >= SHARE * total), default=-1)} - {-1}
-    return "\n".join(x[0] for x, f in zip(lines, free) if f and (not roots or roots & set(x[4])))
+    size = np.array([len(x[0]) for x in lines])
+    tags, linked, apart, element, own = (np.array(x) for x in list(zip(*lines))[1:])
+    plain = np.maximum(size - linked, 0)
+    level = smooth(plain / np.maximum(tags, 1))
+    high = (level >= min(threshold(level), FULL)) & (2 * linked <= size)
+    free = ~apart
+    if not (free & high).any() and own.any():  # something around the article was left open
+        free = own
+    content = free & high
+    if not content.any():
+        content = free
+    if not content.any():
+        return ""
+    kept = free & regions(content, plain + 1, element, parser) & ~menus(content, size, linked, element, parser)
+    return "\n".join(lines[k][0] for k in np.flatnonzero(kept))
 
 
 def extract(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

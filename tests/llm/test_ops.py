@@ -511,7 +511,42 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+LONG_1, LONG_2 = "A long paragraph of the story, with many words in it, that goes on for a while and on.", "Another long paragraph, which tells what came of it all, and who was there to see how it ended."
+LINKS = "".join(f"<li><a href=/{x}>Section number {x}</a></li>" for x in range(6))
+PLAIN_PAGES = [
+    (f"<body><div><ul>{LINKS}</ul></div><div><h1>Title</h1><p>{LONG_1}</p><p>short one</p><p>{LONG_2}</p></div><div><p>imprint</p><ul>{LINKS}</ul></div></body>", f"Title\n{LONG_1}\nshort one\n{LONG_2}"),
+    (f"<div><h1>Title</h1><div><p>{LONG_1}</p></div><div>note</div><div><p>{LONG_2}</p></div><div><ul>{LINKS}</ul></div><div>legal</div></div>", f"Title\n{LONG_1}\nnote\n{LONG_2}"),
+    (f"<div>site</div><div><h1>Title</h1><div><p>{LONG_1}</p><ul>{LINKS}</ul><p>{LONG_2}</p></div></div><div>legal</div>", f"Title\n{LONG_1}\n{LONG_2}"),
+    (f"<article><p>{'word ' * 20000}</p><p>x</p><div><p>{LONG_1}</p></div></article><p>out</p>", f"{('word ' * 20000).strip()}\nx\n{LONG_1}"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), PLAIN_PAGES)
+def test_regions_of_pages_without_telling_names(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_ratios_decide_the_regions(monkeypatch):
+    rng = np.random.default_rng(0)
+    monkeypatch.setattr(html_text, "smooth", lambda x: rng.random(len(x)))
+    assert any(html_text.main_text(page) != want for page, want in PLAIN_PAGES[:3])
+
+
+def test_deep_and_broken_markup_takes_linear_time():
+    import time
+
+    def took(page):
+        began = time.process_time()
+        html_text.main_text(page)
+        return time.process_time() - began
+
+    for make in (lambda n: "<div>x" * n, lambda n: "<i><div>" + "<b>" * n + "</i>x" * n, lambda n: "<b>" * n + "<div></div>y" * n, lambda n: "<!-- " * n + "--><p>a"):
+        took(make(2000))
+        assert took(make(20_000)) < 40 * max(took(make(2000)), 0.02)
+
+
 def test_pages_awkward_rows(spark):
-    rows = spark.createDataFrame([(1, None), (2, ""), (2, ""), (3, "<p>x")], "page_id long, html string").withColumn("text", F.lit(1))
-    assert sorted(r.text for r in html_text.extract(rows).collect()) == ["", "", "", "x"]
+    long = " ".join(["word"] * 300_000)
+    rows = spark.createDataFrame([(1, None), (2, ""), (2, ""), (3, "<p>x"), (4, f"<article><p>{long}</p></article>")], "page_id long, html string").withColumn("text", F.lit(1))
+    assert sorted(r.text for r in html_text.extract(rows).collect()) == sorted(["", "", "", "x", long])
     assert html_text.extract(rows.limit(0)).count() == 0
