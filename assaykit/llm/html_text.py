@@ -259,8 +259,11 @@ def main_text(html: str) -> str:
     size = np.array([len(x[0]) for x in lines])
     tags, linked, apart, element, own = (np.array(x) for x in list(zip(*lines))[1:])
     plain = np.maximum(size - linked, 0)
-    level = smooth(plain / np.maximum(tags, 1))
-    high = (level >= min(threshold(level), FULL)) & (2 * linked <= size)
+    ratio = plain / np.maximum(tags, 1)
+    level = smooth(ratio)
+    least = min(threshold(level), FULL)
+    # a line that is only lifted by its neighbours may lie in a region, but it doesn't choose one
+    high = (level >= least) & (ratio >= least) & (2 * linked <= size)
     free = ~apart
     if not (free & high).any() and own.any():  # something around the article was left open
         free = own
