@@ -28,15 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import load
-from .common import lists
+from .common import lists, small_batches
 
 # The control strings of the template.
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 CONTROLS = (START, SEP, END)
 TRAINED = "assistant"
 
-HELD = 30_000  # a smaller table of encoded pieces: a worker of the read-back runs beside each
-
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(re.escape(START) + "(.*?)" + re.escape(SEP) + "(.*?)" + re.escape(END) + "\n", re.DOTALL)
 
@@ -92,14 +90,30 @@ def masked_text(formatted: str, ends: np.ndarray, mask: np.ndarray) -> str:
 OUT = T.StructType(
     [T.StructField("formatted", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("token_ends", T.ArrayType(T.LongType())), T.StructField("loss_mask", T.ArrayType(T.BooleanType()))]
 )
+READ = T.StructType(
+    [T.StructField("turns", T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))), T.StructField("loss_text", T.StringType())]
+)
+
+
+def _read(formatted: list[str], ends: list[np.ndarray], masks: list[np.ndarray]) -> list[pa.Array]:
+    """The columns of READ."""
+    turns = [turns_of(x) for x in formatted]
+    offsets = pa.array(np.cumsum([0, *map(len, turns)]), pa.int32())
+    pair = pa.StructArray.from_arrays([pa.array([t[k] for x in turns for t in x], pa.string()) for k in range(2)], ["role", "text"])
+    return [pa.ListArray.from_arrays(offsets, pair), pa.array(list(map(masked_text, formatted, ends, masks)), pa.string())]
+
 
+def format_conversations(df: DataFrame, path: str, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", with_read_back: bool = False) -> DataFrame:
+    """conv_id, formatted, ids, token_ends (byte offsets) and loss_mask for each conversation.
 
-def format_conversations(df: DataFrame, path: str, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, formatted, ids, token_ends (byte offsets) and loss_mask for each conversation."""
+    with_read_back: also what read_back adds, taken from the same outputs in the same pass.
+    """
+    small_batches(df.sparkSession)
+    out = T.StructType([*OUT, *(READ if with_read_back else [])])
 
-    @F.arrow_udf(OUT)
+    @F.arrow_udf(out)
     def of(column: pa.Array) -> pa.Array:
-        bpe = load(path, CONTROLS, HELD)
+        bpe = load(path, CONTROLS)
         formatted, ids, ends, masks = [], [], [], []
         for turns in column.to_pylist():
             said, spans = render([(x["role"], x["text"]) for x in turns])
@@ -109,28 +123,25 @@ def format_conversations(df: DataFrame, path: str, conv_id: str = "conv_id", tur
             ids.append(found)
             ends.append(end)
             masks.append(token_mask(end, spans))
-        return pa.StructArray.from_arrays([pa.array(formatted, pa.string()), lists(ids, pa.int32()), lists(ends, pa.int64()), lists(masks, pa.bool_())], [f.name for f in OUT])
+        columns = [pa.array(formatted, pa.string()), lists(ids, pa.int32()), lists(ends, pa.int64()), lists(masks, pa.bool_())]
+        return pa.StructArray.from_arrays(columns + (_read(formatted, ends, masks) if with_read_back else []), out.names)
 
     turns = df.select(F.col(conv_id), F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")).alias("_t"))
     whole = turns.groupBy(conv_id).agg(F.sort_array(F.collect_list("_t")).alias("_turns"))
     return whole.select(conv_id, of(F.transform("_turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))).alias("_o")).select(conv_id, "_o.*")
 
 
-READ = T.StructType(
-    [T.StructField("turns", T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))), T.StructField("loss_text", T.StringType())]
-)
-
-
 def read_back(df: DataFrame) -> DataFrame:
     """Adds turns and loss_text, both taken from formatted, token_ends and loss_mask alone."""
+    small_batches(df.sparkSession)
+
+    def rows(column: pa.Array) -> list[np.ndarray]:
+        at, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+        return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
 
     @F.arrow_udf(READ)
     def of(formatted: pa.Array, ends: pa.Array, mask: pa.Array) -> pa.Array:
-        rows = []
-        for x, e, m in zip(formatted.to_pylist(), ends, mask):
-            e, m = np.array(e.as_py(), np.int64), np.array(m.as_py(), bool)
-            rows.append({"turns": [{"role": a, "text": b} for a, b in turns_of(x)], "loss_text": masked_text(x, e, m)})
-        return pa.array(rows, pa.struct([("turns", pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))), ("loss_text", pa.string())]))
+        return pa.StructArray.from_arrays(_read(formatted.to_pylist(), rows(ends), rows(mask)), READ.names)
 
     whole = F.when(F.length("formatted") >= 0, F.col("formatted"))  # keeps the two functions apart, so the first runs once
     return df.withColumn("_r", of(whole, F.when(F.size("token_ends") >= 0, F.col("token_ends")), F.when(F.size("loss_mask") >= 0, F.col("loss_mask")))).select(*df.columns, "_r.*")

@@ -77,7 +77,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
-    made = chat.read_back(chat.format_conversations(said.unionByName(extra), public_tokenizers.path("byte_bpe_50k.json")))
+    made = chat.format_conversations(said.unionByName(extra), public_tokenizers.path("byte_bpe_50k.json"), with_read_back=True)
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return made.select(
         "conv_id",

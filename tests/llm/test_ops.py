@@ -255,7 +255,25 @@ def test_chat_digests(spark, data):
     for k, turns in said.items():
         turns.sort()
         loss = "".join(t for _, role, t in turns if role == "assistant")
-        assert (got[k].n_turns, got[k].turns_sha256, got[k].loss_chars, got[k].loss_sha256) == (len(turns), sha("".join(f"{r}\n{t}\n" for _, r, t in turns)), len(loss), sha(loss))
+        shown = "".join(f"<|im_start|>{plain_escape(r)}<|im_sep|>{plain_escape(t)}<|im_end|>\n" for _, r, t in turns)
+        want = len(turns), sha("".join(f"{r}\n{t}\n" for _, r, t in turns)), len(loss), sha(loss), len(shown)
+        assert (got[k].n_turns, got[k].turns_sha256, got[k].loss_chars, got[k].loss_sha256, got[k].formatted_chars) == want
+
+
+def plain_escape(text):
+    """One more backslash between each < and the | that follows it after none or more backslashes."""
+    out, k = [], 0
+    while k < len(text):
+        j = k + 1
+        while text[k] == "<" and j < len(text) and text[j] == "\\":
+            j += 1
+        if text[k] == "<" and j < len(text) and text[j] == "|":
+            out += ["<\\", text[k + 1 : j], "|"]
+            k = j + 1
+        else:
+            out.append(text[k])
+            k += 1
+    return "".join(out)
 
 
 @settings(max_examples=300, deadline=None)
@@ -273,8 +291,12 @@ def test_chat_round_trip(turns):
 def test_chat_awkward_rows(spark):
     rows = spark.createDataFrame([(None, None, None, None), (1, 2, "assistant", None), (1, 1, None, "hi"), (1, 1, None, "hi")], "conv_id long, turn long, role string, text string").withColumn("ids", F.lit(1))
     got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(rows, PATH)).collect()}
+    same = {r.conv_id: r for r in chat.format_conversations(rows, PATH, with_read_back=True).collect()}
+    assert got == same
     assert [(t.role, t.text) for t in got[1].turns] == [("", "hi"), ("", "hi"), ("assistant", "")] and got[1].loss_text == "" and len(got[None].turns) == 1
     assert chat.read_back(chat.format_conversations(rows.limit(0), PATH)).count() == 0
+    long = spark.createDataFrame([(1, 1, "user", LONG), (1, 2, "assistant", LONG * 5)], "conv_id long, turn long, role string, text string")
+    assert chat.format_conversations(long, PATH, with_read_back=True).first().loss_text == LONG * 5
 
 
 # ---- 6
