@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding with a public vocabulary.
 
-Each word is merged in a contiguous rank array: the part boundaries and the rank of every
-adjacent pair lie in two short lists; the smallest rank is looked for by a scan, its boundary
-is deleted, and only the two neighbouring ranks are refreshed. Words over SHORT bytes, for
+Each word is merged in a contiguous rank array: two short lists hold the parts (a part is the id
+of what lies between two boundaries) and, for every boundary, the rank of the pair that meets
+there; the smallest rank is looked for by a scan, its boundary is deleted, and only the two
+neighbouring ranks are refreshed. Words over SHORT bytes, for
 which the scans would be quadratic, take a heap of the same ranks and give the same parts.
 
 Scale: map-only. A text is cut into pieces at single spaces, each task keeps a bounded table
@@ -20,6 +21,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held, lists, text_or_empty, utf8
+from .common import held, lists, small_batches, text_or_empty, utf8
 
 # Fixed value: the pre-tokenisation pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -111,7 +113,6 @@ class ByteBpe:
     def _scan(self, word: bytes) -> list[int]:
         rank_of, merged = self.rank_of, self.merged
         ids = [*map(self.byte_id.__getitem__, word)]
-        bounds = [*range(len(ids) + 1)]
         ranks = [rank_of[left].get(right, NO_RANK) for left, right in zip(ids, ids[1:])]
         while ranks:
             least = min(ranks)
@@ -119,7 +120,7 @@ class ByteBpe:
                 break
             at = ranks.index(least)
             ids[at] = new = merged[least]
-            del ids[at + 1], bounds[at + 1], ranks[at]
+            del ids[at + 1], ranks[at]  # the boundary between the two parts
             if at:
                 ranks[at - 1] = rank_of[ids[at - 1]].get(new, NO_RANK)
             if at < len(ranks):
@@ -151,7 +152,7 @@ class ByteBpe:
         return [x for x in ids if x >= 0]
 
     def _word(self, word: str) -> bytes:
-        return np.array(self.merge(word.encode()), np.int32).tobytes()
+        return array("i", self.merge(word.encode())).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         return b"".join(map(self.held_words.__getitem__, self.words.findall(piece)))
@@ -201,6 +202,7 @@ def load(path: str, extra: tuple[str, ...] = (), most: int = HELD) -> ByteBpe:
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", extra: tuple[str, ...] = ()) -> DataFrame:
     """df with the token ids of the column text, as array<int>."""
+    small_batches(df.sparkSession)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
     def ids_of(column: pa.Array) -> pa.Array:
@@ -212,6 +214,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", extra
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded", extra: tuple[str, ...] = ()) -> DataFrame:
     """df with the text of the token ids; bytes that are no UTF-8 become replacement characters. Null ids give null."""
+    small_batches(df.sparkSession)
 
     @F.arrow_udf(T.StringType())
     def text_of(column: pa.Array) -> pa.Array:

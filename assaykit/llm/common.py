@@ -10,32 +10,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. A batch of long texts must fit into a Python worker.
-BATCH_ROWS = 500
+#: Rows and bytes in one Arrow batch. A batch of long texts must fit into a Python worker.
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """One of the input tables, with Arrow batches that stay small for long texts."""
-    small_batches(spark)
+    """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def small_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound the session's Arrow batches by rows and bytes; each operation on texts does so. Smaller bounds stay."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(spark.conf.get(key, "0").rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where it is unset, as in local tests."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if place:
-        return place.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if not held:
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session gets one of its own; a cluster can't."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="assaykit-checkpoint-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held.rstrip("/")
+        place = spark.sparkContext.getCheckpointDir()
+    return place.rstrip("/")
+
+
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/assaykit/{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -43,11 +48,31 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
     The rows no longer depend on shuffle files, so a lost executor costs one task and
     not the whole lineage, and what stands above is computed once however often it is used.
+    The table stays until forget(df), or clean_up(spark) once results have been read.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/assaykit/{label}-{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(*dfs: DataFrame) -> None:
+    """Delete the tables of cut() results that no DataFrame to come reads."""
+    for df in dfs:
+        if path := getattr(df, "_cut_path", None):
+            _delete(df.sparkSession, path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all tables that this application's operations left in the shared folder; their results can't be read afterwards."""
+    _delete(spark, _tables(spark))
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, forget
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,7 +24,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
     seen = _digest(here)
     while seen[0]:
-        here = cut(_small_star(_large_star(here)), "edges")
+        was, here = here, cut(_small_star(_large_star(here)), "edges")
+        forget(was)
         now = _digest(here)
         if now == seen:
             break

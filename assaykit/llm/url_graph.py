@@ -3,33 +3,38 @@
 Rules judge a url by its host and path; the longest rule that fits wins. Hosts that no rule
 judges are scored on the graph of links between hosts: personalised PageRank carries trust from
 allowed hosts along links, and distrust goes from blocked hosts against the links, to those that
-link to them. A host is blocked if its distrust is at least `threshold` of both together.
-
-Scale: links are read from the html by built-in functions and folded to one weighted edge for
-each pair of hosts before any iteration, so a host with a third of all pages is a few rows. Each
-round is one equality join and one partial aggregate for both directions at once; its result is
-cut off in the shared folder. Rounds are limited by `rounds` and end when nothing moves.
-A hub's edges are split at run time by the join's skew handling. The rules are a list in the
-plan, meant for up to about a thousand; scores are joined to pages by host.
+link to them. A host is blocked if its distrust is at least `threshold` of both together, and at
+least `floor` of what a single blocked host starts with, so a trace of distrust doesn't block.
+
+Scale: rules are rows. The distinct urls are joined to them by equality, on the suffixes of the
+host and on the beginnings of the path that have the length of one of that host's rules, so any
+number of rules will do. Links are read from the html by built-in functions and folded to one
+weighted edge for each pair of hosts before any iteration, so a host with a third of all pages is
+a few rows. Each round is one equality join and one partial aggregate for both directions at once
+on the mass that still moves; its result is cut off in the shared folder. The mass shrinks by
+`damping` a round, and rounds go on until less than `tolerance` of it moves. A hub's edges are
+split at run time by the join's skew handling; scores are joined to pages by host.
 
 Edge cases: a null url, or one without ://, has an empty host and path; a host that neither
 trust nor distrust reaches is allowed; links without a host, and links within a host, don't
-count; equally long rules are taken in the order of their text; repeated rows are repeated
+count; of equally long rules the last in the order of their text is taken; repeated rows are repeated
 pages; further columns pass through, but for those with the name of a result or helper, which
 are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, forget
 
 DAMPING = 0.85
-ROUNDS = 20
 THRESHOLD = 0.5
-TOLERANCE = 1e-6
+FLOOR = 0.01
+TOLERANCE = 1e-4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
 
@@ -49,13 +54,20 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
-    """struct(rule, verdict) of the longest rule (host, path, verdict) that fits, or null."""
-    out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for h, p, verdict in sorted(rules, key=lambda r: (len(r[0] + r[1]), r[0] + r[1])):  # the last one is asked first
-        fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
-        out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
-    return out
+def with_rule(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """host, path and _rule, a struct(rule, verdict), for each distinct host and path that a rule (host, path, verdict) fits."""
+    spark = urls.sparkSession
+    rows = spark.createDataFrame(sorted(set(rules)), "_h string, _p string, verdict string")
+    lengths = rows.groupBy("_h").agg(F.collect_set(F.length("_p")).alias("_n"))
+    urls = urls.select("host", "path").distinct()
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    hosts = urls.select("host").distinct().select("host", F.explode(suffixes).alias("_h")).join(lengths, "_h")
+    asked = urls.join(hosts, "host").select("host", "path", "_h", F.explode("_n").alias("_n")).where(F.length("path") >= F.col("_n"))
+    found = asked.withColumn("_p", F.substr("path", F.lit(1), F.col("_n"))).join(rows, ["_h", "_p"])
+    text = F.concat("_h", "_p")
+    best = found.groupBy("host", "path").agg(F.max(F.struct(F.length(text), text.alias("rule"), "verdict")).alias("_best"))
+    return best.select("host", "path", F.struct("_best.rule", "_best.verdict").alias("_rule"))
 
 
 def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -66,11 +78,12 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return ends.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """host, trust, distrust.
 
     seeds: host and trusted (boolean). The seeds of a kind share a mass of 1 equally; mass that
-    reaches a host without further links is not handed on.
+    reaches a host without further links is not handed on. A score is the sum over all rounds of
+    (1 - damping) of the mass that passed the host, but for the last `tolerance` of the mass.
     """
     ahead = edges.select(F.lit(True).alias("kind"), F.col("src").alias("at"), F.col("dst").alias("to"), "weight")
     back = edges.select(F.lit(False).alias("kind"), F.col("dst").alias("at"), F.col("src").alias("to"), "weight")
@@ -78,34 +91,35 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     total = both.groupBy("kind", "at").agg(F.sum("weight").alias("total"))
     steps = cut(both.join(total, ["kind", "at"]).select("kind", "at", "to", (F.col("weight") / F.col("total") * damping).alias("part")), "host-steps")
     sizes = seeds.groupBy("trusted").agg(F.count("*").alias("n"))
-    start = cut(seeds.join(F.broadcast(sizes), "trusted").select(F.col("trusted").alias("kind"), F.col("host").alias("at"), (1 / F.col("n")).alias("mass")), "host-seeds")
-    kept = start.select("kind", "at", (F.col("mass") * (1 - damping)).alias("mass"))
-    now = start
-    for _ in range(rounds if steps.limit(1).count() else 0):
-        moved = now.join(steps, ["kind", "at"]).select("kind", F.col("to").alias("at"), (F.col("mass") * F.col("part")).alias("mass"))
-        new = cut(moved.unionByName(kept).groupBy("kind", "at").agg(F.sum("mass").alias("mass")), "host-mass")
-        was = now.select("kind", "at", (-F.col("mass")).alias("mass"))
-        change = new.unionByName(was).groupBy("kind", "at").agg(F.abs(F.sum("mass")).alias("d")).agg(F.sum("d")).first()[0]
-        now = new
-        if change is None or change < TOLERANCE:
-            break
-    return now.groupBy(F.col("at").alias("host")).agg(
-        F.coalesce(F.sum(F.when(F.col("kind"), F.col("mass"))), F.lit(0.0)).alias("trust"),
-        F.coalesce(F.sum(F.when(~F.col("kind"), F.col("mass"))), F.lit(0.0)).alias("distrust"),
-    )
-
-
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", html: str = "html", threshold: float = THRESHOLD) -> DataFrame:
-    """pages without html, with host, path, rule, verdict, trust and distrust."""
+    now = cut(seeds.join(F.broadcast(sizes), "trusted").select(F.col("trusted").alias("kind"), F.col("host").alias("at"), (1 / F.col("n")).alias("mass")), "host-mass")  # sizes is two rows
+    passed = [now]
+    moving = 2.0 if steps.limit(1).count() else 0.0
+    while moving >= tolerance:
+        told = Observation()
+        moved = now.join(steps, ["kind", "at"]).groupBy("kind", F.col("to").alias("at")).agg(F.sum(F.col("mass") * F.col("part")).alias("mass"))
+        now = cut(moved.observe(told, F.sum("mass").alias("sum")), "host-mass")
+        passed.append(now)
+        moving = told.get["sum"] or 0.0
+    total = reduce(DataFrame.unionByName, passed).groupBy("kind", "at").agg(F.sum("mass").alias("mass"))
+    out = cut(total, "host-passed")
+    forget(steps, *passed)
+    score = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("mass") * (1 - damping))), F.lit(0.0))
+    return out.groupBy(F.col("at").alias("host")).agg(score(True).alias("trust"), score(False).alias("distrust"))
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", html: str = "html", threshold: float = THRESHOLD, floor: float = FLOOR) -> DataFrame:
+    """pages without html, with host, path, rule, verdict, trust and distrust (both of hosts without a rule, to nine digits)."""
     pages = pages.drop("host", "path", "rule", "verdict", "trust", "distrust", "_rule")
     plain = pages.drop(html).withColumn("host", host(F.col(url))).withColumn("path", path(F.col(url)))
-    ruled = cut(plain.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)), "judged-urls")
+    fits = cut(with_rule(plain, rules), "url-rules")
+    ruled = cut(plain.join(fits, ["host", "path"], "left"), "judged-urls")
     votes = ruled.where("_rule is not null").groupBy("host").agg(F.sum(F.when(F.col("_rule.verdict") == "allow", 1).otherwise(-1)).alias("v"))
-    seeds = votes.where("v <> 0").select("host", (F.col("v") > 0).alias("trusted"))
+    seeds = cut(votes.where("v <> 0").select("host", (F.col("v") > 0).alias("trusted")), "host-seeds")
     scores = propagate(host_edges(pages, url, html), seeds)
+    least = (1 - DAMPING) * floor / max(seeds.where("not trusted").count(), 1)
     asked = ruled.where("_rule is null").join(scores, "host", "left")
-    reached = F.col("trust") + F.col("distrust")
-    bad = (reached > 0) & (F.col("distrust") >= threshold * reached)
-    unruled = asked.withColumn("verdict", F.when(bad, "block").otherwise("allow")).withColumn("rule", F.lit(None).cast("string"))
+    trust, distrust = (F.round(c, 9) for c in ("trust", "distrust"))
+    bad = (distrust >= least) & (distrust >= threshold * (trust + distrust))
+    unruled = asked.withColumns({"verdict": F.when(bad, "block").otherwise("allow"), "rule": F.lit(None).cast("string"), "trust": trust, "distrust": distrust})
     known = ruled.where("_rule is not null").withColumn("rule", F.col("_rule.rule")).withColumn("verdict", F.col("_rule.verdict"))
     return known.unionByName(unruled, allowMissingColumns=True).drop("_rule")
