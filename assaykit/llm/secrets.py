@@ -2,10 +2,11 @@
 
 A scan of each text yields candidate values. Their hashes are counted over the whole corpus by
 distinct owners and repositories. A value that many owners carry is a widely copied example; one
-that stays with few owners looks like a live credential. Candidates of the three base kinds are
+that stays with few owners looks like a live credential, unless these have copied it into many
+repositories, as they do with the placeholder of a template. Candidates of the three base kinds are
 always reported; those of the further kinds only when they look live.
 
-Scale: one map pass; only candidates are shuffled. Counts are pre-aggregated in three levels
+Scale: one map pass, in which spans are compared by one sweep in their order; only candidates are shuffled. Counts are pre-aggregated in three levels
 (value, owner, repository; value, owner; value), so a value in a third of all rows is a handful
 of rows after the first level. Equal texts are judged once, by a 128-bit key of the text, and
 verdicts are joined to texts by equality, which run-time skew splitting can divide.
@@ -19,7 +20,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, text_or_empty, utf8
+from .common import cut, forget, small_batches, text_or_empty, utf8
 
 # The base patterns, and well-known shapes of further credentials.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -44,6 +47,7 @@ KINDS = ["assign", "access", "hex", "key_block", "web_token", "prefixed", "rando
 BASE = 3  # the first kinds of KINDS
 ENTROPY = 3.8  # bits for each character of a random string, at least
 OWNERS = 2  # a value with more owners is a widely copied example
+REPOSITORIES = 8  # so is one in more repositories, whoever owns them
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind_no", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("value", T.LongType())]))
 
@@ -70,8 +74,13 @@ def scan(text: str) -> list[tuple[int, int, int, str]]:
         more += [(m.start(), 4, m.end(), m[0]) for m in WEB_TOKEN.finditer(text)]
     more += [(m.start(), 5, m.end(), m[0]) for m in PREFIXED.finditer(text)]
     more += [(m.start(), 6, m.end(), m[0]) for m in RANDOM.finditer(text) if looks_random(m[0])]
-    for x in sorted(more):  # what a span before it already covers isn't told again
-        if all(x[2] <= y[0] or y[2] <= x[0] for y in out):
+    out.sort()
+    starts, ends = [x[0] for x in out], [*accumulate((x[2] for x in out), max)]
+    covered = 0
+    for x in sorted(more):  # what a base span or one before it already covers isn't told again
+        k = bisect_left(starts, x[2])
+        if covered <= x[0] and not (k and ends[k - 1] > x[0]):
+            covered = x[2]
             out.append(x)
     return sorted(out)
 
@@ -99,24 +108,26 @@ def ownership(uses: DataFrame) -> DataFrame:
     return uses.distinct().groupBy("value", "owner").agg(F.count("*").alias("repos")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repositories"))
 
 
-def annotate(df: DataFrame, text: str = "text", owner: str = "source", repo: str = "lang", owners: int = OWNERS) -> DataFrame:
+def annotate(df: DataFrame, text: str = "text", owner: str = "source", repo: str = "lang", owners: int = OWNERS, repositories: int = REPOSITORIES) -> DataFrame:
     """df with spans: array of (start, kind_no, end, kind, owners, repositories, live), in order.
 
     owner: the column whose distinct values count as owners. repo: a column that tells the
     repositories of one owner apart. Candidates of the further kinds that aren't live are left out.
     """
+    small_batches(df.sparkSession)
     df = df.drop("spans", "_k1", "_k2")
     seen = df.select(*_keys(text), F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo"), _found(text_or_empty(text)).alias("found"))
     seen = cut(seen.where(F.size("found") > 0), "secret-candidates")
     counts = ownership(seen.select(F.explode("found.value").alias("value"), "owner", "repo"))
     texts = seen.select("_k1", "_k2", "found").groupBy("_k1", "_k2").agg(F.first("found").alias("found"))
     spans = texts.select("_k1", "_k2", F.explode("found").alias("x")).select("_k1", "_k2", "x.*").join(counts, "value")
-    live = F.col("owners") <= owners
+    live = (F.col("owners") <= owners) & (F.col("repositories") <= repositories)
     told = spans.where((F.col("kind_no") < BASE) | live).withColumn("kind", F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind_no") + 1))
     marks = told.groupBy("_k1", "_k2").agg(
         F.array_sort(F.collect_list(F.struct("start", "kind_no", "end", "kind", "owners", "repositories", live.alias("live")))).alias("spans")
     )
     marks = cut(marks, "secret-spans")  # of a known size for the join's planning
+    forget(seen)
     keyed = df.select("*", *_keys(text))
     none = F.array().cast(marks.schema["spans"].dataType)
     return keyed.join(marks, ["_k1", "_k2"], "left").withColumn("spans", F.coalesce("spans", none)).drop("_k1", "_k2")
