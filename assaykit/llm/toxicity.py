@@ -8,14 +8,15 @@ The labels only say toxic or not. Grade 0 is not toxic; a toxic text has grade 1
 many different toxic words it holds (up to 2, up to 5, more), where toxic words are those words
 that the labels themselves tie to the toxic class.
 
-Scale: the model is fitted on at most max_train labelled texts, chosen by a hash of their id, and
-max_features features, so what the driver gets and what tasks are sent is bounded by these two.
+Scale: the model is fitted on at most max_train labelled texts, one for each id, chosen by a hash
+of their id among those that are there. All features of these texts that pass the level of
+significance are used, so what the driver gets and what tasks are sent is bounded by the sample.
 Scoring is map-only over whole texts; nothing else is shuffled.
 
 Edge cases: null and empty texts have no features and the severity of a text without any; rows
 without a label count and rows of unknown ids don't; without labels of both classes every
-severity is 0; repeated labels of an id count once, as toxic if any says so; ties in the choice
-of features are broken by the feature's text; further columns pass through, but for those with the
+severity is 0; repeated labels of an id count once, as toxic if any says so; of several texts with
+one id the first in their order is learnt from; further columns pass through, but for those with the
 name of a result, which are replaced.
 """
 
@@ -31,10 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, held, text_or_empty, utf8
+from .common import cut, forget, held, small_batches, text_or_empty, utf8
 
 MAX_TRAIN = 20_000
-MAX_FEATURES = 4_000
 LEAST_SEEN = 3
 CHANCE = 0.05  # expected number of features chosen by chance alone
 BEGINNINGS = range(4, 9)
@@ -104,7 +104,7 @@ def _count(batches):
     yield from send()
 
 
-def choose(sample: DataFrame, n_toxic: int, n_other: int, max_features: int) -> list[str]:
+def choose(sample: DataFrame, n_toxic: int, n_other: int) -> list[str]:
     """The features tied most strongly to the toxic class, by the likelihood ratio of the two shares.
 
     A feature must pass the level at which CHANCE of all candidates would pass without any tie.
@@ -115,7 +115,9 @@ def choose(sample: DataFrame, n_toxic: int, n_other: int, max_features: int) ->
     share = n_toxic / (n_toxic + n_other)
     part = lambda seen, of: F.when(seen > 0, seen * F.log(seen / ((t + o) * of))).otherwise(0.0)
     chosen = counts.withColumn("g", F.round(2 * (part(t, share) + part(o, 1 - share)), 6)).where((F.col("g") >= float(level)) & (t / n_toxic > 4 * o / n_other))
-    return sorted(r["feature"] for r in chosen.orderBy(F.desc("g"), "feature").limit(max_features).select("feature").collect())
+    out = sorted(r["feature"] for r in chosen.select("feature").collect())
+    forget(counts)
+    return out
 
 
 def fit_ordinal(rows: list[list[int]], grades: np.ndarray, n_features: int, penalty: float = 1e-3, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
@@ -145,16 +147,18 @@ def fit_ordinal(rows: list[list[int]], grades: np.ndarray, n_features: int, pena
     return held[:n_features], held[n_features] + np.concatenate([[0.0], np.cumsum(np.exp(held[n_features + 1 :]))])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES, doc_id: str = "doc_id", text: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Fit on the labelled texts among docs; labels has doc_id and toxic (0 or 1)."""
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sample = cut(texts.join(F.broadcast(marks), "doc_id"), "toxicity-sample")  # max_train ids at most
+    marks = cut(marks.join(texts.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train), "toxicity-marks")
+    sample = texts.join(F.broadcast(marks), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # max_train ids at most
+    sample = cut(sample, "toxicity-sample")
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return Model({}, np.zeros(0), np.full(GRADES, np.inf))
-    names = choose(sample, n[1], n[0], max_features)
+    names = choose(sample, n[1], n[0])
     index = {x: k for k, x in enumerate(names)}
     words = np.array([not x.endswith("*") for x in names] or [False])
 
@@ -164,7 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_fe
         return pa.array([table.of(x or "") for x in column.to_pylist()], pa.list_(pa.int32()))
 
     found = sample.select("doc_id", "toxic", hits("text").alias("hits")).collect()
-    found.sort(key=lambda r: (r["doc_id"], r["hits"]))
+    forget(marks, sample)
+    found.sort(key=lambda r: r["doc_id"])
     rows = [r["hits"] for r in found]
     said = np.array([int(words[x].sum()) if x else 0 for x in rows])
     grades = np.where(np.array([r["toxic"] for r in found]) > 0, 1 + (said > 2) + (said > 5), 0)
@@ -174,6 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_fe
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df with severity (double, from 0 to 3)."""
+    small_batches(df.sparkSession)
     index, weights, thresholds = model.index, model.weights, model.thresholds
     key = ("toxicity", hashlib.md5("\n".join(index).encode()).hexdigest())
 
