@@ -8,10 +8,10 @@ mostly stand for the same value of the text. An item counts from a share of its
 long run of its tokens, as a passage of it or an edited copy has; so a question that only had its values exchanged is
 found, and a chance likeness of templates is not.
 
-Scale: one map pass over whole texts; a window leaves its task only if the benchmark has it too.
-For that test the benchmark's distinct window hashes are sent to the tasks if there are at most
-FILTER_ROWS of them; beyond that all windows go into the join, with the same result. The join
-and the aggregates run on real hits only; equal texts are judged once and verdicts are joined
+Scale: one map pass over whole texts; a window leaves its task only if a bitmap of the benchmark's
+windows has two bits for it. The bitmap is folded in Spark and has BITS_MOST bits at most, 64 for
+each window below that, so what the tasks get is bounded for any benchmark; what it lets
+through goes into an exact join. The aggregates run on real hits only; equal texts are judged once and verdicts are joined
 back by a 128-bit key of the text, which run-time skew splitting can divide.
 
 Edge cases: null and empty texts are clean; items shorter than a window are one window of their
@@ -28,14 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, text_or_empty, utf8
+from .common import cut, small_batches, text_or_empty, utf8
 
 WINDOW = 8
 LITERALS = 4  # a window that is a template has at least so many words that are no placeholders
 SHARE = 0.4  # of an item's windows, or of those that are templates, that a leaking text holds
 RUN = 13  # or so many of its tokens, next to each other but for gaps of one, along one alignment
 CONSISTENT = 0.75  # of an item's slot values that keep to one value of the text
-FILTER_ROWS = 2_000_000
+BITS_MOST = 1 << 27
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 # Unit names and number words of the benchmark's languages.
@@ -205,14 +205,33 @@ def _item_windows(text: Column) -> Column:
     return of(text)
 
 
-def _text_windows(text: Column, wanted: np.ndarray | None, widths: list[int]) -> Column:
-    """Windows of a text that are among wanted, or all if that is None."""
-    mask, table = np.uint64(0), None
-    if wanted is not None:
-        size = 1 << max(16, int(np.ceil(np.log2(max(len(wanted), 1) * 64))))
-        mask = np.uint64(size - 1)
-        table = np.zeros(size, bool)
-        table[(wanted.view(np.uint64) & mask).astype(np.int64)] = True
+class Filter:
+    """A bitmap with two bits for each of the benchmark's window hashes."""
+
+    def __init__(self, hashes: DataFrame, most: int = BITS_MOST):
+        size = hashes.count()
+        self.size = 1 << min(max(16, (64 * size).bit_length()), most.bit_length() - 1)
+        places = hashes.select(F.explode(F.array(*[self._place(F.col("h"), k) for k in range(2)])).alias("p"))
+        words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
+        bits = np.zeros(self.size >> 6, np.int64)
+        for r in words.collect():  # one row for each 64 bits of the bitmap at most
+            bits[r["w"]] = r["b"]
+        self.bits = bits.view(np.uint8)
+
+    def _place(self, h: Column, k: int) -> Column:
+        return F.shiftrightunsigned(h, 31 * k).bitwiseAND(F.lit(self.size - 1))
+
+    def among(self, h: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """Indexes of the live hashes that the bitmap has."""
+        spots = np.flatnonzero(live)
+        for k in range(2):
+            place = ((h[spots].view(np.uint64) >> np.uint64(31 * k)) & np.uint64(self.size - 1)).astype(np.int64)
+            spots = spots[(self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0]
+        return spots
+
+
+def _text_windows(text: Column, wanted: Filter, widths: list[int]) -> Column:
+    """Windows of a text that wanted lets through."""
 
     @F.arrow_udf(HIT)
     def of(column: pa.Array) -> pa.Array:
@@ -222,14 +241,8 @@ def _text_windows(text: Column, wanted: np.ndarray | None, widths: list[int]) ->
             found = Tokens(part)
             begins = np.searchsorted(found.text, np.arange(len(part)))
             for width in widths:
-                h, near, enough = windows(found, width)
-                if table is not None and len(h):
-                    near = near & table[(h.view(np.uint64) & mask).astype(np.int64)]
-                    spots = np.flatnonzero(near)
-                    spots = spots[np.isin(h[spots], wanted)] if len(spots) else spots
-                else:
-                    spots = np.flatnonzero(near)
-                for k in spots.tolist():
+                h, within, enough = windows(found, width)
+                for k in wanted.among(h, within).tolist():
                     t = int(found.text[k])
                     rows[first + t].append((int(h[k]), k - int(begins[t]), found.values(k, width), bool(enough[k]), width))
         return _column(rows)
@@ -253,16 +266,14 @@ def _run(spots: Column) -> Column:
     return F.aggregate(F.array_sort(spots), state(F.lit(-9 * WINDOW), F.lit(0), F.lit(0)), step, lambda s: s["best"])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", filter_rows: int = FILTER_ROWS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", most_bits: int = BITS_MOST) -> DataFrame:
     """Rows (_k1, _k2, item_id, share, consistent) for each text and benchmark item in it; the keys name the text."""
+    small_batches(docs.sparkSession)
     items = benchmark.select("item_id", F.posexplode(_item_windows(text_or_empty("text"))).alias("_n", "w"))
     items = cut(items.select("item_id", F.col("w.h").alias("h"), F.col("w.pos").alias("item_pos"), F.col("w.slots").alias("item_slots"), F.col("w.template").alias("template"), F.col("w.width").alias("width")), "benchmark-windows")
     at = F.when(F.col("template"), F.col("item_pos"))
     sizes = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"), F.countDistinct(at).alias("item_templates"))
-    few = items.select("h").distinct()
-    wanted = None
-    if few.limit(filter_rows + 1).count() <= filter_rows:
-        wanted = np.sort(np.array([r["h"] for r in few.collect()], np.int64))
+    wanted = Filter(items.select("h").distinct(), most_bits)
     short = benchmark.select(_item_width(text_or_empty("text")).alias("w")).distinct().where(F.col("w") < WINDOW)
     widths = [WINDOW, *sorted(r["w"] for r in short.collect() if r["w"] > 0)]
     seen = docs.select(*_keys(text), _text_windows(text_or_empty(text), wanted, widths).alias("hits")).where(F.size("hits") > 0)
