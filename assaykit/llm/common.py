@@ -23,7 +23,7 @@ def small_batches(spark: SparkSession) -> None:
     """Bound the session's Arrow batches by rows and bytes; each operation on texts does so. Smaller bounds stay."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
-        now = int(spark.conf.get(key, "0").rstrip("b"))
+        now = int(spark.conf.get(key).rstrip("b"))
         if not 0 < now <= most:
             spark.conf.set(key, str(most))
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty, utf8
+from .common import small_batches, text_or_empty, utf8
 
 # HTML's element names by their role, and words of class, id and role attributes
 # that mark parts other than the article.
@@ -278,6 +278,7 @@ def main_text(html: str) -> str:
 
 def extract(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """df with the main text of the column html."""
+    small_batches(df.sparkSession)
 
     @F.arrow_udf(T.StringType())
     def of(column: pa.Array) -> pa.Array:
