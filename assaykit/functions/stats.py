@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +26,8 @@ def share_where(condition: Column, part: Column) -> Column:
 
 
 def zero_filled_mean(value: Column, ran: Column) -> Column:
-    """Rows that didn't run, and missing values, count as 0."""
-    return F.avg(F.when(ran, F.coalesce(value, F.lit(0.0))).otherwise(F.lit(0.0)))
+    """Rows that didn't run, and missing values, count as 0; rows with a null in ran don't count."""
+    return F.avg(F.when(ran, F.coalesce(value, F.lit(0.0))).when(~ran, F.lit(0.0)))
 
 
 def sum_or_null(value: Column) -> Column:
@@ -43,16 +46,56 @@ def linear_percentile(value: Column, q: float) -> Column:
     return F.percentile(value, F.lit(q))
 
 
-def index_percentile(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """keys and, for each name in qs, the element at index min(n-1, floor(q*n)) of the sorted values.
+def in_ranges(df: DataFrame, value: str, ranges: int = 64) -> DataFrame:
+    """df with _range: which of some ranges of even weight the value is in. The ends are fixed numbers, so every reader sees the same ranges."""
+    ends = sorted({x for x in df.approxQuantile(value, [k / ranges for k in range(1, ranges)], 0.002) if math.isfinite(x)})
+    return Bucketizer(splits=[-math.inf, *ends, math.inf], inputCol=value, outputCol="_range", handleInvalid="keep").transform(df)
+
+
+def running(df: DataFrame, keys: list[str], value: str, sums: list[str]) -> DataFrame:
+    """df with _before_x for each x in sums: its sum over the key's rows of smaller values, which have to be distinct.
 
-    Equal values are counted before the shuffle, and running counts are taken over distinct values.
+    A key's rows are spread over ranges of the value; sums run within a range, and are offset by those
+    of the ranges before it, a table of some dozens of rows for each key.
     """
+    ranged = in_ranges(df, value)
+    inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*[f"_{k}" for k in keys]).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_at")).agg(*[F.sum(x).alias(f"_sum_{x}") for x in sums])
+    offsets = sizes.select(*[f"_{k}" for k in keys], "_at", *[F.coalesce(F.sum(f"_sum_{x}").over(earlier), F.lit(0)).alias(f"_off_{x}") for x in sums])
+    local = ranged.withColumns({f"_loc_{x}": F.coalesce(F.sum(x).over(inside), F.lit(0)) for x in sums})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col("_range") == F.col("_at"))
+    return local.join(offsets, same).select(*df.columns, *[(F.col(f"_loc_{x}") + F.col(f"_off_{x}")).alias(f"_before_{x}") for x in sums])
+
+
+def _counted(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, value, _c, _before__c and _n: equal values are counted before the shuffle, then ranked over many tasks."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    part = Window.partitionBy(*keys)
-    ranked = counts.withColumn("_upto", F.sum("_c").over(part.orderBy(value))).withColumn("_n", F.sum("_c").over(part))
-    at = lambda q: F.least(F.col("_n") - 1, F.floor(F.lit(q) * F.col("_n"))) + 1
-    return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") >= at(q), F.col(value))).alias(name) for name, q in qs.items()])
+    totals = counts.groupBy(*[F.col(k).alias(f"_t_{k}") for k in keys]).agg(F.sum("_c").alias("_n"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys], F.lit(True))
+    return running(counts, keys, value, ["_c"]).join(totals, same)
+
+
+def _element(value: str, at: Column) -> Column:
+    """The value at an index of the sorted values."""
+    return F.max(F.when((F.col("_before__c") <= at) & (at < F.col("_before__c") + F.col("_c")), F.col(value)))
+
+
+def index_percentile(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """keys and, for each name in qs, the element at index min(n-1, floor(q*n)) of the sorted values."""
+    at = lambda q: F.least(F.col("_n") - 1, F.floor(F.lit(q) * F.col("_n")))
+    return _counted(df, keys, value).groupBy(*keys).agg(*[_element(value, at(q)).alias(name) for name, q in qs.items()])
+
+
+def linear_percentiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """keys and, for each name in qs, the percentile between the two nearest ranks, for groups of any size."""
+
+    def one(q: float) -> Column:
+        place = F.lit(q) * (F.first("_n") - 1)
+        low, high = (_element(value, f(F.lit(q) * (F.col("_n") - 1))) for f in (F.floor, F.ceil))
+        return low + (high - low) * (place - F.floor(place))
+
+    return _counted(df, keys, value).groupBy(*keys).agg(*[one(q).alias(name) for name, q in qs.items()])
 
 
 def wilson(successes: Column, n: Column) -> tuple[Column, Column]:
@@ -100,7 +143,6 @@ def auc(df: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
     Rows are folded to counts by score first; a running count of lower negatives does the rest.
     """
     counts = df.groupBy(*keys, score).agg(F.count_if(F.col(positive)).cast("double").alias("_p"), F.count_if(~F.col(positive)).cast("double").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    wins = counts.withColumn("_w", F.col("_p") * (F.coalesce(F.sum("_n").over(before), F.lit(0.0)) + F.col("_n") / 2))
+    wins = running(counts, keys, score, ["_n"]).withColumn("_w", F.col("_p") * (F.col("_before__n") + F.col("_n") / 2))
     pairs = F.sum("_p") * F.sum("_n")
     return wins.groupBy(*keys).agg(F.when(pairs > 0, F.sum("_w") / pairs).otherwise(F.lit(float("nan"))).alias("auc"))

@@ -27,6 +27,13 @@ TRIVIAL = [0.0, 1.0, 2.0, 90.0, 180.0, 270.0, 360.0]
 THINK = r"(?s)<think>.*?</think>"
 FENCE = r"(?s)```(?:python|py)?\s*\n(.*?)```"
 NAMED = r"(?:dimensions of (?:the|this) |resulting |[Tt]he final )([a-z][a-z\- ]{2,30}?) (?:will|are|is|has|have|measures)"
+NOUNS = (
+    "block|bar|plate|prism|box|cube|cylinder|rod|pipe|tube|ring|disk|disc|washer|bracket|beam|panel|frame|flange|"
+    "shaft|cap|slab|wedge|cone|column|post|bolt|nut|gear|housing|bushing|spacer|sleeve|hinge|clip|mount|rail|channel|"
+    "star|hexagon|triangle|arch|bowl|cup|knob|handle|leg|table|chair|shelf|stand|holder|support|cover|lid|tray|container"
+)
+TITLE = rf"(?i)\b((?:(?!new |first |second |final |the |a |an )[a-z\-]+ ){{0,2}}(?:{NOUNS}))s?\b"
+CONTENT_TYPES = ["text", "image"]
 SPACES = " \t\n\r\f\x0b"
 
 
@@ -112,9 +119,12 @@ def tidy(code: Column) -> Column:
 
 
 def title(spec: Column, n_parts: Column) -> Column:
-    """The last name that the spec gives the part, capitalised, with the number of parts if several."""
-    found = F.filter(F.regexp_extract_all(spec, F.lit(NAMED), F.lit(1)), lambda x: ~x.isin("part", "dimensions", "shape", "model"))
-    name = F.when(F.size(found) > 0, F.element_at(found, -1)).otherwise("part")
+    """The last name that the spec gives the part, else its first noun for a part, capitalised, with the number of parts if several."""
+    named = F.array_compact(F.regexp_extract_all(spec, F.lit(NAMED), F.lit(1)))
+    told = F.when(F.size(named) > 0, F.element_at(named, -1))
+    noun = F.nullif(F.regexp_extract(spec, TITLE, 1), F.lit(""))
+    name = F.coalesce(F.when(~told.isin("part", "dimensions", "shape", "model"), told), noun, F.lit("part"))
+    name = F.regexp_replace(F.trim(name), "^(?:final |dimensions of (?:the |this )?)+", "")
     head = F.concat(F.upper(F.substring(name, 1, 1)), F.lower(F.substr(name, F.lit(2))))
     return F.when(n_parts == 1, head).otherwise(F.concat(head, F.lit(" ("), n_parts.cast("string"), F.lit(" parts)")))
 
@@ -174,6 +184,18 @@ def content_parts(content: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), content.alias("text")))
 
 
+def checked_parts(parts: Column) -> Column:
+    """An array of parts (type, text), or an error if one has a type that no model takes."""
+    known = F.transform(parts, lambda p: F.struct(p["type"].alias("type"), p["text"].alias("text")))
+    odd = F.filter(parts, lambda p: ~p["type"].eqNullSafe(F.lit(CONTENT_TYPES[0])) & ~p["type"].eqNullSafe(F.lit(CONTENT_TYPES[1])))
+    return F.when(F.size(odd) > 0, F.raise_error(F.concat(F.lit("unsupported content part type "), F.coalesce(odd[0]["type"], F.lit("null"))))).otherwise(known)
+
+
+def session_key(lane: Column, slot: Column, sessions: int = 4) -> Column:
+    """The session that the calls of a slot share, for caches on the other side."""
+    return F.concat(F.lit("cad-"), lane, F.lit("-"), F.pmod(slot, F.lit(sessions)).cast("string"))
+
+
 def messages_length(messages: Column) -> Column:
     return F.aggregate(F.transform(messages, lambda m: F.length(m["content"])), F.lit(0), lambda a, b: a + F.coalesce(b, F.lit(0)))
 

@@ -6,6 +6,10 @@ partitioning, and a row's place never depends on other rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -175,3 +179,60 @@ def threshold_ladder(distances: DataFrame, column: str, steps: list[float]) -> D
     """threshold, n: how many distances are at most each step."""
     counts = distances.agg(*[F.count_if(F.col(column) <= s).alias(f"c{k}") for k, s in enumerate(steps)])
     return counts.select(F.inline(F.array(*[F.struct(F.lit(s).alias("threshold"), F.col(f"c{k}").alias("n")) for k, s in enumerate(steps)])))
+
+
+def flagged(df: DataFrame, catalog: DataFrame, key: str, flag: str) -> DataFrame:
+    """df with a boolean: whether the catalog has the row's key; a null key is in no catalog."""
+    there = catalog.select(key).distinct().withColumn(flag, F.lit(True))
+    return df.join(there, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
+def key_union(*tables: DataFrame, on: str) -> DataFrame:
+    """The distinct keys of all tables."""
+    return reduce(DataFrame.unionByName, [t.select(on).distinct() for t in tables]).distinct()
+
+
+def disjoint(df: DataFrame, other: DataFrame, on: str) -> DataFrame:
+    """df, or an error that names a key which both sides have."""
+    shared = df.join(other.select(on).distinct(), on, "left_semi").select(on).limit(1).collect()
+    if shared:
+        raise ValueError(f"both sides have {on} {shared[0][0]!r}")
+    return df
+
+
+def distinct_flatten(df: DataFrame, keys: list[str], lists: str) -> DataFrame:
+    """keys and the sorted distinct elements of all their lists; elements are folded before they are gathered."""
+    flat = df.select(*keys, F.explode(lists).alias(lists)).distinct()
+    return flat.groupBy(*keys).agg(F.array_sort(F.collect_set(lists)).alias(lists))
+
+
+QUERIES_HELD, ROWS_HELD = 4096, 65_536
+
+
+def nearest_vectors(queries: DataFrame, rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """key and best: the highest cosine of each query with a row of another key, over all rows.
+
+    Queries are dealt in blocks and rows in parts of a bounded size; each pair of them is one matrix
+    product, which sends on one number for each query. Null vectors take no part.
+    """
+    queries, rows = (x.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")) for x in (queries, rows))
+    n_blocks, n_parts = (max(1, -(-x.count() // most)) for x, most in ((queries, QUERIES_HELD), (rows, ROWS_HELD)))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = queries.select("id", "v", place(n_blocks).alias("block"), every(n_parts).alias("part"))
+    given = rows.select("id", "v", every(n_blocks).alias("block"), place(n_parts).alias("part"))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"id": [], "best": []})
+        x, y = (np.stack(t["v"].to_list()) for t in (a, b))
+        x, y = (t / np.linalg.norm(t, axis=1, keepdims=True) for t in (x, y))
+        out = np.full(len(x), -np.inf)
+        for at in range(0, len(y), 4096):
+            likeness = x @ y[at : at + 4096].T
+            likeness[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, at : at + 4096]] = -np.inf
+            out = np.maximum(out, likeness.max(1))
+        return pd.DataFrame({"id": a["id"], "best": out})[np.isfinite(out)]
+
+    found = asked.groupBy("block", "part").cogroup(given.groupBy("block", "part")).applyInPandas(best, "id long, best double")
+    return found.groupBy(F.col("id").alias(key)).agg(F.max("best").alias("best"))

@@ -24,7 +24,9 @@ BANNED_NAMES = {
 IO_ATTRIBUTES = {"exporters", "importers", "occ_impl", "vis", "jupyter_tools", "cq_directive", "save", "toSvg"}
 
 
-class _Screen(ast.NodeVisitor):
+class _Screen:
+    """What single nodes have against them. The texts of the findings are fixed values."""
+
     def __init__(self):
         self.found: list[str] = []
 
@@ -45,7 +47,6 @@ class _Screen(ast.NodeVisitor):
             self.found.append("dunder attribute access is not allowed")
         elif node.attr in IO_ATTRIBUTES or low.startswith("export") or low.startswith("import"):
             self.found.append(f"file access ({node.attr}) is not allowed")
-        self.generic_visit(node)
 
 
 def screen(code: str | None) -> str | None:
@@ -55,8 +56,11 @@ def screen(code: str | None) -> str | None:
     except (SyntaxError, ValueError) as e:
         return f"SyntaxError: {getattr(e, 'msg', e)} (line {getattr(e, 'lineno', 0)})"
     seen = _Screen()
-    seen.visit(tree)
-    return seen.found[0] if seen.found else None
+    for node in ast.walk(tree):  # outer nodes before inner ones, so the first finding is the outermost
+        getattr(seen, f"visit_{type(node).__name__}", bool)(node)
+        if seen.found:
+            return seen.found[0]
+    return None
 
 
 def screened(code: Column) -> Column:

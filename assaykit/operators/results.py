@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,7 +100,7 @@ def lane_summary(df: DataFrame, lane: list[str]) -> DataFrame:
         high.alias("success_high"),
         rate(succeeded(F.col("runs"), F.col("iou_aligned"), STRICT_IOU)).alias("success_iou95"),
         rate(F.col("runs")).alias("run_rate"),
-        F.avg(F.when(ok, F.when(F.col("runs"), F.coalesce("iou_aligned", F.lit(0.0))).otherwise(0.0))).alias("mean_iou_aligned"),
+        stats.zero_filled_mean(kept("iou_aligned"), F.when(ok, F.coalesce("runs", F.lit(False)))).alias("mean_iou_aligned"),
         F.median(F.when(ran, F.col("chamfer"))).alias("median_chamfer"),
         F.struct(F.count_if(ok & (F.col("n_parts") == 1)).alias("n"), rate(F.col("success"), ok & (F.col("n_parts") == 1)).alias("success")).alias("single_part"),
         F.struct(F.count_if(ok & (F.col("n_parts") > 1)).alias("n"), rate(F.col("success"), ok & (F.col("n_parts") > 1)).alias("success")).alias("multi_part"),
@@ -171,6 +173,63 @@ def quantified(df: DataFrame, item: str, lane: str, success: str, ours: list[str
     ).where(F.col("n_others") >= least_others)
 
 
+def demo_picks(told: DataFrame, item: str, faces: str, wins: int = 6) -> DataFrame:
+    """section, place, item, faces: what only ours gets right (middling sizes first), one easy part that all get
+    right and one that ours misses. told: item, ours_ok, all_others_ok, any_other_ok of quantified(), and faces."""
+    size = F.coalesce(faces, F.lit(0))
+    sections = [
+        ("win", F.col("ours_ok") & ~F.col("any_other_ok"), [size <= 6, F.abs(size - 14), F.col(item)], wins),
+        ("easy", F.col("ours_ok") & F.col("all_others_ok") & (size <= 6), [F.col(item)], 1),
+        ("miss", ~F.col("ours_ok") & F.col("any_other_ok"), [F.col(item)], 1),
+    ]
+    out = []
+    for name, test, order, most in sections:
+        top = told.where(test).orderBy(*order).limit(most)  # few rows, which one window can number
+        out.append(top.select(F.lit(name).alias("section"), F.row_number().over(Window.orderBy(*order)).alias("place"), item, faces))
+    return reduce(DataFrame.unionByName, out)
+
+
+def result_rows(calls: DataFrame, keys: list[str], order: list[str], parallel: str) -> DataFrame:
+    """One row for each key from its calls: samples in parallel take as long as the slowest, attempts one after another add up.
+
+    The first call tells the first-text time; a missing price makes the cost unknown.
+    """
+    together = F.bool_or(parallel)
+    return calls.groupBy(*keys).agg(
+        together.alias(parallel),
+        F.count("*").alias("n_calls"),
+        F.min_by("ttft_s", F.struct(*order)).alias("ttft_s"),
+        F.when(together, F.max("e2e_s")).otherwise(F.sum("e2e_s")).alias("e2e_s"),
+        F.sum("output_tokens").alias("output_tokens"),
+        F.sum("reasoning_chars").alias("reasoning_chars"),
+        stats.sum_or_null(F.col("cost_usd")).alias("cost_usd"),
+    )
+
+
+def chart_lanes(board: DataFrame, modality: str, lane: str, ours: list[str], skip: list[str] = (), least: int = 100) -> DataFrame:
+    """The board's lanes of a modality (text if it has none) with enough rows, without those to skip; place: ours first, then by success.
+
+    A board has a row for each lane, so one window numbers it.
+    """
+    kept = board.where((F.coalesce("modality", F.lit("text")) == modality) & ~F.col(lane).isin(list(skip)) & (F.col("n") >= least))
+    return kept.withColumn("place", F.row_number().over(Window.orderBy(~F.col(lane).isin(ours), F.desc(F.coalesce("success", F.lit(0.0))), lane)))
+
+
+def imported_summary(df: DataFrame, lane: list[str]) -> DataFrame:
+    """Rates of an evaluation that was made elsewhere: every row counts, and a missing likeness is 0 whether or not the program ran."""
+    iou = F.coalesce("iou_aligned", F.lit(0.0))
+    ok = succeeded(F.col("runs"), F.col("iou_aligned"))
+    return df.groupBy(*lane).agg(
+        F.count("*").alias("n"),
+        stats.share(ok).alias("success"),
+        stats.share(iou >= STRICT_IOU).alias("success_iou95"),
+        stats.share(F.col("runs")).alias("run_rate"),
+        F.avg(iou).alias("mean_iou_aligned"),
+        F.count_if(F.col("n_parts") == 1).alias("n_single"),
+        F.count_if(F.col("n_parts") > 1).alias("n_multi"),
+    )
+
+
 def reconcile(published: DataFrame, source: DataFrame, keys: list[str], exact: list[str], near: list[str], tolerance: float = 1e-9) -> DataFrame:
     """keys and status: same, missing, or the first column that differs; texts are compared trimmed."""
     other = source.select(*keys, F.lit(True).alias("_there"), *[F.col(c).alias(f"_{c}") for c in exact + near])

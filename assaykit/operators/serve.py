@@ -30,6 +30,14 @@ def display_order(tier: Column) -> Column:
     return F.array_position(F.array(*[F.lit(t) for t in TIER_ORDER]), tier)
 
 
+def picker_groups(parts: DataFrame) -> DataFrame:
+    """tier, n and its parts' labels in the parts' order, tiers by their first part: at, id, title, n_faces, n_parts, tier."""
+    several = F.when(F.col("n_parts") > 1, F.concat(F.lit(", "), F.col("n_parts").cast("string"), F.lit(" parts"))).otherwise("")
+    label = F.concat("title", F.lit(" · "), F.col("n_faces").cast("string"), F.lit(" faces"), several)
+    grouped = parts.groupBy("tier").agg(F.min("at").alias("at"), F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("at", "id", label.alias("label")))), lambda x: x["label"]).alias("labels"))
+    return grouped.orderBy("at").select("tier", "n", "labels")
+
+
 def searched(parts: DataFrame, needle: str = "", which: str = "all") -> DataFrame:
     """Parts whose title holds the text in any case: all, wins (only ours correct), missed (ours wrong), hard (no other correct)."""
     tests = {

@@ -76,8 +76,8 @@ def lane_summary(spark, d):
 @query("""SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95
 FROM lineitem GROUP BY l_returnflag""")
 def percentile_linear(spark, d):
-    price = F.col("l_extendedprice")
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(stats.linear_percentile(price, 0.5), 4).alias("p50"), F.round(stats.linear_percentile(price, 0.95), 4).alias("p95"))
+    found = stats.linear_percentiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p50": 0.5, "p95": 0.95})
+    return found.select("l_returnflag", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"))
 
 
 @query("""SELECT l_returnflag, list_sort(list(l_extendedprice))[CAST(least(count(*) - 1, floor(0.5 * count(*))) AS BIGINT) + 1] AS p50,
@@ -151,15 +151,48 @@ def success_quantifiers(spark, d):
     return results.quantified(rows, "l_orderkey", "l_returnflag", "ok", ["A"])
 
 
-@query("""WITH q AS (SELECT l_orderkey, sum(l_quantity) AS faces, bool_or(l_discount >= 0.05) FILTER (WHERE l_returnflag = 'A') AS ours, bool_or(l_discount >= 0.05) FILTER (WHERE l_returnflag <> 'A') AS other
-  FROM lineitem GROUP BY l_orderkey)
-SELECT l_orderkey, faces FROM q WHERE ours AND NOT coalesce(other, false) ORDER BY (faces <= 60)::INT, abs(faces - 140), l_orderkey LIMIT 8""")
+@query("""WITH q AS (SELECT l_orderkey, sum(l_quantity) / 10 AS faces, bool_or(l_discount >= 0.05) FILTER (WHERE l_returnflag = 'A') AS ours, bool_or(l_discount >= 0.05) FILTER (WHERE l_returnflag <> 'A') AS any_other,
+  bool_and(l_discount >= 0.05) FILTER (WHERE l_returnflag <> 'A') AS all_others FROM lineitem GROUP BY l_orderkey HAVING count(*) FILTER (WHERE l_returnflag <> 'A') >= 2 AND count(*) FILTER (WHERE l_returnflag = 'A') > 0),
+ r AS (SELECT 'win' AS section, *, row_number() OVER (ORDER BY (faces <= 6)::INT, abs(faces - 14), l_orderkey) AS place, 6 AS most FROM q WHERE ours AND NOT any_other
+  UNION ALL SELECT 'easy', *, row_number() OVER (ORDER BY l_orderkey), 1 FROM q WHERE ours AND all_others AND faces <= 6 UNION ALL SELECT 'miss', *, row_number() OVER (ORDER BY l_orderkey), 1 FROM q WHERE NOT ours AND any_other)
+SELECT section, place::INT AS place, l_orderkey, faces FROM r WHERE place <= most""")
 def demo_picks(spark, d):
-    """A top-k report: what only ours gets right, nearest to a middling size."""
-    ok = F.col("l_discount") >= 0.05
-    ours = F.col("l_returnflag") == "A"
-    q = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("faces"), F.bool_or(F.when(ours, ok)).alias("ours"), F.bool_or(F.when(~ours, ok)).alias("other"))
-    return q.where(F.col("ours") & ~F.coalesce("other", F.lit(False))).orderBy(F.col("faces") <= 60, F.abs(F.col("faces") - 140), "l_orderkey").limit(8).select("l_orderkey", "faces")
+    """A top-k report in three sections: only ours right, all right, ours wrong and another right."""
+    rows = table(spark, d, "lineitem").withColumn("ok", F.col("l_discount") >= 0.05)
+    told = results.quantified(rows, "l_orderkey", "l_returnflag", "ok", ["A"])
+    faces = rows.groupBy("l_orderkey").agg((F.sum("l_quantity") / 10).alias("faces"), F.count_if(F.col("l_returnflag") == "A").alias("n_ours")).where("n_ours > 0").drop("n_ours")
+    return results.demo_picks(told.join(faces, "l_orderkey"), "l_orderkey", "faces").select("section", "place", "l_orderkey", "faces")
+
+
+CALLS = "calls AS (SELECT l_orderkey AS id, l_linenumber AS no, l_quantity AS e2e_s, l_tax * 10 AS ttft_s, l_partkey AS output_tokens, CASE WHEN l_discount > 0 THEN l_extendedprice END AS cost_usd, l_suppkey AS reasoning_chars, l_orderkey % 2 = 0 AS parallel, l_linestatus, l_shipdate FROM lineitem)"
+
+
+@query(f"""WITH {CALLS} SELECT id, bool_or(parallel) AS parallel, count(*) AS n_calls, min_by(ttft_s, (no, output_tokens, reasoning_chars, e2e_s)) AS ttft_s, CASE WHEN bool_or(parallel) THEN max(e2e_s) ELSE sum(e2e_s) END AS e2e_s,
+  sum(output_tokens)::BIGINT AS output_tokens, sum(reasoning_chars)::BIGINT AS reasoning_chars, CASE WHEN count(*) = count(cost_usd) THEN round(sum(cost_usd), 2) END AS cost_usd FROM calls GROUP BY id""")
+def result_rows(spark, d):
+    """One result row for each item from its calls; samples of one item run in parallel or one after another."""
+    calls = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("no"), F.col("l_quantity").alias("e2e_s"), (F.col("l_tax") * 10).alias("ttft_s"), F.col("l_partkey").alias("output_tokens"),
+        F.when(F.col("l_discount") > 0, F.col("l_extendedprice")).alias("cost_usd"), F.col("l_suppkey").alias("reasoning_chars"), (F.col("l_orderkey") % 2 == 0).alias("parallel"),
+    )
+    return results.result_rows(calls, ["id"], ["no", "output_tokens", "reasoning_chars", "e2e_s"], "parallel").withColumn("cost_usd", F.round("cost_usd", 2))
+
+
+@query(f"""WITH {LOG}, b AS (SELECT lane, CASE WHEN lane IN ('click', 'view', 'error') THEN 'image' ELSE 'text' END AS modality, count(*) AS n, avg((value >= 20)::INT) AS success FROM log GROUP BY lane)
+SELECT lane, n, round(success, 6) AS success, row_number() OVER (ORDER BY (lane <> 'view')::INT, success DESC, lane)::INT AS place FROM b WHERE modality = 'image' AND lane <> 'error' AND n >= 100""")
+def chart_lanes(spark, d):
+    """The lanes of a chart: of one modality, no text-only model, enough rows; ours first, then by success."""
+    board = log(spark, d).groupBy("lane").agg(F.count("*").alias("n"), stats.share(F.col("value") >= 20).alias("success")).withColumn("modality", F.when(F.col("lane").isin("click", "view", "error"), "image").otherwise("text"))
+    return results.chart_lanes(board, "image", "lane", ["view"], skip=["error"], least=100).select("lane", "n", F.round("success", 6).alias("success"), "place")
+
+
+@query(f"""WITH {ANSWERS} SELECT lane, count(*) AS n, round(avg((runs AND coalesce(iou, 0) >= 0.9)::INT), 6) AS success, round(avg((coalesce(iou, 0) >= 0.95)::INT), 6) AS success_iou95, round(avg(runs::INT), 6) AS run_rate,
+  round(avg(coalesce(iou, 0)), 6) AS mean_iou_aligned, count(*) FILTER (WHERE n_parts = 1) AS n_single, count(*) FILTER (WHERE n_parts > 1) AS n_multi FROM answers GROUP BY lane""")
+def imported_summary(spark, d):
+    """An evaluation from elsewhere: no failed calls are taken out, and means don't ask whether a program ran."""
+    s = results.imported_summary(answers(spark, d), ["lane"])
+    r = lambda c: F.round(c, 6).alias(c)
+    return s.select("lane", "n", r("success"), r("success_iou95"), r("run_rate"), r("mean_iou_aligned"), "n_single", "n_multi")
 
 
 @query("""SELECT CASE WHEN p_partkey % 7 = 0 THEN 'multi' WHEN p_size <= 6 THEN 'simple' WHEN p_size <= 12 THEN 'medium' ELSE 'complex' END AS tier,
@@ -214,9 +247,9 @@ def token_price_join(spark, d):
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_quantity > l_tax * 100 THEN round(l_partkey / (l_quantity - l_tax * 100), 6) END AS tps
-FROM lineitem WHERE l_returnflag = 'R'""")
+FROM lineitem""")
 def token_rate(spark, d):
-    rows = table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    rows = table(spark, d, "lineitem")
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(results.tokens_per_second(F.col("l_partkey"), F.col("l_quantity"), F.col("l_tax") * 100), 6).alias("tps"))
 
 

@@ -123,13 +123,11 @@ def near_dup_slice_rates(spark, d):
 
 @query("""WITH n AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
 SELECT a.vec_id, round(max(list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e))), 5) AS best
-FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 GROUP BY a.vec_id""")
+FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 GROUP BY a.vec_id""")
 def embedding_near_dup(spark, d):
-    """The nearest other vector with the same label, for the stated queries whose id 20 divides."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    e = table(spark, d, "embeddings").select("vec_id", "label", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
-    a = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), "label", F.col("embedding").alias("qe"), F.col("norm").alias("qn"))
-    return a.join(e, "label").where("q <> vec_id").groupBy(F.col("q").alias("vec_id")).agg(F.round(F.max(dot(F.col("qe"), F.col("embedding")) / F.col("qn") / F.col("norm")), 5).alias("best"))
+    """The nearest other vector of the whole table, for the stated queries whose id 20 divides."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return curate.nearest_vectors(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding").withColumn("best", F.round("best", 5))
 
 
 REASON = """CASE WHEN source = 'src0' THEN 'leak' WHEN lang = 'de' THEN 'shot' WHEN n_chars > 4000 THEN 'too long' END"""
@@ -174,12 +172,12 @@ def dims_consistent_check(spark, d):
     return table(spark, d, "part").select("p_partkey", geometry.dims_consistent(stated, found).alias("dims_ok"))
 
 
-@query("""SELECT (SELECT count(*) FROM (SELECT source FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT source FROM documents WHERE doc_id % 2 = 1)) AS sources,
+@query(r"""SELECT (SELECT count(*) FROM (SELECT source FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT source FROM documents WHERE doc_id % 2 = 1)) AS sources,
  (SELECT count(*) FROM (SELECT text FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT text FROM documents WHERE doc_id % 2 = 1)) AS texts,
- (SELECT count(*) FROM (SELECT left(text, 40) FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT left(text, 40) FROM documents WHERE doc_id % 2 = 1)) AS heads""")
+ (SELECT count(*) FROM (SELECT regexp_replace(text, '[ \t\r\n]+', ' ', 'g') FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT regexp_replace(text, '[ \t\r\n]+', ' ', 'g') FROM documents WHERE doc_id % 2 = 1)) AS normalized""")
 def set_overlap_counts(spark, d):
     docs = table(spark, d, "documents")
-    return curate.overlap_counts(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), {"sources": F.col("source"), "texts": F.col("text"), "heads": F.substring("text", 1, 40)})
+    return curate.overlap_counts(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), {"sources": F.col("source"), "texts": F.col("text"), "normalized": F.regexp_replace("text", r"[ \t\r\n]+", " ")})
 
 
 @query("""SELECT lang, count(*) AS n, count(DISTINCT source) AS n_sources, round(avg(n_chars), 4) AS mean_chars, max(n_chars) AS max_chars, round(count(*) FILTER (WHERE n_chars > 1000) / count(*), 4) AS long_share FROM documents GROUP BY lang""")
@@ -219,3 +217,32 @@ def reward_case(spark, d):
     code = F.when(F.col("l_returnflag") != "R", F.lit("x"))
     r = geometry.reward(code, F.col("l_linestatus") != "O", F.col("l_discount") * 10)
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg((F.round(F.sum(r), 4) + 0.0).alias("reward"))
+
+
+@query("""SELECT s_suppkey, s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49) AS live FROM supplier""")
+def membership_flags(spark, d):
+    """Which listed suppliers the catalog of the day holds."""
+    catalog = table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey"))
+    return curate.flagged(table(spark, d, "supplier").select("s_suppkey"), catalog, "s_suppkey", "live")
+
+
+@query("""SELECT count(*) AS n_keys FROM (SELECT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'A' UNION SELECT s_suppkey FROM supplier WHERE s_nationkey < 12)""")
+def key_union(spark, d):
+    used, near = table(spark, d, "lineitem").where("l_returnflag = 'A'").select(F.col("l_suppkey").alias("k")), table(spark, d, "supplier").where("s_nationkey < 12").select(F.col("s_suppkey").alias("k"))
+    return curate.key_union(used, near, on="k").agg(F.count("*").alias("n_keys"))
+
+
+@query("""SELECT count(*) AS n FROM documents WHERE doc_id % 50 >= 10""")
+def disjoint_split(spark, d):
+    """The training side of a split, once it is known to share no key with the held-out side."""
+    docs = table(spark, d, "documents").select((F.col("doc_id") % 50).alias("src"))
+    train, held = docs.where("src >= 10"), docs.where("src < 10")
+    return curate.disjoint(train, held, "src").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT source, count(*) AS n_langs, string_agg(lang, ',' ORDER BY lang) AS langs FROM (SELECT DISTINCT source, lang FROM documents) GROUP BY source""")
+def distinct_flatten(spark, d):
+    """The lists of several groups, flattened to their distinct elements."""
+    lists = table(spark, d, "documents").groupBy("source", (F.col("doc_id") % 7).alias("part")).agg(F.collect_set("lang").alias("langs"))
+    out = curate.distinct_flatten(lists, ["source"], "langs")
+    return out.select("source", F.size("langs").cast("long").alias("n_langs"), F.array_join("langs", ",").alias("langs"))

@@ -47,9 +47,12 @@ def abort_after_fatal(spark, d):
     return folds.until_fatal(events, ["race"], (F.col("type") == "error") & (F.length("text") > 50)).groupBy("race").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
 
 
-@query(f"""WITH {RACE}, f AS (SELECT *, max(seq) FILTER (WHERE type = 'restart') OVER (PARTITION BY race, lane) AS l FROM race), live AS (SELECT *, l IS NULL OR seq > l AS live, type IN ('reasoning', 'content') AS delta FROM f)
+LANE_STATE = f"""WITH {RACE}, f AS (SELECT *, max(seq) FILTER (WHERE type = 'restart') OVER (PARTITION BY race, lane) AS l FROM race), live AS (SELECT *, l IS NULL OR seq > l AS live, type IN ('reasoning', 'content') AS delta FROM f)
 SELECT CAST(race AS VARCHAR) AS race, lane, coalesce(max_by(CASE WHEN delta THEN 'writing' ELSE type END, seq) FILTER (WHERE live AND type <> 'restart'), 'waiting') AS status,
-  coalesce(sum(length(text)) FILTER (WHERE live AND delta), 0)::BIGINT AS chars, count(*) AS n_events, min_by(t, seq) FILTER (WHERE live AND delta) AS ttft, count(*) FILTER (WHERE type = 'restart')::INT AS restarts FROM live GROUP BY ALL""")
+  coalesce(sum(length(text)) FILTER (WHERE live AND delta), 0)::BIGINT AS chars, count(*) AS n_events, min_by(t, seq) FILTER (WHERE live AND delta) AS ttft, count(*) FILTER (WHERE type = 'restart')::INT AS restarts FROM live GROUP BY ALL"""
+
+
+@query(LANE_STATE)
 def lane_state_fold(spark, d):
     return folds.fold_batch(race(table(spark, d, "events")))
 
@@ -95,40 +98,39 @@ def terminal_event(spark, d):
     return ends.groupBy("race").agg(F.count("*").alias("n"), F.max("last").alias("t_end"))
 
 
-def _place() -> str:
-    return tempfile.mkdtemp(prefix="assaykit-stream-")
-
-
-def checkpoint_for(spark, name: str) -> str:
-    """A checkpoint folder beside the others in the shared folder, or a temporary one where none is set."""
+def place_for(spark, name: str) -> str:
+    """A folder of its own beside the others in the shared folder; where none is set, only a local session gets a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}" if shared else _place()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="assaykit-stream-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-@query()
+@query("""SELECT * FROM (SELECT event_type, time_bucket(INTERVAL 6 HOURS, ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL)
+WHERE start + INTERVAL 6 HOURS <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def stream_tumbling(spark, d):
     """Tumbling windows of the event stream in append mode: windows that the last watermark closes."""
     events = folds.with_time(stream(spark, d)).withWatermark("ts", "1 hour")
-    name = f"tumbling_{uuid.uuid4().hex}"
-    return folds.run_once(folds.tumbling(events, "6 hours", ["event_type"], "value"), name, checkpoint_for(spark, name))
+    told = folds.run_once(folds.tumbling(events, "6 hours", ["event_type"], "value"), place_for(spark, "tumbling"))
+    return told.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query()
 def stream_distinct(spark, d):
     """Event ids that the watermark's duplicate filter lets through."""
     events = folds.with_time(stream(spark, d)).withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["user_id", "event_type"])
-    name = f"distinct_{uuid.uuid4().hex}"
-    return folds.run_once(events.select("event_id", "user_id", "event_type"), name, checkpoint_for(spark, name))
+    return folds.run_once(events.select("event_id", "user_id", "event_type"), place_for(spark, "distinct"))
 
 
-@query()
+@query(LANE_STATE)
 def stream_fold(spark, d):
     """The lane states of the event stream, by a stateful processor over RocksDB."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        name = f"fold_{uuid.uuid4().hex}"
-        return folds.run_once(folds.fold_stream(race(stream(spark, d))), name, checkpoint_for(spark, name), "update")
+        return folds.run_once(folds.fold_stream(race(stream(spark, d))), place_for(spark, "fold"), ["race", "lane"])
     finally:
         spark.conf.set(key, before)

@@ -14,11 +14,10 @@ def normalized_text_dups(spark, d):
     return table(spark, d, "documents").groupBy(text.normalized_program(F.col("text")).alias("text")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query(r"""SELECT doc_id, len(list_distinct(list_transform(regexp_extract_all(text, '\b[0-9]+\b'), lambda x: x::DOUBLE))) AS n_numbers, round(list_sum(list_transform(regexp_extract_all(text, '\b[0-9]+\b'), lambda x: least(x::DOUBLE, 1e6))), 2) AS total FROM documents""")
+@query(r"""SELECT doc_id, len(list_distinct(list_transform(regexp_extract_all(text, '\b[0-9]+\b'), lambda x: x::DOUBLE))) AS n_numbers, list_max(list_transform(regexp_extract_all(text, '\b[0-9]+\b'), lambda x: x::DOUBLE)) AS largest FROM documents""")
 def regex_number_extract(spark, d):
     found = F.transform(F.regexp_extract_all("text", F.lit(r"\b[0-9]+\b"), F.lit(0)), lambda x: x.cast("double"))
-    total = F.aggregate(found, F.lit(0.0), lambda a, x: a + F.least(x, F.lit(1e6)))
-    return table(spark, d, "documents").select("doc_id", F.size(F.array_distinct(found)).cast("long").alias("n_numbers"), F.when(F.size(found) > 0, F.round(total, 2)).alias("total"))
+    return table(spark, d, "documents").select("doc_id", F.size(F.array_distinct(found)).cast("long").alias("n_numbers"), F.array_max(found).alias("largest"))
 
 
 @query("""WITH s AS (SELECT p_partkey, [p_size * 1.0, p_retailprice] AS given, list_distinct([p_size * 1.001, 7.25, p_retailprice]) AS needed FROM part)
@@ -83,8 +82,8 @@ def json_props_extract(spark, d):
 
 @query("SELECT p_brand, count(*) AS n, round(sum(p_retailprice), 2) AS total FROM part GROUP BY p_brand")
 def map_roundtrip(spark, d):
-    """Rows folded into one JSON map for each brand, and read again from it."""
-    pairs = table(spark, d, "part").groupBy("p_brand").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("p_partkey").cast("string"), F.struct("p_retailprice"))))).alias("json"))
+    """Rows folded into JSON maps of a brand, and read again from them; a map holds a thousand keys at most, however many a brand has."""
+    pairs = table(spark, d, "part").groupBy("p_brand", F.expr("p_partkey div 1000")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("p_partkey").cast("string"), F.struct("p_retailprice"))))).alias("json"))
     rows = pairs.select("p_brand", F.explode(F.from_json("json", "map<string, struct<p_retailprice: double>>")).alias("id", "v"))
     return rows.groupBy("p_brand").agg(F.count("*").alias("n"), F.round(F.sum("v.p_retailprice"), 2).alias("total"))
 
@@ -94,9 +93,11 @@ def token_estimates(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.sum(text.token_estimate(F.col("text"))).alias("tokens"), F.count_if(F.length("text") > 4000).alias("n_long"))
 
 
-@query("""SELECT doc_id, replace(replace(replace(replace(left(text, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM documents""")
+@query("""SELECT doc_id, length(e) AS n_chars, md5(e) AS digest FROM (SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS e FROM documents)""")
 def html_escaped(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.html_escape(F.substring("text", 1, 200)).alias("escaped"))
+    """Length and digest of every whole text, escaped."""
+    escaped = text.html_escape(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.length(escaped).cast("long").alias("n_chars"), F.md5(escaped).alias("digest"))
 
 
 @query("""SELECT o_orderkey, printf('Bounding box: X %.4f, Y %.4f, Z %.4f. Write the CadQuery program for this part.', o_totalprice, o_orderkey / 8, 1.5) AS request, substr(sha1(o_orderpriority), 1, 16) AS key FROM orders""")

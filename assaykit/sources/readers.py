@@ -79,6 +79,12 @@ def newest_of_tags(runs: DataFrame, tags: list[str], run: str = "run") -> DataFr
     return runs.select(run, tag.alias("tag")).where(F.col("tag").isin(tags)).groupBy("tag").agg(F.max(run).alias(run))
 
 
+def folder_size(spark: SparkSession, path: str) -> DataFrame:
+    """n_files and n_bytes below a folder; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    return files.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))
+
+
 def newest_file(spark: SparkSession, path: str) -> DataFrame:
     """path of the file that was changed last."""
     files = spark.read.format("binaryFile").load(path).select("path", "modificationTime")
@@ -115,7 +121,8 @@ def server_sent_events(raw: DataFrame, column: str, schema: str) -> DataFrame:
 def compare_documents(spark: SparkSession, path: str, lane_schema: str) -> DataFrame:
     """One row for each document and lane."""
     docs = spark.read.schema(f"id string, title string, tier_faces int, n_parts int, bbox array<double>, spec string, lanes array<struct<{lane_schema}>>").option("multiLine", True).json(path)
-    return docs.select("id", "title", "tier_faces", "n_parts", "bbox", F.explode("lanes").alias("lane")).select("*", "lane.*")
+    own = ["id", "title", "tier_faces", "n_parts", "bbox"]
+    return docs.select(*own, F.explode("lanes").alias("_l")).select(*own, "_l.*")
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:

@@ -6,12 +6,15 @@ Events have race, lane, seq (a total order within a race), t (seconds), type and
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.stats import in_ranges
+
 DELTAS = ["reasoning", "content"]
 
 
@@ -36,12 +39,20 @@ def until_fatal(events: DataFrame, keys: list[str], fatal: Column, seq: str = "s
 def paced(requests: DataFrame, keys: list[str], now: str, order: list[str], interval: float) -> DataFrame:
     """requests with start: the time from now on that keeps the interval to the start before.
 
-    start_i = max over j <= i of (now_j - j*interval) + i*interval, a running maximum.
+    start_i = max over j <= i of (now_j - j*interval) + i*interval, a running maximum. order begins
+    with now; a key's requests are spread over ranges of it, with the counts and maxima of the ranges before.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    i = F.row_number().over(w) - 1
-    numbered = requests.withColumn("_i", i)
-    return numbered.withColumn("start", F.max(F.col(now) - F.col("_i") * interval).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_i") * interval).drop("_i")
+    ranged = in_ranges(requests, now)
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order)
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("_i", F.row_number().over(inside) - 1).withColumn("_x", F.col(now) - F.col("_i") * interval)
+    local = local.withColumn("_x", F.max("_x").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    sizes = local.groupBy(*keys, "_range").agg(F.count("*").alias("_c"), F.max("_x").alias("_m"))
+    counted = sizes.withColumn("_off", F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
+    held = counted.withColumn("_top", F.max(F.col("_m") - F.col("_off") * interval).over(earlier)).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_at"), "_off", "_top")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col("_range") == F.col("_at"))
+    best = F.greatest(F.col("_x") - F.col("_off") * interval, "_top")  # greatest passes over nulls
+    return local.join(held, same).select(*requests.columns, (best + (F.col("_i") + F.col("_off")) * interval).alias("start"))
 
 
 def with_time(events: DataFrame, ts: str = "ts") -> DataFrame:
@@ -126,11 +137,24 @@ def merged(*streams: DataFrame) -> DataFrame:
     return first
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that is there now, through a query with a memory sink, for tests and small reports."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_once(stream: DataFrame, place: str, keys: list[str] | None = None) -> DataFrame:
+    """All that is there now, through Parquet files in a shared folder; nothing passes the driver.
+
+    With keys the stream tells updates, and the last row of each key counts; else it appends.
+    """
+    spark, out = stream.sparkSession, f"{place}/rows"
+    writer = stream.writeStream.outputMode("update" if keys else "append").option("checkpointLocation", f"{place}/state").trigger(availableNow=True)
+    if not keys:
+        writer.format("parquet").option("path", out).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(out)
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")  # written again as a whole if a batch is taken up again
+
+    writer.foreachBatch(keep).start().awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    told = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch int").parquet(out)
+    return told.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*").select(*stream.columns)
 
 
 def append_log(stream: DataFrame, path: str, checkpoint: str):
