@@ -43,16 +43,17 @@ def _tables(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/assaykit/{spark.sparkContext.applicationId}"
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 
     The rows no longer depend on shuffle files, so a lost executor costs one task and
     not the whole lineage, and what stands above is computed once however often it is used.
+    With by, each value of that column has files of its own, so a reader of one value reads no other.
     The table stays until forget(df), or clean_up(spark) once results have been read.
     """
     spark = df.sparkSession
     path = f"{_tables(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out

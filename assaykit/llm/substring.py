@@ -2,21 +2,25 @@
 
 A window is 35 consecutive words. Every window holds an anchor, the smallest hash among its
 word groups of eight, so a window can't repeat unless its anchor does. Anchors are ten times
-fewer than windows. The first pass counts them in count-min sketches, one for each partition,
-which are merged; the estimate of an anchor's count is never below the count of any of its
-windows. The second pass groups only windows whose estimate says repeated, and does so exactly:
+fewer than windows. Neighbouring windows with one anchor are one unit. The first pass writes the
+units' keys, in slices by a hash of the anchor, and counts the anchors of a slice in count-min
+sketches, one for each partition, which are merged; the estimate of an anchor's count is never
+below the count of any of its windows. The second pass groups only windows whose estimate says
+repeated, and does so exactly:
 
-1. Neighbouring windows with one anchor are one unit. Equal units are counted; those found
+1. Equal units are counted; those found
    twice or more have all their windows repeated.
 2. For anchors with several different units, one occurrence of each is read again and its single
    windows are grouped. That finds what a unit that differs at its edge still shares.
 
-Scale: the sketch has a fixed largest size (two rows of 2^27 cells, one bit each once merged),
-so what is broadcast is bounded; beyond it more windows go into the exact pass, and none is lost.
-Sketch blocks are merged by streaming over sorted rows, in constant memory. All counts are
-partial aggregates and all joins are equality joins, so a passage in a third of all texts is
-folded before the shuffle or split at run time. Whole texts are handled; occurrences in equal
-texts are folded by a 128-bit key of the text before they are gathered for each text.
+Scale: there are as many slices as four cells for each anchor take, so the sketch filters alike at
+every size, and what is broadcast for a slice is bounded: two rows of cells_most cells, one bit
+each once merged. Each slice reads its own files only. Sketch blocks are merged by streaming over
+sorted rows, in constant memory. All counts are partial aggregates and all joins are equality
+joins, so a passage in a third of all texts is folded before the shuffle or split at run time.
+Whole texts are handled, and read three times: for the units, for the windows of units that share
+their anchor with others, and to take words out. Occurrences in equal texts are folded by a
+128-bit key of the text before they are gathered for each text.
 
 Edge cases: null and empty texts have no words; texts shorter than a window keep all; repeated
 rows repeat each other's windows; further columns pass through, but for those with the name of a
@@ -25,6 +29,8 @@ result or helper, which are replaced; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,12 +38,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, held, lists, text_or_empty, utf8
+from .common import cut, forget, held, lists, small_batches, text_or_empty, utf8
 
 WINDOW = 35
 GROUP = 8
 ROWS = 2
-CELLS_MOST = 1 << 27
+CELLS_MOST = 1 << 28
 BLOCK = 1 << 16
 WORDS_HELD = 250_000
 PLACES = np.uint64(26)  # bits for a position; longer texts are taken in parts
@@ -120,12 +126,12 @@ class Bits:
         return out
 
 
-def cells_for(expected: int) -> int:
-    """Four cells for each key, a power of two within bounds."""
+def cells_for(expected: int, most: int = CELLS_MOST) -> tuple[int, int]:
+    """Cells of a sketch row and number of slices, for four cells for each key at least."""
     n = BLOCK
-    while n < min(4 * expected, CELLS_MOST):
+    while n < min(4 * expected, most):
         n *= 2
-    return n
+    return n, max(1, -(-4 * expected // n))
 
 
 def _blocks(keys: np.ndarray, n_cells: int):
@@ -194,15 +200,11 @@ def sketch(keys_of, df: DataFrame, n_cells: int, least: int) -> Bits:
     return Bits(rows, n_cells)
 
 
-def _anchors(batch: pa.RecordBatch) -> np.ndarray:
-    found = [anchor for x in utf8(batch.column("text")) for _, _, anchor, _, _ in units(x)]
-    return np.concatenate([np.empty(0, np.uint64), *found])
-
-
 def occurrence(k1: np.ndarray, k2: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mixed(mixed(k1.view(np.uint64) * A + first.astype(np.uint64)) + k2.view(np.uint64))
 
 
+UNIT = "anchor long, unit long, n int, k1 long, k2 long, first int"
 OCC = pa.schema([("anchor", pa.int64()), ("unit", pa.int64()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int32()), ("occ", pa.int64())])
 
 
@@ -219,25 +221,45 @@ def _occurrences(batch: pa.RecordBatch):
     return [anchor, unit, n.astype(np.int32), k1, k2, first.astype(np.int32), occurrence(k1, k2, first).view(np.int64)], wins
 
 
-def repeated(df: DataFrame, text: str = "text") -> DataFrame:
-    """(k1, k2, spans): for the key of each text with repeats, its (first word, number of words) spans, sorted."""
+def repeated(df: DataFrame, text: str = "text", cells_most: int = CELLS_MOST) -> DataFrame:
+    """(k1, k2, spans): for the key of each text with repeats, its (first word, number of words) spans, sorted.
+
+    cells_most bounds the memory of a worker: a quarter of a byte for each cell; the more, the fewer slices.
+    """
     spark = df.sparkSession
+    small_batches(spark)
     keyed = df.select(*_keys(text), text_or_empty(text).alias("text"))
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    often = spark.sparkContext.broadcast(sketch(_anchors, keyed.select("text"), cells_for(size // 60), 2))
+    n_cells, slices = cells_for(size // 60, cells_most)
 
-    def second(batches):
+    def first(batches):
+        schema = pa.schema([*list(OCC)[:6], ("slice", pa.int32())])
         for batch in batches:
             columns, _ = _occurrences(batch)
-            live = often.value(columns[0].view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(c[live], t) for c, t in zip(columns, OCC.types)], schema=OCC)
-
-    occ = cut(keyed.mapInArrow(second, "anchor long, unit long, n int, k1 long, k2 long, first int, occ long"), "repeat-units")
+            part = (columns[0].view(np.uint64) >> np.uint64(32)) % np.uint64(slices)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns[:6], part.astype(np.int32)], schema.types)], schema=schema)
+
+    found = cut(keyed.mapInArrow(first, f"{UNIT}, slice int"), "repeat-all-units", by="slice" if slices > 1 else None)
+    kept = []
+    for k in range(slices):
+        part = found.where(F.col("slice") == k).drop("slice")
+        often = spark.sparkContext.broadcast(sketch(lambda b: b.column("anchor").to_numpy().view(np.uint64), part.select("anchor"), n_cells, 2))
+
+        def second(batches, often=often):
+            for batch in batches:
+                batch = batch.filter(pa.array(often.value(batch.column("anchor").to_numpy().view(np.uint64))))
+                occ = occurrence(*(batch.column(c).to_numpy() for c in ("k1", "k2", "first"))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(occ)], schema=OCC)
+
+        kept.append(cut(part.mapInArrow(second, f"{UNIT}, occ long"), "repeat-units"))
+        often.unpersist()
+    forget(found)
+    occ = reduce(DataFrame.unionByName, kept)
     # one occurrence stands for each unit: the one with the smallest hash
     seen = cut(occ.groupBy("anchor", "unit").agg(F.count("*").alias("c"), F.min("occ").alias("occ")), "repeat-counts")
     several = seen.groupBy("anchor").count().where("count > 1").select("anchor")
     chosen = cut(seen.join(several, "anchor"), "repeat-chosen")
-    again = spark.sparkContext.broadcast(sketch(lambda b: b.column("occ").to_numpy().view(np.uint64), chosen.select("occ"), cells_for(chosen.count()), 1))
+    again = spark.sparkContext.broadcast(sketch(lambda b: b.column("occ").to_numpy().view(np.uint64), chosen.select("occ"), cells_for(chosen.count())[0], 1))
 
     def third(batches):
         schema = pa.schema([*OCC, ("windows", pa.list_(pa.int64()))])
@@ -269,7 +291,7 @@ def _keys(text: str) -> list[Column]:
 KEPT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
 
-def remove_repeats(df: DataFrame, text: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", cells_most: int = CELLS_MOST) -> DataFrame:
     """df with n_words, n_removed and kept, the text's words outside repeated windows joined by a space."""
 
     df = df.drop("n_words", "n_removed", "kept", "_k1", "_k2", "_spans", "_out")
@@ -293,7 +315,7 @@ def remove_repeats(df: DataFrame, text: str = "text") -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], [f.name for f in KEPT])
 
     keys = [k.alias(f"_{n}") for k, n in zip(_keys(text), ("k1", "k2"))]
-    found = repeated(df, text).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans"))
+    found = repeated(df, text, cells_most).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans"))
     joined = df.select("*", *keys).join(found, ["_k1", "_k2"], "left")
     out = joined.withColumn("_out", of(text_or_empty(text), F.col("_spans.first"), F.col("_spans.words")))
     return out.select(*[F.col(c) for c in df.columns], "_out.*")

@@ -544,6 +544,26 @@ def test_substring_finds_partial_units(spark):
     assert [got[k] for k in range(len(texts))] == brute_kept(texts)
 
 
+def test_the_sketch_filters_alike_at_every_size(spark, data, docs, monkeypatch):
+    """With cells for a tenth of the anchors there are slices, and as few unique anchors pass as with one sketch."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"t{k}" for k in rng.integers(0, 10**6, 3000)) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    passed, cut = {}, substring.cut
+    for most in (1 << 16, 1 << 27):
+        made = []
+        monkeypatch.setattr(substring, "cut", lambda x, label, by=None: made.append((label, cut(x, label, by))) or made[-1][1])
+        substring.repeated(df, cells_most=most)
+        units = sum(x.count() for label, x in made if label == "repeat-units")
+        passed[most] = units, sum(label == "repeat-units" for label, _ in made)
+    total = sum(len(first) for t in texts for first, *_ in substring.units(t.encode()))
+    assert passed[1 << 16][1] > 8 and passed[1 << 27][1] == 1
+    assert all(units < 0.15 * total for units, _ in passed.values())
+    monkeypatch.setattr(substring, "cut", cut)
+    got = {r.doc_id: (r.n_words, r.n_removed, sha(r.kept)) for r in substring.remove_repeats(spark.read.parquet(f"{data}/documents.parquet"), cells_most=1 << 13).collect()}
+    assert got == dict(zip(docs, brute_kept(docs.values())))
+
+
 def test_long_texts_in_parts(monkeypatch):
     monkeypatch.setattr(substring, "PART", 100)
     text = LONG.encode()
