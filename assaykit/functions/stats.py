@@ -42,14 +42,14 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 
 
 def linear_percentile(value: Column, q: float) -> Column:
-    """Interpolated between the two nearest ranks; nulls dropped."""
+    """Interpolated between the two nearest ranks; nulls dropped. For groups that fit into one buffer; linear_percentiles takes any."""
     return F.percentile(value, F.lit(q))
 
 
 def in_ranges(df: DataFrame, value: str, ranges: int = 64) -> DataFrame:
     """df with _range: which of some ranges of even weight the value is in. The ends are fixed numbers, so every reader sees the same ranges."""
     ends = sorted({x for x in df.approxQuantile(value, [k / ranges for k in range(1, ranges)], 0.002) if math.isfinite(x)})
-    return Bucketizer(splits=[-math.inf, *ends, math.inf], inputCol=value, outputCol="_range", handleInvalid="keep").transform(df)
+    return Bucketizer(splits=[-math.inf, *(ends or [0.0]), math.inf], inputCol=value, outputCol="_range", handleInvalid="keep").transform(df)
 
 
 def running(df: DataFrame, keys: list[str], value: str, sums: list[str]) -> DataFrame:

@@ -191,6 +191,15 @@ def checked_parts(parts: Column) -> Column:
     return F.when(F.size(odd) > 0, F.raise_error(F.concat(F.lit("unsupported content part type "), F.coalesce(odd[0]["type"], F.lit("null"))))).otherwise(known)
 
 
+def run_name(created: Column, tag: Column) -> Column:
+    """The name of a run's folder, which sorts by time."""
+    return F.concat(F.date_format(created, "yyyyMMdd-HHmmss"), F.lit("_"), tag)
+
+
+def iso_seconds(created: Column) -> Column:
+    return F.date_format(created, "yyyy-MM-dd'T'HH:mm:ss")
+
+
 def session_key(lane: Column, slot: Column, sessions: int = 4) -> Column:
     """The session that the calls of a slot share, for caches on the other side."""
     return F.concat(F.lit("cad-"), lane, F.lit("-"), F.pmod(slot, F.lit(sessions)).cast("string"))

@@ -6,13 +6,13 @@ partitioning, and a row's place never depends on other rows.
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 
 def hash_order(item: Column, seed: int = 0) -> Column:
@@ -45,10 +45,14 @@ def overlap_counts(a: DataFrame, b: DataFrame, columns: dict[str, Column]) -> Da
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once: in the shared checkpoint folder if there is one, else on the executors' disks."""
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.DISK_ONLY)
+    """df computed once, in the shared folder spark.checkpoint.dir. Where it is unset, a local session gets one of its own; a cluster can't."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not place and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(place or tempfile.mkdtemp(prefix="assaykit-checkpoint-"))
+    return df.checkpoint(eager=True)
 
 
 def running_in_hash_order(df: DataFrame, item: Column, seed: int, value: Column, by: list[str] = ()) -> DataFrame:
@@ -120,6 +124,34 @@ def quota_sample(df: DataFrame, item: str, hard: Column, size: int, share: float
     return ranked.where(F.col("_before") < F.when(F.col("_s"), k_hard).otherwise(F.lit(size) - k_hard)).select(*df.columns)
 
 
+def seeded_sample(df: DataFrame, item: str, n: int, seed: int = 11) -> DataFrame:
+    """The first n rows in hash order: each task sends its first n."""
+    return df.orderBy(hash_order(F.col(item), seed), item).limit(n)
+
+
+def shuffled(df: DataFrame, item: str, seed: int = 0) -> DataFrame:
+    """df with place: its rows' places, from 1, in the hash order of item."""
+    return running_in_hash_order(df, F.col(item), seed, F.lit(1)).withColumn("place", F.col("_before") + 1).drop("_before")
+
+
+def bench_records(records: DataFrame, sheets: DataFrame | None = None, multi_only: bool = False, min_faces: int = 0, item: str = "id") -> DataFrame:
+    """The records a run asks for: those with a sheet, of several parts, with faces enough (missing faces are none)."""
+    if sheets is not None:
+        records = records.join(sheets.select(item).distinct(), item, "left_semi")
+    if multi_only:
+        records = records.where("n_parts > 1")
+    if min_faces:
+        records = records.where(F.coalesce("n_faces", F.lit(0)) >= min_faces)
+    return records
+
+
+def provenance(df: DataFrame, split: str, splits: list[str], shares: dict[str, Column], of: str) -> DataFrame:
+    """One row: total, the rows of each split (n_<split>), and the shares of conditions among the rows of one split, to four digits."""
+    inside = F.col(split) == of
+    among = lambda c: F.round(F.count_if(inside & c) / F.nullif(F.count_if(inside), F.lit(0)), 4)
+    return df.agg(F.count("*").alias("total"), *[F.count_if(F.col(split) == x).alias(f"n_{x}") for x in splits], *[among(c).alias(name) for name, c in shares.items()])
+
+
 def even_picks(df: DataFrame, tier: str, order: list[str], picks: int = 4) -> DataFrame:
     """Rows at index floor(i*(n-1)/(picks-1)) of each sorted tier, first to last.
 

@@ -83,7 +83,10 @@ def relabel(results: DataFrame, parts: DataFrame, key: str, columns: list[str])
 
 def lane_summary(df: DataFrame, lane: list[str]) -> DataFrame:
     """One row for each lane from results (error, output_tokens, runs, success, iou_aligned, chamfer,
-    n_parts, e2e_s, ttft_s, attempts, cost_usd, oracle_iou); failed calls are only counted."""
+    n_parts, e2e_s, ttft_s, attempts, cost_usd, oracle_iou); failed calls are only counted.
+
+    Percentiles are ranked over many tasks, so a lane may hold any share of the rows.
+    """
     failed = infra_failed(F.col("error"), F.col("output_tokens"))
     live = df.withColumn("_failed", failed)
     ok = ~F.col("_failed")
@@ -92,7 +95,7 @@ def lane_summary(df: DataFrame, lane: list[str]) -> DataFrame:
     rate = lambda cond, part=ok: F.avg(F.when(part, F.coalesce(cond, F.lit(False)).cast("double")))
     n = F.count_if(ok)
     low, high = stats.wilson(F.count_if(ok & F.col("success")), F.when(n > 0, n))
-    return live.groupBy(*lane).agg(
+    rates = live.groupBy(*lane).agg(
         n.alias("n"),
         F.count_if("_failed").alias("n_infra_failed"),
         rate(F.col("success")).alias("success"),
@@ -101,17 +104,23 @@ def lane_summary(df: DataFrame, lane: list[str]) -> DataFrame:
         rate(succeeded(F.col("runs"), F.col("iou_aligned"), STRICT_IOU)).alias("success_iou95"),
         rate(F.col("runs")).alias("run_rate"),
         stats.zero_filled_mean(kept("iou_aligned"), F.when(ok, F.coalesce("runs", F.lit(False)))).alias("mean_iou_aligned"),
-        F.median(F.when(ran, F.col("chamfer"))).alias("median_chamfer"),
         F.struct(F.count_if(ok & (F.col("n_parts") == 1)).alias("n"), rate(F.col("success"), ok & (F.col("n_parts") == 1)).alias("success")).alias("single_part"),
         F.struct(F.count_if(ok & (F.col("n_parts") > 1)).alias("n"), rate(F.col("success"), ok & (F.col("n_parts") > 1)).alias("success")).alias("multi_part"),
-        stats.linear_percentile(kept("e2e_s"), 0.5).alias("latency_p50"),
-        stats.linear_percentile(kept("e2e_s"), 0.95).alias("latency_p95"),
-        stats.linear_percentile(kept("ttft_s"), 0.5).alias("ttft_p50"),
         F.avg(kept("output_tokens")).alias("output_tokens_mean"),
         F.avg(kept("attempts")).alias("attempts_mean"),
         F.avg(F.when(ok, (F.coalesce("oracle_iou", F.lit(0.0)) >= SUCCESS_IOU).cast("double"))).alias("oracle_success"),
         (F.avg(kept("cost_usd")) * 1000).alias("cost_per_1k_usd"),
     )
+    for part, value, qs in ((ran, "chamfer", {"median_chamfer": 0.5}), (ok, "e2e_s", {"latency_p50": 0.5, "latency_p95": 0.95}), (ok, "ttft_s", {"ttft_p50": 0.5})):
+        rates = _beside(rates, stats.linear_percentiles(live.where(part), lane, value, qs), lane)
+    return rates
+
+
+def _beside(df: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the further columns of more, which has a row for each key at most; null keys are equal."""
+    named = more.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return df.join(named, same, "left").drop(*[f"_k_{k}" for k in keys])
 
 
 def tiered_rates(df: DataFrame, keys: list[str], tier: Column, success: Column) -> DataFrame:
@@ -157,6 +166,12 @@ def tokens_per_second(output_tokens: Column, e2e_s: Column, ttft_s: Column) -> C
     return F.when(e2e_s > ttft_s, output_tokens / F.when(e2e_s > ttft_s, e2e_s - ttft_s))
 
 
+def newest_metadata(rows: DataFrame, runs: DataFrame, group: list[str], run: str = "run") -> DataFrame:
+    """group and the columns of runs (run, group and what is told of both) from the last run that answered for the group."""
+    last = rows.where(~infra_failed(F.col("error"), F.col("output_tokens"))).groupBy(*group).agg(F.max(run).alias(run))
+    return runs.join(last, [*group, run])
+
+
 def latest_run(runs: DataFrame, tag: str, name: str) -> DataFrame:
     """The last name of each tag."""
     return runs.groupBy(tag).agg(F.max(name).alias(name))
@@ -215,6 +230,20 @@ def chart_lanes(board: DataFrame, modality: str, lane: str, ours: list[str], ski
     return kept.withColumn("place", F.row_number().over(Window.orderBy(~F.col(lane).isin(ours), F.desc(F.coalesce("success", F.lit(0.0))), lane)))
 
 
+def report_rows(df: DataFrame, least: int = 300, n: str = "n_clean") -> DataFrame:
+    """The rows of a report that rest on more than `least` clean answers."""
+    return df.where(F.col(n) > least)
+
+
+def learning_points(df: DataFrame, run: str, success: Column, base: int = 0, final: tuple[str, int] | None = None) -> DataFrame:
+    """step, n and success of the runs of a training, in order: `…_ckpt<step>-img`, the base run as step `base`, and the final run (its tag, its step)."""
+    said = F.regexp_extract(run, r"_ckpt(\d+)-img$", 1)
+    step = F.when(said != "", F.nullif(said, F.lit("")).cast("int")).when(F.col(run).endswith("_base"), base)
+    if final:
+        step = step.when(F.col(run).endswith(f"_{final[0]}"), final[1])
+    return df.withColumn("step", step).where("step is not null").groupBy("step").agg(F.count("*").alias("n"), stats.share(success).alias("success")).orderBy("step")
+
+
 def imported_summary(df: DataFrame, lane: list[str]) -> DataFrame:
     """Rates of an evaluation that was made elsewhere: every row counts, and a missing likeness is 0 whether or not the program ran."""
     iou = F.coalesce("iou_aligned", F.lit(0.0))

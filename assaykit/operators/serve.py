@@ -30,12 +30,15 @@ def display_order(tier: Column) -> Column:
     return F.array_position(F.array(*[F.lit(t) for t in TIER_ORDER]), tier)
 
 
-def picker_groups(parts: DataFrame) -> DataFrame:
-    """tier, n and its parts' labels in the parts' order, tiers by their first part: at, id, title, n_faces, n_parts, tier."""
+def picker_rows(parts: DataFrame) -> DataFrame:
+    """group ("tier (n)"), group_at (place of the tier's first part), at, id and label of each part, in display order.
+
+    parts: at, id, title, n_faces, n_parts, tier. A tier is as many rows as it has parts; only its size is folded.
+    """
     several = F.when(F.col("n_parts") > 1, F.concat(F.lit(", "), F.col("n_parts").cast("string"), F.lit(" parts"))).otherwise("")
     label = F.concat("title", F.lit(" · "), F.col("n_faces").cast("string"), F.lit(" faces"), several)
-    grouped = parts.groupBy("tier").agg(F.min("at").alias("at"), F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("at", "id", label.alias("label")))), lambda x: x["label"]).alias("labels"))
-    return grouped.orderBy("at").select("tier", "n", "labels")
+    sizes = parts.groupBy("tier").agg(F.min("at").alias("group_at"), F.concat("tier", F.lit(" ("), F.count("*").cast("string"), F.lit(")")).alias("group"))
+    return parts.join(sizes, "tier").select("group", "group_at", "at", "id", label.alias("label")).orderBy("group_at", "at")
 
 
 def searched(parts: DataFrame, needle: str = "", which: str = "all") -> DataFrame:
@@ -74,6 +77,24 @@ def replay_times(ttft: Column, e2e: Column) -> tuple[Column, Column]:
     return F.least(F.coalesce(ttft, end * 0.3), end - 0.1), end
 
 
+def replay_events(answers: DataFrame, race: str, lane: str, dedicated: str) -> DataFrame:
+    """race, at (place from 1), t, lane and type of the events that replay each race's answers at their measured times.
+
+    answers: race, lane, dedicated, ttft_s, e2e_s, code; one for each race and lane. Events of one time keep the
+    lanes' order (dedicated ones first, then by name) and their own.
+    """
+    end = F.greatest(F.coalesce(F.nullif("e2e_s", F.lit(0.0)), F.lit(1.0)), F.lit(0.6))
+    first = F.round(F.least(F.coalesce(F.nullif("ttft_s", F.lit(0.0)), F.lit(0.5)), end - 0.1), 3)
+    event = lambda no, t, kind: F.struct(F.lit(no).alias("no"), t.alias("t"), F.lit(kind).alias("type"))
+    made = F.array(event(1, first, "reasoning"), event(2, first, "status"), F.when(F.coalesce("code", F.lit("")) != "", event(3, F.round(end, 3), "content")), event(4, F.round(end, 3), "generated"), event(5, F.round(end + 0.4, 3), "graded"))
+    told = answers.select(race, lane, (~F.col(dedicated)).alias("_other"), F.explode(F.array_compact(made)).alias("e"))
+    target = answers.select(race).distinct().select(race, F.lit(None).cast("string").alias(lane), F.lit(False).alias("_other"), event(0, F.lit(0.0), "target").alias("e"))
+    both = told.select(race, lane, "_other", "e.*").unionByName(target.select(race, lane, "_other", "e.*"))
+    # a race has six rows a lane at most
+    order = Window.partitionBy(race).orderBy("t", F.expr("no > 0"), "_other", lane, "no")
+    return both.withColumn("at", F.row_number().over(order)).select(race, "at", "t", lane, "type")
+
+
 def replay_speed(df: DataFrame, keys: list[str], e2e: str, seconds: float = 9.0) -> DataFrame:
     """df with speed: a factor of at most 1 that brings each race's slowest lane to the given length."""
     slowest = F.max(e2e).over(Window.partitionBy(*keys))

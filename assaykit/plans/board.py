@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import stats
+from ..functions import stats, text
 from ..operators import results
 from ..sources import writers
 from .registry import LOG, log, query, table
@@ -369,3 +369,41 @@ def cyclic_neighbours(spark, d):
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     key = F.col("c_custkey")
     return table(spark, d, "customer").select(key, F.coalesce(F.lag(key).over(w), F.last(key).over(whole)).alias("prev"), F.coalesce(F.lead(key).over(w), F.first(key).over(whole)).alias("next"))
+
+
+@query(f"""WITH {LOG}, g AS (SELECT k % 5 AS modality, lane, max(strftime(created, '%Y%m%d-%H') || '_r' || (k % 3)) AS run FROM log WHERE lane <> 'error' GROUP BY ALL),
+ m AS (SELECT k % 5 AS modality, lane, strftime(created, '%Y%m%d-%H') || '_r' || (k % 3) AS run, max(k) AS shots FROM log GROUP BY ALL) SELECT modality, lane, run, shots FROM g JOIN m USING (modality, lane, run)""")
+def newest_lane_metadata(spark, d):
+    rows = log(spark, d).select((F.col("k") % 5).alias("modality"), "lane", F.concat(F.date_format("created", "yyyyMMdd-HH"), F.lit("_r"), F.col("k") % 3).alias("run"), "k", F.when(F.col("lane") == "error", "api: 500").alias("error"), F.when(F.col("lane") != "error", F.col("k") + 1).alias("output_tokens"))
+    runs = rows.groupBy("modality", "lane", "run").agg(F.max("k").alias("shots"))
+    return results.newest_metadata(rows, runs, ["modality", "lane"]).select("modality", "lane", "run", "shots")
+
+
+@query("""SELECT source, n_clean FROM (SELECT source, count(*) FILTER (WHERE n_chars > 20) AS n_clean FROM documents GROUP BY source) WHERE n_clean > 30""")
+def report_rows(spark, d):
+    counts = table(spark, d, "documents").groupBy("source").agg(F.count_if(F.col("n_chars") > 20).alias("n_clean"))
+    return results.report_rows(counts, least=30)
+
+
+@query(f"""WITH {LOG}, r AS (SELECT value, CASE k % 4 WHEN 0 THEN 'x_base' WHEN 1 THEN 'x_ckpt' || k || '-img' WHEN 2 THEN 'x_final' ELSE 'x_ckpt' || k END AS run FROM log),
+ s AS (SELECT value, CASE WHEN run LIKE '%-img' THEN CAST(regexp_extract(run, '_ckpt([0-9]+)-img$', 1) AS INT) WHEN run LIKE '%_base' THEN 0 WHEN run LIKE '%_final' THEN 500 END AS step FROM r)
+SELECT step, count(*) AS n, round(avg((value >= 20)::INT), 6) AS success FROM s WHERE step IS NOT NULL GROUP BY step""")
+def checkpoint_curve(spark, d):
+    """Success by training step, which the names of the runs tell."""
+    k = F.col("k")
+    name = F.when(k % 4 == 0, "x_base").when(k % 4 == 1, F.concat(F.lit("x_ckpt"), k, F.lit("-img"))).when(k % 4 == 2, "x_final").otherwise(F.concat(F.lit("x_ckpt"), k))
+    points = results.learning_points(log(spark, d).withColumn("run", name), "run", F.col("value") >= 20, final=("final", 500))
+    return points.select("step", "n", F.round("success", 6).alias("success"))
+
+
+@query("""SELECT 'cad-' || event_type || '-' || (event_id % 4) AS session, count(*) AS n, count(DISTINCT user_id) AS n_items FROM events GROUP BY 1""")
+def session_affinity(spark, d):
+    session = text.session_key(F.col("event_type"), F.col("event_id"))
+    return table(spark, d, "events").groupBy(session.alias("session")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_items"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y%m%d-%H%M%S') || '_' || event_type AS run, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS created, date_trunc('second', ts) AS parsed FROM events""")
+def run_times(spark, d):
+    """Names of runs from their times, and times written and read in ISO form."""
+    created = text.iso_seconds(F.col("ts"))
+    return table(spark, d, "events").select("event_id", text.run_name(F.col("ts"), F.col("event_type")).alias("run"), created.alias("created"), F.to_timestamp_ntz(created).alias("parsed"))

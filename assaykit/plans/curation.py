@@ -246,3 +246,34 @@ def distinct_flatten(spark, d):
     lists = table(spark, d, "documents").groupBy("source", (F.col("doc_id") % 7).alias("part")).agg(F.collect_set("lang").alias("langs"))
     out = curate.distinct_flatten(lists, ["source"], "langs")
     return out.select("source", F.size("langs").cast("long").alias("n_langs"), F.array_join("langs", ",").alias("langs"))
+
+
+@query("""SELECT p_partkey AS id, p_size AS n_faces FROM part WHERE p_partkey IN (SELECT s_suppkey FROM supplier) AND p_partkey % 3 = 0 AND p_size >= 7""")
+def bench_filters(spark, d):
+    """The parts of a run: with a sheet, of several parts, with faces enough."""
+    records = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("n_faces"), F.when(F.col("p_partkey") % 3 == 0, 2).otherwise(1).alias("n_parts"))
+    return curate.bench_records(records, table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), multi_only=True, min_faces=7).select("id", "n_faces")
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (WHERE lang = 'en') AS n_en, count(*) FILTER (WHERE lang = 'de') AS n_de, count(*) FILTER (WHERE lang = 'fr') AS n_fr,
+ round(count(*) FILTER (WHERE lang = 'en' AND n_chars > 400) / count(*) FILTER (WHERE lang = 'en'), 4) AS share_long, round(count(*) FILTER (WHERE lang = 'en' AND source = 'src0') / count(*) FILTER (WHERE lang = 'en'), 4) AS share_src0 FROM documents""")
+def provenance_rollup(spark, d):
+    shares = {"share_long": F.col("n_chars") > 400, "share_src0": F.col("source") == "src0"}
+    return curate.provenance(table(spark, d, "documents"), "lang", ["en", "de", "fr"], shares, of="en")
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY md5(doc_id || ':11'), doc_id LIMIT 40")
+def reverify_sample(spark, d):
+    """A seeded sample of 40 rows to verify again."""
+    return curate.seeded_sample(table(spark, d, "documents").select("doc_id", "source"), "doc_id", 40)
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY md5(p_partkey || ':13'), p_partkey) AS place FROM part")
+def shuffled_rows(spark, d):
+    return curate.shuffled(table(spark, d, "part").select("p_partkey"), "p_partkey", 13)
+
+
+@query("SELECT substr(sha1(text), 1, 16) AS key, any_value(length(text)) AS n_chars FROM documents GROUP BY 1")
+def content_keys(spark, d):
+    """Texts stored once under a key of their content."""
+    return writers.content_addressed(table(spark, d, "documents"), "text").select("key", F.length("text").cast("long").alias("n_chars"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import serve
+from ..operators import curate, serve
 from .board import NEWEST, newest
 from .registry import LOG, log, query, table
 
@@ -57,3 +57,24 @@ SELECT k AS lane, id, lane AS tag, event_id FROM r WHERE rn = 1""")
 def saved_answer_lookup(spark, d):
     rows = log(spark, d).select(F.col("k").alias("lane"), "id", F.col("lane").alias("tag"), "event_id")
     return serve.saved_answers(rows.select("lane", "id", "event_id", "tag"), ["view", "click"]).select("lane", "id", "tag", "event_id")
+
+
+@query(f"""WITH {PARTS}, o AS (SELECT *, row_number() OVER (ORDER BY n_faces DESC, id) AS spot FROM parts), sizes AS (SELECT tier, min(spot) AS group_at, count(*) AS n FROM o GROUP BY tier)
+SELECT tier || ' (' || n || ')' AS "group", group_at, id, title || ' · ' || n_faces || ' faces' || CASE WHEN id % 7 = 0 THEN ', 2 parts' ELSE '' END AS label FROM o JOIN sizes USING (tier)""")
+def viewer_picker(spark, d):
+    """The parts of the picker in their groups."""
+    ranked = curate.with_rank(listed(spark, d).withColumn("_down", -F.col("n_faces")), ["_down", "id"]).withColumnRenamed("_rank", "at")
+    return serve.picker_rows(ranked).select("group", "group_at", "id", "label")
+
+
+@query(f"""WITH {NEWEST}, a AS (SELECT id, lane, lane NOT IN ('click', 'view') AS other, k % 7 <> 0 AS coded, greatest(CASE WHEN k % 5 = 0 OR value = 0 THEN 1.0 ELSE value END, 0.6) AS e, CASE WHEN k % 3 = 0 OR value = 0 THEN 0.5 ELSE value / 10 END AS f FROM newest),
+ b AS (SELECT *, round(least(f, e - 0.1), 3) AS u FROM a),
+ ev AS (SELECT id, lane, other, 1 AS no, u AS t, 'reasoning' AS type FROM b UNION ALL SELECT id, lane, other, 2, u, 'status' FROM b UNION ALL SELECT id, lane, other, 3, round(e, 3), 'content' FROM b WHERE coded
+  UNION ALL SELECT id, lane, other, 4, round(e, 3), 'generated' FROM b UNION ALL SELECT id, lane, other, 5, round(e + 0.4, 3), 'graded' FROM b UNION ALL SELECT DISTINCT id, NULL, false, 0, 0.0, 'target' FROM b)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY t, no > 0, other, lane, no) AS at, t, lane, type FROM ev""")
+def replay_events(spark, d):
+    """The events that replay each part's newest answers at their measured times."""
+    rows = newest(spark, d)
+    k = F.col("k")
+    answers = rows.select("id", "lane", F.col("lane").isin("click", "view").alias("dedicated"), F.when(k % 3 != 0, F.col("value") / 10).alias("ttft_s"), F.when(k % 5 != 0, F.col("value")).alias("e2e_s"), F.when(k % 7 != 0, "x").alias("code"))
+    return serve.replay_events(answers, "id", "lane", "dedicated").withColumn("at", F.col("at").cast("long"))

@@ -131,6 +131,21 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.concat(F.lit("data:image/png;base64,"), F.regexp_replace(F.base64("content"), "[\r\n]", "")).alias("data_url"))
 
 
+def pixels(spark: SparkSession, path: str) -> DataFrame:
+    """path, height, width and rgb (height x width x 3 bytes) of images, by Spark's own image source; grey and alpha become RGB."""
+
+    @F.pandas_udf("binary")
+    def turned(data: pd.Series, channels: pd.Series) -> pd.Series:
+        out = []
+        for x, n in zip(data, channels):
+            bands = np.frombuffer(x, np.uint8).reshape(-1, n)
+            out.append((bands[:, [2, 1, 0]] if n > 1 else np.repeat(bands, 3, axis=1)).tobytes())
+        return pd.Series(out)
+
+    files = spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*")
+    return files.select(F.col("origin").alias("path"), "height", "width", turned("data", "nChannels").alias("rgb"))
+
+
 def meshes(spark: SparkSession, path: str) -> DataFrame:
     """path, n_triangles, low and high of binary STL files."""
 

@@ -46,7 +46,7 @@ def test_serve_helpers(spark):
     per_step, left = serve.progress(F.lit(30.0), F.lit(10), F.lit(6))
     assert one(spark, per_step) == 5.0 and one(spark, left) == 20.0
     rows = spark.createDataFrame([(1, "a", "A", 3, 1, "simple"), (2, "b", "B", 9, 2, "medium"), (3, "c", "C", 4, 1, "simple")], "at int, id string, title string, n_faces int, n_parts int, tier string")
-    assert [(r.tier, r.n, r.labels) for r in serve.picker_groups(rows).collect()] == [("simple", 2, ["A · 3 faces", "C · 4 faces"]), ("medium", 1, ["B · 9 faces, 2 parts"])]
+    assert [(r.group, r.id, r.label) for r in serve.picker_rows(rows).collect()] == [("simple (2)", "a", "A · 3 faces"), ("simple (2)", "c", "C · 4 faces"), ("medium (1)", "b", "B · 9 faces, 2 parts")]
 
 
 def test_repeat_last_is_the_value_so_far(spark):
@@ -136,3 +136,17 @@ def test_all_rows_are_asked_for_neighbours(spark, monkeypatch):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     like = unit @ unit.T - 9 * np.eye(40)
     assert got.keys() == set(range(0, 40, 4)) and all(got[k] == pytest.approx(like[k].max()) for k in got)
+
+
+def test_summary_of_no_answers_and_of_a_lane_without_a_name(spark):
+    kinds = "lane string, error string, output_tokens int, runs boolean, success boolean, iou_aligned double, chamfer double, n_parts int, e2e_s double, ttft_s double, attempts int, cost_usd double, oracle_iou double"
+    rows = [(None, None, 5, True, True, 0.96, 0.1, 1, float(k), None, 1, None, None) for k in range(1, 5)] + [("a", "api: 500", 0, None, None, None, None, 1, None, None, 1, None, None)]
+    got = {r.lane: r for r in results.lane_summary(spark.createDataFrame(rows, kinds), ["lane"]).collect()}
+    assert (got[None].n, got[None].latency_p50, got[None].median_chamfer, got[None].ttft_p50) == (4, 2.5, 0.1, None)
+    assert (got["a"].n, got["a"].n_infra_failed, got["a"].latency_p95) == (0, 1, None)
+    assert results.lane_summary(spark.createDataFrame([], kinds), ["lane"]).count() == 0
+
+
+def test_bench_records_pass_without_filters(spark):
+    rows = spark.createDataFrame([(1, None, 1), (2, 9, 2)], "id int, n_faces int, n_parts int")
+    assert curate.bench_records(rows).count() == 2 and [r.id for r in curate.bench_records(rows, min_faces=1).collect()] == [2]

@@ -2,6 +2,7 @@
 
 import json
 import struct
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -89,3 +90,17 @@ def test_documents_and_keys(spark, tmp_path):
     assert json.loads(next((tmp_path / "docs" / "doc=x_1").glob("part*")).read_text()) == {"id": "x:1", "n": 2}
     made = writers.content_addressed(spark.createDataFrame([(b"a",), (b"a",)], "content binary"), "content").collect()
     assert [r.key for r in made] == ["86f7e437faa5a7fc"]
+
+
+def test_pixels(spark, tmp_path):
+    def png(name, kind, rows):
+        chunk = lambda tag, data: struct.pack(">I", len(data)) + tag + data + struct.pack(">I", zlib.crc32(tag + data))
+        lines = b"".join(b"\0" + bytes(r) for r in rows)
+        width = len(rows[0]) // {0: 1, 2: 3, 6: 4}[kind]
+        (tmp_path / name).write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, len(rows), 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b""))
+
+    png("rgb.png", 2, [[1, 2, 3, 4, 5, 6], [7, 8, 9, 10, 11, 12]])
+    png("rgba.png", 6, [[1, 2, 3, 255, 4, 5, 6, 255]])
+    png("grey.png", 0, [[9, 8]])
+    got = {r.path.rsplit("/", 1)[1]: (r.height, r.width, list(r.rgb)) for r in readers.pixels(spark, str(tmp_path)).collect()}
+    assert got == {"rgb.png": (2, 2, list(range(1, 13))), "rgba.png": (1, 2, [1, 2, 3, 4, 5, 6]), "grey.png": (1, 2, [9, 9, 9, 8, 8, 8])}
