@@ -135,12 +135,12 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np
 
 
 def assess(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """df without its text, with the five counts, quality (the posterior) and kept."""
+    """df without its text, with the five counts, quality (the posterior, to nine digits) and kept."""
     spark = df.sparkSession
     marked = cut(with_votes(df.drop("quality", "kept"), text).drop(text), "quality-votes")
     # at most 3^10 rows, whatever the size of the corpus
-    seen = marked.groupBy("pattern").count().toPandas()
+    seen = marked.groupBy("pattern").count().toPandas().sort_values("pattern")  # sums of floats follow their order
     patterns = seen["pattern"].to_numpy(np.int64)
-    quality = fit(patterns, seen["count"].to_numpy(float))[0] if len(seen) else np.empty(0)
+    quality = np.round(fit(patterns, seen["count"].to_numpy(float))[0], 9) if len(seen) else np.empty(0)
     rows = spark.createDataFrame(list(zip(patterns.tolist(), quality.tolist())), "pattern int, quality double")
     return marked.join(F.broadcast(rows), "pattern").drop("pattern").withColumn("kept", F.col("quality") >= threshold)

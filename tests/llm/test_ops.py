@@ -1,6 +1,7 @@
 """Each operation against a brute-force version, on the small table and on awkward rows."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -286,6 +287,41 @@ def test_quality_counts_and_labels(spark, data, docs):
     assert np.mean(right) > 0.95
 
 
+def plain_posteriors(votes):
+    """Expectation-maximisation document by document; a vote is -1, 0 or 1."""
+    post = [1 / (1 + math.exp(-(2 - 4 * v.count(-1)))) for v in votes]
+    for _ in range(100):
+        right = [[0.0] * 10, [0.0] * 10]
+        for c in (0, 1):
+            for rule in range(10):
+                weight = [p if c else 1 - p for p in post]
+                good = sum(w for w, v in zip(weight, votes) if v[rule] == 1)
+                told = sum(w for w, v in zip(weight, votes) if v[rule])
+                right[c][rule] = (good + 1) / (told + 2)
+        share = min(max(sum(post) / len(post), 0.01), 0.99)
+        new = []
+        for v in votes:
+            odds = math.log(share / (1 - share))
+            for rule, x in enumerate(v):
+                if x:
+                    odds += math.log(right[1][rule] / right[0][rule]) if x == 1 else math.log((1 - right[1][rule]) / (1 - right[0][rule]))
+            new.append(1 / (1 + math.exp(-odds)))
+        done, post = max(abs(a - b) for a, b in zip(new, post)) < 1e-6, new
+        if done:
+            break
+    return post
+
+
+def test_quality_and_verdict_equal_plain_maximisation(spark, data, docs):
+    got = {r.doc_id: r for r in queries.op4_quality(spark, data).collect()}
+    ids = sorted(docs)
+    patterns = [weak_quality.measure((docs[k] or "").encode())[1] for k in ids]
+    want = plain_posteriors([[p // 3**rule % 3 - 1 for rule in range(10)] for p in patterns])
+    for k, p in zip(ids, want):
+        assert abs(got[k].quality - p) < 1e-6
+        assert got[k].kept == (not got[k].base_failed and got[k].quality >= weak_quality.THRESHOLD)
+
+
 def test_expectation_maximisation_recovers_accuracies():
     rng = np.random.default_rng(0)
     truth = rng.random(20_000) < 0.8
