@@ -277,6 +277,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", most_bits:
     short = benchmark.select(_item_width(text_or_empty("text")).alias("w")).distinct().where(F.col("w") < WINDOW)
     widths = [WINDOW, *sorted(r["w"] for r in short.collect() if r["w"] > 0)]
     seen = docs.select(*_keys(text), _text_windows(text_or_empty(text), wanted, widths).alias("hits")).where(F.size("hits") > 0)
+    seen = seen.dropDuplicates(["_k1", "_k2"])  # copies of a text leave each task as one row
     hits = seen.select("_k1", "_k2", F.explode("hits").alias("x")).select("_k1", "_k2", "x.h", "x.pos", "x.slots")
     matched = cut(hits.join(items, "h").select("_k1", "_k2", "item_id", (F.col("pos") - F.col("item_pos")).alias("lag"), "item_pos", "item_slots", "slots", "template", "width").distinct(), "benchmark-hits")
     share = matched.groupBy("_k1", "_k2", "item_id").agg(F.countDistinct("item_pos").alias("n"), F.countDistinct(at).alias("n_templates"))
