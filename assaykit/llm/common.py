@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager, nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes in one Arrow batch. A batch of long texts must fit into a Python worker.
 BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,17 +45,30 @@ def _tables(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/assaykit/{spark.sparkContext.applicationId}"
 
 
-def cut(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+@contextmanager
+def tidied(spark: SparkSession):
+    """Shuffle files of what runs within go when it ends, not when the driver next collects its garbage."""
+    was = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(TIDY, was) if was is not None else spark.conf.unset(TIDY)
+
+
+def cut(df: DataFrame, label: str, by: str | None = None, tidy: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 
     The rows no longer depend on shuffle files, so a lost executor costs one task and
     not the whole lineage, and what stands above is computed once however often it is used.
     With by, each value of that column has files of its own, so a reader of one value reads no other.
+    With tidy, the shuffle files behind df go at once.
     The table stays until forget(df), or clean_up(spark) once results have been read.
     """
     spark = df.sparkSession
     path = f"{_tables(spark)}/{label}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    with tidied(spark) if tidy else nullcontext():
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from assaykit.llm import bpe, chat, decontam, html_text, queries, secrets, simhash, substring, toxicity, url_graph, weak_quality
+from assaykit.llm import bpe, chat, decontam, html_text, infill, queries, secrets, simhash, substring, toxicity, url_graph, weak_quality
 from assaykit.llm.components import connected_components
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -755,3 +755,60 @@ def test_pages_awkward_rows(spark):
     rows = spark.createDataFrame([(1, None), (2, ""), (2, ""), (3, "<p>x"), (4, f"<article><p>{long}</p></article>")], "page_id long, html string").withColumn("text", F.lit(1))
     assert sorted(r.text for r in html_text.extract(rows).collect()) == sorted(["", "", "", "x", long])
     assert html_text.extract(rows.limit(0)).count() == 0
+
+# ---- 11
+
+UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
+
+
+def infilled(doc_id, text):
+    """n, form, prefix_chars, middle_chars, output by the plainest way."""
+    text, h = text or "", hashlib.sha256(f"42:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(h[k : k + 8], 16) for k in (0, 8, 16, 24))
+    units = UNIT.findall(text)
+    n = len(units)
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= 50:
+        return n, "plain", None, None, text
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    pre, mid, suf = ("".join(x) for x in (units[:a], units[a:b], units[b:]))
+    if h4 % 100 < 80:
+        return n, "spm", len(pre), len(mid), f"<S>{suf}<P>{pre}<M>{mid}"
+    return n, "psm", len(pre), len(mid), f"<P>{pre}<S>{suf}<M>{mid}"
+
+
+def test_infilled_documents_equal_the_plain_way(spark, data, docs):
+    got = {r.doc_id: r for r in queries.op11_infill(spark, data).collect()}
+    assert got.keys() == docs.keys() and {r.form for r in got.values()} == {"plain", "psm", "spm"}
+    for k, text in docs.items():
+        n, form, pre, mid, out = infilled(k, text)
+        assert got[k][1:] == (n, form, pre, mid, sha(out), sha(text or ""))
+
+
+def test_infilling_awkward_rows(spark, awkward, empty):
+    more = awkward.unionByName(awkward.where("doc_id = 1").withColumn("text", F.lit("has <M> a mark"))).unionByName(awkward.where("doc_id = 1").withColumn("text", F.lit("ends in space \n")))
+    made = infill.fill_in_middle(more.withColumns({c: F.lit(7) for c in ("n", "form", "output", "restored", "digest", "_n", "_o")}), with_restored=True)
+    key = lambda row: repr(tuple(row))
+    got = sorted(((r.doc_id, r.n, r.form, r.prefix_chars, r.middle_chars, r.output, r.restored) for r in made.collect()), key=key)
+    want = sorted(((r.doc_id, *infilled(r.doc_id, r.text), r.text or "") for r in more.collect()), key=key)
+    assert got == want and {"lang", "k1", "_n"} - set(made.columns) == {"_n"}
+    assert infill.fill_in_middle(empty).count() == 0
+    copies = infill.boundary_index(more).agg(F.sum("copies"), F.count("*"), F.countDistinct("digest")).first()
+    assert copies[0] == more.count() and copies[1] == copies[2] == len({r.text or "" for r in more.collect()})
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 400), max_size=80), st.data())
+def test_packed_lists_give_every_end(gaps, data):
+    ends = np.cumsum(gaps).astype(np.int64)
+    assert infill.select(list(range(len(ends))), *infill.pack(ends)) == ends.tolist()
+
+
+@settings(max_examples=300, deadline=None)
+@given(joined(list(" \t\n\x0b\x1c ab é😀中<>") + ["word "], 40))
+def test_ends_are_those_of_the_pattern(text):
+    assert infill.token_ends(text.encode()).tolist() == [m.end() for m in UNIT.finditer(text)]
+
+
+def test_a_packed_list_is_small():
+    text = " ".join(f"w{k % 977}" for k in range(30_000)).encode()
+    assert sum(map(len, infill.pack(infill.token_ends(text))[1:])) < len(text) / 7
