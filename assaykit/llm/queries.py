@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, html_text, infill, secrets, simhash, substring, toxicity, url_graph, weak_quality
+from . import bpe, chat, decontam, html_text, infill, repair, secrets, simhash, substring, toxicity, url_graph, weak_quality
 from .common import read
 
 
@@ -116,6 +116,12 @@ def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and digest of every conversation after seeded damage."""
+    made = repair.repair(repair.damaged(read(spark, sf_dir, "conversations")), present="present")
+    return made.select("conv_id", *repair.COUNTS, "audit", F.sha2("repaired", 256).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_urls": op2_urls,
@@ -128,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_html": op10_html,
     "op11_infill": op11_infill,
+    "op13_repair": op13_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -148,5 +155,74 @@ select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix
     sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
     sha256(t) as restored_sha256
 from p
+""",
+    "op13_repair": r"""
+with recursive seeded as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        xor(4294967295, list_reduce(
+            list_concat([4294967295::bigint], list_transform(string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''), lambda x: ascii(x)::bigint)),
+            lambda h, b: list_reduce(list_concat([xor(h, b)], range(8)), lambda c, j: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end)
+        )) % 20 as s
+    from conversations
+),
+said as (
+    select conv_id, turn, k, case when s = 4 then 'user' else role end as role, case s when 1 then '' when 2 then translate(text, '.!?', '') else text end as text
+    from seeded cross join range(2) as twice(k)
+    where s <> 0 and (k = 0 or s = 3)
+),
+placed as (
+    select *, row_number() over w as i, lag(role[1:1]) over w || role[1:1] as pair, rtrim(text, e' \t\n\x0b\x0c\r') as bare,
+        row_number() over (partition by conv_id, role, text order by turn nulls first, k) > 1 as again
+    from said
+    window w as (partition by conv_id order by turn nulls first, role, text, k)
+),
+turns as (
+    select conv_id, turn, i, role, text, pair, case when bare = '' then 'blank' when again then 'duplicate' when bare[-1:] not in ('.', '!', '?') then 'truncated' else '' end as fault from placed
+),
+counts as (
+    select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count_if(fault = 'blank') as blank, count_if(fault = 'duplicate') as duplicate,
+        count_if(fault = 'truncated') as truncated, count_if(pair not in ('su', 'ua', 'au')) as illegal, count(*) as n
+    from turns group by conv_id
+),
+inserts(q, p, edits, price) as (values ('e', 'e', '', 0), ('s', 's', '', 0), ('u', 'u', '', 0), ('a', 'a', '', 0), ('e', 'u', 'I', 5), ('s', 'u', 'I', 5), ('a', 'u', 'I', 5), ('u', 'a', 'I', 5), ('e', 'a', 'II', 10), ('s', 'a', 'II', 10)),
+follows(q, r) as (values ('e', 's'), ('e', 'u'), ('s', 'u'), ('a', 'u'), ('u', 'a')),
+walk(conv_id, i, q, cost, audit) as (
+    select conv_id, 0::bigint, 'e', 0::bigint, '' from counts
+    union all
+    select conv_id, i, q, cost, audit
+    from (
+        select w.conv_id, t.i, coalesce(f.r, n.p) as q, w.cost + n.price + case when f.r is null then 2 else if(t.fault = 'truncated', 5, 0) + if(t.role[1:1] = f.r, 0, 1) end as cost,
+            w.audit || n.edits || case when f.r is null then 'D' when t.role[1:1] = f.r then 'K' else 'R' end as audit
+        from walk w join inserts n on n.q = w.q join turns t on t.conv_id is not distinct from w.conv_id and t.i = w.i + 1
+            join (select q, r from follows union all select distinct q, null from inserts) f
+                on f.q = n.p and (f.r is null or t.fault not in ('blank', 'duplicate') and (f.r <> 's' or t.role[1:1] = 's'))
+    )
+    qualify row_number() over (partition by conv_id, q order by cost, audit) = 1
+),
+ends as (
+    select c.conv_id, w.cost + n.price as cost, w.audit || n.edits as audit
+    from counts c join walk w on w.conv_id is not distinct from c.conv_id and w.i = c.n join inserts n on n.q = w.q and n.p in ('e', 'a')
+    qualify row_number() over (partition by c.conv_id order by w.cost + n.price, w.audit || n.edits) = 1
+),
+edits as (
+    select conv_id, p, audit[p:p] as edit, count_if(audit[p:p] <> 'I') over w as i, count_if(audit[p:p] <> 'D') over w as o
+    from (select conv_id, audit, unnest(range(1, length(audit) + 1)) as p from ends)
+    window w as (partition by conv_id order by p)
+),
+kept as (
+    select e.conv_id, e.p, e.o, e.edit, t.role, t.text, max(case when e.o = 1 and e.edit = 'K' and t.role[1:1] = 's' then 1 else 0 end) over (partition by e.conv_id) as opened
+    from edits e left join turns t on e.edit <> 'I' and t.conv_id is not distinct from e.conv_id and t.i = e.i
+    where e.edit <> 'D'
+),
+repaired as (
+    select conv_id, string_agg(case when edit = 'K' then role when (o - opened) % 2 = 1 then 'user' else 'assistant' end || ':' || coalesce(text, ''), e'\n' order by p) as said
+    from kept group by conv_id
+)
+select ids.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+    coalesce(cost, 0) as cost, coalesce(audit, '') as audit, sha256(coalesce(said, '')) as repaired_sha256
+from (select distinct conv_id from conversations) ids
+    left join counts on counts.conv_id is not distinct from ids.conv_id
+    left join ends on ends.conv_id is not distinct from ids.conv_id
+    left join repaired on repaired.conv_id is not distinct from ids.conv_id
 """,
 }

@@ -1,8 +1,11 @@
 """Each operation against a brute-force version, on the small table and on awkward rows."""
 
+import functools
 import hashlib
 import math
+import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -14,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from assaykit.llm import bpe, chat, decontam, html_text, infill, queries, secrets, simhash, substring, toxicity, url_graph, weak_quality
+from assaykit.llm import bpe, chat, decontam, html_text, infill, queries, repair, secrets, simhash, substring, toxicity, url_graph, weak_quality
 from assaykit.llm.components import connected_components
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -812,3 +815,94 @@ def test_ends_are_those_of_the_pattern(text):
 def test_a_packed_list_is_small():
     text = " ".join(f"w{k % 977}" for k in range(30_000)).encode()
     assert sum(map(len, infill.pack(infill.token_ends(text))[1:])) < len(text) / 7
+
+# ---- 13
+
+
+def cheapest(roles, faults):
+    """The least (cost, audit) and the roles it gives, from every way on from each turn."""
+    follows = {"": "su", "s": "u", "u": "a", "a": "u"}
+
+    @functools.cache
+    def best(k, last, inserted=0):
+        ways = [(0, "")] if k == len(roles) and last in ("", "a") else []
+        ways += [(5 + c, "I" + edits) for x in follows[last] if x != "s" and inserted < 2 for c, edits in [best(k, x, inserted + 1)]]
+        if k < len(roles):
+            c, edits = best(k + 1, last)
+            ways.append((2 + c, "D" + edits))
+            for x in follows[last] if faults[k] not in ("blank", "duplicate") else "":
+                same = roles[k][:1] == x
+                if same or x != "s":
+                    c, edits = best(k + 1, x)
+                    ways.append((c + 5 * (faults[k] == "truncated") + (not same), ("K" if same else "R") + edits))
+        return min(ways, default=(math.inf, ""))
+
+    return best(0, "")
+
+
+def mended(rows):
+    """All that op13 tells of one conversation's (turn, role, text) rows."""
+    rows = sorted(((t, " " if r is None else r, " " if x is None else x) for t, r, x in rows), key=lambda x: (x[0] is not None, x))
+    faults = []
+    for k, (_, role, text) in enumerate(rows):
+        bare = text.strip(" \t\n\x0b\x0c\r")
+        again = any(x[1:] == (role, text) for x in rows[:k])
+        faults.append("blank" if not bare else "duplicate" if again else "truncated" if bare[-1] not in ".!?" else "")
+    turns = [t for t, _, _ in rows if t is not None]
+    cost, audit = cheapest([r for _, r, _ in rows], faults)
+    said, left = [], list(rows)
+    for edit in audit:
+        _, role, text = left.pop(0) if edit != "I" else (0, "", "")
+        if edit in "RI":
+            role = "assistant" if said and said[-1][0] == "u" else "user"
+        if edit != "D":
+            said.append(f"{role}:{text}")
+    assert re.fullmatch("(s?(ua)+)?", "".join(x[0] for x in said))
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    return (max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, *map(faults.count, ("blank", "duplicate", "truncated")), illegal, cost, audit, "\n".join(said))
+
+
+def hurt(conv_id, turn, role, text):
+    """The rows that damage makes of one."""
+    role, text = " " if role is None else role, " " if text is None else text
+    kind = zlib.crc32(f"{' ' if conv_id is None else conv_id}:{' ' if turn is None else turn}".encode()) % 20
+    text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+    return [] if kind == 0 else [(turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
+
+
+def by_conversation(rows, change=lambda *r: [r[1:]]):
+    out = {}
+    for r in rows:
+        out.setdefault(r[0], []).extend(change(*r))
+    return out
+
+
+def test_repaired_conversations_equal_brute_force(spark, data):
+    rows = [tuple(r) for r in spark.read.parquet(f"{data}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    want = {k: mended(v) for k, v in by_conversation(rows, hurt).items()}
+    got = {r[0]: tuple(r)[1:] for r in queries.op13_repair(spark, data).collect()}
+    assert got == {k: (*v[:-1], sha(v[-1])) for k, v in want.items()}
+
+
+def test_repair_of_awkward_conversations(spark):
+    pick = random.Random(3)
+    rows = [(k % 60 if k % 61 else None, pick.choice([None, 0, 1, 2, 5, 9]), pick.choice([None, "", "system", "user", "assistant", "tool", "user", "assistant"]), pick.choice([None, "", " \n", "Yes.", "No!  ", "cut off", "Yes.", "\x1c", f"t{k}."])) for k in range(500)]
+    rows += [(1000, k, ("user", "assistant", "assistant")[k % 3], f"Turn {k}." if k % 7 else "cut") for k in range(6_000)] + [(1001, 0, "user", "x" * 300_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(7) for c in ("cost", "audit", "repaired", "blank", "present", "conv", "pos")}).repartition(3)
+    got = {r.conv_id: tuple(r)[1:] for r in repair.repair(df).collect()}
+    groups = by_conversation(rows)
+    long = got.pop(1000)
+    want = {k: mended(v) for k, v in groups.items() if k != 1000}
+    assert {k: (got[k], want[k]) for k in want if got.get(k) != want[k]} == {} and len(got) == len(want)
+    assert len(long[6]) >= 6_000 and re.fullmatch("(s?(ua)+)?", "".join(x[0] for x in long[7].split("\n")))
+    assert repair.repair(df.limit(0)).count() == 0
+    gone = {r.conv_id: tuple(r)[1:] for r in repair.repair(df.withColumn("present", F.col("conv_id") != 5), present="present").collect()}
+    assert gone[5] == (0, 0, 0, 0, 0, 0, "", "") and gone[6] == got[6]
+
+
+def test_damaged_rows(spark):
+    rows = [(k % 9 if k % 10 else None, k if k % 11 else None, None if k % 7 == 0 else "assistant", None if k % 5 == 0 else f"a.b!c? {k}") for k in range(300)]
+    made = repair.damaged(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    key = lambda x: repr(x)
+    assert sorted([tuple(r)[:4] for r in made.where("present").collect()], key=key) == sorted([(r[0], *x) for r in rows for x in hurt(*r)], key=key)
+    assert {r.conv_id for r in made.collect()} == {r[0] for r in rows}
