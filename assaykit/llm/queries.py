@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, html_text, infill, repair, secrets, simhash, substring, toxicity, url_graph, weak_quality
+from . import bpe, chat, decontam, html_text, infill, repair, secrets, simhash, substring, suffixes, toxicity, url_graph, weak_quality
 from .common import read
 
 
@@ -116,6 +116,12 @@ def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
+def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without the byte passages of earlier ones."""
+    found = suffixes.remove_earlier(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest edits and digest of every conversation after seeded damage."""
     made = repair.repair(repair.damaged(read(spark, sf_dir, "conversations")), present="present")
@@ -134,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_html": op10_html,
     "op11_infill": op11_infill,
+    "op12_suffixes": op12_suffixes,
     "op13_repair": op13_repair,
 }
 
@@ -155,6 +162,23 @@ select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix
     sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
     sha256(t) as restored_sha256
 from p
+""",
+    "op12_suffixes": r"""
+with texts as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+parts as (select doc_id, c, substring(h, 2 * c + 1, 2 * 561) as h from (select doc_id, h, unnest(range(0, length(h) // 2 - 49, 512)) as c from texts)),
+places as (select doc_id, c + k as p, substring(h, 2 * k + 1, 100) as piece from (select *, unnest(range(least(512, length(h) // 2 - 49))) as k from parts)),
+shared as (select piece, min(doc_id) as least from places group by piece having min(doc_id) < max(doc_id)),
+windows as (select doc_id, p, least from places join shared using (piece)),
+edges as (select doc_id, p, row_number() over w as k, lag(p) over w as was from windows where doc_id > least window w as (partition by doc_id order by p)),
+runs as (
+    select doc_id, run, min(p) as a, max(p) + 50 as b
+    from (select doc_id, p, sum(case when was is null or p > was + 50 then 1 else 0 end) over (partition by doc_id order by p) as run from edges)
+    group by doc_id, run
+),
+spans as (select doc_id, list(struct_pack(a := a, b := b) order by a) as s from runs group by doc_id)
+select t.doc_id, length(h) // 2 as n_bytes, coalesce(list_sum(list_transform(s, lambda x: x.b - x.a)), 0)::bigint as n_removed, coalesce(len(s), 0)::bigint as n_spans,
+    sha256(unhex(array_to_string(list_transform(range(coalesce(len(s), 0) + 1), lambda k: h[2 * coalesce(s[k].b, 0) + 1:2 * coalesce(s[k + 1].a, length(h) // 2)]), ''))) as kept_sha256
+from texts t left join spans using (doc_id)
 """,
     "op13_repair": r"""
 with recursive seeded as (

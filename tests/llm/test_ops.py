@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -17,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from assaykit.llm import bpe, chat, decontam, html_text, infill, queries, repair, secrets, simhash, substring, toxicity, url_graph, weak_quality
+from assaykit.llm import bpe, chat, decontam, html_text, infill, queries, repair, secrets, simhash, substring, suffixes, toxicity, url_graph, weak_quality
 from assaykit.llm.components import connected_components
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -906,3 +907,123 @@ def test_damaged_rows(spark):
     key = lambda x: repr(x)
     assert sorted([tuple(r)[:4] for r in made.where("present").collect()], key=key) == sorted([(r[0], *x) for r in rows for x in hurt(*r)], key=key)
     assert {r.conv_id for r in made.collect()} == {r[0] for r in rows}
+
+# ---- 12
+
+
+def earlier_removed(rows, least=50):
+    """n_bytes, n_removed, n_spans and kept of each (doc_id, text) row, from all its byte strings of that length."""
+    raws = [(d, (t or "").encode()) for d, t in rows]
+    first = {}
+    for d, raw in raws:
+        for k in range(len(raw) - least + 1 if d is not None else 0):
+            piece = raw[k : k + least]
+            first[piece] = min(d, first.get(piece, d))
+    out = []
+    for d, raw in raws:
+        gone = np.zeros(len(raw) + 1, bool)
+        for k in range(len(raw) - least + 1 if d is not None else 0):
+            if first[raw[k : k + least]] < d:
+                gone[k : k + least] = True
+        out.append((d, len(raw), int(gone.sum()), int((np.diff(gone.astype(int)) == 1).sum() + gone[0]), bytes(b for b, g in zip(raw, gone) if not g)))
+    return sorted(out, key=repr)
+
+
+def test_earlier_passages_equal_brute_force(spark, data, docs):
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op12_suffixes(spark, data).collect()}
+    want = {d: (n, gone, spans, hashlib.sha256(kept).hexdigest()) for d, n, gone, spans, kept in earlier_removed(docs.items())}
+    assert got == want and sum(x[1] for x in got.values()) > 1000
+
+
+def passages(pick):
+    """Texts that share passages of many lengths, edges and repeats of their own."""
+    shared = ["".join(pick.choices("abé ", k=pick.choice([20, 45, 50, 51, 70, 200]))) for _ in range(8)] + ["ab" * 60, "x" * 90]
+    return lambda: "".join(pick.choice(shared) if pick.random() < 0.6 else "".join(pick.choices("abcdé \n", k=pick.choice([3, 40]))) for _ in range(pick.choice([0, 1, 3, 8])))
+
+
+def test_earlier_passages_of_awkward_rows(spark, awkward, empty):
+    text = passages(random.Random(5))
+    more = [(pick, text()) for pick in [*range(60), *range(5), None, -7]] + [(200, "q" + "z" * 400), (201, "z" * 400 + "r")]
+    df = awkward.select("doc_id", "text", "kept", "fp").unionByName(spark.createDataFrame(more, "doc_id long, text string").withColumns({"kept": F.lit(7), "fp": F.lit(7)})).withColumns({"n_bytes": F.lit(1), "_doc": F.lit(1), "group": F.lit(1), "place": F.lit(2)})
+    made = suffixes.remove_earlier(df)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in made.collect()), key=repr)
+    assert got == earlier_removed([(r.doc_id, r.text) for r in df.collect()]) and {"fp", "group", "place"} <= set(made.columns)
+    assert suffixes.remove_earlier(empty).count() == 0
+
+
+def through(rows, size=7):
+    """The steps of repeat_groups in this process, with rows dealt to two tasks and few rows in a batch."""
+
+    def batches(table, n=size):
+        return table.to_batches(max_chunksize=n)
+
+    def run(step, table, by):
+        out = []
+        for k in range(2):
+            mine = table.filter(pa.array([v % 2 == k for v in table.column(by[0]).to_pylist()], pa.bool_()))
+            out += list(step(iter(batches(mine.sort_by([(c, "ascending") for c in by])))))
+        return pa.Table.from_batches(out, schema=out[0].schema) if out else None
+
+    texts = pa.table({"doc": pa.array([d for d, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})
+    lines = run(suffixes._cut_up, texts, ["doc"])
+    if lines is None:
+        return []
+    lines = run(suffixes._gathered, lines, ["key", "unit", "doc"])
+    if lines is None:
+        return []
+    found = [(r["doc"], r["place"], (r["place"] & 63) + 49) for r in lines.to_pylist() if r["kind"] == suffixes.COPY]
+    asked = {}
+    for r in lines.to_pylist():
+        if r["kind"] != suffixes.COPY:
+            asked.setdefault(r["doc"], []).append({k: r[k] for k in ("kind", "key", "place")})
+    wanted = [{"doc": d, "text": t, "lines": asked[d]} for d, t in rows if d in asked]
+    if wanted:
+        table = pa.Table.from_pylist(wanted, pa.schema([("doc", pa.int64()), ("text", pa.string()), ("lines", pa.list_(pa.struct([("kind", pa.int32()), ("key", pa.int64()), ("place", pa.int64())])))]))
+        groups = run(suffixes._sorted, run(suffixes._bytes_of, table, ["doc"]), ["key", "doc"])
+        found += [(r["doc"], r["place"], r["bytes"]) for r in (groups.to_pylist() if groups else []) if r["doc"] > r["least"]]
+    return found
+
+
+@pytest.mark.parametrize("flush, local, hot, most", [(1 << 20, 64, 4096, 1 << 18), (40, 64, 4096, 8), (40, 2, 4096, 1 << 18), (1, 64, 1, 1 << 18), (60, 3, 2, 12)])
+def test_busy_anchors_lose_nothing(monkeypatch, flush, local, hot, most):
+    for name, value in (("FLUSH", flush), ("LOCAL_HOT", local), ("HOT", hot), ("SORTED", 300)):
+        monkeypatch.setattr(suffixes, name, value)
+    whole = suffixes._by_key
+    # a key whose segments are compared together never has more than four rows for each of HOT
+    monkeypatch.setattr(suffixes, "_by_key", lambda b, settle, n, m, over: whole(b, settle, n, most if m > 1 << 15 else max(4 * hot, most), over))
+    for seed in range(12):
+        text = passages(random.Random(seed))
+        rows = [(d, text()) for d in [*range(12), *range(12)]]
+        gone = {}
+        for doc, at, n in through(rows):
+            at &= (1 << 64) - 1
+            gone.setdefault((doc, at >> 38), []).append((at >> 6 & 0xFFFFFFFF, n))
+        got = []
+        for d, t in rows:
+            raw = t.encode()
+            covered = {k for a, n in gone.get((d, suffixes.tag_of(raw)), []) for k in range(a, a + n)}
+            got.append((d, len(raw), len(covered), bytes(b for k, b in enumerate(raw) if k not in covered)))
+        assert sorted(got, key=repr) == sorted([(d, n, c, kept) for d, n, c, _, kept in earlier_removed(rows)], key=repr)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab", min_size=0, max_size=14), min_size=1, max_size=5), st.integers(2, 4))
+def test_maximal_repeats_are_all_there(parts, least):
+    raws = [x.encode() for x in parts]
+    group, length, part, offset = suffixes.maximal_repeats(raws, np.arange(len(raws)), least)
+    got = {}
+    for g, n, p, o in zip(group.tolist(), length.tolist(), part.tolist(), offset.tolist()):
+        got.setdefault(g, []).append((raws[p][o : o + n], p, o))
+    assert all(len({x for x, _, _ in members}) == 1 for members in got.values())
+    want = {}
+    for p, raw in enumerate(raws):
+        for o in range(len(raw)):
+            for n in range(least, len(raw) - o + 1):
+                want.setdefault(raw[o : o + n], []).append((p, o))
+    edge = lambda p, k: raws[p][k] if 0 <= k < len(raws[p]) else (p, k)
+    repeats = {x: at for x, at in want.items() if len({p for p, _ in at}) > 1 and len({edge(p, o - 1) for p, o in at}) > 1 and len({edge(p, o + len(x)) for p, o in at}) > 1}
+    assert {members[0][0]: sorted((p, o) for _, p, o in members) for members in got.values()} == {x: sorted(at) for x, at in repeats.items()}
+
+
+def test_intervals_of_a_tree():
+    assert sorted(suffixes.intervals([3, 5, 5, 2, 0, 4], 2)) == [(2, 0, 4), (3, 0, 3), (4, 5, 6), (5, 1, 3)]
