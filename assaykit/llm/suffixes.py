@@ -6,8 +6,9 @@ bytes. Only segments with an anchor in common can share a window, so each set of
 anchor can be sorted by itself:
 
 1. Texts are cut into segments, of which the hashes and places are dealt by anchor. Anchors of one
-   document go. Of equal segments two stay, of the two smallest documents; further copies share
-   the second one's fate, which is removal.
+   document go. Where all segments of an anchor are equal they are one leaf of the tree: what isn't the
+   smallest document's goes. Else of equal segments two stay, of the two smallest documents; further
+   copies share the second one's fate, which is removal.
 2. The bytes of those that stay are read and dealt by anchor. Each task builds enhanced suffix
    arrays: suffixes of 50 bytes or more in order, and the common prefix of each with the one before.
    A scan with a stack gives the tree of common-prefix intervals; an interval whose suffixes have
@@ -161,24 +162,27 @@ def _cut_up(batches):
 
 
 def _settled(kind, key, unit, doc, at):
-    """Lines of whole anchors, sorted by key, unit and doc: those to compare, to take window by window, and copies."""
-    known = (kind == COPY) | (kind == WINDOW)
-    yield _rows(LINES_ARROW, kind[known], key[known], unit[known], doc[known], at[known])
+    """Lines of whole anchors, sorted by key: those to compare, to take window by window, and copies."""
     marked = np.unique(key[kind == MARK])
-    kind, key, unit, doc, at = (x[(kind == UNIT)] for x in (kind, key, unit, doc, at))
-    if not len(key):
+    busy = (kind == UNIT) & np.isin(key, marked)
+    known = (kind == COPY) | (kind == WINDOW) | busy
+    yield _rows(LINES_ARROW, np.where(busy, WINDOW, kind)[known], key[known], unit[known], doc[known], at[known])
+    rest = np.flatnonzero((kind == UNIT) & ~busy)
+    sizes = np.diff(np.r_[_starts(key[rest]), len(rest)])
+    rest = rest[np.repeat(sizes > 1, sizes)]  # a segment that is its anchor's only one shares nothing
+    if not len(rest):
         return
+    rest = rest[np.lexsort((doc[rest], unit[rest], key[rest]))]
+    key, unit, doc, at = (x[rest] for x in (key, unit, doc, at))
     keys, pairs = _starts(key), _starts(key, unit)
     of_key, of_pair = _spread(keys, len(key)), _spread(pairs, len(key))
     different = np.diff(np.searchsorted(pairs, np.r_[keys, len(key)]))
     across = np.minimum.reduceat(doc, keys) < np.maximum.reduceat(doc, keys)
     docs = _starts(key, unit, doc)  # a document's place among those of its segment
     rank = _spread(docs, len(key)) - np.searchsorted(docs, pairs)[of_pair]
-    told = ((different > 1)[of_key] | (np.maximum.reduceat(doc, pairs) > doc[pairs])[of_pair]) & across[of_key]
-    asked = told & (rank <= 1)
+    asked = (across & (different > 1))[of_key] & (rank <= 1)
     many = np.maximum(different, np.add.reduceat(asked, keys) // 2) > HOT  # a document may hold a segment very often
-    hot = np.isin(key[keys], marked) | (many & across)
-    out = np.where(hot[of_key], WINDOW, np.where(asked, ASK, np.where(told, COPY, UNIT)))
+    out = np.where(asked, np.where(many[of_key], WINDOW, ASK), np.where(rank > 0, COPY, UNIT))
     stays = out != UNIT
     yield _rows(LINES_ARROW, out[stays], key[stays], unit[stays], doc[stays], at[stays])
 
@@ -375,7 +379,7 @@ def repeat_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """group, bytes, doc, place and least: occurrences of maximal repeats, and the smallest document of each.
 
     group is a hash of the repeated bytes; place holds a tag of the text and the first byte (see place). Copies of
-    segments beyond two have group 0 and the length of their segment; they repeat an earlier document's.
+    segments have group 0 and the length of their segment; they repeat an earlier document's.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -385,7 +389,7 @@ def repeat_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     spark.conf.set(records, str(ROWS))  # batches of texts are bounded by their bytes
     try:
         lines = texts.where(F.octet_length("text") >= LEAST).mapInArrow(_cut_up, LINES)
-        lines = lines.repartition("key").sortWithinPartitions("key", "unit", "doc").mapInArrow(_gathered, LINES)
+        lines = lines.repartition("key").sortWithinPartitions("key").mapInArrow(_gathered, LINES)
         lines = cut(lines, "suffix-lines", tidy=True)
         asked = lines.where(F.col("kind") != COPY).groupBy("doc").agg(F.collect_list(F.struct("kind", "key", "place")).alias("lines"))
         pieces = texts.join(asked, "doc").select("doc", "text", "lines").mapInArrow(_bytes_of, BYTES)

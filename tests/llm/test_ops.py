@@ -968,7 +968,7 @@ def through(rows, size=7):
     lines = run(suffixes._cut_up, texts, ["doc"])
     if lines is None:
         return []
-    lines = run(suffixes._gathered, lines, ["key", "unit", "doc"])
+    lines = run(suffixes._gathered, lines, ["key"])
     if lines is None:
         return []
     found = [(r["doc"], r["place"], (r["place"] & 63) + 49) for r in lines.to_pylist() if r["kind"] == suffixes.COPY]
