@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
+from . import json_files
 
 
 def jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -22,12 +23,12 @@ def jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFra
         return spark.createDataFrame([], spark.range(0).select(F.from_json(F.lit("{}"), schema).alias("x")).schema["x"].dataType if isinstance(schema, str) else schema)
 
 
-RAW = "array<struct<messages: array<struct<role: string, content: string>>, model_path: string>>"
+RAW = "struct<messages: array<struct<role: string, content: string>>, model_path: string>"
 
 
-def split_file(spark: SparkSession, path: str, split: str, limit: int | None = None) -> DataFrame:
-    """Records of one JSON-array file; ids hold the position before any row is dropped, and limit comes first."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", RAW)).alias("pos", "row"))
+def split_file(spark: SparkSession, path: str, split: str, limit: int | None = None, range_bytes: int = json_files.RANGE) -> DataFrame:
+    """Records of one JSON-array file of any size; ids hold the position before any row is dropped, and limit comes first."""
+    rows = json_files.read(spark, path, range_bytes).select("pos", F.from_json("value", RAW).alias("row"))
     if limit is not None:
         rows = rows.where(F.col("pos") < limit)
     said = lambda role: F.get(F.filter("row.messages", lambda m: m["role"] == role), F.lit(0))["content"]
@@ -39,9 +40,10 @@ def split_file(spark: SparkSession, path: str, split: str, limit: int | None = N
     return parsed.withColumn("identity_transforms", text.all_near_zero(F.concat("eulers", "translations")))
 
 
-def id_map(spark: SparkSession, path: str, value: str = "struct<bbox: array<double>>") -> DataFrame:
-    """id and the fields of its struct from one JSON object file."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string, {value}>")).alias("id", "v"))
+def id_map(spark: SparkSession, path: str, value: str = "struct<bbox: array<double>>", range_bytes: int = json_files.RANGE) -> DataFrame:
+    """id and the fields of its struct from one JSON object file of any size."""
+    entries = json_files.read(spark, path, range_bytes).select(F.concat(F.lit("{"), "value", F.lit("}")).alias("value"))
+    rows = entries.select(F.explode(F.from_json("value", f"map<string, {value}>")).alias("id", "v"))
     return rows.select("id", "v.*")
 
 

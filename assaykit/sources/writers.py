@@ -6,17 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fixed, percent
+from . import exports, versions
 
 
 def jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
 
-def commit_run(results: DataFrame, summaries: DataFrame, path: str, run: str) -> None:
-    """results, summary and report of one run under its own folder."""
-    results.write.mode("overwrite").json(f"{path}/{run}/results")
-    summaries.coalesce(1).write.mode("overwrite").json(f"{path}/{run}/summary")
-    markdown(summaries).coalesce(1).write.mode("overwrite").text(f"{path}/{run}/report")
+def commit_run(results: DataFrame, summaries: DataFrame, path: str, run: str) -> int:
+    """results, summary and report of one run as one version of its folder: all are there, or none is."""
+    parts = {
+        "results": results.write.json,
+        "summary": summaries.coalesce(1).write.json,
+        "report": markdown(summaries).coalesce(1).write.text,
+    }
+    return versions.commit(results.sparkSession, f"{path}/{run}", lambda was: parts)
 
 
 def upserted(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -26,18 +30,15 @@ def upserted(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return both.groupBy(key).agg(F.max(F.struct("_v", *rest)).alias("_r")).select(key, *[F.col(f"_r.{c}") for c in rest])
 
 
-def upsert(new: DataFrame, key: str, path: str) -> None:
-    """Write the merged table beside the old one and swap them by renames in the table's own store."""
+def upsert(new: DataFrame, key: str, path: str) -> int:
+    """Publish the merged table as the next version of path; readers use versions.table. Of writers at one time each merges into the last one's."""
     spark = new.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    store = at(path).getFileSystem(conf)
-    table = upserted(spark.read.parquet(path), new, key) if store.exists(at(path)) else new
-    table.write.mode("overwrite").parquet(f"{path}.next")
-    store.delete(at(f"{path}.last"), True)
-    if store.exists(at(path)):
-        store.rename(at(path), at(f"{path}.last"))
-    store.rename(at(f"{path}.next"), at(path))
+
+    def make(was: dict | None):
+        merged = upserted(spark.read.parquet(f"{path}/{was['parts']['data']}"), new, key) if was else new
+        return {"data": merged.write.parquet}
+
+    return versions.commit(spark, path, make)
 
 
 def merged_stats(old: Column, new: Column) -> Column:
@@ -45,9 +46,18 @@ def merged_stats(old: Column, new: Column) -> Column:
     return F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
 
 
-def documents(df: DataFrame, key: str, path: str) -> None:
-    """One JSON document for each key, in a folder named by it."""
-    df.select(F.to_json(F.struct(*df.columns)).alias("value"), F.translate(F.col(key), ":/", "__").alias("doc")).write.mode("overwrite").partitionBy("doc").text(path)
+def documents(df: DataFrame, key: str, path: str, assets: dict[str, tuple[str, str]] | None = None) -> int:
+    """One JSON document for each row, compare/<key>.json, and its assets, as one version of path.
+
+    assets: for a folder, the column that holds the content and the suffix of the file names. A row without content has no such asset.
+    """
+    assets = assets or {}
+    name = F.translate(F.col(key), ":/", "__")
+    told = [c for c in df.columns if c not in {column for column, _ in assets.values()}]
+    files = [F.struct(F.concat(F.lit("compare/"), name, F.lit(".json")).alias("name"), F.to_json(F.struct(*told)).cast("binary").alias("content"))]
+    files += [F.struct(F.concat(F.lit(f"{folder}/"), name, F.lit(suffix)).alias("name"), F.col(column).cast("binary").alias("content")) for folder, (column, suffix) in assets.items()]
+    rows = df.select(F.inline(F.array(*files))).where(F.col("content").isNotNull())
+    return versions.commit(df.sparkSession, path, lambda was: {"files": lambda folder: exports.write(rows, folder)})
 
 
 def replay(events: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions import geometry, stats, text
 from assaykit.operators import curate, grade, results, serve
-from assaykit.sources import readers, writers
+from assaykit.sources import readers, versions, writers
 from assaykit.streaming import folds
 
 
@@ -66,7 +66,8 @@ def test_runs_documents_and_logs_go_to_disk_and_back(spark, tmp_path):
 
     rows = spark.createDataFrame([("L1", 0, None, 1, True, True, 0.95, 0.1, 1, 2.0, 0.5, 1, 0.01, 0.95)], "lane string, output_tokens_ int, error string, output_tokens int, runs boolean, success boolean, iou_aligned double, chamfer double, n_parts int, e2e_s double, ttft_s double, attempts int, cost_usd double, oracle_iou double")
     writers.commit_run(rows, results.lane_summary(rows, ["lane"]), str(tmp_path), "20260101-000000_x")
-    assert spark.read.json(f"{tmp_path}/20260101-000000_x/results").count() == 1 and spark.read.text(f"{tmp_path}/20260101-000000_x/report").count() >= 1
+    run = f"{tmp_path}/20260101-000000_x"
+    assert versions.table(spark, run, "results", form="json").count() == 1 and versions.table(spark, run, "report", form="text").count() >= 1
     size = readers.folder_size(spark, f"{tmp_path}/20260101-000000_x").first()
     assert size.n_files >= 3 and size.n_bytes > 0
     (tmp_path / "doc.json").write_text(json.dumps({"id": "a", "title": "T", "tier_faces": 3, "n_parts": 1, "bbox": [1.0], "spec": "s", "lanes": [{"lane": "x", "success": True}, {"lane": "y", "success": False}]}))

@@ -1,12 +1,16 @@
 """Readers and writers on files written here."""
 
 import json
+import pathlib
+import random
 import struct
 import zlib
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from assaykit.sources import readers, writers
+from assaykit.sources import json_files, readers, versions, writers
 
 
 def test_jsonl(spark, tmp_path):
@@ -80,14 +84,18 @@ def test_upsert_swaps_tables(spark, tmp_path):
     path = str(tmp_path / "t")
     writers.upsert(spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), "id", path)
     writers.upsert(spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string"), "id", path)
-    assert {r.id: r.v for r in spark.read.parquet(path).collect()} == {1: "a", 2: "c", 3: "d"}
+    assert {r.id: r.v for r in versions.table(spark, path).collect()} == {1: "a", 2: "c", 3: "d"}
+    assert {r.id: r.v for r in versions.table(spark, path, version=1).collect()} == {1: "a", 2: "b"}
     maps = spark.sql("select map('a', 1, 'b', 2) as o, map('b', 3) as n")
     assert maps.select(writers.merged_stats(F.col("o"), F.col("n")).alias("m")).first()["m"] == {"a": 1, "b": 3}
 
 
 def test_documents_and_keys(spark, tmp_path):
-    writers.documents(spark.createDataFrame([("x:1", 2)], "id string, n int"), "id", str(tmp_path / "docs"))
-    assert json.loads(next((tmp_path / "docs" / "doc=x_1").glob("part*")).read_text()) == {"id": "x:1", "n": 2}
+    rows = spark.createDataFrame([("x:1", 2, b"png"), ("y/2", 3, None)], "id string, n int, sheet binary")
+    writers.documents(rows, "id", str(tmp_path / "docs"), {"sheet": ("sheet", ".png")})
+    folder = versions.part(spark, str(tmp_path / "docs"), "files")
+    found = {str(p.relative_to(folder)): p.read_bytes() for p in pathlib.Path(folder).rglob("*") if p.is_file() and p.suffix != ".crc"}
+    assert found == {"compare/x_1.json": b'{"id":"x:1","n":2}', "compare/y_2.json": b'{"id":"y/2","n":3}', "sheet/x_1.png": b"png"}
     made = writers.content_addressed(spark.createDataFrame([(b"a",), (b"a",)], "content binary"), "content").collect()
     assert [r.key for r in made] == ["86f7e437faa5a7fc"]
 
@@ -104,3 +112,110 @@ def test_pixels(spark, tmp_path):
     png("grey.png", 0, [[9, 8]])
     got = {r.path.rsplit("/", 1)[1]: (r.height, r.width, list(r.rgb)) for r in readers.pixels(spark, str(tmp_path)).collect()}
     assert got == {"rgb.png": (2, 2, list(range(1, 13))), "rgba.png": (1, 2, [1, 2, 3, 4, 5, 6]), "grey.png": (1, 2, [9, 9, 9, 8, 8, 8])}
+
+
+def pieces(raw, step):
+    """The records that byte ranges of that size give, with their positions."""
+    f, inside, depth, pos, out = pa.BufferReader(raw), 0, 0, 0, []
+    for at in range(0, len(raw), step):
+        end = min(at + step, len(raw))
+        out += enumerate(json_files.records(f, at, end, len(raw), inside, depth), pos)
+        odd, states = json_files.noted(f, at, end)
+        moved, separators = states[inside]
+        pos, inside, depth = pos + separators.get(1 - depth, 0), (inside + odd) % 2, depth + moved
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1, 5, 64, 4096])
+def test_any_byte_range_finds_its_records(monkeypatch, chunk):
+    monkeypatch.setattr(json_files, "CHUNK", chunk)
+    pick = random.Random(chunk)
+
+    def value(depth=0):
+        k = pick.random()
+        if depth < 3 and k < 0.3:
+            return {pick.choice(["a", 'b"\\', "[x", ","]): value(depth + 1) for _ in range(pick.randint(0, 3))}
+        if depth < 3 and k < 0.5:
+            return [value(depth + 1) for _ in range(pick.randint(0, 3))]
+        return pick.choice([1, None, "", '"', "\\", '\\\\"', "[{,", "é", "x" * 50, True])
+
+    for n in range(60):
+        said = [value() for _ in range(pick.randint(0, 8))] if n % 2 else {f'{k}"{{': value() for k in range(pick.randint(0, 8))}
+        raw = json.dumps(said, ensure_ascii=n % 3 == 0, indent=pick.choice([None, 1])).encode() + b"\n"
+        for step in (1, 3, 7, 50, 1000):
+            out = pieces(raw, step)
+            assert [p for p, _ in out] == list(range(len(said)))
+            assert said == ([json.loads(r) for _, r in out] if n % 2 else json.loads("{" + ",".join(r.decode() for _, r in out) + "}"))
+
+
+def test_a_file_that_ends_inside_a_record_is_told():
+    with pytest.raises(ValueError, match="inside a record"):
+        pieces(b'[{"a": 1}, {"b": "x', 4)
+
+
+def test_split_files_in_many_ranges(spark, tmp_path):
+    rows = [{"messages": [{"role": "user", "content": f"[{k}, \"{{"}, {"role": "assistant", "content": "cq.box" if k % 3 else "none"}], "model_path": None} for k in range(200)]
+    (tmp_path / "s.json").write_text(json.dumps(rows))
+    whole, many = (readers.split_file(spark, str(tmp_path / "s.json"), "t", range_bytes=n) for n in (1 << 20, 700))
+    assert many.rdd.getNumPartitions() > 10 and sorted(map(repr, many.collect())) == sorted(map(repr, whole.collect()))
+    assert {r.id for r in many.collect()} == {f"t:{k:05d}" for k in range(200) if k % 3}
+    (tmp_path / "m.json").write_text(json.dumps({f"k{k}": {"bbox": [k, 0.5]} for k in range(100)}))
+    assert {r.id: r.bbox for r in readers.id_map(spark, str(tmp_path / "m.json"), range_bytes=64).collect()} == {f"k{k}": [k, 0.5] for k in range(100)}
+    (tmp_path / "none.json").write_text(" [ ]")
+    assert readers.split_file(spark, str(tmp_path / "none.json"), "t").count() == 0
+
+
+def test_json_parts_are_written_whole_or_not(spark, tmp_path):
+    df = spark.range(50).repartition(3).select(F.to_json(F.struct("id")).alias("value"))
+    json_files.write(df, str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").glob("part-*.json"))) == 3 and not list((tmp_path / "out").glob(".attempt*"))
+    assert sorted(json.loads(r.value)["id"] for r in json_files.read(spark, str(tmp_path / "out"), 40).collect()) == list(range(50))
+    broken = spark.range(50).repartition(3).select(F.expr("if(id = 7, raise_error('stop'), string(id))").alias("value"))
+    with pytest.raises(Exception, match="stop"):
+        json_files.write(broken, str(tmp_path / "bad"))
+    assert not (tmp_path / "bad").exists() or not [p for p in (tmp_path / "bad").iterdir() if not p.name.startswith(".")]
+
+
+def test_a_stopped_writer_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    row = lambda k, v: spark.createDataFrame([(k, v)], "id int, v string")
+    writers.upsert(row(1, "a"), "id", path)
+
+    def stop(*_):
+        raise RuntimeError("killed")
+
+    for step in ("publish", "commit"):
+        with monkeypatch.context() as m:
+            if step == "publish":  # data is written, nothing is published
+                m.setattr(versions, "publish", stop)
+                with pytest.raises(RuntimeError):
+                    writers.upsert(row(1, "b"), "id", path)
+            else:  # a task fails while data is written
+                bad = spark.range(3).select(F.lit(1).alias("id"), F.expr("if(id = 1, raise_error('disk'), 'c')").alias("v"))
+                with pytest.raises(Exception, match="disk"):
+                    writers.upsert(bad, "id", path)
+        assert [(r.id, r.v) for r in versions.table(spark, path).collect()] == [(1, "a")] and versions.versions(spark, path) == [1]
+    writers.upsert(row(2, "d"), "id", path)
+    assert {r.id: r.v for r in versions.table(spark, path).collect()} == {1: "a", 2: "d"}
+    gone = versions.vacuum(spark, path)
+    assert gone and all(n.startswith("data-") for n in gone) and versions.table(spark, path, version=1).count() == 1
+
+
+def test_of_two_writers_each_is_merged(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    row = lambda k, v: spark.createDataFrame([(k, v)], "id int, v string")
+    publish, calls = versions.publish, []
+
+    def late(spark, path, parts, after):
+        if not calls:  # another writer comes in between
+            calls.append(after)
+            writers.upsert(row(9, "other"), "id", path)
+        return publish(spark, path, parts, after)
+
+    monkeypatch.setattr(versions, "publish", late)
+    assert writers.upsert(row(1, "mine"), "id", path) == 2
+    assert {r.id: r.v for r in versions.table(spark, path).collect()} == {9: "other", 1: "mine"}
+    with pytest.raises(versions.Conflict):
+        publish(spark, path, {"data": "x"}, 1)
+    with pytest.raises(FileNotFoundError):
+        versions.table(spark, str(tmp_path / "none"))
