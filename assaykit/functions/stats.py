@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import zlib
 from functools import reduce
 
 import numpy as np
@@ -137,6 +138,63 @@ def binomial_bootstrap(df: DataFrame, keys: list[str], success: Column, iters: i
     return counts.withColumn("_ci", interval("n", "k")).select(*keys, "n", "k", "_ci.lo", "_ci.hi")
 
 
+def split_bootstrap(df: DataFrame, keys: list[str], value: str, iters: int = 2000, alpha: float = 0.05, seed: int = 0, most: int = 1_000) -> DataFrame:
+    """keys, n, lo, hi: percentile interval of the mean over resamples, for groups of any size.
+
+    A resample of n rows is a multinomial draw of how often each row is taken. Equal values are
+    counted first. Values are then spread over blocks by a hash, of which the number is a power of two. A
+    block walks down the binary tree of hash bits: at each node a seeded binomial draw, the
+    same for all that pass it, says how many rows of each resample lie to the left. So blocks agree without
+    seeing each other. Within its block, a task draws how often each value is taken, and sums them.
+    The ends differ from those of any other draw of as many resamples by chance alone, a standard deviation of
+    0.06 standard errors of the mean for 2,000 and 95 %.
+
+    No task holds more than about `most` different values or some numbers for each resample.
+    """
+    names = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    counts = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    largest = counts.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    depth = max(0, math.ceil(math.log2(max(1, largest / most))))
+    code = F.shiftrightunsigned(F.xxhash64("_v"), 64 - depth) if depth else F.lit(0)
+    blocks = counts.withColumn("_b", code.cast("long"))
+    # rows of each node of the tree; level l has the first l bits of the hash
+    nodes = blocks.groupBy(*keys, "_b").agg(F.sum("_c").alias("_n"))
+    each = nodes.select(*keys, "_b", "_n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("_l"))
+    sizes = each.groupBy(*keys, "_l", F.expr(f"shiftright(_b, {depth} - _l)").alias("_p")).agg(F.sum("_n").alias("_n"))
+    # of each block's way down: a node's rows and those of its left child
+    way = each.where(F.col("_l") < depth).select(*keys, "_b", "_l", F.expr(f"shiftright(_b, {depth} - _l)").alias("_p"), F.expr(f"shiftright(_b, {depth} - _l - 1)").alias("_to"))
+    rows = lambda n: sizes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_l").alias("_m"), F.col("_p").alias("_q"), F.col("_n").alias(n))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.lit(True))
+    whole = way.join(rows("_n"), same & (F.col("_m") == F.col("_l")) & (F.col("_q") == F.col("_p"))).select(*way.columns, "_n")
+    left = whole.join(rows("_left"), same & (F.col("_m") == F.col("_l") + 1) & (F.col("_q") == F.col("_p") * 2), "left")
+    path = left.select(*keys, "_b", "_l", "_to", "_n", F.coalesce("_left", F.lit(0)).alias("_left"))
+    total = sizes.where("_l = 0").select(*keys, F.col("_n").alias("_total"))
+
+    def drawn(group: pd.DataFrame, way: pd.DataFrame) -> pd.DataFrame:
+        first = way[way["_l"] == -1].iloc[0]
+        taken = np.full(iters, int(first["_n"]))
+        name = [str(first[k]) for k in keys]
+        for r in way[way["_l"] >= 0].sort_values("_l").itertuples(index=False):
+            level, to, n, at_left = (int(x) for x in r[-4:])
+            rng = np.random.default_rng([seed, zlib.crc32("\x1f".join(name).encode()), level, to >> 1])
+            lefts = rng.binomial(taken, at_left / n)
+            taken = taken - lefts if to & 1 else lefts
+        rng = np.random.default_rng([seed, zlib.crc32("\x1f".join(name).encode()), 63, int(first["_to"])])
+        group = group.sort_values("_v")
+        sums = rng.multinomial(taken, group["_c"] / group["_c"].sum()) @ group["_v"].to_numpy()
+        return pd.DataFrame({**{k: [group[k].iloc[0]] for k in keys}, "_sums": [sums.tolist()]})
+
+    ends = nodes.join(total.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_total"), same).select(*keys, "_b", F.lit(-1).alias("_l"), F.col("_b").alias("_to"), F.col("_total").alias("_n"), F.lit(0).cast("long").alias("_left"))
+    steps = path.unionByName(ends)
+    steps = steps.toDF(*steps.columns)  # columns of its own, which the other side doesn't share
+    sums = blocks.groupBy(*keys, "_b").cogroup(steps.groupBy(*keys, "_b")).applyInPandas(drawn, f"{names}, _sums array<double>")
+    means = sums.select(*keys, F.posexplode("_sums").alias("_i", "_s")).groupBy(*keys, "_i").agg(F.sum("_s").alias("_s"))
+    sorted_sums = means.groupBy(*keys).agg(F.sort_array(F.collect_list("_s")).alias("_s"))  # iters numbers
+    pick = lambda at: F.get("_s", F.lit(at)) / F.col("_total")
+    out = sorted_sums.join(total.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_total"), same)
+    return out.select(*keys, F.col("_total").alias("n"), pick(int(iters * alpha / 2)).alias("lo"), pick(int(iters * (1 - alpha / 2)) - 1).alias("hi"))
+
+
 def auc(df: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
     """keys, auc: the chance that a positive scores above a negative, ties at one half; NaN if a side is empty.
 

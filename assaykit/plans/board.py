@@ -267,6 +267,12 @@ def bootstrap_ci_exact(spark, d):
     return stats.bootstrap(newest(spark, d).withColumn("ok", (F.col("value") >= 20).cast("double")), ["lane"], "ok", "id")
 
 
+@query()
+def bootstrap_ci_split(spark, d):
+    """The interval of the mean value of all answers of each lane, from resamples drawn over many tasks."""
+    return stats.split_bootstrap(log(spark, d), ["lane"], "value", most=100)
+
+
 @query()
 def bootstrap_ci_binomial(spark, d):
     return stats.binomial_bootstrap(log(spark, d), ["lane"], F.col("value") >= 20)

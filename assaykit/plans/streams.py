@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from ..streaming import folds
-from .registry import LOG, log, query, table
+from ..streaming import folds, progress, timers
+from .registry import LOG, SQL, log, query, table
 
 RACE = LOG + """, race AS (SELECT id AS race, 'L' || (k % 4) AS lane, event_id AS seq, value AS t, k,
   CASE WHEN k % 10 = 0 THEN 'restart' WHEN lane = 'click' THEN 'reasoning' WHEN lane = 'error' THEN 'error' WHEN lane = 'purchase' THEN 'graded' ELSE 'content' END AS type,
@@ -124,13 +126,77 @@ def stream_distinct(spark, d):
     return folds.run_once(events.select("event_id", "user_id", "event_type"), place_for(spark, "distinct"))
 
 
-@query(LANE_STATE)
-def stream_fold(spark, d):
-    """The lane states of the event stream, by a stateful processor over RocksDB."""
+@contextmanager
+def rocksdb(spark):
+    """State in RocksDB, which stateful processors need."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return folds.run_once(folds.fold_stream(race(stream(spark, d))), place_for(spark, "fold"), ["race", "lane"])
+        yield
     finally:
         spark.conf.set(key, before)
+
+
+@query(LANE_STATE)
+def stream_fold(spark, d):
+    """The lane states of the event stream, by a stateful processor over RocksDB."""
+    with rocksdb(spark):
+        return folds.run_once(folds.fold_stream(race(stream(spark, d))), place_for(spark, "fold"), ["race", "lane"])
+
+
+@query(SQL["rate_limiter"])
+def stream_pacing(spark, d):
+    """Starts that keep the interval, by state and timers; equal to the batch form."""
+    requests = stream(spark, d).select("event_id", F.col("event_type").alias("lane"), "value")
+    with rocksdb(spark):
+        return folds.run_once(timers.paced_stream(requests, "lane", "value", "event_id", 0.05), place_for(spark, "pacing")).select("event_id", "lane", F.round("start", 6).alias("start"))
+
+
+@query("""WITH p AS (SELECT CAST(user_id AS VARCHAR) AS race, event_type, max(value) AS last FROM events GROUP BY ALL)
+SELECT race, count(*) AS n, max(last) AS t_end, CASE WHEN CAST(race AS BIGINT) % 10 = 0 AND bool_or(event_type = 'purchase') THEN 'timeout' ELSE 'ended' END AS how FROM p GROUP BY race""")
+def stream_terminal(spark, d):
+    """One closing row for each race, told by the end of its last producer, or by a timer where the purchases of a race never end."""
+    events = table(spark, d, "events").select(F.col("user_id").cast("string").alias("race"), F.col("event_type").alias("producer"), F.col("value").alias("t"), "event_id")
+    last = events.groupBy("race", "producer").agg(F.max(F.struct("t", "event_id"))["event_id"].alias("last"))
+    known = last.groupBy("race").agg(F.count("*").alias("producers"))
+    endless = (F.col("race").cast("long") % 10 == 0) & (F.col("producer") == "purchase")
+    marked = events.join(last, ["race", "producer"]).join(known, "race").select("race", "producer", "t", ((F.col("event_id") == F.col("last")) & ~endless).alias("ended"), "producers")
+    place = place_for(spark, "races")
+    marked.write.parquet(place)
+    # what comes later moves the watermark on
+    marked.agg(F.lit("clock").alias("race"), F.lit("clock").alias("producer"), (F.max("t") + 3600).alias("t"), F.lit(True).alias("ended"), F.lit(1).cast("long").alias("producers")).write.mode("append").parquet(place)
+    with rocksdb(spark):
+        told = folds.run_once(timers.closing_rows(spark.readStream.schema(marked.schema).parquet(place), patience=30), place_for(spark, "closing"))
+    return told.where("race <> 'clock'")
+
+
+@query("""SELECT 'rows' AS metric, count(*)::DOUBLE AS value FROM events UNION ALL SELECT 'counts.errors', count(*) FILTER (WHERE event_type = 'error') FROM events
+UNION ALL SELECT 'counts.users', sum(user_id) FROM events UNION ALL SELECT 'batches', 6 FROM events LIMIT 4""")
+def stream_progress(spark, d):
+    """Rows and observed metrics of all batches of a stream, from the table its listener writes."""
+    source, place = place_for(spark, "progress-events"), place_for(spark, "progress")
+    table(spark, d, "events").repartition(6).write.parquet(source)
+    events = spark.readStream.schema(table(spark, d, "events").schema).option("maxFilesPerTrigger", 1).parquet(source)
+    watched = events.observe("counts", F.count_if(F.col("event_type") == "error").alias("errors"), F.sum("user_id").alias("users"))
+    listener = progress.ProgressTable(spark, place)
+    spark.streams.addListener(listener)
+    try:
+        run = watched.writeStream.format("noop").option("checkpointLocation", place_for(spark, "progress-state")).queryName("progress").trigger(availableNow=True).start()
+        run.awaitTermination()
+        listener.wait(run.runId)
+    finally:
+        spark.streams.removeListener(listener)
+    told = progress.progress(spark, place)
+    batches = told.where("metric is null and rows > 0").select(F.inline(F.array(F.struct(F.lit("rows").alias("metric"), F.col("rows").cast("double").alias("value")), F.struct(F.lit("batches").alias("metric"), F.lit(1.0).alias("value")))))
+    return batches.unionByName(told.where("metric is not null").select("metric", "value")).groupBy("metric").agg(F.sum("value").alias("value"))
+
+
+@query("""SELECT event_id, user_id, CAST(ceil(value * 0.5 * 1000 / 250) AS BIGINT) * 250 AS out_ms FROM events""")
+def stream_replay(spark, d):
+    """Events replayed at half their recorded times, against a clock that hands out 40 ticks of 250 ms in each batch."""
+    every, per_batch = 250, 40
+    recorded = table(spark, d, "events").select("event_id", "user_id", F.col("value").alias("t"))
+    told = timers.replayed(timers.ticks(spark, every, per_batch), recorded, "t", 0.5, every)
+    last = math.ceil((recorded.agg(F.max("t")).first()[0] or 0) * 0.5 * 1000 / every)
+    return folds.run_until(told, place_for(spark, "replay"), last // per_batch).select("event_id", "user_id", "out_ms")

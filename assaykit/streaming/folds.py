@@ -5,6 +5,7 @@ Events have race, lane, seq (a total order within a race), t (seconds), type and
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from functools import reduce
 
@@ -157,6 +158,21 @@ def run_once(stream: DataFrame, place: str, keys: list[str] | None = None) -> Da
     return told.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*").select(*stream.columns)
 
 
+def run_until(stream: DataFrame, place: str, batch: int, seconds: float = 600) -> DataFrame:
+    """What a stream without an end gives up to and with a batch, through Parquet files in a shared folder."""
+    out = f"{place}/rows"
+    running = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{place}/state").outputMode("append").start()
+    end = time.time() + seconds
+    try:
+        while not ((last := running.lastProgress) and last["batchId"] >= batch):
+            if not running.isActive or time.time() > end:
+                raise running.exception() or TimeoutError(f"batch {batch} didn't end in {seconds} s")
+            time.sleep(0.2)
+    finally:
+        running.stop()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
 def append_log(stream: DataFrame, path: str, checkpoint: str):
     """A replayable event log: Parquet files with the offsets t."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

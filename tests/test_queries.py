@@ -1,6 +1,7 @@
 """Every registered query against its SQL; those without SQL must give rows."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from assaykit import plans
 
@@ -58,3 +59,37 @@ def test_contains_at_any_edge(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = {k: n for k, t in enumerate(texts) if (n := sum(i in (t or "") for i in items))}
     assert {r.doc_id: r.n_items for r in plans.QUERIES["contamination_contains"](spark, str(tmp_path)).collect()} == want
+
+
+def test_split_bootstrap_is_the_exact_one_but_for_chance(spark, data):
+    import pandas as pd
+
+    from assaykit.functions import stats
+    from assaykit.plans.registry import log
+
+    rows = log(spark, data)
+    moments = {r[0]: (r[1], r[2], r[3]) for r in rows.groupBy("lane").agg(F.avg("value"), F.stddev_samp("value"), F.count("*")).collect()}
+    exact = {r.lane: r for r in stats.bootstrap(rows, ["lane"], "value", "event_id").collect()}
+    split = {r.lane: r for r in plans.QUERIES["bootstrap_ci_split"](spark, data).collect()}
+    whole = {r.lane: r for r in stats.split_bootstrap(rows, ["lane"], "value", most=10**6).collect()}
+    assert exact.keys() == split.keys()
+    for lane, (mean, spread, n) in moments.items():
+        error = spread / n**0.5
+        for got in (split[lane], whole[lane]):  # over many blocks, and in one
+            assert got.n == n and abs(got.lo - exact[lane].lo) < 0.35 * error and abs(got.hi - exact[lane].hi) < 0.35 * error and got.lo < mean < got.hi
+    # blocks agree on how many rows they take: with equal values each resample's mean is that value
+    same = stats.split_bootstrap(spark.createDataFrame(pd.DataFrame({"k": ["a"] * 90, "v": [2.0] * 90})), ["k"], "v", most=1).first()
+    assert (same.n, same.lo, same.hi) == (90, 2.0, 2.0)
+    counted = stats.split_bootstrap(spark.range(4000).selectExpr("'a' as k", "double(id) as v"), ["k"], "v", iters=200, most=50).first()
+    assert abs(counted.lo - (1999.5 - 1.96 * 1154.7 / 4000**0.5)) < 12 and counted.n == 4000
+
+
+def test_binomial_interval_is_as_wide_as_the_exact_one(spark, data):
+    from assaykit.functions import stats
+    from assaykit.plans.registry import log
+
+    rows = log(spark, data).withColumn("ok", (F.col("value") >= 20).cast("double"))
+    exact = {r.lane: r for r in stats.bootstrap(rows, ["lane"], "ok", "event_id").collect()}
+    for r in plans.QUERIES["bootstrap_ci_binomial"](spark, data).collect():
+        error = (r.k / r.n * (1 - r.k / r.n) / r.n) ** 0.5
+        assert abs(r.lo - exact[r.lane].lo) < 0.35 * error + 1 / r.n and abs(r.hi - exact[r.lane].hi) < 0.35 * error + 1 / r.n
