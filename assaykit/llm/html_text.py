@@ -3,15 +3,16 @@
 The standard library's parser sends start, end and text events. They are folded into lines, one
 for each block, and a tree of the block elements. Each line has a text-to-tag ratio: its
 characters outside links over its tags. The ratios are smoothed with a Gaussian along the page
-and split by threshold clustering into content and boilerplate. The content lines choose the
-regions of the page: the outermost article or main elements that hold content lines, if these
-hold at least half of the content, else the smallest element that holds all content lines. In
-such an element its own lines stay, and those of the blocks that hold content lines or lie between
-such; a heading right before it belongs to it. Blocks of links without a content line go. Names
-of elements and classes only take away parts of a region: menus, adverts, forms, comments and the like.
+and split by threshold clustering into content and boilerplate. The clusters choose the region of the
+page: the element in which content outweighs the other lines most, grown to one around it that holds
+most of the content. In the region its own lines stay, and those of the blocks that hold content
+lines or lie between such, but for notices of one line at its ends; a heading right before it belongs
+to it. Blocks of links without a content line go. Names only overrule: the article around a region
+widens it, articles that hold nearly all of it narrow it, and menus, adverts, forms, comments and the
+like are taken away. A region of which nothing is left so is chosen again among the other lines.
 
 Scale: map-only, one pass over each page; time and memory are linear in its length, since a line
-holds the number of its element and an element that of its parent. Nothing is shuffled.
+holds the number of its element and an element that of its parent, and tags that never end are mended before parsing. Nothing is shuffled.
 
 Edge cases: null or empty html gives the empty text; unclosed and truncated markup is closed at
 its parent's or the page's end; a page without a content line gives what lines it has outside
@@ -56,13 +57,17 @@ STORY_WORDS = {"article", "post", "entry", "story", "content", "main"}  # a head
 #: An open element that a start tag closes, as HTML lets its end tag be left out.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-#: A tag that the end of the page cuts off.
-UNFINISHED = re.compile(r"<[A-Za-z/][^<>]*\Z")
+TAG = re.compile(r"</?[A-Za-z]")
+EDGE = re.compile(r"""=\s*(["'])|["'<>]""")  # where a tag ends, or a quote opens a value
+RAW = re.compile(r"<(script|style)\b", re.IGNORECASE)  # elements whose text isn't markup
 
 SIGMA = 1.0
 FULL = 80.0  # characters for each tag that make a line content, however long the others are
 LINKED = 0.8  # share of characters in links that makes a block of lines a menu
 LINES = 3  # lines of a menu, at least
+MOST = 0.75  # share of the page's content that its region holds
+NOTICE = 0.1  # share of the region's content under which a line in a block of its own may be a notice
+HELD = 0.9  # share of a region's content that makes articles in it the region
 
 
 class Lines(HTMLParser):
@@ -196,37 +201,104 @@ def threshold(values: np.ndarray) -> float:
     return at
 
 
-def unfinished(html: str) -> str:
-    """html without a comment or tag that its end cuts off."""
-    at = html.find("<!--", html.rfind("-->") + 1)
-    return UNFINISHED.sub("", html if at < 0 else html[:at])
+def mended(html: str) -> str:
+    """html in which every tag ends, in one pass over it.
 
-
-def regions(content: np.ndarray, mass: np.ndarray, element: np.ndarray, parser: Lines) -> np.ndarray:
-    """Which lines lie in the regions that the content lines choose."""
+    Markup that the page's end cuts off goes: a tag, a comment, or what an open quote would swallow if
+    no tag ends behind it. A quote that is never closed is left out of its tag, as is a < within a tag. So the
+    parser never looks for the end of a tag in vain, which takes it a time that grows with the square of the page.
+    """
+    out, done, at = [], 0, 0
+    last = {q: html.rfind(q) for q in "\"'>"}
+    while (at := html.find("<", at)) >= 0:
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            if end < 0:
+                return "".join([*out, html[done:at]])
+            at = end + 3
+            continue
+        if not TAG.match(html, at):
+            at += 1
+            continue
+        end, clean, quoted = at + 1, True, []
+        while True:
+            m = EDGE.search(html, end)
+            if m is None or at > last[">"]:
+                return "".join([*out, html[done:at]])
+            end = m.end()
+            if m[0] == ">":
+                break
+            if m[0] == "<" or m[1] is None:  # a < or a quote that opens no value
+                clean = False
+                quoted.append((end - 1, end, " "))
+            elif last[m[1]] < end:  # a value that never closes
+                clean = False
+                quoted.append((end - 1, end, ""))
+            else:
+                end = html.index(m[1], end) + 1
+        if not clean:
+            out.append(html[done:at])
+            done = at
+            for a, b, by in quoted:
+                out += [html[done:a], by]
+                done = b
+        if raw := RAW.match(html, at):
+            close = re.compile(f"</{raw[1]}", re.IGNORECASE).search(html, end)
+            if close is None:
+                return "".join([*out, html[done:at]])
+            end = close.start()
+        at = end
+    return "".join([*out, html[done:]])
+
+
+def regions(high: np.ndarray, size: np.ndarray, element: np.ndarray, parser: Lines) -> np.ndarray:
+    """Which lines lie in the region that the clusters choose.
+
+    The region is the element with the largest sum of lines, content for and others against it, by
+    their characters; it grows to an element around it that holds most of the content, if content outweighs the rest there too. Within it its own lines
+    stay, and blocks with content or between such.
+    """
     parents, names = parser.parents, parser.names
-    story = [-1] * len(names)  # the outermost article or main around each element
-    held = np.bincount(element, content, len(names)).tolist()  # content lines in each element
-    for k in range(1, len(names)):
-        up = story[parents[k]]
-        story[k] = up if up >= 0 else k if names[k] in ARTICLE else -1
-    for k in range(len(names) - 1, 0, -1):
-        held[parents[k]] += held[k]
-    around = np.array(story)[element]
-    if mass[content & (around >= 0)].sum() * 2 >= mass[content].sum():
-        return np.isin(around, around[content & (around >= 0)])
-    root = int(element[np.argmax(content)])
-    while held[root] < held[0] or names[root] not in CONTAINER:
-        root = parents[root]
-    block = [-1] * len(names)  # the container right below root that each element is or lies in, or root; -1 outside
+    n = len(names)
+    score, mass = np.bincount(element, np.where(high, size, -size), n).tolist(), np.bincount(element, np.where(high, size, 0), n).tolist()
+    for k in range(n - 1, 0, -1):
+        score[parents[k]] += score[k]
+        mass[parents[k]] += mass[k]
+    fits = [k for k in range(n) if names[k] in CONTAINER]
+    root = max(fits, key=lambda k: (score[k], k))
+    up = root
+    while mass[root] < MOST * mass[0] and parents[up] >= 0:
+        up = parents[up]
+        if names[up] in CONTAINER and score[up] > 0 and mass[up] > mass[root]:
+            root = up
+    story, up = -1, root  # names may widen the region to the article around it
+    while up >= 0:
+        story, up = (up if names[up] in ARTICLE else story), parents[up]
+    if story >= 0:
+        root = story
+    else:  # or narrow it to the articles that hold what it holds
+        around = [-1] * n
+        for k in range(1, n):
+            around[k] = around[parents[k]] if around[parents[k]] >= 0 else k if names[k] in ARTICLE else -1
+        told = {k for k in range(n) if around[k] == k and mass[k]}
+        if sum(mass[k] for k in told) >= HELD * mass[root]:
+            return np.isin(np.array(around)[element], list(told))
+    block = [-1] * n  # the container right below root that each element is or lies in, or root; -1 outside
     block[root] = root
-    for k in range(root + 1, len(names)):
+    for k in range(root + 1, n):
         up = block[parents[k]]
         block[k] = k if up == root and names[k] in CONTAINER else up
     block = np.array(block)[element]
-    spots = np.flatnonzero(content)
-    out = (block == root) | np.isin(block, block[content])
+    if story >= 0:
+        return block >= 0
+    spots = np.flatnonzero(high & (block >= 0))
+    # a block of one short line at either end is a notice rather than part of the text
+    lone = (np.bincount(block[block >= 0], minlength=n)[block] == 1) & (block != root) & (size < NOTICE * mass[root])
+    while len(spots) > 1 and (lone[spots[0]] or lone[spots[-1]]):
+        spots = spots[1:] if lone[spots[0]] else spots[:-1]
+    out = (block == root) | np.isin(block, block[spots])
     out[spots[0] : spots[-1]] |= block[spots[0] : spots[-1]] >= 0
+    out &= block >= 0
     at = int(np.argmax(out))
     while at and (out[at - 1] or names[element[at - 1]] in HEADINGS):
         at -= 1
@@ -250,7 +322,7 @@ def menus(content: np.ndarray, size: np.ndarray, linked: np.ndarray, element: np
 
 def main_text(html: str) -> str:
     parser = Lines()
-    parser.feed(unfinished(html))
+    parser.feed(mended(html))
     parser.close()
     parser.end_line()
     lines = parser.lines
@@ -258,21 +330,22 @@ def main_text(html: str) -> str:
         return ""
     size = np.array([len(x[0]) for x in lines])
     tags, linked, apart, element, own = (np.array(x) for x in list(zip(*lines))[1:])
-    plain = np.maximum(size - linked, 0)
-    ratio = plain / np.maximum(tags, 1)
+    ratio = np.maximum(size - linked, 0) / np.maximum(tags, 1)
     level = smooth(ratio)
     least = min(threshold(level), FULL)
     # a line that is only lifted by its neighbours may lie in a region, but it doesn't choose one
     high = (level >= least) & (ratio >= least) & (2 * linked <= size)
     free = ~apart
-    if not (free & high).any() and own.any():  # something around the article was left open
-        free = own
-    content = free & high
-    if not content.any():
-        content = free
-    if not content.any():
-        return ""
-    kept = free & regions(content, plain + 1, element, parser) & ~menus(content, size, linked, element, parser)
+    kept = np.zeros(len(lines), bool)
+    if high.any():
+        kept = free & regions(high, size, element, parser)
+    if not kept.any():  # names say that none of it is the article, or something around the article was left open
+        free = free if free.any() else own
+        high = free & high if (free & high).any() else free
+        if not high.any():
+            return ""
+        kept = free & regions(high, size, element, parser)
+    kept &= ~menus(high & free, size, linked, element, parser)
     return "\n".join(lines[k][0] for k in np.flatnonzero(kept))
 
 

@@ -741,6 +741,57 @@ def test_ratios_decide_the_regions(monkeypatch):
     assert any(html_text.main_text(page) != want for page, want in PLAIN_PAGES[:3])
 
 
+NAMED = re.compile(r"(</?)(?:article|main|nav|header|footer|aside|section|form)\b[^>]*>")
+
+
+def bare(page):
+    """A page whose elements and attributes name no part of it."""
+    return re.sub(r'\s(?:class|id|role)="?[^" >]*"?', "", NAMED.sub(r"\1div>", page))
+
+
+def test_ratios_decide_pages_whose_names_are_removed(monkeypatch):
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.1/pages.parquet", columns=["html"]).column("html").to_pylist()
+    whole = [html_text.main_text(p) for p in pages]
+    found = [html_text.main_text(bare(p)) for p in pages]
+    hits = sum((Counter(a.split("\n")) & Counter(b.split("\n"))).total() for a, b in zip(whole, found))
+    assert hits >= 0.99 * sum(len(a.split("\n")) for a in whole) and hits >= 0.99 * sum(len(b.split("\n")) for b in found)
+    rng = np.random.default_rng(0)
+    monkeypatch.setattr(html_text, "smooth", lambda x: rng.random(len(x)))
+    assert sum(html_text.main_text(bare(p)) != b for p, b in zip(pages, found)) > len(pages) / 2
+
+
+@pytest.mark.parametrize("unit", ["<a <b ", '<a href="<b ', "<a href='x <b> ", '<a b="c" d" >x', "<script>x", "<!-- x ", "</a <"])
+def test_tags_without_an_end_take_linear_time(unit):
+    import time
+
+    def took(n):
+        page = unit * (n // len(unit))
+        began = time.process_time()
+        html_text.main_text(page)
+        return max(time.process_time() - began, 0.02)
+
+    took(10_000)
+    assert all(took(2 * n) < 2.5 * took(n) for n in (10_000, 20_000, 200_000))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>a <b c='d>e</p><p>f", "a e\nf"),
+        ("<p>x < y and <z</p>ok", "x < y and\nok"),
+        ('<a href=x"y>t</a><p>u</p>', "t\nu"),
+        ('<p title="a>b">c</p>', "c"),
+        ("<p>a</p><p title='b", "a"),
+        ("<p>a</p><!-- b", "a"),
+        ("<p>a</p><script>b", "a"),
+    ],
+)
+def test_mended_markup(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_deep_and_broken_markup_takes_linear_time():
     import time
 
