@@ -1,10 +1,13 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, units after numbers and names become typed placeholders, all else is lower-cased and
-freed of punctuation. Windows of eight such tokens are hashed and joined to the windows of the
-benchmark by equality. A window with fewer than four other words is no template: it counts only
-if its values are equal too. Along each alignment of a text with an item, a slot value of the item must
-mostly stand for the same value of the text. An item counts from a share of its windows, or from a
+freed of punctuation. Names of several words, and numbers written in several, are one placeholder.
+Windows of five such tokens are hashed and joined to the windows of the
+benchmark by equality. A window with fewer than three other words is no template: it counts only
+if its values are equal too. An item without a template, as short and numeric questions are, is one as a whole, if it
+has two words that are no placeholders. Along each alignment of a text with an item, a slot value of the item must
+mostly stand for the same value of the text. An item counts from a share of its windows, from a share of its tokens
+that windows cover along one alignment, or from a
 long run of its tokens, as a passage of it or an edited copy has; so a question that only had its values exchanged is
 found, and a chance likeness of templates is not.
 
@@ -15,7 +18,7 @@ through goes into an exact join. The aggregates run on real hits only; equal tex
 back by a 128-bit key of the text, which run-time skew splitting can divide.
 
 Edge cases: null and empty texts are clean; items shorter than a window are one window of their
-own length; items without a word are ignored; an item's id may be null; an empty benchmark
+own length; items of numbers and names alone count only as they stand; items without a word are ignored; an item's id may be null; an empty benchmark
 leaves all texts clean; repeated rows and further columns pass through, but for columns with the
 name of a result or helper, which are replaced.
 """
@@ -30,9 +33,10 @@ from pyspark.sql import types as T
 
 from .common import cut, small_batches, text_or_empty, utf8
 
-WINDOW = 8
-LITERALS = 4  # a window that is a template has at least so many words that are no placeholders
-SHARE = 0.4  # of an item's windows, or of those that are templates, that a leaking text holds
+WINDOW = 5
+LITERALS = 3  # a window that is a template has at least so many words that are no placeholders
+WHOLE = 2  # an item that is a template as a whole has at least so many
+SHARE = 0.4  # of an item's windows, of those that are templates, or of its tokens along one alignment, that a leaking text holds
 RUN = 13  # or so many of its tokens, next to each other but for gaps of one, along one alignment
 CONSISTENT = 0.75  # of an item's slot values that keep to one value of the text
 BITS_MOST = 1 << 27
@@ -111,6 +115,15 @@ class Tokens:
         name = upper_head & (n_changed[last] - n_changed[first] == 1) & ~(starts | np.r_[True, ends[:-1]][: len(at)]) & ~number & ~unit
         self.word = word.copy()
         word[number], word[unit], word[name] = NUM, UNIT, NAME
+        # a name or a number of several words is one slot, which ends with the last of them
+        spelled = number & ~IS_DIGIT[raw[head]]
+        bound = ~IS_PUNCTUATION[raw[end - 1]]  # no punctuation after it
+        onward = np.r_[False, ((name[1:] & name[:-1]) | (spelled[1:] & spelled[:-1])) & bound[:-1] & ~starts[1:]][: len(at)]
+        if onward.any():
+            own = np.flatnonzero(~onward)
+            self.word = np.where(np.r_[onward[1:], False] | onward, _joined(self.word, own), self.word)[own]
+            self.text, word, end = self.text[own], word[own], end[np.r_[own[1:], len(at)] - 1]
+            at, number, unit, name = at[own], number[own], unit[own], name[own]
         self.token, self.slot, self.at, self.end = word, number | unit | name, at, end
 
     def values(self, first: int, width: int) -> list[str]:
@@ -119,6 +132,14 @@ class Tokens:
         return [self.raw[self.at[k] : self.end[k]].tobytes().decode("utf-8", "replace").strip(EDGES).lower() for k in spots]
 
 
+def _joined(word: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Of words in runs that begin at own, one hash for each run, at its first word."""
+    out = word.copy()
+    places = np.arange(len(word)) - np.repeat(own, np.diff(np.r_[own, len(word)]))
+    out[own] = np.add.reduceat(_mixed(word + places.astype(np.uint64) * STEP), own)
+    return out
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
@@ -159,28 +180,27 @@ def chunks(texts: list[bytes]):
         at = to
 
 
-def windows(found: Tokens, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(found: Tokens, width: int = WINDOW, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each window (int64), whether it lies in one text, and whether it has words enough for a template.
 
-    A window with fewer words is hashed with the values of its slots as they stand.
+    A window with fewer words is hashed with the values of its slots as they stand. whole: it stands for a whole item.
     """
     n = len(found.token) - width + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, bool), np.empty(0, bool)
-    out = np.zeros(n, np.uint64)
-    for k in range(width):
-        out *= STEP
-        out += found.token[k : k + n]
+    up, down = _POWERS(len(found.token) + 1)
+
+    def rolled(x: np.ndarray) -> np.ndarray:
+        sums = np.r_[np.uint64(0), np.cumsum(_mixed(x) * up[: len(x)])]
+        return (sums[width:] - sums[:n]) * down[:n]
+
+    out = rolled(found.token)
     words = np.cumsum(np.r_[0, ~found.slot])
-    enough = words[width:] - words[:n] >= min(LITERALS, width)
+    enough = words[width:] - words[:n] >= (WHOLE if whole else LITERALS)
     few = np.flatnonzero(~enough)
     if len(few):
-        plain = np.full(len(few), AS_IT_STANDS)
-        for k in range(width):
-            plain *= STEP
-            plain += found.word[few + k]
-        out[few] = plain
-    return _mixed(out).view(np.int64), found.text[:n] == found.text[width - 1 :], enough
+        out[few] = rolled(found.word)[few] + AS_IT_STANDS
+    return _mixed(out + np.uint64(width * int(STEP) % 2**64)).view(np.int64), found.text[:n] == found.text[width - 1 :], enough
 
 
 HIT = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("slots", T.ArrayType(T.StringType())), T.StructField("template", T.BooleanType()), T.StructField("width", T.IntegerType())]))
@@ -191,15 +211,25 @@ def _column(rows: list[list[tuple[int, int, list[str], bool, int]]]) -> pa.Array
     return pa.array([[{"h": h, "pos": p, "slots": s, "template": t, "width": w} for h, p, s, t, w in row] for row in rows], kind)
 
 
+def _widths(item: Tokens) -> list[int]:
+    """Widths of an item's windows: those of texts, and the whole item if it is short or has no template."""
+    n = len(item.token)
+    if n < WINDOW:
+        return [n] if n else []
+    return [WINDOW] if windows(item, WINDOW)[2].any() or n == WINDOW else [WINDOW, n]
+
+
 def _item_windows(text: Column) -> Column:
     @F.arrow_udf(HIT)
     def of(column: pa.Array) -> pa.Array:
         rows = []
         for x in utf8(column):
             found = Tokens([x])
-            width = min(WINDOW, len(found.token)) or 1
-            h, within, enough = windows(found, width)
-            rows.append([(int(h[k]), k, found.values(k, width), bool(enough[k]), width) for k in np.flatnonzero(within).tolist()])
+            row = []
+            for width in _widths(found):
+                h, within, enough = windows(found, width, whole=width != WINDOW)
+                row += [(int(h[k]), k, found.values(k, width), bool(enough[k]), width) for k in np.flatnonzero(within).tolist()]
+            rows.append(row)
         return _column(rows)
 
     return of(text)
@@ -241,7 +271,7 @@ def _text_windows(text: Column, wanted: Filter, widths: list[int]) -> Column:
             found = Tokens(part)
             begins = np.searchsorted(found.text, np.arange(len(part)))
             for width in widths:
-                h, within, enough = windows(found, width)
+                h, within, enough = windows(found, width, whole=width != WINDOW)
                 for k in wanted.among(h, within).tolist():
                     t = int(found.text[k])
                     rows[first + t].append((int(h[k]), k - int(begins[t]), found.values(k, width), bool(enough[k]), width))
@@ -266,42 +296,42 @@ def _run(spots: Column) -> Column:
     return F.aggregate(F.array_sort(spots), state(F.lit(-9 * WINDOW), F.lit(0), F.lit(0)), step, lambda s: s["best"])
 
 
+def _covered(spots: Column) -> Column:
+    """Tokens that the windows at the places spots cover."""
+    state = lambda last, n: F.struct(last.alias("last"), n.alias("n"))
+    return F.aggregate(F.array_sort(spots), state(F.lit(-WINDOW), F.lit(0)), lambda s, p: state(p, s["n"] + F.least(p - s["last"], F.lit(WINDOW))), lambda s: s["n"])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", most_bits: int = BITS_MOST) -> DataFrame:
     """Rows (_k1, _k2, item_id, share, consistent) for each text and benchmark item in it; the keys name the text."""
     small_batches(docs.sparkSession)
     items = benchmark.select("item_id", F.posexplode(_item_windows(text_or_empty("text"))).alias("_n", "w"))
     items = cut(items.select("item_id", F.col("w.h").alias("h"), F.col("w.pos").alias("item_pos"), F.col("w.slots").alias("item_slots"), F.col("w.template").alias("template"), F.col("w.width").alias("width")), "benchmark-windows")
     at = F.when(F.col("template"), F.col("item_pos"))
-    sizes = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"), F.countDistinct(at).alias("item_templates"))
+    sizes = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"), F.countDistinct(at).alias("item_templates"), F.max(F.col("item_pos") + F.col("width")).alias("item_tokens"))
     wanted = Filter(items.select("h").distinct(), most_bits)
-    short = benchmark.select(_item_width(text_or_empty("text")).alias("w")).distinct().where(F.col("w") < WINDOW)
-    widths = [WINDOW, *sorted(r["w"] for r in short.collect() if r["w"] > 0)]
+    # a width for each short length and each length of an item without a template: as many as items have tokens, at most
+    widths = sorted(r["width"] for r in items.select("width").distinct().collect()) or [WINDOW]
     seen = docs.select(*_keys(text), _text_windows(text_or_empty(text), wanted, widths).alias("hits")).where(F.size("hits") > 0)
     seen = seen.dropDuplicates(["_k1", "_k2"])  # copies of a text leave each task as one row
     hits = seen.select("_k1", "_k2", F.explode("hits").alias("x")).select("_k1", "_k2", "x.h", "x.pos", "x.slots")
     matched = cut(hits.join(items, "h").select("_k1", "_k2", "item_id", (F.col("pos") - F.col("item_pos")).alias("lag"), "item_pos", "item_slots", "slots", "template", "width").distinct(), "benchmark-hits")
     share = matched.groupBy("_k1", "_k2", "item_id").agg(F.countDistinct("item_pos").alias("n"), F.countDistinct(at).alias("n_templates"))
-    runs = matched.where(F.col("width") == WINDOW).groupBy("_k1", "_k2", "item_id", "lag").agg(_run(F.collect_set("item_pos")).alias("run"))
-    runs = runs.groupBy(F.col("_k1").alias("_r1"), F.col("_k2").alias("_r2"), F.col("item_id").alias("_held")).agg(F.max("run").alias("run"))
+    spots = F.collect_set(F.when(F.col("width") == WINDOW, F.col("item_pos")))
+    runs = matched.groupBy("_k1", "_k2", "item_id", "lag").agg(_run(spots).alias("run"), F.greatest(_covered(spots), F.max(F.when(F.col("width") != WINDOW, F.col("width")))).alias("covered"))
+    runs = runs.groupBy(F.col("_k1").alias("_r1"), F.col("_k2").alias("_r2"), F.col("item_id").alias("_held")).agg(F.max("run").alias("run"), F.max("covered").alias("covered"))
     same = lambda a, b: a["item_id"].eqNullSafe(b["item_id"])
-    share = share.join(sizes.alias("z"), same(share, sizes)).select("_k1", "_k2", share.item_id, F.greatest(F.col("n") / F.col("item_windows"), F.try_divide("n_templates", "item_templates")).alias("share"))
+    share = share.join(sizes.alias("z"), same(share, sizes)).select("_k1", "_k2", share.item_id, "item_tokens", F.greatest(F.col("n") / F.col("item_windows"), F.try_divide("n_templates", "item_templates")).alias("share"))
     pairs = matched.select("_k1", "_k2", "item_id", "lag", F.explode(F.arrays_zip("item_slots", "slots")).alias("z")).distinct()
     kept = pairs.groupBy("_k1", "_k2", "item_id", "lag", "z.item_slots").agg(F.count("*").alias("values"))
     kept = kept.groupBy("_k1", "_k2", "item_id").agg(F.avg((F.col("values") == 1).cast("double")).alias("consistent"))
     both = share.join(kept.select(F.col("_k1").alias("_j1"), F.col("_k2").alias("_j2"), F.col("item_id").alias("_item"), "consistent"), (F.col("_k1") == F.col("_j1")) & (F.col("_k2") == F.col("_j2")) & F.col("item_id").eqNullSafe(F.col("_item")), "left")
     both = both.join(runs, (F.col("_k1") == F.col("_r1")) & (F.col("_k2") == F.col("_r2")) & F.col("item_id").eqNullSafe(F.col("_held")), "left")
+    both = both.withColumn("share", F.greatest("share", F.col("covered") / F.col("item_tokens")))
     found = (F.col("share") >= SHARE) | (F.col("run") >= RUN)
     return both.where(found).select("_k1", "_k2", "item_id", "share", F.coalesce("consistent", F.lit(1.0)).alias("consistent")).where(F.col("consistent") >= CONSISTENT)
 
 
-def _item_width(text: Column) -> Column:
-    @F.arrow_udf(T.IntegerType())
-    def of(column: pa.Array) -> pa.Array:
-        return pa.array([len(Tokens([x]).token) for x in utf8(column)], pa.int32())
-
-    return of(text)
-
-
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """docs with contaminated (boolean) and item_ids (sorted array of the items found)."""
     docs = docs.drop("contaminated", "item_ids", "_k1", "_k2")
