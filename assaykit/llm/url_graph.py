@@ -1,14 +1,15 @@
 """URL filters with link-graph propagation.
 
-Rules judge a url by its host and path; the longest rule that fits wins. Hosts that no rule
-judges are scored on the graph of links between hosts: personalised PageRank carries trust from
-allowed hosts along links, and distrust goes from blocked hosts against the links, to those that
-link to them. A host is blocked if its distrust is at least `threshold` of both together, and at
-least `floor` of what a single blocked host starts with, so a trace of distrust doesn't block.
+Rules judge a url by its host and path; the longest rule that fits wins. Urls that no rule
+judges go by their host, scored on the graph of links between hosts: personalised PageRank carries trust from
+hosts with allowed pages along links, and distrust goes from hosts with blocked pages against the links, to those that
+link to them. A seed's weight is the share of its pages that rules allow or block. A host is blocked if rules
+block half of its own pages, and more than they allow; or if its distrust is at least `threshold` of both together, and
+what links brought it of that at least `floor` of what a wholly blocked host starts with, so a trace of distrust doesn't block.
 
 Scale: rules are rows. The distinct urls are joined to them by equality, on the suffixes of the
-host and on the beginnings of the path that have the length of one of that host's rules, so any
-number of rules will do. Links are read from the html by built-in functions and folded to one
+host with as many labels as some rule has, and on the beginnings of the path that have the length of one of that host's rules, so any
+number of rules and any length of urls will do. Links are read from the html by built-in functions and folded to one
 weighted edge for each pair of hosts before any iteration, so a host with a third of all pages is
 a few rows. Each round is one equality join and one partial aggregate for both directions at once
 on the mass that still moves; its result is cut off in the shared folder. The mass shrinks by
@@ -60,8 +61,9 @@ def with_rule(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     rows = spark.createDataFrame(sorted(set(rules)), "_h string, _p string, verdict string")
     lengths = rows.groupBy("_h").agg(F.collect_set(F.length("_p")).alias("_n"))
     urls = urls.select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    dots = F.length("host") - F.length(F.replace("host", F.lit(".")))
+    wanted = sorted({h.count(".") for h, _, _ in rules})
+    suffixes = F.array_compact(F.array(*[F.when(dots >= n, F.substring_index("host", ".", -n - 1)) for n in wanted]))
     hosts = urls.select("host").distinct().select("host", F.explode(suffixes).alias("_h")).join(lengths, "_h")
     asked = urls.join(hosts, "host").select("host", "path", "_h", F.explode("_n").alias("_n")).where(F.length("path") >= F.col("_n"))
     found = asked.withColumn("_p", F.substr("path", F.lit(1), F.col("_n"))).join(rows, ["_h", "_p"])
@@ -81,7 +83,7 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """host, trust, distrust.
 
-    seeds: host and trusted (boolean). The seeds of a kind share a mass of 1 equally; mass that
+    seeds: host, trusted (boolean) and weight. The seeds of a kind share a mass of 1 by their weights; mass that
     reaches a host without further links is not handed on. A score is the sum over all rounds of
     (1 - damping) of the mass that passed the host, but for the last `tolerance` of the mass.
     """
@@ -90,8 +92,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     both = ahead.unionByName(back)
     total = both.groupBy("kind", "at").agg(F.sum("weight").alias("total"))
     steps = cut(both.join(total, ["kind", "at"]).select("kind", "at", "to", (F.col("weight") / F.col("total") * damping).alias("part")), "host-steps")
-    sizes = seeds.groupBy("trusted").agg(F.count("*").alias("n"))
-    now = cut(seeds.join(F.broadcast(sizes), "trusted").select(F.col("trusted").alias("kind"), F.col("host").alias("at"), (1 / F.col("n")).alias("mass")), "host-mass")  # sizes is two rows
+    sizes = seeds.groupBy("trusted").agg(F.sum("weight").alias("n"))
+    now = cut(seeds.join(F.broadcast(sizes), "trusted").select(F.col("trusted").alias("kind"), F.col("host").alias("at"), (F.col("weight") / F.col("n")).alias("mass")), "host-mass")  # sizes is two rows
     passed = [now]
     moving = 2.0 if steps.limit(1).count() else 0.0
     while moving >= tolerance:
@@ -109,17 +111,22 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", html: str = "html", threshold: float = THRESHOLD, floor: float = FLOOR) -> DataFrame:
     """pages without html, with host, path, rule, verdict, trust and distrust (both of hosts without a rule, to nine digits)."""
-    pages = pages.drop("host", "path", "rule", "verdict", "trust", "distrust", "_rule")
+    pages = pages.drop("host", "path", "rule", "verdict", "trust", "distrust", "_rule", "_good", "_bad")
     plain = pages.drop(html).withColumn("host", host(F.col(url))).withColumn("path", path(F.col(url)))
     fits = cut(with_rule(plain, rules), "url-rules")
     ruled = cut(plain.join(fits, ["host", "path"], "left"), "judged-urls")
-    votes = ruled.where("_rule is not null").groupBy("host").agg(F.sum(F.when(F.col("_rule.verdict") == "allow", 1).otherwise(-1)).alias("v"))
-    seeds = cut(votes.where("v <> 0").select("host", (F.col("v") > 0).alias("trusted")), "host-seeds")
+    share = lambda verdict: F.count_if(F.col("_rule.verdict") == verdict) / F.count("*")
+    shares = ruled.groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad")).where("good > 0 or bad > 0")
+    kinds = F.array(F.struct(F.lit(True).alias("trusted"), F.col("good").alias("weight")), F.struct(F.lit(False).alias("trusted"), F.col("bad").alias("weight")))
+    seeds = cut(shares.select("host", F.inline(kinds)).where("weight > 0"), "host-seeds")
     scores = propagate(host_edges(pages, url, html), seeds)
-    least = (1 - DAMPING) * floor / max(seeds.where("not trusted").count(), 1)
-    asked = ruled.where("_rule is null").join(scores, "host", "left")
+    whole = (1 - DAMPING) / (seeds.where("not trusted").agg(F.sum("weight")).first()[0] or 1.0)  # what a wholly blocked host starts with
+    own = seeds.groupBy("host").agg(*[F.coalesce(F.sum(F.when(c, F.col("weight"))), F.lit(0.0)).alias(n) for n, c in (("_good", F.col("trusted")), ("_bad", ~F.col("trusted")))])
+    asked = ruled.where("_rule is null").join(scores.join(own, "host", "left"), "host", "left")
     trust, distrust = (F.round(c, 9) for c in ("trust", "distrust"))
-    bad = (distrust >= least) & (distrust >= threshold * (trust + distrust))
-    unruled = asked.withColumns({"verdict": F.when(bad, "block").otherwise("allow"), "rule": F.lit(None).cast("string"), "trust": trust, "distrust": distrust})
+    own_bad = F.coalesce("_bad", F.lit(0.0))
+    led = distrust - whole * own_bad  # what links brought
+    bad = (own_bad >= 0.5) & (own_bad > F.coalesce("_good", F.lit(0.0))) | (led >= whole * floor) & (distrust >= threshold * (trust + distrust))
+    unruled = asked.withColumns({"verdict": F.when(bad, "block").otherwise("allow"), "rule": F.lit(None).cast("string"), "trust": trust, "distrust": distrust}).drop("_good", "_bad")
     known = ruled.where("_rule is not null").withColumn("rule", F.col("_rule.rule")).withColumn("verdict", F.col("_rule.verdict"))
     return known.unionByName(unruled, allowMissingColumns=True).drop("_rule")

@@ -107,7 +107,7 @@ def test_url_parts_and_rules(spark):
 def test_trust_and_distrust_equal_dense_iteration(spark):
     edges = [("a", "b", 2.0), ("b", "c", 1.0), ("b", "d", 3.0), ("d", "bad", 1.0), ("c", "a", 1.0)]
     table = spark.createDataFrame(edges, "src string, dst string, weight double")
-    seeds = spark.createDataFrame([("a", True), ("bad", False)], "host string, trusted boolean")
+    seeds = spark.createDataFrame([("a", True, 0.5), ("bad", False, 0.1)], "host string, trusted boolean, weight double")
     got = {r.host: (r.trust, r.distrust) for r in url_graph.propagate(table, seeds).collect()}
     names = sorted({x for e in edges for x in e[:2]})
     for column, seed, pairs in ((0, "a", [(s, t, w) for s, t, w in edges]), (1, "bad", [(t, s, w) for s, t, w in edges])):
@@ -141,33 +141,34 @@ def test_a_trace_of_distrust_does_not_block(spark):
     assert got["only7.org"] == "allow" and got["near.org"] == "block"
 
 
-def test_urls_equal_brute_force(spark, data):
-    pages = spark.read.parquet(f"{data}/pages.parquet").collect()
-    got = {r.page_id: r for r in queries.op2_urls(spark, data).collect()}
+def judged(pages):
+    """rule, verdict, trust and distrust of each page by plain maximisation and iteration, and the number of pages whose verdict links decide."""
 
     def split(url):
         rest = (url or "").partition("://")[2]
         name = re.match(r"[^/?#]*", rest)[0]
         return "".join(c.lower() if c.isascii() else c for c in name), re.match(r"[^?#]*", rest[len(name) :])[0]
 
-    rule_of, edges, votes = {}, Counter(), Counter()
+    rule_of, edges, votes, n_pages = {}, Counter(), Counter(), Counter()
     for r in pages:
         h, p = split(r.url)
         fits = [(len(a + b), a + b, v) for a, b, v in queries.URL_RULES if (h == a or h.endswith("." + a)) and p.startswith(b)]
         rule_of[r.page_id] = max(fits)[1:] if fits else None
+        n_pages[h] += 1
         if fits:
-            votes[h] += 1 if max(fits)[2] == "allow" else -1
+            votes[h, max(fits)[2]] += 1
         for link in re.findall(r"""<a\s[^>]*?href\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)""", r.html or "", re.IGNORECASE):
             to = split(link if "://" in link else "http:" + link)[0]
             if h and to and h != to:
                 edges[h, to] += 1
-    scores = []
-    for sign, pairs in ((1, edges), (-1, {(b, a): w for (a, b), w in edges.items()})):
-        seeds = [h for h, v in votes.items() if v * sign > 0]
+    scores, wholes = [], []
+    for verdict, pairs in (("allow", edges), ("block", {(b, a): w for (a, b), w in edges.items()})):
+        share = {h: v / n_pages[h] for (h, kind), v in votes.items() if kind == verdict}
         out = Counter()
         for (a, _), w in pairs.items():
             out[a] += w
-        now, total = dict.fromkeys(seeds, 1 / len(seeds)) if seeds else {}, Counter()
+        whole = sum(share.values()) or 1.0
+        now, total = {h: x / whole for h, x in share.items()}, Counter()
         for _ in range(100):
             for h, m in now.items():
                 total[h] += 0.15 * m
@@ -176,18 +177,58 @@ def test_urls_equal_brute_force(spark, data):
                 if a in now:
                     new[b] += 0.85 * now[a] * w / out[a]
             now = new
-        scores.append((total, len(seeds)))
+        scores.append((total, share))
+        wholes.append(0.15 / whole)
+    rows, by_links = {}, 0
     for r in pages:
-        g, (h, p) = got[r.page_id], split(r.url)
-        assert (g.host, g.path, g.rule) == (h, p, rule_of[r.page_id] and rule_of[r.page_id][0])
+        h, p = split(r.url)
         trust, distrust = (s[0][h] for s in scores)
-        if rule_of[r.page_id]:
-            assert g.verdict == rule_of[r.page_id][1]
+        good, bad = (s[1].get(h, 0) for s in scores)
+        led = distrust - wholes[1] * bad
+        near = abs(distrust - trust) < 2e-4 or abs(led - wholes[1] * url_graph.FLOOR) < 2e-4
+        own = bad >= 0.5 and bad > good
+        linked = led >= wholes[1] * url_graph.FLOOR and distrust >= trust
+        by_links += rule_of[r.page_id] is None and linked and not own
+        rows[r.page_id] = h, p, rule_of[r.page_id], trust, distrust, "block" if own or linked else "allow", near and not own
+    return rows, by_links
+
+
+def assert_judged(got, pages):
+    want, by_links = judged(pages)
+    assert len(got) == len(want)
+    for k, (h, p, rule, trust, distrust, verdict, near) in want.items():
+        g = got[k]
+        assert (g.host, g.path, g.rule) == (h, p, rule and rule[0])
+        if rule:
+            assert g.verdict == rule[1]
         else:
             assert (g.trust or 0, g.distrust or 0) == pytest.approx((trust, distrust), abs=1e-4)
-            least = 0.15 * url_graph.FLOOR / max(scores[1][1], 1)
-            if abs(distrust - trust) > 1e-4 and abs(distrust - least) > 1e-4:
-                assert g.verdict == ("block" if distrust >= least and distrust >= trust else "allow")
+            assert near or g.verdict == verdict
+    return by_links
+
+
+def test_urls_equal_brute_force(spark, data):
+    assert_judged({r.page_id: r for r in queries.op2_urls(spark, data).collect()}, spark.read.parquet(f"{data}/pages.parquet").collect())
+
+
+def test_links_between_hosts_decide_in_the_registered_query(spark, data, tmp_path, monkeypatch):
+    """The given pages with links to other hosts put in: most go within a ring, some from unruled hosts to blocked ones."""
+    pick = random.Random(11)
+    pages = spark.read.parquet(f"{data}/pages.parquet").collect()
+    spam = [f"http://spam{k}.net/fr/" for k in range(4)]
+    rows = [(r.page_id, r.url, f"{r.html}<a href='http://{pick.choice(['one.org', 'two.org', 'www.example.com/en/'])}'>") for r in pages]
+    rows += [(10_000 + k, f"http://farm{k % 5}.org/x{k}", f"<a href='{pick.choice(spam)}'>") for k in range(40)] + [(20_000 + k, u, "") for k, u in enumerate(spam)]
+    rows += [(30_000, "http://one.org/", "<a href=//two.org/>"), (30_001, "http://two.org/", "<a href=//www.example.com/en/>")]
+    # a host with one blocked page of fifty, and a very long one
+    rows += [(40_000 + k, f"http://big.net/{'fr' if k == 0 else 'en'}/{k}", "") for k in range(50)] + [(50_000, f"http://{'a.' * 50_000}net/es/", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    pages = spark.read.parquet(f"{tmp_path}/pages.parquet").collect()
+    got = {r.page_id: r for r in queries.op2_urls(spark, str(tmp_path)).collect()}
+    assert assert_judged(got, pages) >= 40
+    assert {got[40_000 + k].verdict for k in range(1, 50)} == {"allow"} and got[40_000].verdict == "block" and got[50_000].rule == "net/es/"
+    monkeypatch.setattr(url_graph, "host_edges", lambda *a: spark.createDataFrame([], "src string, dst string, weight double"))
+    with pytest.raises(AssertionError):
+        assert_judged({r.page_id: r for r in queries.op2_urls(spark, str(tmp_path)).collect()}, pages)
 
 
 # ---- 3
