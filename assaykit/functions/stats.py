@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import tempfile
 import zlib
 from functools import reduce
 
@@ -13,6 +14,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+RANGE_ROWS = 250_000  # rows of a range of values, which one task ranks
 Z95 = 1.959963984540054  # fixed value: the two-sided 95 % quantile of the normal distribution
 
 
@@ -47,56 +49,98 @@ def linear_percentile(value: Column, q: float) -> Column:
     return F.percentile(value, F.lit(q))
 
 
-def in_ranges(df: DataFrame, value: str, ranges: int = 64) -> DataFrame:
-    """df with _range: which of some ranges of even weight the value is in. The ends are fixed numbers, so every reader sees the same ranges."""
-    ends = sorted({x for x in df.approxQuantile(value, [k / ranges for k in range(1, ranges)], 0.002) if math.isfinite(x)})
-    return Bucketizer(splits=[-math.inf, *(ends or [0.0]), math.inf], inputCol=value, outputCol="_range", handleInvalid="keep").transform(df)
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once, in the shared folder spark.checkpoint.dir. Where it is unset, a local session gets one of its own; a cluster can't."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not place and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(place or tempfile.mkdtemp(prefix="assaykit-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
+def in_ranges(df: DataFrame, value: str) -> DataFrame:
+    """df with _range: which of some ranges of about RANGE_ROWS rows the value is in; as many as the rows ask for.
+
+    df should be settled, since it is counted and its quantiles are taken. The ends are fixed numbers, so every reader sees the same ranges.
+    """
+    n = math.ceil(df.count() / RANGE_ROWS)
+    if n <= 1:
+        return df.withColumn("_range", F.lit(0.0))
+    ends = df.agg(F.percentile_approx(F.col(value).cast("double"), [k / n for k in range(1, n)], max(10_000, 20 * n))).first()[0]
+    splits = sorted({x for x in ends or [] if math.isfinite(x)})
+    if not splits:
+        return df.withColumn("_range", F.lit(0.0))
+    double = df.withColumn("_as_double", F.col(value).cast("double"))
+    return Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol="_as_double", outputCol="_range", handleInvalid="keep").transform(double).drop("_as_double")
+
+
+def same_keys(keys: list[str], prefix: str) -> Column:
+    """Keys equal those of another side that have the prefix; nulls are equal."""
+    return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys], F.lit(True))
 
 
 def running(df: DataFrame, keys: list[str], value: str, sums: list[str]) -> DataFrame:
     """df with _before_x for each x in sums: its sum over the key's rows of smaller values, which have to be distinct.
 
     A key's rows are spread over ranges of the value; sums run within a range, and are offset by those
-    of the ranges before it, a table of some dozens of rows for each key.
+    of the ranges before it, a table with a row for each key and range. df is settled first and read three times.
     """
-    ranged = in_ranges(df, value)
+    ranged = in_ranges(settled(df), value)
     inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*[f"_{k}" for k in keys]).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     sizes = ranged.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_at")).agg(*[F.sum(x).alias(f"_sum_{x}") for x in sums])
     offsets = sizes.select(*[f"_{k}" for k in keys], "_at", *[F.coalesce(F.sum(f"_sum_{x}").over(earlier), F.lit(0)).alias(f"_off_{x}") for x in sums])
     local = ranged.withColumns({f"_loc_{x}": F.coalesce(F.sum(x).over(inside), F.lit(0)) for x in sums})
-    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col("_range") == F.col("_at"))
-    return local.join(offsets, same).select(*df.columns, *[(F.col(f"_loc_{x}") + F.col(f"_off_{x}")).alias(f"_before_{x}") for x in sums])
-
+    return local.join(offsets, same_keys(keys, "_") & (F.col("_range") == F.col("_at"))).select(*df.columns, *[(F.col(f"_loc_{x}") + F.col(f"_off_{x}")).alias(f"_before_{x}") for x in sums])
 
-def _counted(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, value, _c, _before__c and _n: equal values are counted before the shuffle, then ranked over many tasks."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    totals = counts.groupBy(*[F.col(k).alias(f"_t_{k}") for k in keys]).agg(F.sum("_c").alias("_n"))
-    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys], F.lit(True))
-    return running(counts, keys, value, ["_c"]).join(totals, same)
 
+def _places(df: DataFrame, keys: list[str], values: dict[str, Column], places: dict[str, tuple[str, Column]]) -> DataFrame:
+    """keys, and for each name in places the element at an index of one of the values, sorted, and that value's number of rows, n_<value>.
 
-def _element(value: str, at: Column) -> Column:
-    """The value at an index of the sorted values."""
-    return F.max(F.when((F.col("_before__c") <= at) & (at < F.col("_before__c") + F.col("_c")), F.col(value)))
+    values: columns, null where a row takes no part. places: the value's name and the index in terms of _n, its rows.
+    Equal values are counted once for all; a histogram by key and range tells which ranges hold the
+    indexes, and only these are ranked.
+    """
+    names = list(values)
+    each = F.array(*[F.struct(F.lit(k).alias("_w"), v.alias("_v")) for k, v in enumerate(values.values())])
+    counts = settled(df.select(*keys, F.inline(each)).where(F.col("_v").isNotNull()).groupBy(*keys, "_w", "_v").agg(F.count("*").alias("_c")))
+    ranged = in_ranges(counts, "_v") if len(names) == 1 else reduce(DataFrame.unionByName, [in_ranges(counts.where(F.col("_w") == k), "_v") for k in range(len(names))])
+    group = [*keys, "_w"]
+    steps = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bars = ranged.groupBy(*group, "_range").agg(F.sum("_c").alias("_s")).withColumn("_off", F.coalesce(F.sum("_s").over(steps), F.lit(0))).withColumn("_n", F.sum("_s").over(Window.partitionBy(*group)))
+    asked = F.array(*[F.struct(F.lit(name).alias("_name"), F.lit(names.index(value)).alias("_of"), at.cast("long").alias("_at")) for name, (value, at) in places.items()])
+    targets = bars.select("*", F.inline(asked)).where("_of = _w and _at >= _off and _at < _off + _s")
+    targets = targets.select(*[F.col(c).alias(f"_t_{c}") for c in [*group, "_range"]], "_name", "_at", "_off", "_n")
+    on = same_keys([*group, "_range"], "_t_")
+    inside = Window.partitionBy(*group, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.join(targets, on, "left_semi").withColumn("_loc", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    found = local.join(targets, on).where("_at >= _off + _loc and _at < _off + _loc + _c")
+    pick = lambda name: F.max(F.when(F.col("_name") == name, F.col("_v")))
+    return found.groupBy(*keys).agg(*[pick(name).alias(name) for name in places], *[F.max(F.when(F.col("_w") == k, F.col("_n"))).alias(f"n_{v}") for k, v in enumerate(names)])
 
 
 def index_percentile(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
     """keys and, for each name in qs, the element at index min(n-1, floor(q*n)) of the sorted values."""
     at = lambda q: F.least(F.col("_n") - 1, F.floor(F.lit(q) * F.col("_n")))
-    return _counted(df, keys, value).groupBy(*keys).agg(*[_element(value, at(q)).alias(name) for name, q in qs.items()])
+    return _places(df, keys, {value: F.col(value)}, {name: (value, at(q)) for name, q in qs.items()}).select(*keys, *qs)
 
 
-def linear_percentiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """keys and, for each name in qs, the percentile between the two nearest ranks, for groups of any size."""
+def linear_percentiles(df: DataFrame, keys: list[str], values: dict[str, Column], qs: dict[str, tuple[str, float]]) -> DataFrame:
+    """keys and, for each name in qs, a percentile of one of the values between the two nearest ranks, for groups of any size.
+
+    values: columns, null where a row takes no part. All percentiles come from one count of the values.
+    """
+    places = {f"{f}_{name}": (value, g(F.lit(q) * (F.col("_n") - 1))) for name, (value, q) in qs.items() for f, g in (("_low", F.floor), ("_high", F.ceil))}
+    found = _places(df, keys, values, places)
 
-    def one(q: float) -> Column:
-        place = F.lit(q) * (F.first("_n") - 1)
-        low, high = (_element(value, f(F.lit(q) * (F.col("_n") - 1))) for f in (F.floor, F.ceil))
-        return low + (high - low) * (place - F.floor(place))
+    def between(name: str, value: str, q: float) -> Column:
+        place = F.lit(q) * (F.col(f"n_{value}") - 1)
+        low, high = F.col(f"_low_{name}"), F.col(f"_high_{name}")
+        return (low + (high - low) * (place - F.floor(place))).alias(name)
 
-    return _counted(df, keys, value).groupBy(*keys).agg(*[one(q).alias(name) for name, q in qs.items()])
+    return found.select(*keys, *[between(name, value, q) for name, (value, q) in qs.items()])
 
 
 def wilson(successes: Column, n: Column) -> tuple[Column, Column]:

@@ -6,7 +6,6 @@ partitioning, and a row's place never depends on other rows.
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 import numpy as np
@@ -14,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import settled
+
 
 def hash_order(item: Column, seed: int = 0) -> Column:
     return F.md5(F.concat(item.cast("string"), F.lit(f":{seed}")))
@@ -44,17 +45,6 @@ def overlap_counts(a: DataFrame, b: DataFrame, columns: dict[str, Column]) -> Da
     return out
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once, in the shared folder spark.checkpoint.dir. Where it is unset, a local session gets one of its own; a cluster can't."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not place and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(place or tempfile.mkdtemp(prefix="assaykit-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def running_in_hash_order(df: DataFrame, item: Column, seed: int, value: Column, by: list[str] = ()) -> DataFrame:
     """df with _before: the sum of value over the rows before, in hash order of item, within each `by`.
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .curate import settled
+from ..functions.stats import settled
 
 # What a program may import, and the names it may not use.
 ALLOWED_IMPORTS = {"cadquery", "math", "numpy"}

@@ -111,9 +111,9 @@ def lane_summary(df: DataFrame, lane: list[str]) -> DataFrame:
         F.avg(F.when(ok, (F.coalesce("oracle_iou", F.lit(0.0)) >= SUCCESS_IOU).cast("double"))).alias("oracle_success"),
         (F.avg(kept("cost_usd")) * 1000).alias("cost_per_1k_usd"),
     )
-    for part, value, qs in ((ran, "chamfer", {"median_chamfer": 0.5}), (ok, "e2e_s", {"latency_p50": 0.5, "latency_p95": 0.95}), (ok, "ttft_s", {"ttft_p50": 0.5})):
-        rates = _beside(rates, stats.linear_percentiles(live.where(part), lane, value, qs), lane)
-    return rates
+    values = {"chamfer": F.when(ran, F.col("chamfer")), "e2e_s": kept("e2e_s"), "ttft_s": kept("ttft_s")}
+    qs = {"median_chamfer": ("chamfer", 0.5), "latency_p50": ("e2e_s", 0.5), "latency_p95": ("e2e_s", 0.95), "ttft_p50": ("ttft_s", 0.5)}
+    return _beside(rates, stats.linear_percentiles(live, lane, values, qs), lane)
 
 
 def _beside(df: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:

@@ -76,7 +76,7 @@ def lane_summary(spark, d):
 @query("""SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95
 FROM lineitem GROUP BY l_returnflag""")
 def percentile_linear(spark, d):
-    found = stats.linear_percentiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p50": 0.5, "p95": 0.95})
+    found = stats.linear_percentiles(table(spark, d, "lineitem"), ["l_returnflag"], {"price": F.col("l_extendedprice")}, {"p50": ("price", 0.5), "p95": ("price", 0.95)})
     return found.select("l_returnflag", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.stats import in_ranges
+from ..functions.stats import in_ranges, settled
 
 DELTAS = ["reasoning", "content"]
 
@@ -43,7 +43,7 @@ def paced(requests: DataFrame, keys: list[str], now: str, order: list[str], inte
     start_i = max over j <= i of (now_j - j*interval) + i*interval, a running maximum. order begins
     with now; a key's requests are spread over ranges of it, with the counts and maxima of the ranges before.
     """
-    ranged = in_ranges(requests, now)
+    ranged = in_ranges(settled(requests), now)
     inside = Window.partitionBy(*keys, "_range").orderBy(*order)
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn("_i", F.row_number().over(inside) - 1).withColumn("_x", F.col(now) - F.col("_i") * interval)

@@ -104,16 +104,16 @@ def test_ranks_and_areas_over_many_ranges(spark, monkeypatch, ranges):
     rng = random.Random(3)
     rows = [(rng.choice("ab"), float(rng.randrange(40)), rng.random() < 0.4) for _ in range(500)] + [(None, 1.0, True), (None, 2.0, False), ("c", None, True)]
     df = spark.createDataFrame(rows, "g string, v double, ok boolean")
-    if ranges == 1:
-        monkeypatch.setattr(stats, "in_ranges", lambda df, value: df.withColumn("_range", F.lit(0.0)))
+    monkeypatch.setattr(stats, "RANGE_ROWS", 1000 if ranges == 1 else 20)
     index = {r.g: (r.p, r.q) for r in stats.index_percentile(df, ["g"], "v", {"p": 0.5, "q": 0.95}).collect()}
-    linear = {r.g: (r.p, r.q) for r in stats.linear_percentiles(df, ["g"], "v", {"p": 0.5, "q": 0.95}).collect()}
+    linear = {r.g: (r.p, r.q) for r in stats.linear_percentiles(df, ["g"], {"v": F.col("v"), "w": -F.col("v")}, {"p": ("v", 0.5), "q": ("v", 0.95), "low": ("w", 0.05)}).collect()}
+    turned = {r.g: r.low for r in stats.linear_percentiles(df, ["g"], {"v": F.col("v"), "w": -F.col("v")}, {"low": ("w", 0.05)}).collect()}
     area = {r.g: r.auc for r in stats.auc(df.where("v is not null"), ["g"], "v", "ok").collect()}
     for g in ("a", "b", None):
         xs = sorted(v for k, v, _ in rows if k == g and v is not None)
         assert index[g] == tuple(xs[min(len(xs) - 1, int(q * len(xs)))] for q in (0.5, 0.95))
         want = [xs[int(p)] + (xs[min(int(p) + 1, len(xs) - 1)] - xs[int(p)]) * (p - int(p)) for p in (0.5 * (len(xs) - 1), 0.95 * (len(xs) - 1))]
-        assert linear[g] == pytest.approx(want)
+        assert linear[g] == pytest.approx(want) and turned[g] == pytest.approx(-want[1])
         yes, no = [v for k, v, ok in rows if k == g and ok], [v for k, v, ok in rows if k == g and not ok]
         assert area[g] == pytest.approx(sum((y > n) + (y == n) / 2 for y in yes for n in no) / len(yes) / len(no))
 
