@@ -14,17 +14,51 @@ def _mask(rows) -> np.ndarray:
     return np.array([list(r) for r in rows], bool)
 
 
-def near(mask: np.ndarray, tolerance: float) -> np.ndarray:
-    """Cells within a distance of a set cell: the union of the mask's shifts by all offsets in the disc."""
-    out = np.zeros_like(mask)
-    reach, (height, width) = int(tolerance), mask.shape
-    for dy in range(-reach, reach + 1):
-        for dx in range(-reach, reach + 1):
-            if dy * dy + dx * dx <= tolerance * tolerance and abs(dy) < height and abs(dx) < width:
-                out[max(dy, 0) : height + min(dy, 0), max(dx, 0) : width + min(dx, 0)] |= mask[max(-dy, 0) : height + min(-dy, 0), max(-dx, 0) : width + min(-dx, 0)]
+def squared_distance(mask: np.ndarray) -> np.ndarray:
+    """Exact squared distance of each cell to the nearest set cell; infinite without one.
+
+    Two passes: along columns by running ends, then along rows as the lower envelope of a parabola over
+    each column. Time is in proportion to the cells.
+    """
+    height, width = mask.shape
+    rows = np.arange(height, dtype=float)[:, None]
+    above = np.maximum.accumulate(np.where(mask, rows, -np.inf), 0)
+    below = np.minimum.accumulate(np.where(mask, rows, np.inf)[::-1], 0)[::-1]
+    column = np.minimum(rows - above, below - rows) ** 2
+    out = np.full(mask.shape, np.inf)
+    for y in range(height):
+        feet, starts, f = [], [], column[y].tolist()
+        for x in range(width):
+            if f[x] == np.inf:
+                continue
+            while feet:
+                cross = (f[x] + x * x - f[feet[-1]] - feet[-1] ** 2) / (2 * (x - feet[-1]))
+                if cross > starts[-1]:
+                    break
+                feet.pop(), starts.pop()
+            starts.append(cross if feet else -np.inf)
+            feet.append(x)
+        if feet:
+            at = np.array(feet)[np.searchsorted(np.array(starts), np.arange(width), "left").clip(1) - 1]
+            out[y] = (np.arange(width) - at) ** 2 + column[y][at]
     return out
 
 
+def near(mask: np.ndarray, tolerance: float) -> np.ndarray:
+    """Cells within a distance of a set cell."""
+    return squared_distance(mask) <= tolerance * tolerance
+
+
+def distances(mask: Column) -> Column:
+    """array<array<double>>: the squared distance of each cell of a raster to its nearest set cell; null without one."""
+
+    @F.pandas_udf("array<array<double>>")
+    def of(masks: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or not len(x) else [[None if np.isinf(v) else v for v in r] for r in squared_distance(_mask(x)).tolist()] for x in masks])
+
+    return of(mask)
+
+
 def silhouette_iou(a: Column, b: Column) -> Column:
     """1 for two empty rasters."""
 

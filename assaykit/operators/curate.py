@@ -6,12 +6,17 @@ partitioning, and a row's place never depends on other rows.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.stats import settled
 
@@ -83,6 +88,19 @@ def with_rank(df: DataFrame, order: list[str]) -> DataFrame:
     return local.join(F.broadcast(before), "_part").withColumn("_rank", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
+def cyclic_neighbours(df: DataFrame, group: str, key: str) -> DataFrame:
+    """group, key, prev and next in the order of the keys, which are distinct; the ends of a group adjoin each other.
+
+    Ranks over all groups tell the neighbours, by equality joins; so a group may span many tasks.
+    """
+    ranked = settled(with_rank(df.select(group, key), [group, key]))
+    ends = ranked.groupBy(F.col(group).alias("_g")).agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
+    side = lambda step, name: ranked.select((F.col("_rank") + step).alias("_rank"), F.col(group).alias(f"_g{name}"), F.col(key).alias(f"_{name}"))
+    joined = ranked.join(side(1, "prev"), "_rank", "left").join(side(-1, "next"), "_rank", "left").join(ends, F.col(group).eqNullSafe(F.col("_g")))
+    pick = lambda name, end: F.when(F.col(f"_{name}").isNotNull() & F.col(f"_g{name}").eqNullSafe(F.col(group)), F.col(f"_{name}")).otherwise(F.col(end)).alias(name)
+    return joined.select(group, key, pick("prev", "_high"), pick("next", "_low"))
+
+
 def group_prefix_fill(df: DataFrame, group: str, size: int, seed: int = 0) -> DataFrame:
     """Whole groups in hash order until at least size rows are taken."""
     counts = df.groupBy(group).agg(F.count("*").alias("_c"))
@@ -149,7 +167,7 @@ def even_picks(df: DataFrame, tier: str, order: list[str], picks: int = 4) -> Da
     """
     sizes = df.groupBy(tier).agg(F.count("*").alias("_n"))
     sizes = sizes.withColumn("_first", F.coalesce(F.sum("_n").over(Window.orderBy(tier).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row for each tier
-    ranked = with_rank(df, [tier, *order]).join(F.broadcast(sizes), tier).withColumn("_k", F.col("_rank") - 1 - F.col("_first"))
+    ranked = with_rank(df, [tier, *order]).join(sizes, tier).withColumn("_k", F.col("_rank") - 1 - F.col("_first"))
     wanted = F.array(*[F.floor(F.lit(i) * (F.col("_n") - 1) / (picks - 1)) for i in range(picks)])
     return ranked.where(F.array_contains(wanted, F.col("_k"))).select(*df.columns)
 
@@ -258,3 +276,47 @@ def nearest_vectors(queries: DataFrame, rows: DataFrame, key: str, vector: str)
 
     found = asked.groupBy("block", "part").cogroup(given.groupBy("block", "part")).applyInPandas(best, "id long, best double")
     return found.groupBy(F.col("id").alias(key)).agg(F.max("best").alias("best"))
+
+
+ITEM_BYTES = 16 << 20  # of the items that one scan looks for
+
+
+def holding(texts: DataFrame, items: DataFrame, text: str, item_id: str, item: str) -> DataFrame:
+    """The columns of texts but the text itself, and item_id, for each text and each item that it holds as it stands.
+
+    Items are a stated query set. They are looked for in blocks of bounded bytes; a task scans each of its texts once for all items of
+    a block, with an automaton of their strings, so any edge and any length will do. An empty item is in every text; null texts hold none.
+    """
+    sized = with_rank(items.where(F.col(item).isNotNull()).select(item_id, item), [item, item_id])
+    total = sized.agg(F.sum(F.octet_length(item))).first()[0] or 0
+    blocks = max(1, math.ceil(total / ITEM_BYTES))
+    keep = [c for c in texts.columns if c != text]
+    schema = T.StructType([texts.schema[c] for c in keep] + [items.schema[item_id]])
+    found = None
+    for k in range(blocks):
+        rows = sized.where(F.pmod(F.col("_rank"), F.lit(blocks)) == k).select(item_id, item).collect()  # about ITEM_BYTES
+        strings: dict[str, list] = {}
+        for r in rows:
+            strings.setdefault(r[1], []).append(r[0])
+
+        def scan(batches, strings=strings):
+            everywhere = strings.get("", [])
+            finder = ahocorasick.Automaton()
+            for s, ids in strings.items():
+                if s:
+                    finder.add_word(s, ids)
+            finder.make_automaton()
+            for batch in batches:
+                at, ids = [], []
+                for n, t in enumerate(batch.column(text).to_pylist()):
+                    if t is not None:
+                        held = {i for _, x in finder.iter(t) for i in x} if len(finder) else set()
+                        held.update(everywhere)
+                        at += [n] * len(held)
+                        ids += sorted(held, key=repr)
+                if at:
+                    yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(at)) for c in keep] + [pa.array(ids, to_arrow_type(schema[item_id].dataType))], names=[*keep, item_id])
+
+        part = texts.mapInArrow(scan, schema)
+        found = part if found is None else found.unionByName(part)
+    return found

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..operators import results
+from ..operators import curate, results
 from ..sources import writers
 from .registry import LOG, log, query, table
 
@@ -371,10 +370,7 @@ def learning_curve(spark, d):
 @query("""SELECT c_custkey, coalesce(lag(c_custkey) OVER w, last_value(c_custkey) OVER f) AS prev, coalesce(lead(c_custkey) OVER w, first_value(c_custkey) OVER f) AS next FROM customer
 WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey), f AS (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 def cyclic_neighbours(spark, d):
-    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    key = F.col("c_custkey")
-    return table(spark, d, "customer").select(key, F.coalesce(F.lag(key).over(w), F.last(key).over(whole)).alias("prev"), F.coalesce(F.lead(key).over(w), F.first(key).over(whole)).alias("next"))
+    return curate.cyclic_neighbours(table(spark, d, "customer"), "c_nationkey", "c_custkey").select("c_custkey", "prev", "next")
 
 
 @query(f"""WITH {LOG}, g AS (SELECT k % 5 AS modality, lane, max(strftime(created, '%Y%m%d-%H') || '_r' || (k % 3)) AS run FROM log WHERE lane <> 'error' GROUP BY ALL),

@@ -66,20 +66,10 @@ def leak_antijoin(spark, d):
 
 @query("SELECT doc_id, count(*) AS n_items FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY doc_id")
 def contamination_contains(spark, d):
-    """Texts that hold a benchmark text as it stands: an equality join on a few words within it, then a check.
-
-    Words are cut at single spaces, so those between two spaces of an item are whole words of any text that
-    holds it. The key is the first four of them; items with fewer are few words long and are tried on each text.
-    """
-    docs = table(spark, d, "documents").select("doc_id", "text", F.split("text", " ", -1).alias("w"))
-    items = table(spark, d, "benchmark").where("text is not null").select("item_id", F.col("text").alias("item"), F.split("text", " ", -1).alias("v"))
-    long = items.where(F.size("v") >= 6).select("item_id", F.array_join(F.slice("v", 2, 4), " ").alias("key"))
-    spots = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice(F.col("w"), i, 4), " "))
-    by_key = docs.select("doc_id", F.explode(F.array_distinct(spots)).alias("key")).join(long, "key").select("doc_id", "item_id")
-    by_text = docs.select("doc_id", "text").join(items.where(F.size("v") < 6).select("item_id", "item"), F.contains("text", "item")).select("doc_id", "item_id")
-    keys = by_key.unionByName(by_text).distinct()
-    checked = docs.select("doc_id", "text").join(keys, "doc_id").join(items.select("item_id", "item"), "item_id").where(F.contains("text", "item"))
-    return checked.groupBy("doc_id").agg(F.count("*").alias("n_items"))
+    """Texts that hold a benchmark text as it stands, by one scan of each text for all items."""
+    items = table(spark, d, "benchmark").where("text is not null").select("item_id", "text")
+    found = curate.holding(table(spark, d, "documents").select("doc_id", "text"), items, "text", "item_id", "text")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_items"))
 
 
 @query(f"""WITH s AS (SELECT p_partkey, round(p_retailprice / 1000, 3) AS a, p_size AS b, p_partkey % 10 = 0 AS held FROM part)
@@ -277,3 +267,15 @@ def shuffled_rows(spark, d):
 def content_keys(spark, d):
     """Texts stored once under a key of their content."""
     return writers.content_addressed(table(spark, d, "documents"), "text").select("key", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("""WITH k AS (SELECT substr(sha1(text), 1, 16) AS key, any_value(length(text)) AS n_chars, min(doc_id) AS doc_id FROM documents GROUP BY 1),
+ u AS (SELECT key, max(ts) AS last_use FROM events JOIN documents ON doc_id = (user_id * 37 + event_id) % 1000 JOIN (SELECT doc_id AS d2, substr(sha1(text), 1, 16) AS key FROM documents) ON d2 = doc_id GROUP BY key)
+SELECT key, n_chars, last_use FROM u JOIN k USING (key) ORDER BY last_use DESC, key LIMIT 300""")
+def bounded_content_store(spark, d):
+    """The 300 texts that a store which evicts the longest unused holds after the log of events."""
+    docs = table(spark, d, "documents")
+    keyed = docs.select("doc_id", F.substring(F.sha1("text"), 1, 16).alias("key"))
+    uses = table(spark, d, "events").select(((F.col("user_id") * 37 + F.col("event_id")) % 1000).alias("doc_id"), "ts").join(keyed, "doc_id").select("key", "ts")
+    contents = writers.content_addressed(docs, "text").select("key", F.length("text").cast("long").alias("n_chars"))
+    return writers.bounded_store(contents, uses, "key", "ts").select("key", "n_chars", "last_use")

@@ -70,6 +70,17 @@ def content_addressed(df: DataFrame, content: str) -> DataFrame:
     return df.select(F.substring(F.sha1(content), 1, 16).alias("key"), F.col(content)).dropDuplicates(["key"])
 
 
+def bounded_store(contents: DataFrame, log: DataFrame, key: str, at: str, most: int = 300) -> DataFrame:
+    """The rows of contents, one for each key, that a store of at most `most` keys holds after the log of uses.
+
+    A store that evicts what was used longest ago holds the keys used last; ties go to the smaller key. Each task
+    ranks its own last uses, and only the best `most` of each meet.
+    """
+    last = log.groupBy(key).agg(F.max(at).alias("last_use"))
+    held = last.join(contents.select(key).distinct(), key, "left_semi").orderBy(F.desc("last_use"), key).limit(most)
+    return contents.join(held, key)
+
+
 def markdown(summaries: DataFrame) -> DataFrame:
     """A report with one line for each lane; a dash stands for what is missing."""
     line = F.concat_ws(
