@@ -56,6 +56,11 @@ def tidied(spark: SparkSession):
         spark.conf.set(TIDY, was) if was is not None else spark.conf.unset(TIDY)
 
 
+def new_table(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{_tables(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, label: str, by: str | None = None, tidy: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 
@@ -66,7 +71,7 @@ def cut(df: DataFrame, label: str, by: str | None = None, tidy: bool = False) ->
     The table stays until forget(df), or clean_up(spark) once results have been read.
     """
     spark = df.sparkSession
-    path = f"{_tables(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_table(spark, label)
     with tidied(spark) if tidy else nullcontext():
         (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -15,11 +15,11 @@ repeated, and does so exactly:
 
 Scale: there are as many slices as four cells for each anchor take, so the sketch filters alike at
 every size, and what is broadcast for a slice is bounded: two rows of cells_most cells, one bit
-each once merged. Each slice reads its own files only. Sketch blocks are merged by streaming over
+each once merged. Each slice reads its own files only, of which there are SLICE_FILES at most. Sketch blocks are merged by streaming over
 sorted rows, in constant memory. All counts are partial aggregates and all joins are equality
 joins, so a passage in a third of all texts is folded before the shuffle or split at run time.
 Whole texts are handled, and read three times: for the units, for the windows of units that share
-their anchor with others, and to take words out. Occurrences in equal texts are folded by a
+their anchor with others (which an exact join names), and to take words out. Occurrences in equal texts are folded by a
 128-bit key of the text before they are gathered for each text.
 
 Edge cases: null and empty texts have no words; texts shorter than a window keep all; repeated
@@ -29,8 +29,6 @@ result or helper, which are replaced; an empty table gives no rows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -38,12 +36,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, forget, held, lists, small_batches, text_or_empty, utf8
+from .common import cut, forget, held, lists, new_table, small_batches, text_or_empty, utf8
 
 WINDOW = 35
 GROUP = 8
 ROWS = 2
 CELLS_MOST = 1 << 28
+SLICE_FILES = 16  # files of a slice
 BLOCK = 1 << 16
 WORDS_HELD = 250_000
 PLACES = np.uint64(26)  # bits for a position; longer texts are taken in parts
@@ -208,17 +207,16 @@ UNIT = "anchor long, unit long, n int, k1 long, k2 long, first int"
 OCC = pa.schema([("anchor", pa.int64()), ("unit", pa.int64()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int32()), ("occ", pa.int64())])
 
 
-def _occurrences(batch: pa.RecordBatch):
-    """Columns of OCC for each unit of a batch of texts, and their windows."""
-    parts, wins = [], []
+def _unit_columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The columns of UNIT for each unit of a batch of texts."""
+    parts = []
     for x, k1, k2 in zip(utf8(batch.column("text")), batch.column("k1").to_pylist(), batch.column("k2").to_pylist()):
-        for first, n, anchor, unit, win in units(x):
+        for first, n, anchor, unit, _ in units(x):
             parts.append((anchor.view(np.int64), unit.view(np.int64), n, np.full(len(n), k1), np.full(len(n), k2), first))
-            wins.append(np.split(win.view(np.int64), np.cumsum(n)[:-1]) if len(n) else [])
     if not parts:
-        return [np.empty(0, np.int64)] * 7, []
+        return [np.empty(0, np.int64)] * 6
     anchor, unit, n, k1, k2, first = (np.concatenate(x) for x in zip(*parts))
-    return [anchor, unit, n.astype(np.int32), k1, k2, first.astype(np.int32), occurrence(k1, k2, first).view(np.int64)], wins
+    return [anchor, unit, n.astype(np.int32), k1, k2, first.astype(np.int32)]
 
 
 def repeated(df: DataFrame, text: str = "text", cells_most: int = CELLS_MOST) -> DataFrame:
@@ -235,12 +233,15 @@ def repeated(df: DataFrame, text: str = "text", cells_most: int = CELLS_MOST) ->
     def first(batches):
         schema = pa.schema([*list(OCC)[:6], ("slice", pa.int32())])
         for batch in batches:
-            columns, _ = _occurrences(batch)
+            columns = _unit_columns(batch)
             part = (columns[0].view(np.uint64) >> np.uint64(32)) % np.uint64(slices)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns[:6], part.astype(np.int32)], schema.types)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns, part.astype(np.int32)], schema.types)], schema=schema)
 
-    found = cut(keyed.mapInArrow(first, f"{UNIT}, slice int"), "repeat-all-units", by="slice" if slices > 1 else None)
-    kept = []
+    units_of = keyed.mapInArrow(first, f"{UNIT}, slice int")
+    if slices > 1:  # so that files follow the slices, not tasks times slices
+        units_of = units_of.repartition("slice", F.pmod(F.xxhash64("unit"), F.lit(SLICE_FILES)))
+    found = cut(units_of, "repeat-all-units", by="slice" if slices > 1 else None, tidy=True)
+    kept = new_table(spark, "repeat-units")
     for k in range(slices):
         part = found.where(F.col("slice") == k).drop("slice")
         often = spark.sparkContext.broadcast(sketch(lambda b: b.column("anchor").to_numpy().view(np.uint64), part.select("anchor"), n_cells, 2))
@@ -251,31 +252,39 @@ def repeated(df: DataFrame, text: str = "text", cells_most: int = CELLS_MOST) ->
                 occ = occurrence(*(batch.column(c).to_numpy() for c in ("k1", "k2", "first"))).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(occ)], schema=OCC)
 
-        kept.append(cut(part.mapInArrow(second, f"{UNIT}, occ long"), "repeat-units"))
+        part.mapInArrow(second, f"{UNIT}, occ long").write.parquet(f"{kept}/slice={k}")
         often.unpersist()
     forget(found)
-    occ = reduce(DataFrame.unionByName, kept)
+    occ = spark.read.schema(f"{UNIT}, occ long, slice int").parquet(kept).drop("slice")
     # one occurrence stands for each unit: the one with the smallest hash
-    seen = cut(occ.groupBy("anchor", "unit").agg(F.count("*").alias("c"), F.min("occ").alias("occ")), "repeat-counts")
+    seen = cut(occ.groupBy("anchor", "unit").agg(F.count("*").alias("c"), F.min("occ").alias("occ")), "repeat-counts", tidy=True)
     several = seen.groupBy("anchor").count().where("count > 1").select("anchor")
-    chosen = cut(seen.join(several, "anchor"), "repeat-chosen")
-    again = spark.sparkContext.broadcast(sketch(lambda b: b.column("occ").to_numpy().view(np.uint64), chosen.select("occ"), cells_for(chosen.count())[0], 1))
+    chosen = seen.join(several, "anchor")
+    # where that occurrence stands; equal texts show it several times
+    places = occ.join(chosen, ["anchor", "unit", "occ"]).groupBy("anchor", "unit", "occ").agg(*[F.min(F.struct("k1", "k2", "first", "c")).alias("p")])
+    asked = places.select("p.*", "anchor").groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "anchor", "c")).alias("units"))
+    asked = cut(asked, "repeat-chosen", tidy=True)
 
     def third(batches):
-        schema = pa.schema([*OCC, ("windows", pa.list_(pa.int64()))])
+        schema = pa.schema([("anchor", pa.int64()), ("c", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int32()), ("windows", pa.list_(pa.int64()))])
         for batch in batches:
-            columns, wins = _occurrences(batch)
-            live = again.value(columns[6].view(np.uint64)) if len(columns[6]) else np.empty(0, bool)
-            if live.any():
-                flat = [w for row in wins for w in row]
-                kept = [flat[k] for k in np.flatnonzero(live).tolist()]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c[live], t) for c, t in zip(columns, OCC.types)), lists(kept, pa.int64())], schema=schema)
-
-    read = keyed.mapInArrow(third, "anchor long, unit long, n int, k1 long, k2 long, first int, occ long, windows array<long>")
-    # equal texts show the same occurrence several times; the grouping has the join's partitioning
-    read = read.groupBy("anchor", "unit", "occ").agg(*[F.first(c).alias(c) for c in ("k1", "k2", "first", "windows")])
-    single = read.join(chosen, ["anchor", "unit", "occ"]).select("anchor", "c", "k1", "k2", "first", F.posexplode("windows").alias("at", "win"))
-    single = cut(single, "repeat-windows")
+            rows, wins = [], []
+            for text_, k1, k2, wanted in zip(utf8(batch.column("text")), *(batch.column(c).to_pylist() for c in ("k1", "k2", "units"))):
+                at = {u["first"]: u for u in wanted}
+                for start, n, _, _, win in units(text_):
+                    edges = np.cumsum(n)
+                    for k in np.flatnonzero(np.isin(start, list(at))).tolist():
+                        u = at[int(start[k])]
+                        rows.append((u["anchor"], u["c"], k1, k2, u["first"]))
+                        wins.append(win[edges[k] - n[k] : edges[k]].view(np.int64))
+            if rows:
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows), schema.types)), lists(wins, pa.int64())], schema=schema)
+
+    texts = keyed.join(asked, ["k1", "k2"]).select("k1", "k2", "text", "units")
+    read = texts.mapInArrow(third, "anchor long, c long, k1 long, k2 long, first int, windows array<long>")
+    read = read.groupBy("k1", "k2", "first").agg(*[F.first(c).alias(c) for c in ("anchor", "c", "windows")])
+    single = read.select("anchor", "c", "k1", "k2", "first", F.posexplode("windows").alias("at", "win"))
+    single = cut(single, "repeat-windows", tidy=True)
     more = single.groupBy("anchor", "win").agg(F.sum("c").alias("total")).where("total > 1").select("anchor", "win")
     alone = single.where("c = 1").join(more, ["anchor", "win"]).select("k1", "k2", (F.col("first") + F.col("at")).alias("first"), F.lit(WINDOW).alias("words"))
     whole = occ.join(seen.where("c > 1").select("anchor", "unit"), ["anchor", "unit"]).select("k1", "k2", "first", (F.col("n") + WINDOW - 1).alias("words"))

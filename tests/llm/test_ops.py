@@ -630,21 +630,45 @@ def test_the_sketch_filters_alike_at_every_size(spark, data, docs, monkeypatch):
     rng = np.random.default_rng(1)
     texts = [" ".join(f"t{k}" for k in rng.integers(0, 10**6, 3000)) for _ in range(400)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    passed, cut = {}, substring.cut
+    passed, cut, new_table = {}, substring.cut, substring.new_table
     for most in (1 << 16, 1 << 27):
-        made = []
-        monkeypatch.setattr(substring, "cut", lambda x, label, by=None: made.append((label, cut(x, label, by))) or made[-1][1])
+        made, places = {}, []
+        monkeypatch.setattr(substring, "cut", lambda x, label, by=None, tidy=False: made.setdefault(label, cut(x, label, by, tidy)))
+        monkeypatch.setattr(substring, "new_table", lambda session, label: places.append(new_table(session, label)) or places[-1])
+        monkeypatch.setattr(substring, "forget", lambda *_: None)
         substring.repeated(df, cells_most=most)
-        units = sum(x.count() for label, x in made if label == "repeat-units")
-        passed[most] = units, sum(label == "repeat-units" for label, _ in made)
+        kept = spark.read.parquet(places[0])
+        slices = kept.select("slice").distinct().count() or 1
+        passed[most] = kept.count(), slices
+        assert len(made["repeat-all-units"].inputFiles()) <= max(substring.SLICE_FILES * slices, 8)
+        # only units that share their anchor with a different one are read again
+        assert made["repeat-chosen"].count() == 0
+    monkeypatch.undo()
     total = sum(len(first) for t in texts for first, *_ in substring.units(t.encode()))
     assert passed[1 << 16][1] > 8 and passed[1 << 27][1] == 1
     assert all(units < 0.15 * total for units, _ in passed.values())
-    monkeypatch.setattr(substring, "cut", cut)
     got = {r.doc_id: (r.n_words, r.n_removed, sha(r.kept)) for r in substring.remove_repeats(spark.read.parquet(f"{data}/documents.parquet"), cells_most=1 << 13).collect()}
     assert got == dict(zip(docs, brute_kept(docs.values())))
 
 
+def test_units_read_again_are_those_that_share_an_anchor(spark, monkeypatch):
+    """Of texts that differ but for one shared passage each, only the units at its edges are read again."""
+    rng = np.random.default_rng(3)
+    own = lambda n: " ".join(f"t{k}" for k in rng.integers(0, 10**6, n))
+    shared = own(120)
+    texts = [f"{own(400)} {shared} {own(400)}" for _ in range(30)]
+    made, cut = {}, substring.cut
+    monkeypatch.setattr(substring, "cut", lambda x, label, by=None, tidy=False: made.setdefault(label, cut(x, label, by, tidy)))
+    spans = substring.repeated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    anchors = Counter()
+    for t in texts:
+        for a, u in {(int(a), int(u)) for _, _, aa, uu, _ in substring.units(t.encode()) for a, u in zip(aa, uu)}:
+            anchors[a] += 1
+    read = made["repeat-chosen"].select(F.explode("units").alias("u")).count()
+    total = sum(len(first) for t in texts for first, *_ in substring.units(t.encode()))
+    assert len(spans) == 30 and 0 < read < 0.15 * total and read <= sum(n for n in anchors.values() if n > 1)
+
+
 def test_long_texts_in_parts(monkeypatch):
     monkeypatch.setattr(substring, "PART", 100)
     text = LONG.encode()
