@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -214,6 +215,27 @@ def fits(messages: Column, images: Column, most_tokens: int, image_tokens: int =
     return F.ceil(messages_length(messages) / 4) + F.size(images) * image_tokens <= most_tokens
 
 
+def token_count(text: Column, path: str) -> Column:
+    """Tokens of a text by the tokenizer file at path, which each worker loads once; null texts have none."""
+
+    @F.pandas_udf("long")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        encoder = Tokenizer.from_file(path)
+        encoder.no_truncation()
+        for texts in batches:
+            yield pd.Series([len(x.ids) for x in encoder.encode_batch(texts.fillna("").tolist(), add_special_tokens=False)])
+
+    return of(text)
+
+
+def fits_tokens(messages: Column, images: Column, most_tokens: int, path: str, image_tokens: int = 256) -> Column:
+    """Whether messages and images stay within a number of tokens, counted by a tokenizer."""
+    said = F.array_join(F.transform(messages, lambda m: F.concat(F.coalesce(m["role"], F.lit("")), F.lit("\n"), F.coalesce(m["content"], F.lit("")))), "\n")
+    return token_count(said, path) + F.size(images) * image_tokens <= most_tokens
+
+
 def with_typos(text: Column, item: Column, variant: int, seed: int = 13, rate: float = 0.06) -> Column:
     """The text with neighbouring letters swapped in some words, and its blocks after the first in another order.
 

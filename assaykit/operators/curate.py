@@ -30,6 +30,12 @@ def passes_audit(runs: Column, dims_ok: Column) -> Column:
     return F.coalesce(runs, F.lit(False)) & ~F.coalesce(~dims_ok, F.lit(False))
 
 
+def audited(rows: DataFrame, audit: DataFrame, key: str, keep: list[str]) -> DataFrame:
+    """The kept columns of the rows that have an audit which they pass, with the audit's n_faces, extents and dims_ok."""
+    found = audit.where(passes_audit(F.col("runs"), F.col("dims_ok"))).select(key, "n_faces", "extents", "dims_ok")
+    return rows.select(*dict.fromkeys([key, *keep])).join(found, key)
+
+
 def verified(n_parts: Column, dims_ok: Column) -> Column:
     return (n_parts == 1) & F.coalesce(dims_ok, F.lit(False))
 

@@ -221,6 +221,40 @@ def result_rows(calls: DataFrame, keys: list[str], order: list[str], parallel: s
     )
 
 
+def whole_rows(calls: DataFrame, parts: DataFrame, lanes: DataFrame) -> DataFrame:
+    """One whole result row for each part and lane: identity, the grade that counts, latencies, sums and best-of fields.
+
+    calls: id, lane, no, parallel, runs, iou, iou_aligned, chamfer, error, code, ttft_s, e2e_s, output_tokens, reasoning_chars,
+    cost_usd; nos are distinct within a part and lane. parts: id, n_parts, n_faces. lanes: lane, model. Attempts one after another are graded by the last;
+    samples in parallel by the one with the highest likeness, the first of equals, and they are one attempt. Rows without their part or lane are left out.
+    """
+    keys, grade = ["id", "lane"], ["runs", "iou", "iou_aligned", "chamfer", "error", "code"]
+    iou, together = F.coalesce("iou_aligned", F.lit(0.0)), F.bool_or("parallel")
+    graded = calls.groupBy(*keys).agg(
+        F.max_by(F.struct(*grade), F.struct(F.when(F.col("parallel"), iou).otherwise(0.0), F.when(F.col("parallel"), -F.col("no")).otherwise(F.col("no")))).alias("_g"),
+        F.when(together, 1).otherwise(F.count("*")).cast("long").alias("attempts"),
+        F.when(together, F.count("*")).alias("samples"),
+        F.when(together, F.count_if("runs")).alias("samples_run"),
+        F.max(F.when(F.coalesce("runs", F.lit(False)), iou).otherwise(0.0)).alias("oracle_iou"),
+    )
+    sums = result_rows(calls, keys, ["no"], "parallel").drop("parallel", "n_calls")
+    rows = graded.select(*keys, "_g.*", "attempts", "samples", "samples_run", "oracle_iou").join(sums, keys).join(parts.select("id", "n_parts", "n_faces"), "id").join(lanes.select("lane", "model"), "lane")
+    runs = F.coalesce("runs", F.lit(False))
+    return rows.withColumns({"runs": runs, "success": succeeded(runs, F.col("iou_aligned"))})
+
+
+def pooled_rows(rows: DataFrame, summaries: DataFrame, parts: DataFrame, group: list[str]) -> DataFrame:
+    """The newest row of each part and group, with its run's summary of the lane and the parts' labels of today.
+
+    rows: group, id, run, created, error, output_tokens, n_parts, n_faces. summaries: run and lane, with further columns, which come in as
+    `run_` ones; a row without its lane's summary is left out, as is a failed call.
+    """
+    rest = [c for c in summaries.columns if c not in ("run", "lane")]
+    live = rows.where(~infra_failed(F.col("error"), F.col("output_tokens")))
+    joined = live.join(summaries.select("run", "lane", *[F.col(c).alias(f"run_{c}") for c in rest]), ["run", "lane"])
+    return relabel(newest_wins(joined, [*group, "id"], ["created", "run"]), parts, "id", ["n_parts", "n_faces"])
+
+
 def chart_lanes(board: DataFrame, modality: str, lane: str, ours: list[str], skip: list[str] = (), least: int = 100) -> DataFrame:
     """The board's lanes of a modality (text if it has none) with enough rows, without those to skip; place: ours first, then by success.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
@@ -334,12 +335,18 @@ def lane_dim_label(spark, d):
     return rows.select("lane", label.alias("label"), "n")
 
 
-@query("""SELECT * FROM (VALUES (1, 'fast', 'Fast', 'org/fast', 'low'), (2, 'big-model@high', 'Big (high)', 'org/Big-Model', 'high'), (4, 'other', 'Other', 'org/Other', NULL)) AS t(pos, key, label, model, effort)""")
+@query("""WITH t AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS pos, count(*) AS n FROM part GROUP BY p_type)
+SELECT pos::INT AS pos, CASE WHEN p_type LIKE 'ECONOMY%' THEN lower(p_type) ELSE lower(p_type) || CASE WHEN n % 2 = 0 THEN '@high' ELSE '' END END AS key,
+  CASE WHEN p_type LIKE 'ECONOMY%' THEN 'Known ' || p_type ELSE p_type || CASE WHEN n % 2 = 0 THEN ' (high)' ELSE '' END END AS label, CASE WHEN p_type LIKE 'ECONOMY%' THEN 'org/' || p_type ELSE 'org/' || p_type END AS model,
+  CASE WHEN p_type LIKE 'ECONOMY%' THEN 'low' WHEN n % 2 = 0 THEN 'high' END AS effort FROM t WHERE p_type LIKE 'ECONOMY%' OR p_type NOT LIKE 'PROMO%'""")
 def lane_spec(spark, d):
-    """The lanes of one specification text; unknown names without an owner are left out."""
-    known = spark.createDataFrame([("fast", "Fast", "org/fast", "low")], "key string, label string, model string, effort string")
-    pretty = spark.createDataFrame([("org/Big-Model", "Big")], "model string, name string")
-    spec = spark.createDataFrame([(",fast, org/Big-Model:high,unknown,org/Other",)], "spec string")
+    """The lanes of a specification text made of the parts' types: some known by key, others by owner, those without one left out."""
+    types = table(spark, d, "part").groupBy("p_type").agg(F.count("*").alias("n"))
+    kind = F.col("p_type")
+    item = F.when(kind.startswith("ECONOMY"), F.lower(kind)).when(kind.startswith("PROMO"), kind).otherwise(F.concat(F.lit("org/"), kind, F.when(F.col("n") % 2 == 0, ":high").otherwise("")))
+    spec = types.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_type", item.alias("item")))), lambda x: x["item"]), ",").alias("spec"))
+    known = types.where(kind.startswith("ECONOMY")).select(F.lower(kind).alias("key"), F.concat(F.lit("Known "), kind).alias("label"), F.concat(F.lit("org/"), kind).alias("model"), F.lit("low").alias("effort"))
+    pretty = types.select(F.concat(F.lit("org/"), kind).alias("model"), kind.alias("name"))
     return results.resolve_lanes(spec, known, pretty)
 
 
@@ -409,3 +416,52 @@ def run_times(spark, d):
     """Names of runs from their times, and times written and read in ISO form."""
     created = text.iso_seconds(F.col("ts"))
     return table(spark, d, "events").select("event_id", text.run_name(F.col("ts"), F.col("event_type")).alias("run"), created.alias("created"), F.to_timestamp_ntz(created).alias("parsed"))
+
+
+WHOLE = """calls AS (SELECT l_orderkey AS id, 'L' || (l_orderkey % 3) AS lane, l_linenumber * 1000000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_tax, l_discount) AS no, l_orderkey % 2 = 0 AS parallel,
+  l_discount > 0.02 AS runs, least(l_quantity / 40, 1.0)::DOUBLE AS iou, CASE WHEN l_tax > 0.01 THEN least(l_quantity / 45, 1.0)::DOUBLE END AS iou_aligned, (l_tax / 10)::DOUBLE AS chamfer, CASE WHEN l_discount <= 0.02 THEN 'failed' END AS error,
+  'c' || l_partkey AS code, l_tax::DOUBLE AS ttft_s, l_quantity::DOUBLE AS e2e_s, l_partkey AS output_tokens, l_suppkey AS reasoning_chars, CASE WHEN l_discount > 0 THEN l_extendedprice::DOUBLE END AS cost_usd FROM lineitem),
+ g AS (SELECT id, lane, bool_or(parallel) AS p, max_by({'runs': runs, 'iou': iou, 'iou_aligned': iou_aligned, 'chamfer': chamfer, 'error': error, 'code': code}, (CASE WHEN parallel THEN coalesce(iou_aligned, 0) ELSE 0 END, CASE WHEN parallel THEN -no ELSE no END)) AS b, count(*) AS n, count(*) FILTER (WHERE runs) AS r,
+  max(CASE WHEN runs THEN coalesce(iou_aligned, 0) ELSE 0 END) AS oracle_iou, min_by(ttft_s, no) AS ttft_s, max(e2e_s) AS longest, sum(e2e_s) AS total, sum(output_tokens)::BIGINT AS output_tokens, sum(reasoning_chars)::BIGINT AS reasoning_chars, CASE WHEN count(*) = count(cost_usd) THEN sum(cost_usd) END AS cost FROM calls GROUP BY id, lane),
+ whole AS (SELECT id, lane, 'org/' || lane AS model, b.runs AS runs, b.iou AS iou, b.iou_aligned AS iou_aligned, b.chamfer AS chamfer, b.error AS error, b.code AS code, CASE WHEN p THEN 1 ELSE n END AS attempts, CASE WHEN p THEN n END AS samples, CASE WHEN p THEN r END AS samples_run, oracle_iou, ttft_s,
+  CASE WHEN p THEN longest ELSE total END AS e2e_s, output_tokens, reasoning_chars, round(cost, 2) AS cost_usd, o_custkey % 3 + 1 AS n_parts, o_orderkey % 20 AS n_faces, b.runs AND coalesce(b.iou_aligned, 0) >= 0.9 AS success FROM g JOIN orders ON id = o_orderkey WHERE lane <> 'L2')"""
+
+
+def whole(spark, d):
+    """Whole result rows of calls made of line items; one lane has no description, so its rows are left out."""
+    line = table(spark, d, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_tax", "l_discount")
+    double = lambda c: F.col(c).cast("double")
+    calls = line.select(
+        F.col("l_orderkey").alias("id"), F.concat(F.lit("L"), F.col("l_orderkey") % 3).alias("lane"), (F.col("l_linenumber") * 1_000_000 + F.row_number().over(order)).alias("no"), (F.col("l_orderkey") % 2 == 0).alias("parallel"),
+        (F.col("l_discount") > 0.02).alias("runs"), F.least(double("l_quantity") / 40, F.lit(1.0)).alias("iou"), F.when(F.col("l_tax") > 0.01, F.least(double("l_quantity") / 45, F.lit(1.0))).alias("iou_aligned"), (double("l_tax") / 10).alias("chamfer"),
+        F.when(F.col("l_discount") <= 0.02, "failed").alias("error"), F.concat(F.lit("c"), "l_partkey").alias("code"), double("l_tax").alias("ttft_s"), double("l_quantity").alias("e2e_s"), F.col("l_partkey").alias("output_tokens"), F.col("l_suppkey").alias("reasoning_chars"),
+        F.when(F.col("l_discount") > 0, double("l_extendedprice")).alias("cost_usd"),
+    )
+    parts = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 3 + 1).alias("n_parts"), (F.col("o_orderkey") % 20).alias("n_faces"))
+    lanes = spark.createDataFrame([("L0", "org/L0"), ("L1", "org/L1")], "lane string, model string")
+    return results.whole_rows(calls, parts, lanes)
+
+
+@query(f"""WITH {WHOLE} SELECT * FROM whole""")
+def whole_result_rows(spark, d):
+    return whole(spark, d).withColumn("cost_usd", F.round("cost_usd", 2))
+
+
+@query(f"""WITH {WHOLE} SELECT lane, count(*) AS n, round(avg(success::INT), 6) AS success, round(avg(runs::INT), 6) AS run_rate, round(quantile_cont(e2e_s, 0.95), 6) AS latency_p95, round(median(chamfer) FILTER (WHERE runs), 8) AS median_chamfer,
+  round(avg(attempts), 6) AS attempts_mean, round(avg((coalesce(oracle_iou, 0) >= 0.9)::INT), 6) AS oracle_success FROM whole GROUP BY lane""")
+def lane_summary_of_calls(spark, d):
+    """The lane summary of whole result rows."""
+    rounded = lambda c, n=6: F.round(c, n).alias(c)
+    return results.lane_summary(whole(spark, d), ["lane"]).select("lane", "n", rounded("success"), rounded("run_rate"), rounded("latency_p95"), rounded("median_chamfer", 8), rounded("attempts_mean"), rounded("oracle_success"))
+
+
+@query(f"""WITH {LOG}, r AS (SELECT id, lane, k % 5 AS modality, strftime(created, '%Y%m%d') AS run, created, event_id, value, k FROM log WHERE lane <> 'error'), s AS (SELECT strftime(created, '%Y%m%d') AS run, lane, count(*) AS n, max(k) AS shots FROM log WHERE k > 3 GROUP BY ALL),
+ w AS (SELECT r.*, s.n AS run_n, s.shots AS run_shots, row_number() OVER (PARTITION BY modality, lane, id ORDER BY created DESC, run DESC, event_id DESC) AS p FROM r JOIN s USING (run, lane))
+SELECT modality, lane, id, run, event_id, run_n, run_shots, CASE WHEN p_partkey IS NULL THEN 1 ELSE p_size % 3 + 1 END AS n_parts, CASE WHEN p_partkey IS NULL THEN k % 20 ELSE p_size END AS n_faces FROM w LEFT JOIN part ON p_partkey = id AND id % 4 <> 0 WHERE p = 1""")
+def pooled_result_rows(spark, d):
+    """The newest answer of each part and lane with its run's summary of the lane, under the parts' labels of today."""
+    rows = log(spark, d).select("id", "lane", (F.col("k") % 5).alias("modality"), F.date_format("created", "yyyyMMdd").alias("run"), F.struct("created", F.date_format("created", "yyyyMMdd"), "event_id").alias("created"), "event_id", F.when(F.col("lane") == "error", "api: 500").alias("error"), F.when(F.col("lane") != "error", 5).alias("output_tokens"), F.lit(1).alias("n_parts"), (F.col("k") % 20).alias("n_faces"))
+    summaries = log(spark, d).where("k > 3").groupBy(F.date_format("created", "yyyyMMdd").alias("run"), "lane").agg(F.count("*").alias("n"), F.max("k").alias("shots"))
+    parts = table(spark, d, "part").where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 3 + 1).alias("n_parts"), F.col("p_size").alias("n_faces"))
+    return results.pooled_rows(rows, summaries, parts, ["modality", "lane"]).select("modality", "lane", "id", "run", "event_id", "run_n", "run_shots", "n_parts", "n_faces")

@@ -31,14 +31,14 @@ def spec_coverage(spark, d):
 
 
 
-@query(f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'cq.last(' || doc_id || ')' || chr(10) WHEN doc_id % 3 = 1 THEN 'import cadquery as cq' || chr(10) || 'r = ' || doc_id || chr(10) END AS code FROM documents""")
+@query(r"""WITH t AS (SELECT doc_id, trim(coalesce(text, ''), e' \t\n\r\x0b\x0c') AS t, rtrim('import cadquery as cq' || chr(10) || coalesce(text, ''), e' \t\n\r\x0b\x0c') AS bare FROM documents)
+SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN 'import cadquery as cq' || chr(10) || '# ' || t || ';' || chr(10) WHEN doc_id % 3 = 1 THEN bare || chr(10) END) AS md5 FROM t""")
 def fence_extract(spark, d):
-    """Replies with two fenced programs, with a bare program, and with neither."""
-    i = F.col("doc_id").cast("string")
-    two = F.concat(F.lit("<think>\n```python\ncq bad```</think>so: ```python\nimport cadquery as cq\n# "), "source", F.lit("\n``` and ```\ncq.last("), i, F.lit(")  \n``` done"))
-    bare = F.concat(F.lit("Here: import cadquery as cq\nr = "), i, F.lit("  \n"))
-    reply = F.when(F.col("doc_id") % 3 == 0, two).when(F.col("doc_id") % 3 == 1, bare).otherwise(F.concat(F.lit("no "), "source"))
-    return table(spark, d, "documents").select("doc_id", text.last_program(reply).alias("code"))
+    """Replies that hold each text in the second of two fenced programs, after a bare import, or as it is."""
+    whole, trimmed = F.coalesce("text", F.lit("")), text.strip(F.coalesce("text", F.lit("")))
+    two = F.concat(F.lit("<think>\n```python\ncq bad```</think>so: ```python\nimport cadquery as cq\nfirst\n``` and ```\nimport cadquery as cq\n# "), trimmed, F.lit(";\n``` done"))
+    reply = F.when(F.col("doc_id") % 3 == 0, two).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Here: import cadquery as cq\n"), whole)).otherwise(whole)
+    return table(spark, d, "documents").select("doc_id", F.md5(text.last_program(reply)).alias("md5"))
 
 
 @query(r"""SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'), ' ') AS t FROM pages)""")

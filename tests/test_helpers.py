@@ -151,3 +151,18 @@ def test_summary_of_no_answers_and_of_a_lane_without_a_name(spark):
 def test_bench_records_pass_without_filters(spark):
     rows = spark.createDataFrame([(1, None, 1), (2, 9, 2)], "id int, n_faces int, n_parts int")
     assert curate.bench_records(rows).count() == 2 and [r.id for r in curate.bench_records(rows, min_faces=1).collect()] == [2]
+
+
+def test_tokens_are_counted_by_a_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["", "Hello there, world", "é😀 " * 200, None]
+    got = [r.n for r in spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", text.token_count(F.col("t"), path).alias("n")).orderBy("k").collect()]
+    assert got == [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    rows = spark.sql("select array(named_struct('role', 'user', 'content', 'one two three')) as m, array('a.png') as i")
+    n = len(library.encode("user\none two three", add_special_tokens=False).ids)
+    fits = lambda most: rows.select(text.fits_tokens(F.col("m"), F.col("i"), most, path).alias("x")).first().x
+    assert fits(256 + n) and not fits(256 + n - 1)
