@@ -284,6 +284,6 @@ def bounded_content_store(spark, d):
 @query("""SELECT doc_id, lang, source, length(text) % 20 AS n_faces, [n_chars * 1.0::DOUBLE] AS extents, CASE WHEN toxic = 1 THEN NULL ELSE quality = 1 END AS dims_ok FROM documents JOIN labels USING (doc_id) WHERE n_chars > 100 AND (toxic = 1 OR quality = 1)""")
 def audited_rows(spark, d):
     """The rows with an audit that they pass; those without one, with a failed run or a wrong size are left out."""
-    docs = table(spark, d, "documents")
-    checks = docs.join(table(spark, d, "labels"), "doc_id").select("doc_id", (F.col("n_chars") > 100).alias("runs"), (F.length("text") % 20).alias("n_faces"), F.array(F.col("n_chars").cast("double")).alias("extents"), F.when(F.col("toxic") != 1, F.col("quality") == 1).alias("dims_ok"))
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars", (F.length("text") % 20).alias("n_faces"))  # no text goes through the joins
+    checks = docs.join(table(spark, d, "labels"), "doc_id").select("doc_id", (F.col("n_chars") > 100).alias("runs"), "n_faces", F.array(F.col("n_chars").cast("double")).alias("extents"), F.when(F.col("toxic") != 1, F.col("quality") == 1).alias("dims_ok"))
     return curate.audited(docs, checks, "doc_id", ["lang", "source"])
