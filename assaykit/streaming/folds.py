@@ -8,9 +8,9 @@ from __future__ import annotations
 import time
 from collections.abc import Iterator
 from functools import reduce
+from operator import itemgetter
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -87,21 +87,20 @@ class LaneFold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("lane", "status string, chars long, n_events long, ttft double, restarts int")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        status, chars, n, ttft, restarts = self.state.get() if self.state.exists() else ("waiting", 0, 0, None, 0)
-        for batch in rows:
-            for kind, t, text in batch.sort_values("seq")[["type", "t", "text"]].itertuples(index=False):
-                n += 1
-                if kind in DELTAS:
-                    status, chars = "writing", chars + len(text or "")
-                    ttft = t if ttft is None else ttft
-                elif kind == "restart":
-                    status, chars, restarts = "waiting", 0, restarts + 1
-                    ttft = ttft if self.keep_first else None
-                elif kind in ("generated", "graded", "error"):
-                    status = kind
+    def handleInputRows(self, key, rows: Iterator[Row], timers) -> Iterator[Row]:
+        status, chars, n, ttft, restarts = self.state.get() or ("waiting", 0, 0, None, 0)
+        for _, kind, t, size in sorted(((r.seq, r.type, r.t, r.size) for r in rows), key=itemgetter(0)):
+            n += 1
+            if kind in DELTAS:
+                status, chars = "writing", chars + size
+                ttft = t if ttft is None else ttft
+            elif kind == "restart":
+                status, chars, restarts = "waiting", 0, restarts + 1
+                ttft = ttft if self.keep_first else None
+            elif kind in ("generated", "graded", "error"):
+                status = kind
         self.state.update((status, chars, n, ttft, restarts))
-        yield pd.DataFrame({"race": [key[0]], "lane": [key[1]], "status": [status], "chars": [chars], "n_events": [n], "ttft": [ttft], "restarts": [restarts]})
+        yield Row(race=key[0], lane=key[1], status=status, chars=chars, n_events=n, ttft=ttft, restarts=restarts)
 
     def close(self) -> None:
         pass
@@ -109,7 +108,8 @@ class LaneFold(StatefulProcessor):
 
 def fold_stream(events: DataFrame, keep_first: bool = False) -> DataFrame:
     """A stream of lane states, one row for each key in each batch that touches it."""
-    return events.groupBy("race", "lane").transformWithStateInPandas(LaneFold(keep_first), LaneFold.SCHEMA, "Update", "None")
+    sized = events.select("race", "lane", "seq", "type", "t", F.length(F.coalesce("text", F.lit(""))).alias("size"))
+    return sized.groupBy("race", "lane").transformWithState(LaneFold(keep_first), LaneFold.SCHEMA, "Update", "None")
 
 
 def fold_batch(events: DataFrame, keep_first: bool = False) -> DataFrame:

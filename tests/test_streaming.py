@@ -108,3 +108,39 @@ def test_replay_leaves_the_recorded_rows_where_they_are(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+class Calls:
+    """A handle of a stateful processor with one value of state; it counts the calls."""
+
+    def __init__(self):
+        self.n, self.value = 0, None
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getMapState(self, name, key, value):
+        raise AssertionError("each look into a map is a call")
+
+    def _called(self, *args):
+        self.n += 1
+        if args:
+            self.value = args[0]
+        return self.value
+
+    exists = get = _called
+
+    def update(self, value):
+        self._called(value)
+
+    def registerTimer(self, ms):
+        self.n += 1
+
+    deleteTimer = registerTimer
+
+
+def test_a_lane_costs_two_calls_of_state_for_each_batch():
+    fold, calls = folds.LaneFold(), Calls()
+    fold.init(calls)
+    said = [Row(seq=k, type=t, t=float(k), size=5) for k, t in ((3, "content"), (1, "content"), (2, "restart"), (4, "error"))]
+    assert [tuple(r) for r in fold.handleInputRows(("r", "l"), iter(said), None)] == [("r", "l", "error", 5, 4, 3.0, 1)] and calls.n == 2
