@@ -81,5 +81,4 @@ def exported_parts(spark, d):
     place = place_for(spark, "export")
     rows = table(spark, d, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("id"), "p_name", "p_size", F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("<svg>"), "p_type", F.lit("</svg>"))).alias("sheet"))
     writers.documents(rows, "id", place, {"sheet": ("sheet", ".svg")})
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(versions.part(spark, place, "files"))
-    return found.select(F.regexp_extract("path", r"/files/(.*)$", 1).alias("name"), F.sha2("content", 256).alias("sha256"))
+    return writers.written(spark, place).select("name", F.sha2("content", 256).alias("sha256"))

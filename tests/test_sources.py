@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from assaykit.sources import json_files, readers, versions, writers
+from assaykit.sources import exports, json_files, readers, versions, writers
 
 
 def test_jsonl(spark, tmp_path):
@@ -219,3 +219,13 @@ def test_of_two_writers_each_is_merged(spark, tmp_path, monkeypatch):
         publish(spark, path, {"data": "x"}, 1)
     with pytest.raises(FileNotFoundError):
         versions.table(spark, str(tmp_path / "none"))
+
+
+def test_exported_files_are_read_by_name_and_not_listed(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(f"part:{k}", "x" * 10, "y" if k % 2 else None) for k in range(50)], "id string, v string, sheet string")
+    writers.documents(rows, "id", f"file://{tmp_path}/docs", {"sheet": ("sheet", ".svg")})
+    monkeypatch.setattr(exports, "BATCH_BYTES", 100)
+    found = writers.written(spark, f"file://{tmp_path}/docs")
+    got = {r.name: bytes(r.content) for r in found.collect()}
+    assert len(got) == 75 and got["sheet/part_3.svg"] == b"y" and got["compare/part_2.json"] == b'{"id":"part:2","v":"xxxxxxxxxx"}'
+    assert all(f.endswith(".parquet") for f in found.inputFiles())  # the table of names is all that Spark lists
