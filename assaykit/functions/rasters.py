@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,29 @@ def squared_distance(mask: np.ndarray) -> np.ndarray:
     return out
 
 
+WIDE = 64  # rows up to that are compared column by column, many rasters at a time; wider ones take envelopes
+TOGETHER = 1 << 18  # cells
+
+
+def squared_distances(masks: np.ndarray) -> np.ndarray:
+    """squared_distance of many rasters of one shape (n, height, width) at a time."""
+    n, height, width = masks.shape
+    if width > WIDE:
+        return np.stack([squared_distance(m) for m in masks])
+    out, rows, columns = np.empty(masks.shape), np.arange(height, dtype=float)[:, None], np.arange(width)
+    step = max(1, TOGETHER // max(1, height * width))
+    for at in range(0, n, step):
+        some = masks[at : at + step]
+        above = np.maximum.accumulate(np.where(some, rows, -np.inf), 1)
+        below = np.minimum.accumulate(np.where(some, rows, np.inf)[:, ::-1], 1)[:, ::-1]
+        column = np.minimum(rows - above, below - rows) ** 2
+        least = np.full(some.shape, np.inf)
+        for x in range(width):
+            np.minimum(least, column[:, :, x, None] + (columns - x) ** 2, out=least)
+        out[at : at + step] = least
+    return out
+
+
 def near(mask: np.ndarray, tolerance: float) -> np.ndarray:
     """Cells within a distance of a set cell."""
     return squared_distance(mask) <= tolerance * tolerance
@@ -52,9 +77,22 @@ def near(mask: np.ndarray, tolerance: float) -> np.ndarray:
 def distances(mask: Column) -> Column:
     """array<array<double>>: the squared distance of each cell of a raster to its nearest set cell; null without one."""
 
-    @F.pandas_udf("array<array<double>>")
-    def of(masks: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or not len(x) else [[None if np.isinf(v) else v for v in r] for r in squared_distance(_mask(x)).tolist()] for x in masks])
+    @F.arrow_udf("array<array<double>>")
+    def of(masks: pa.Array) -> pa.Array:
+        heights = pc.list_value_length(masks).fill_null(0).to_numpy()
+        rows = masks.flatten()
+        widths = pc.list_value_length(rows).fill_null(0).to_numpy()
+        cells = rows.flatten().fill_null(False).to_numpy(zero_copy_only=False)
+        row, cell = (np.r_[0, np.cumsum(x)].astype(np.int32) for x in (heights, widths))
+        width = np.r_[widths, 0][row[:-1]]
+        if (np.repeat(width, heights) != widths).any():
+            raise ValueError("a raster's rows differ in length")
+        out = np.full(len(cells), np.inf)
+        for h, w in np.unique(np.stack([heights, width], 1)[heights > 0], axis=0).tolist():
+            mine = cell[row[:-1][(heights == h) & (width == w)]][:, None] + np.arange(h * w)
+            out[mine] = squared_distances(cells[mine].reshape(-1, h, w)).reshape(mine.shape)
+        inner = pa.ListArray.from_arrays(pa.array(cell), pa.array(out, mask=np.isinf(out)))
+        return pa.ListArray.from_arrays(pa.array(row), inner, mask=pa.array(heights == 0))
 
     return of(mask)
 

@@ -42,6 +42,7 @@ def aligned_candidates(spark, d):
 
 
 SIDE = 20
+PARTS_OF_A_TASK = 50_000
 
 
 @query(f"""WITH c AS (SELECT p_partkey, p_size, y, x, (x * 7 + y * 13 + p_partkey) % (p_size + 9) = 0 AS on_ FROM part, range({SIDE}) AS r(y), range({SIDE}) AS s(x)),
@@ -49,7 +50,9 @@ SIDE = 20
 SELECT p_partkey, sum(q)::BIGINT AS total, max(q) AS farthest, count(*) FILTER (WHERE q <= 4) AS n_near FROM n GROUP BY p_partkey""")
 def distance_transform(spark, d):
     """Squared distances to the nearest set cell of a raster for each part."""
+    parts = table(spark, d, "part").select("p_partkey", "p_size")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts.count() // PARTS_OF_A_TASK)  # a small file holds much work
     cell = lambda y, x: (F.lit(x * 7 + y * 13) + F.col("p_partkey")) % (F.col("p_size") + 9) == 0
     mask = F.array(*[F.array(*[cell(y, x) for x in range(SIDE)]) for y in range(SIDE)])
-    flat = table(spark, d, "part").select("p_partkey", F.flatten(rasters.distances(mask)).alias("q")).where("q[0] is not null")
+    flat = parts.repartition(n, "p_partkey").select("p_partkey", F.flatten(rasters.distances(mask)).alias("q")).where("q[0] is not null")
     return flat.select("p_partkey", F.aggregate("q", F.lit(0.0), lambda s, v: s + v).cast("long").alias("total"), F.array_max("q").cast("long").alias("farthest"), F.size(F.filter("q", lambda v: v <= 4)).cast("long").alias("n_near"))

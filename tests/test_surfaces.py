@@ -91,3 +91,21 @@ def test_neighbours_of_groups_of_one_and_two(spark):
     rows = spark.createDataFrame([(1, 5), (2, 7), (2, 9), (None, 1), (None, 3), (None, 2)], "g int, k int")
     got = {(r.g, r.k): (r.prev, r.next) for r in curate.cyclic_neighbours(rows, "g", "k").collect()}
     assert got == {(1, 5): (5, 5), (2, 7): (9, 9), (2, 9): (7, 7), (None, 1): (3, 2), (None, 2): (1, 3), (None, 3): (2, 1)}
+
+
+def test_distances_of_many_rasters_at_a_time(spark, data, monkeypatch):
+    """Rasters of several shapes, empty and null ones; and the query deals its rows to many tasks."""
+    from assaykit import plans
+
+    rng = np.random.default_rng(2)
+    masks = [rng.random(shape) < share for shape in ((3, 4), (5, 70), (4, 3), (3, 4)) for share in (0.0, 0.1, 0.5)]
+    rows = [(k, m.tolist()) for k, m in enumerate(masks)] + [(90, None), (91, [])]
+    got = {r.k: r.q for r in spark.createDataFrame(rows, "k int, m array<array<boolean>>").coalesce(1).select("k", rasters.distances(F.col("m")).alias("q")).collect()}
+    for k, m in enumerate(masks):
+        assert got[k] == [[None if np.isinf(v) else v for v in r] for r in rasters.squared_distance(m).tolist()]
+    assert got[90] is None and got[91] is None
+    df = plans.QUERIES["distance_transform"](spark, data)
+    assert df.rdd.getNumPartitions() >= 4
+    many = np.random.default_rng(1).random((7, 20, 20)) < 0.05
+    monkeypatch.setattr(rasters, "squared_distance", None)
+    assert rasters.squared_distances(many).shape == many.shape
