@@ -17,7 +17,8 @@ anchor can be sorted by itself:
    Each window has a maximal repeat around it with the same occurrences, so none is missed.
 
 Scale: three equality shuffles, of 40 bytes for each 17 of text, of the segments that repeat, and of texts;
-nothing is broadcast or collected. Copies are folded in each task before the first of these. An anchor
+nothing is broadcast or collected. The first two of these are made for a share of all anchors at a time (SLICES), since their files are
+larger than the texts; partitions follow the bytes of the texts, so that sorts fit in memory and don't spill. Copies are folded in each task before the first of these. An anchor
 with many different segments, such as the edge of a line that a third of all texts hold, would
 make one task's work: a task that meets 64 of one anchor sends a mark in place of them, and marked
 anchors (or those of more than 4,096 segments) have their windows dealt by the window's own hash.
@@ -32,6 +33,8 @@ or helper, which are replaced; an empty table gives no rows. Ids are integers.
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -39,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, held, small_batches, text_or_empty, utf8
+from .common import cut, forget, held, small_batches, text_or_empty, utf8
 from .substring import A, mixed
 
 LEAST = 50
@@ -49,6 +52,8 @@ FLUSH = 1 << 20  # segments folded at a time
 LOCAL_HOT, HOT = 64, 4_096
 SORTED = 1 << 21  # bytes of segments in one suffix array
 ROWS = 20_000  # of a batch without texts
+SLICES = 2  # of the anchors; the texts are cut up once for each
+PART_BYTES = 8 << 20  # of text for each partition of a shuffle
 
 UNIT, MARK, WINDOW, COPY, ASK = range(5)
 LINE = [("kind", "int"), ("key", "long"), ("unit", "long"), ("doc", "long"), ("place", "long")]
@@ -145,14 +150,16 @@ def _folded(key, unit, doc, at):
     yield _rows(LINES_ARROW, np.full(len(marked), MARK), marked, none, none, none)
 
 
-def _cut_up(batches):
-    """Lines of the segments of texts."""
+def _cut_up(batches, share: int = 0, of: int = 1):
+    """Lines of the segments of texts whose anchors fall into one share of several."""
     parts, n = [], 0
     for batch in batches:
         for doc, raw in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
             tag = tag_of(raw) if len(raw) >= LEAST else 0
             for first, count, anchor, whole in segments(raw):
-                parts.append((anchor, whole, np.full(len(first), doc), place(tag, first, count)))
+                mine = anchor % np.uint64(of) == share
+                first, count = first[mine], count[mine]
+                parts.append((anchor[mine], whole[mine], np.full(len(first), doc), place(tag, first, count)))
                 n += len(first)
             if n >= FLUSH:
                 yield from _folded(*(np.concatenate(x) for x in zip(*parts)))
@@ -375,8 +382,14 @@ def _bytes_of(batches):
             yield _rows(BYTES_ARROW, kind, signed(key), doc, signed(x), piece)
 
 
-def repeat_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """group, bytes, doc, place and least: occurrences of maximal repeats, and the smallest document of each.
+def parts_for(df: DataFrame, text: str = "text") -> int:
+    """How many partitions keep a shuffle of the texts, or of lines about them, within a task's memory."""
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+
+
+def repeat_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
+    """group, bytes, doc, place and least: occurrences of maximal repeats after the smallest document, and that document.
 
     group is a hash of the repeated bytes; place holds a tag of the text and the first byte (see place). Copies of
     segments have group 0 and the length of their segment; they repeat an earlier document's.
@@ -384,20 +397,24 @@ def repeat_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     spark = df.sparkSession
     small_batches(spark)
     texts = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), text_or_empty(text).alias("text"))
+    parts = parts or parts_for(df, text)
     records = "spark.sql.execution.arrow.maxRecordsPerBatch"
     few = spark.conf.get(records)
     spark.conf.set(records, str(ROWS))  # batches of texts are bounded by their bytes
     try:
-        lines = texts.where(F.octet_length("text") >= LEAST).mapInArrow(_cut_up, LINES)
-        lines = lines.repartition("key").sortWithinPartitions("key").mapInArrow(_gathered, LINES)
-        lines = cut(lines, "suffix-lines", tidy=True)
-        asked = lines.where(F.col("kind") != COPY).groupBy("doc").agg(F.collect_list(F.struct("kind", "key", "place")).alias("lines"))
-        pieces = texts.join(asked, "doc").select("doc", "text", "lines").mapInArrow(_bytes_of, BYTES)
-        found = cut(pieces.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_sorted, GROUPS), "suffix-groups", tidy=True)
+        told = []
+        for share in range(SLICES):
+            lines = texts.where(F.octet_length("text") >= LEAST).mapInArrow(partial(_cut_up, share=share, of=SLICES), LINES)
+            lines = cut(lines.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_gathered, LINES), "suffix-lines", tidy=True)
+            asked = lines.where(F.col("kind") != COPY).repartition(parts, "doc").groupBy("doc").agg(F.collect_list(F.struct("kind", "key", "place")).alias("lines"))
+            pieces = texts.repartition(parts, "doc").join(asked, "doc").select("doc", "text", "lines").mapInArrow(_bytes_of, BYTES)
+            told.append(cut(pieces.repartition(parts, "key").sortWithinPartitions("key", "doc").mapInArrow(_sorted, GROUPS).where("doc > least"), "suffix-groups", tidy=True))
+            copies = lines.where(F.col("kind") == COPY).select(F.lit(0).cast("long").alias("group"), (F.col("place").bitwiseAND(63) + LEAST - 1).cast("int").alias("bytes"), "doc", "place", F.lit(-(2**63)).alias("least"))
+            told.append(cut(copies, "suffix-copies"))
+            forget(lines)
     finally:
         spark.conf.set(records, few)
-    copies = lines.where(F.col("kind") == COPY)
-    return found.unionByName(copies.select(F.lit(0).cast("long").alias("group"), (F.col("place").bitwiseAND(63) + LEAST - 1).cast("int").alias("bytes"), "doc", "place", F.lit(-(2**63)).alias("least")))
+    return reduce(DataFrame.unionByName, told)
 
 
 KEPT = T.StructType([T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())])
@@ -426,6 +443,8 @@ def remove_earlier(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             kept.append(b"".join(raw[a:b] for a, b in zip(bounds[::2], bounds[1::2])))
         return pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], KEPT.names)
 
-    taken = repeat_groups(df, doc_id, text).where("doc > least").groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("place", "bytes")).alias("_spans"))
-    joined = df.join(taken, F.col(doc_id) == F.col("_doc"), "left")
+    parts = parts_for(df, text)
+    spans = repeat_groups(df, doc_id, text, parts).select(F.col("doc").alias("_doc"), "place", "bytes").repartition(parts, "_doc")
+    taken = spans.groupBy("_doc").agg(F.collect_list(F.struct("place", "bytes")).alias("_spans"))
+    joined = df.repartition(parts, F.col(doc_id).cast("long")).join(taken, F.col(doc_id).cast("long") == F.col("_doc"), "left")
     return joined.withColumn("_out", of(text_or_empty(text), F.col("_spans.place"), F.col("_spans.bytes"))).select(*[F.col(c) for c in df.columns], "_out.*")

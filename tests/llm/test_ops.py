@@ -1187,3 +1187,14 @@ def test_maximal_repeats_are_all_there(parts, least):
 
 def test_intervals_of_a_tree():
     assert sorted(suffixes.intervals([3, 5, 5, 2, 0, 4], 2)) == [(2, 0, 4), (3, 0, 3), (4, 5, 6), (5, 1, 3)]
+
+
+def test_shares_of_anchors_make_up_all_lines():
+    """op12_suffixes deals a share of the anchors at a time: each is far from all lines, an anchor is in one, and together they are all."""
+    rng = np.random.default_rng(3)
+    raws = [" ".join(f"w{x}" for x in rng.integers(0, 400, 300)) for _ in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), pa.array(raws)], names=["doc", "text"])
+    lines = lambda **share: [tuple(r.values()) for b in suffixes._cut_up([batch], **share) for r in b.to_pylist()]
+    shares = [lines(share=k, of=suffixes.SLICES) for k in range(suffixes.SLICES)]
+    assert sorted(x for s in shares for x in s) == sorted(lines())
+    assert suffixes.SLICES > 1 and max(map(len, shares)) < 0.6 * sum(map(len, shares))
