@@ -1,6 +1,7 @@
 """Near-duplicates by the exact Jaccard similarity of the texts' shingle sets.
 
-Candidates come from min-hashes: BANDS keys of ROWS minima each. Two texts of similarity s share
+Candidates come from SimHashes of the same shingles that differ in two bits or fewer, by the deletion
+variants of `simhash`, and from what these can't reach, min-hashes: BANDS keys of ROWS minima each. Two texts of similarity s share
 no key with a chance of (1 - s^5)^36, which is 6e-7 at 0.8 and less above. Texts that hang
 together by keys are a family; links within it are decided on whole sets, so no text is merged
 for a likeness of its sketch only:
@@ -31,7 +32,8 @@ from pyspark.sql import types as T
 
 from .common import cut, forget, lists, small_batches, text_or_empty, utf8
 from .components import connected_components
-from .simhash import shingle_hashes
+from .simhash import fingerprint, shingle_hashes
+from .simhash import links as simhash_links
 
 BANDS, ROWS = 36, 5
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000  # of a family's rest that are held together
@@ -118,6 +120,15 @@ def _compare(similarity: float):
     return of
 
 
+def _by_fingerprint(marked: DataFrame) -> DataFrame:
+    """Candidates a, b, n of texts (node, fp) whose SimHashes differ in two bits or fewer, by deletion variants; a fingerprint's texts go to its first."""
+    heads = cut(marked.groupBy("fp").agg(F.min("node").alias("b")), "near-fp")
+    copies = marked.join(heads, "fp").select(F.col("node").alias("a"), "b")
+    pairs = simhash_links(heads.select("fp")).withColumnsRenamed({"a": "x", "b": "y"})
+    near = pairs.join(heads.select(F.col("fp").alias("x"), F.col("b").alias("a")), "x").join(heads.select(F.col("fp").alias("y"), "b"), "y").select("a", "b")
+    return copies.unionByName(near).where("a <> b").select("a", "b", F.lit(1).cast("long").alias("n"))
+
+
 def links(df: DataFrame, text: str, width: int, similarity: float) -> DataFrame:
     """Edges a, b of node hashes of texts that connect whatever links of at least that similarity connect."""
     small_batches(df.sparkSession)
@@ -132,10 +143,16 @@ def links(df: DataFrame, text: str, width: int, similarity: float) -> DataFrame:
         return lists([np.sort(x.view(np.int64)) if len(x := shingle_set(t, width)) else np.zeros(1, np.int64) for t in utf8(column)], pa.int64())
 
     texts = df.select(F.xxhash64(text_or_empty(text)).alias("node"), text_or_empty(text).alias("t"))
-    marked = cut(texts.select("node", keys("t").alias("keys")).groupBy("node").agg(F.any_value("keys").alias("keys")), "near-keys")
+    @F.arrow_udf(T.LongType())
+    def fingerprints(column: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(shingle_hashes(x, width)) for x in utf8(column)], np.uint64).view(np.int64))
+
+    found = texts.select("node", keys("t").alias("keys"), fingerprints("t").alias("fp"))
+    marked = cut(found.groupBy("node").agg(F.any_value("keys").alias("keys"), F.any_value("fp").alias("fp")), "near-keys")
     uses = marked.select(F.explode("keys").alias("key"), F.col("node").alias("a"))
     first = uses.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = cut(uses.join(first, "key").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n")), "near-stars")
+    shared = uses.join(first, "key").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    stars = cut(shared.unionByName(_by_fingerprint(marked)).groupBy("a", "b").agg(F.sum("n").alias("n")), "near-stars")
     families = cut(connected_components(stars), "near-families")
     forget(marked)
     again = texts.join(families.hint("shuffle_hash"), "node").groupBy("node", "component").agg(F.any_value("t").alias("t"))

@@ -90,3 +90,14 @@ def test_near_copies_by_brute_force_jaccard(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {r.doc_id for r in corpus_pipeline.without_near_duplicates(spark, docs, "").collect()}
     assert got == set(label)
+
+
+def test_simhash_variants_alone_give_candidates(spark, monkeypatch):
+    """The stage's named method has a part of its own: with no min-hash key in common, texts of near fingerprints are still linked."""
+    words = [f"w{k}" for k in range(3000)]
+    rows = [" ".join(words), " ".join([*words[:-1], "end"]), "other words", " ".join(f"z{k}" for k in range(3000))]
+    a, b = (near_text.fingerprint(near_text.shingle_hashes(r.encode(), 5)) for r in rows[:2])
+    assert int(a ^ b).bit_count() <= 2
+    monkeypatch.setattr(near_text, "band_keys", lambda shingles: np.array([shingles.sum() if len(shingles) else 0], np.uint64))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.without_near_duplicates(spark, docs, "").collect()} == {0, 2, 3}
