@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..sources import json_files, readers, versions, writers
 from .registry import query, table
 from .streams import place_for
 
-RANGE = 1 << 20  # bytes of a task, so that small tables too are read in many ranges
+RANGE = 1 << 20  # least bytes of a task, so that small tables too are read in many ranges
 
 
 @query("""SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id, lang, n_chars, md5(coalesce(text, '')) AS md5 FROM documents""")
@@ -17,11 +16,8 @@ def json_array_roundtrip(spark, d):
     """Documents in order of their id as JSON arrays, one for each partition, read in byte ranges; positions go on from file to file."""
     place = place_for(spark, "array")
     json_files.write(table(spark, d, "documents").orderBy("doc_id").select(F.to_json(F.struct("doc_id", "lang", "n_chars", "text")).alias("value")), place)
-    rows = json_files.read(spark, place, RANGE)
-    sizes = rows.groupBy("file").agg(F.count("*").alias("n"))  # a row for each file
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    found = rows.join(starts, "file").select((F.col("pos") + F.col("start")).alias("pos"), F.from_json("value", "doc_id long, lang string, n_chars long, text string").alias("r"))
+    rows = json_files.read(spark, place, json_files.range_for(place, RANGE), through=True)
+    found = rows.select("pos", F.from_json("value", "doc_id long, lang string, n_chars long, text string").alias("r"))
     return found.select("pos", "r.doc_id", "r.lang", "r.n_chars", F.md5(F.coalesce("r.text", F.lit(""))).alias("md5"))
 
 
@@ -31,7 +27,7 @@ def json_map_roundtrip(spark, d):
     place = place_for(spark, "map")
     entry = F.concat(F.lit('"'), "doc_id", F.lit('": '), F.to_json(F.struct("lang", "source", "n_chars")))
     json_files.write(table(spark, d, "documents").select(entry.alias("value")), place, kind="map")
-    return readers.id_map(spark, place, "struct<lang: string, source: string, n_chars: bigint>", RANGE)
+    return readers.id_map(spark, place, "struct<lang: string, source: string, n_chars: bigint>", json_files.range_for(place, RANGE))
 
 
 @query("""SELECT '/data/' || conv_id || '/' || turn || '.png' AS image, role, 'text' AS type, md5(text) AS md5 FROM conversations""")

@@ -16,6 +16,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,10 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 RANGE = 64 << 20  # bytes of a task
 CHUNK = 4 << 20  # bytes in memory at a time
+AHEAD = 64 << 10  # bytes read at first beyond a range, to the end of its last record
 ROWS = 1_000
+KIND, MOVE = np.zeros(256, np.uint8), np.array([0, 1, -1, 0])  # 1: opens, 2: closes, 3: comma
+KIND[list(b"{[}],")] = 1, 1, 2, 2, 3
 
 
 def store(path: str) -> tuple[fs.FileSystem, str]:
@@ -45,21 +49,31 @@ def files(path: str) -> list[tuple[str, int]]:
     return sorted((head + x.path, x.size) for x in found if x.type == fs.FileType.File and x.base_name.endswith(".json") and "/." not in x.path)
 
 
-def quotes(b: np.ndarray, run: int) -> tuple[np.ndarray, int]:
-    """Which bytes are quotes that no backslash escapes, and the number of backslashes at the end. run: those right before."""
-    place = np.arange(len(b))
-    plain = np.maximum.accumulate(np.where(b == ord("\\"), -1, place))
-    before = np.r_[-1, plain[:-1]]
-    slashes = np.where(before < 0, place + run, place - 1 - before)
-    return (b == ord('"')) & (slashes % 2 == 0), int(len(b) - 1 - plain[-1]) if plain[-1] >= 0 else len(b) + run
+def range_for(path: str, least: int, tasks: int = 128) -> int:
+    """Bytes of a range that give the files of path about as many ranges as `tasks`: `least` or more, RANGE at most."""
+    return min(max(least, sum(size for _, size in files(path)) // tasks), max(least, RANGE))
 
 
-def brackets(b: np.ndarray, quote: np.ndarray, inside: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, depth after it relative to the start, separator?) of brackets and commas outside strings. Opening brackets begin a record too."""
-    outside = (np.cumsum(quote) - quote + inside) % 2 == 0
-    opens, closes, comma = ((b == ord(x)) | (b == ord(y)) for x, y in ("{[", "}]", ",,"))
-    place = np.flatnonzero(outside & (opens | closes | comma))
-    return place, np.cumsum(opens[place].astype(np.int64) - closes[place]), ~closes[place]
+def quotes(b: np.ndarray, run: int) -> tuple[np.ndarray, int]:
+    """Places of quotes that no backslash escapes, and the number of backslashes at the end. run: those right before."""
+    place, slash = np.flatnonzero(b == ord('"')), np.flatnonzero(b == ord("\\"))
+    before = np.where(place == 0, run, 0)
+    if not len(slash):
+        return place[before % 2 == 0], 0 if len(b) else run
+    each = np.arange(len(slash))
+    first = np.maximum.accumulate(np.where(np.diff(slash, prepend=-2) > 1, each, 0))
+    length = each - first + 1 + np.where(slash[first] == 0, run, 0)  # of the run up to each backslash
+    last = np.searchsorted(slash, place) - 1
+    before = np.where((last >= 0) & (slash[last] == place - 1), length[last], before)
+    return place[before % 2 == 0], int(length[-1]) if slash[-1] == len(b) - 1 else 0
+
+
+def brackets(b: np.ndarray, quote: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place, depth after it relative to the start, separator?) of brackets and commas outside strings, for a start outside and inside one.
+    Opening brackets begin a record too."""
+    place = np.flatnonzero(KIND[b])
+    odd, kind = np.searchsorted(quote, place) % 2, KIND[b[place]]
+    return [(place[x], np.cumsum(MOVE[kind[x]]), kind[x] != 2) for x in (odd == 0, odd == 1)]
 
 
 def slashes_before(f, at: int) -> int:
@@ -79,23 +93,33 @@ def noted(f, start: int, end: int) -> tuple[int, list[tuple[int, dict]]]:
     for at in range(start, end, CHUNK):
         b = np.frombuffer(f.read_at(min(CHUNK, end - at), at), np.uint8)
         quote, run = quotes(b, run)
+        told = brackets(b, quote)
         for inside, state in enumerate(found):
-            place, depth, begins = brackets(b, quote, (inside + odd) % 2)
+            _, depth, begins = told[(inside + odd) % 2]
             for level, n in zip(*np.unique(depth[begins] + state[0], return_counts=True)):
                 state[1][int(level)] += int(n)
             state[0] += int(depth[-1]) if len(depth) else 0
-        odd = (odd + int(quote.sum())) % 2
+        odd = (odd + len(quote)) % 2
     return odd, [(d, dict(c)) for d, c in found]
 
 
+def written(f, start: int, end: int) -> int:
+    """The number of bytes of a range that are no white space."""
+    return sum(len(f.read_at(min(CHUNK, end - at), at).translate(None, b" \t\r\n")) for at in range(start, end, CHUNK))
+
+
 def records(f, start: int, end: int, size: int, inside: int, depth: int) -> Iterator[bytes]:
     """The records whose separator lies in [start, end), each read to its end."""
-    run, at, held = slashes_before(f, start), start, None
+    run, at, held, ahead = slashes_before(f, start), start, None, AHEAD
     while at < size and (held is not None or at < end):
-        raw = f.read_at(min(CHUNK, size - at), at)
+        if at < end:
+            raw = f.read_at(min(CHUNK, end - at), at)
+        else:
+            raw = f.read_at(min(CHUNK, ahead, size - at), at)
+            ahead *= 2
         b = np.frombuffer(raw, np.uint8)
         quote, run = quotes(b, run)
-        place, level, begins = brackets(b, quote, inside)
+        place, level, begins = brackets(b, quote)[inside]
         top = (level + depth == 1) & begins | (level + depth == 0) & ~begins
         first = 0
         for k, opens in zip(place[top].tolist(), begins[top].tolist()):
@@ -109,7 +133,7 @@ def records(f, start: int, end: int, size: int, inside: int, depth: int) -> Iter
             held, first = ([], k + 1) if opens else (None, k + 1)
         if held is not None:
             held.append(raw[first:])
-        inside = (inside + int(quote.sum())) % 2
+        inside = (inside + len(quote)) % 2
         depth += int(level[-1]) if len(level) else 0
         at += len(raw)
     if held is not None:
@@ -144,20 +168,26 @@ class _Notes(_Reader):
             where, inner = store(partition.path)
             with where.open_input_file(inner) as f:
                 odd, states = noted(f, partition.start, partition.end)
-            yield partition.path, partition.start, partition.end, partition.size, odd, json.dumps(states)
+                few = sum(n for _, levels in states for n in levels.values()) <= 1  # so it may be of an empty file
+                said = written(f, partition.start, partition.end) if few else None
+            yield partition.path, partition.start, partition.end, partition.size, odd, json.dumps(states), said
 
 
 class _Records(_Reader):
+    def __getstate__(self):
+        return {}  # a task gets its own range, not the numbers of all
+
     def read(self, partition):
         schema = pa.schema([("file", pa.string()), ("pos", pa.int64()), ("value", pa.string())])
         where, inner = store(partition.path)
         with where.open_input_file(inner) as f:
-            pos, waiting = partition.pos, []
+            pos, waiting, n = partition.pos, [], 0
             for said in records(f, partition.start, partition.end, partition.size, partition.inside, partition.depth):
                 waiting.append(said)
-                if len(waiting) == ROWS or len(said) >= CHUNK:
+                n += len(said)
+                if len(waiting) == ROWS or n >= CHUNK:
                     yield self.batch(schema, partition.path, pos, waiting)
-                    pos, waiting = pos + len(waiting), []
+                    pos, waiting, n = pos + len(waiting), [], 0
             if waiting:
                 yield self.batch(schema, partition.path, pos, waiting)
 
@@ -187,9 +217,10 @@ class _Writer(DataSourceArrowWriter):
         rows = 0
         with where.open_output_stream(f"{inner}/{name}") as f:
             for batch in iterator:
-                for said in batch.column(0).to_pylist():
-                    f.write(f"{',' if rows else self.edges[0]}\n{said}".encode())
-                    rows += 1
+                for at in range(0, batch.num_rows, ROWS):
+                    said = batch.column(0).slice(at, ROWS).to_pylist()
+                    f.write(f"{',' if rows else self.edges[0]}\n{',\n'.join(map(str, said))}".encode())
+                    rows += len(said)
             if rows:
                 f.write(f"\n{self.edges[1]}\n".encode())
         return Written(task.partitionId(), name, rows)
@@ -216,7 +247,7 @@ class JsonNotes(DataSource):
         return "json_notes"
 
     def schema(self):
-        return "path string, start long, end long, size long, odd int, states string"
+        return "path string, start long, end long, size long, odd int, states string, said long"
 
     def reader(self, schema):
         return _Notes(self.options)
@@ -237,22 +268,26 @@ class JsonRecords(DataSource):
         return _Writer(self.options)
 
 
-def read(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
+def read(spark: SparkSession, path: str, range_bytes: int = RANGE, through: bool = False) -> DataFrame:
     """file, pos and value (its text) of each record of a JSON array or map file, or of all such files of a folder.
 
-    Of a map, a record is a `"key": value` entry. The driver holds some numbers for each range.
+    Of a map, a record is a `"key": value` entry. pos is the place in the file or, with through, in all files in the order of their names.
+    The driver holds some numbers for each range.
     """
     for source in (JsonNotes, JsonRecords):
         spark.dataSource.register(source)
     notes = spark.read.format("json_notes").option("path", path).option("range", range_bytes).load().collect()
-    ranges, last = [], None
-    for r in sorted(notes):
-        if r.path != last:
-            last, inside, depth, pos = r.path, 0, 0, 0
-        ranges.append((r.path, r.start, r.end, r.size, inside, depth, pos))
-        moved, separators = json.loads(r.states)[inside]
-        pos += separators.get(str(1 - depth), 0)
-        inside, depth = (inside + r.odd) % 2, depth + moved
+    ranges, first = [], 0
+    for name, found in groupby(sorted(notes, key=lambda r: (r.path, r.start)), lambda r: r.path):
+        inside, depth, pos, told = 0, 0, first, []
+        for r in found:
+            ranges.append((name, r.start, r.end, r.size, inside, depth, pos))
+            moved, separators = json.loads(r.states)[inside]
+            pos += separators.get(str(1 - depth), 0)
+            inside, depth = (inside + r.odd) % 2, depth + moved
+            told.append(r.said)
+        if through and (None in told or sum(told) > 2):  # else an empty file: its brackets alone
+            first = pos
     if not ranges:
         return spark.createDataFrame([], JsonRecords({}).schema())
     return spark.read.format("json_records").option("states", json.dumps(ranges)).load()

@@ -2,6 +2,7 @@
 
 import json
 import pathlib
+import pickle
 import random
 import struct
 import zlib
@@ -165,6 +166,40 @@ def test_split_files_in_many_ranges(spark, tmp_path):
     assert readers.split_file(spark, str(tmp_path / "none.json"), "t").count() == 0
 
 
+def test_positions_go_on_from_file_to_file(spark, tmp_path):
+    said = {"a": [{"k": 'x,[\\"' * n} for n in range(9)], "b": [], "c": [[1, [2]], "]", {}], "d": [7]}
+    for name, rows in said.items():
+        (tmp_path / f"{name}.json").write_text("[ \n\n ]" if not rows else json.dumps(rows))
+    for step in (7, 1000):
+        rows = sorted((r.pos, json.loads(r.value)) for r in json_files.read(spark, str(tmp_path), step, through=True).collect())
+        assert rows == list(enumerate(x for rows in said.values() for x in rows))
+    df = spark.range(500).repartition(3).select(F.to_json(F.struct("id")).alias("value"))
+    json_files.write(df, str(tmp_path / "out"))
+    assert sorted(r.pos for r in json_files.read(spark, str(tmp_path / "out"), 900, through=True).collect()) == list(range(500))
+
+
+def test_a_range_reads_little_beyond_its_end():
+    class Counted(pa.BufferReader):
+        n = 0
+
+        def read_at(self, n, at):
+            Counted.n += n
+            return super().read_at(n, at)
+
+    raw = json.dumps([{"k": "x" * 900}] * 20_000).encode()
+    f = Counted(raw)
+    assert sum(1 for _ in json_files.records(f, 0, 1 << 20, len(raw), 0, 0)) > 1_000
+    assert Counted.n < (1 << 20) + (1 << 17)
+    # a task is sent its own range, not the numbers of all
+    assert len(pickle.dumps(json_files._Records({"states": "x" * 100_000}))) < 1_000
+
+
+def test_the_size_of_ranges_follows_the_files(monkeypatch):
+    for total, size in ((1_000, 1 << 20), (1 << 30, 8 << 20), (1 << 40, json_files.RANGE)):
+        monkeypatch.setattr(json_files, "files", lambda path: [("a", total - 1), ("b", 1)])
+        assert json_files.range_for("x", 1 << 20) == size
+
+
 def test_json_parts_are_written_whole_or_not(spark, tmp_path):
     df = spark.range(50).repartition(3).select(F.to_json(F.struct("id")).alias("value"))
     json_files.write(df, str(tmp_path / "out"))
