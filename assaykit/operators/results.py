@@ -204,21 +204,23 @@ def demo_picks(told: DataFrame, item: str, faces: str, wins: int = 6) -> DataFra
     return reduce(DataFrame.unionByName, out)
 
 
+def _sums(order: list[str], parallel: str) -> list[Column]:
+    """Aggregates over the calls of a result row: times, tokens and cost."""
+    return [
+        F.min_by("ttft_s", F.struct(*order)).alias("ttft_s"),
+        F.when(F.bool_or(parallel), F.max("e2e_s")).otherwise(F.sum("e2e_s")).alias("e2e_s"),
+        F.sum("output_tokens").alias("output_tokens"),
+        F.sum("reasoning_chars").alias("reasoning_chars"),
+        stats.sum_or_null(F.col("cost_usd")).alias("cost_usd"),
+    ]
+
+
 def result_rows(calls: DataFrame, keys: list[str], order: list[str], parallel: str) -> DataFrame:
     """One row for each key from its calls: samples in parallel take as long as the slowest, attempts one after another add up.
 
     The first call tells the first-text time; a missing price makes the cost unknown.
     """
-    together = F.bool_or(parallel)
-    return calls.groupBy(*keys).agg(
-        together.alias(parallel),
-        F.count("*").alias("n_calls"),
-        F.min_by("ttft_s", F.struct(*order)).alias("ttft_s"),
-        F.when(together, F.max("e2e_s")).otherwise(F.sum("e2e_s")).alias("e2e_s"),
-        F.sum("output_tokens").alias("output_tokens"),
-        F.sum("reasoning_chars").alias("reasoning_chars"),
-        stats.sum_or_null(F.col("cost_usd")).alias("cost_usd"),
-    )
+    return calls.groupBy(*keys).agg(F.bool_or(parallel).alias(parallel), F.count("*").alias("n_calls"), *_sums(order, parallel))
 
 
 def whole_rows(calls: DataFrame, parts: DataFrame, lanes: DataFrame) -> DataFrame:
@@ -227,20 +229,24 @@ def whole_rows(calls: DataFrame, parts: DataFrame, lanes: DataFrame) -> DataFram
     calls: id, lane, no, parallel, runs, iou, iou_aligned, chamfer, error, code, ttft_s, e2e_s, output_tokens, reasoning_chars,
     cost_usd; nos are distinct within a part and lane. parts: id, n_parts, n_faces. lanes: lane, model. Attempts one after another are graded by the last;
     samples in parallel by the one with the highest likeness, the first of equals, and they are one attempt. Rows without their part or lane are left out.
+
+    One aggregate takes all; lanes, a small dimension, is broadcast, since a shuffle by lane would send all rows of a lane to one task.
     """
     keys, grade = ["id", "lane"], ["runs", "iou", "iou_aligned", "chamfer", "error", "code"]
     iou, together = F.coalesce("iou_aligned", F.lit(0.0)), F.bool_or("parallel")
-    graded = calls.groupBy(*keys).agg(
+    known = F.broadcast(lanes.select("lane", "model"))
+    graded = calls.join(known, "lane", "left_semi").groupBy(*keys).agg(
         F.max_by(F.struct(*grade), F.struct(F.when(F.col("parallel"), iou).otherwise(0.0), F.when(F.col("parallel"), -F.col("no")).otherwise(F.col("no")))).alias("_g"),
         F.when(together, 1).otherwise(F.count("*")).cast("long").alias("attempts"),
         F.when(together, F.count("*")).alias("samples"),
         F.when(together, F.count_if("runs")).alias("samples_run"),
         F.max(F.when(F.coalesce("runs", F.lit(False)), iou).otherwise(0.0)).alias("oracle_iou"),
+        *_sums(["no"], "parallel"),
     )
-    sums = result_rows(calls, keys, ["no"], "parallel").drop("parallel", "n_calls")
-    rows = graded.select(*keys, "_g.*", "attempts", "samples", "samples_run", "oracle_iou").join(sums, keys).join(parts.select("id", "n_parts", "n_faces"), "id").join(lanes.select("lane", "model"), "lane")
+    rows = graded.join(parts.select("id", "n_parts", "n_faces"), "id").join(known, "lane")
+    rest = [c for c in graded.columns if c not in (*keys, "_g")]
     runs = F.coalesce("runs", F.lit(False))
-    return rows.withColumns({"runs": runs, "success": succeeded(runs, F.col("iou_aligned"))})
+    return rows.select("lane", "id", "_g.*", *rest, "n_parts", "n_faces", "model").withColumns({"runs": runs, "success": succeeded(runs, F.col("iou_aligned"))})
 
 
 def pooled_rows(rows: DataFrame, summaries: DataFrame, parts: DataFrame, group: list[str]) -> DataFrame:

@@ -428,12 +428,14 @@ WHOLE = """calls AS (SELECT l_orderkey AS id, 'L' || (l_orderkey % 3) AS lane, l
 
 
 def whole(spark, d):
-    """Whole result rows of calls made of line items; one lane has no description, so its rows are left out."""
-    line = table(spark, d, "lineitem")
+    """Whole result rows of calls made of line items; one lane has no description, so its rows are left out.
+
+    Numbers come first and names after them, so that the line items are shuffled once, by order, with their own columns only."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_tax", "l_discount")
+    line = table(spark, d, "lineitem").drop("l_returnflag", "l_linestatus", "l_shipdate").withColumn("place", F.row_number().over(order))
     double = lambda c: F.col(c).cast("double")
     calls = line.select(
-        F.col("l_orderkey").alias("id"), F.concat(F.lit("L"), F.col("l_orderkey") % 3).alias("lane"), (F.col("l_linenumber") * 1_000_000 + F.row_number().over(order)).alias("no"), (F.col("l_orderkey") % 2 == 0).alias("parallel"),
+        F.col("l_orderkey").alias("id"), F.concat(F.lit("L"), F.col("l_orderkey") % 3).alias("lane"), (F.col("l_linenumber") * 1_000_000 + F.col("place")).alias("no"), (F.col("l_orderkey") % 2 == 0).alias("parallel"),
         (F.col("l_discount") > 0.02).alias("runs"), F.least(double("l_quantity") / 40, F.lit(1.0)).alias("iou"), F.when(F.col("l_tax") > 0.01, F.least(double("l_quantity") / 45, F.lit(1.0))).alias("iou_aligned"), (double("l_tax") / 10).alias("chamfer"),
         F.when(F.col("l_discount") <= 0.02, "failed").alias("error"), F.concat(F.lit("c"), "l_partkey").alias("code"), double("l_tax").alias("ttft_s"), double("l_quantity").alias("e2e_s"), F.col("l_partkey").alias("output_tokens"), F.col("l_suppkey").alias("reasoning_chars"),
         F.when(F.col("l_discount") > 0, double("l_extendedprice")).alias("cost_usd"),

@@ -93,3 +93,18 @@ def test_binomial_interval_is_as_wide_as_the_exact_one(spark, data):
     for r in plans.QUERIES["bootstrap_ci_binomial"](spark, data).collect():
         error = (r.k / r.n * (1 - r.k / r.n) / r.n) ** 0.5
         assert abs(r.lo - exact[r.lane].lo) < 0.35 * error + 1 / r.n and abs(r.hi - exact[r.lane].hi) < 0.35 * error + 1 / r.n
+
+
+def exchanges(df):
+    """The keys of each shuffle of a plan, and its broadcasts."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    return [x.split("hashpartitioning(")[1].split("#")[0] for x in lines if " Exchange hashpartitioning(" in x], sum(" BroadcastExchange " in x for x in lines)
+
+
+def test_whole_rows_shuffle_calls_and_parts_once_and_no_rows_by_lane(spark, data):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for large tables
+    try:
+        shuffles, broadcasts = exchanges(plans.QUERIES["whole_result_rows"](spark, data))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(shuffles) == ["id", "l_orderkey"] and broadcasts == 2  # orders and line items; the lanes
