@@ -453,9 +453,10 @@ def whole_result_rows(spark, d):
 @query(f"""WITH {WHOLE} SELECT lane, count(*) AS n, round(avg(success::INT), 6) AS success, round(avg(runs::INT), 6) AS run_rate, round(quantile_cont(e2e_s, 0.95), 6) AS latency_p95, round(median(chamfer) FILTER (WHERE runs), 8) AS median_chamfer,
   round(avg(attempts), 6) AS attempts_mean, round(avg((coalesce(oracle_iou, 0) >= 0.9)::INT), 6) AS oracle_success FROM whole GROUP BY lane""")
 def lane_summary_of_calls(spark, d):
-    """The lane summary of whole result rows."""
+    """The lane summary of whole result rows, which it reads twice, so they are settled first with the columns that it needs."""
     rounded = lambda c, n=6: F.round(c, n).alias(c)
-    return results.lane_summary(whole(spark, d), ["lane"]).select("lane", "n", rounded("success"), rounded("run_rate"), rounded("latency_p95"), rounded("median_chamfer", 8), rounded("attempts_mean"), rounded("oracle_success"))
+    rows = stats.settled(whole(spark, d).select("lane", "error", "output_tokens", "runs", "success", "iou_aligned", "chamfer", "n_parts", "e2e_s", "ttft_s", "attempts", "cost_usd", "oracle_iou"))
+    return results.lane_summary(rows, ["lane"]).select("lane", "n", rounded("success"), rounded("run_rate"), rounded("latency_p95"), rounded("median_chamfer", 8), rounded("attempts_mean"), rounded("oracle_success"))
 
 
 @query(f"""WITH {LOG}, r AS (SELECT id, lane, k % 5 AS modality, strftime(created, '%Y%m%d') AS run, created, event_id, value, k FROM log WHERE lane <> 'error'), s AS (SELECT strftime(created, '%Y%m%d') AS run, lane, count(*) AS n, max(k) AS shots FROM log WHERE k > 3 GROUP BY ALL),

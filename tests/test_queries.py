@@ -108,3 +108,8 @@ def test_whole_rows_shuffle_calls_and_parts_once_and_no_rows_by_lane(spark, data
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sorted(shuffles) == ["id", "l_orderkey"] and broadcasts == 2  # orders and line items; the lanes
+
+
+def test_lane_summary_of_calls_makes_its_rows_once(spark, data):
+    plan = plans.QUERIES["lane_summary_of_calls"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "o_orderkey" not in plan
