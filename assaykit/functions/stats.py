@@ -6,7 +6,9 @@ import math
 import random
 import tempfile
 import zlib
+from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -14,6 +16,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+DRAWS = 1 << 16  # of a resample at a time
 RANGE_ROWS = 250_000  # rows of a range of values, which one task ranks
 Z95 = 1.959963984540054  # fixed value: the two-sided 95 % quantile of the normal distribution
 
@@ -150,17 +153,38 @@ def wilson(successes: Column, n: Column) -> tuple[Column, Column]:
     return (middle - spread) / (1 + Z95 * Z95 / n), (middle + spread) / (1 + Z95 * Z95 / n)
 
 
+def resampled_sums(xs: np.ndarray, iters: int, seed: int) -> Iterator[float]:
+    """The sum of each of iters resamples of xs, as by sum(random.Random(seed).choices(xs, k=len(xs))).
+
+    A choice is the element at floor(random() * n). numpy's generator of the same kind gives the same numbers from the same
+    state, DRAWS at a time. Whole numbers add up alike in any order; others are added one by one, as sum does.
+    """
+    *words, at = random.Random(seed).getstate()[1]
+    rng, n = np.random.RandomState(), len(xs)
+    rng.set_state(("MT19937", np.array(words, np.uint32), at))
+    flags = bool(np.isin(xs, (0.0, 1.0)).all())
+    whole = bool(np.isfinite(xs).all() and (xs == np.floor(xs)).all() and np.abs(xs).max() * n <= 2**53)
+    known = xs.astype(bool) if flags else xs  # a byte for each
+    for _ in range(iters):
+        drawn = (known[(rng.random_sample(min(DRAWS, n - k)) * n).astype(np.int64)] for k in range(0, n, DRAWS))
+        if flags:
+            yield float(sum(np.count_nonzero(x) for x in drawn))
+        elif whole:
+            yield float(sum(x.sum() for x in drawn))
+        else:
+            yield sum(chain.from_iterable(x.tolist() for x in drawn))
+
+
 def bootstrap(df: DataFrame, keys: list[str], value: str, order: str, iters: int = 2000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """keys, lo, hi: percentile interval of the mean over seeded resamples.
 
-    The draws depend on the order of the rows, so `order` fixes it. Each group is one task's; for
-    0/1 values of unbounded groups use binomial_bootstrap.
+    The draws depend on the order of the rows, so `order` fixes it. Each group is one task's, since a resample begins where the
+    generator's last one ended; for unbounded groups use split_bootstrap, or binomial_bootstrap for 0/1 values.
     """
 
     def interval(group: pd.DataFrame) -> pd.DataFrame:
-        xs = group.sort_values(order)[value].astype(float).tolist()
-        rng = random.Random(seed)
-        means = sorted(sum(rng.choices(xs, k=len(xs))) / len(xs) for _ in range(iters))
+        xs = group.sort_values(order)[value].to_numpy(float)
+        means = sorted(x / len(xs) for x in resampled_sums(xs, iters, seed))
         return pd.DataFrame({**{k: [group[k].iloc[0]] for k in keys}, "lo": [means[int(iters * alpha / 2)]], "hi": [means[int(iters * (1 - alpha / 2)) - 1]]})
 
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)

@@ -1,7 +1,10 @@
 """Helpers that no registered query calls, on hand-made inputs."""
 
+import math
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +102,25 @@ def test_bootstrap_draws_as_a_seeded_generator(spark):
     assert (got.lo, got.hi) == (means[50], means[1949]) and got.lo < 0.8 < got.hi
 
 
+@pytest.mark.parametrize("draws", [7, 1 << 16])
+def test_resampled_sums_are_those_of_choices(monkeypatch, draws):
+    monkeypatch.setattr(stats, "DRAWS", draws)
+    pick = random.Random(5)
+    kinds = [[1.0], [float(pick.random() < 0.3) for _ in range(700)], [float(pick.randrange(-9, 9)) for _ in range(700)], [pick.gauss(0, 1e6) for _ in range(700)], [0.1] * 20, [1e300, -1e300, 1.0, 0.5], [math.inf, 1.0]]
+    for seed, xs in enumerate(kinds):
+        rng = random.Random(seed)
+        assert list(stats.resampled_sums(np.array(xs), 40, seed)) == [sum(rng.choices(xs, k=len(xs))) for _ in range(40)]
+
+
+def test_resamples_are_drawn_many_at_a_time():
+    xs, rng = [1.0, 0.0] * 50_000, random.Random(0)
+    began = time.process_time()
+    one_by_one = [sum(rng.choices(xs, k=len(xs))) for _ in range(20)]
+    middle = time.process_time()
+    assert list(stats.resampled_sums(np.array(xs), 20, 0)) == one_by_one
+    assert time.process_time() - middle < (middle - began) / 3
+
+
 @pytest.mark.parametrize("ranges", [1, 4])
 def test_ranks_and_areas_over_many_ranges(spark, monkeypatch, ranges):
     rng = random.Random(3)
